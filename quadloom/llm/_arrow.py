@@ -46,6 +46,16 @@ def texts_of(column: pa.Array) -> pa.StringArray:
     return pa.concat_arrays([out, pa.array([], pa.string())]) if out.offset else out
 
 
+def slices(batches: Iterator[pa.RecordBatch], at: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a slice has most bytes of the text column at, or one row."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(at).cast(pa.binary())), 0).to_numpy(zero_copy_only=False)
+        parts = np.cumsum(size) // most if len(size) else size
+        cuts = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(size)] if len(size) else []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield batch.slice(a, b - a)
+
+
 def offsets_of(array: pa.StringArray) -> np.ndarray:
     if not len(array):
         return np.zeros(1, np.int64)
@@ -106,7 +116,7 @@ def with_struct(df: DataFrame, name: str, kind: T.StructType, kernel: Callable[[
     types = [pa.int64() if isinstance(f.dataType, T.LongType) else pa.float64() if isinstance(f.dataType, T.DoubleType) else pa.string() for f in kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, at):
             got = kernel(texts_of(batch.column(at)))
             struct = pa.StructArray.from_arrays([pa.array(got[f], t) for f, t in zip(fields, types, strict=True)], fields)
             yield pa.RecordBatch.from_arrays([*batch.columns, struct], [*batch.schema.names, name])

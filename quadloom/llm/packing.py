@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadloom.llm import tokens
-from quadloom.llm._arrow import texts_of
+from quadloom.llm._arrow import slices, texts_of
 from quadloom.llm._shared import cut
 
 WINDOW = 1024
@@ -122,7 +122,7 @@ def _rows(part: int, windows: list[tuple[int, list[Piece]]]) -> pa.RecordBatch:
 def _first_level(path: str, window: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, part, emitted = Packer(window, most), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in slices(batches, 1):
             got = tokens.with_end(tokens.encode(texts_of(batch.column(1)), path))
             stream, bounds, out = got.ids.astype("<u4"), got.bounds.tolist(), []
             for doc_id, a, b in zip(batch.column(0).to_pylist(), bounds[:-1], bounds[1:], strict=True):

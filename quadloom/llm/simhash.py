@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadloom.llm._arrow import LOWER, bytes_of, offsets_of, texts_of, words
+from quadloom.llm._arrow import LOWER, bytes_of, offsets_of, slices, texts_of, words
 from quadloom.llm._shared import cut
 from quadloom.llm.components import components
 
@@ -72,7 +72,7 @@ def with_fingerprint(docs: DataFrame, name: str, text: str = "text", size: int =
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, at, 4 << 20):
             prints = pa.array(fingerprints(texts_of(batch.column(at)), size).view(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns, prints], [*batch.schema.names, name])
 
