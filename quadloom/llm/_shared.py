@@ -52,3 +52,25 @@ def cut(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder, its lineage cut."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def map_array(uri: str, dtype: type):
+    """The file as a read-only memory-mapped array.
+
+    A local or mounted file is mapped in place, so a machine's workers share its
+    pages. Any other store is copied to an unnamed local file first, which goes when
+    the worker does.
+    """
+    import shutil
+
+    import numpy as np
+
+    store, path = open_fs(uri)
+    if store.get_file_info(path).size == 0:
+        return np.zeros(0, dtype)
+    if isinstance(store, fs.LocalFileSystem):
+        return np.memmap(path, dtype, "r")
+    with store.open_input_stream(path) as source, tempfile.TemporaryFile() as copy:
+        shutil.copyfileobj(source, copy)
+        copy.flush()
+        return np.memmap(copy, dtype, "r")
