@@ -45,7 +45,16 @@ def write_file(uri: str, parts: list[bytes]) -> None:
     with store.open_output_stream(draft) as out:
         for part in parts:
             out.write(part)
-    store.move(draft, path)
+    put(store, draft, path)
+
+
+def put(store: fs.FileSystem, draft: str, path: str) -> None:
+    """Gives a finished draft its name; a file of an earlier attempt goes."""
+    try:
+        store.move(draft, path)
+    except OSError:
+        store.delete_file(path)
+        store.move(draft, path)
 
 
 def cut(df: DataFrame) -> DataFrame:
