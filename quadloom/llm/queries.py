@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadloom.llm import bpe, kneser_ney, licenses, media, packing, quality_classifier, quality_rules, simhash
+from quadloom.llm import bpe, kneser_ney, licenses, media, packing, quality_classifier, quality_rules, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.store_and_read(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -62,8 +66,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_media_columns": op6_media_columns,
         "op8_license_scan": op8_license_scan,
         "op9_packing": op9_packing,
+        "op10_warc": op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_warc": warc.ORACLE}
