@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadloom.llm import bpe, kneser_ney, licenses, media, packing, quality_classifier, quality_rules, simhash, warc
+from quadloom.llm import bpe, kneser_ney, licenses, media, packing, quality_classifier, quality_rules, simhash, token_store, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,11 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_and_read(_table(spark, sf_dir, "documents")).drop("error")
 
 
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri = token_store.write(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return token_store.read(spark, uri, with_ids=False).drop("ids")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_classifier": op4_quality_classifier,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_media_columns": op6_media_columns,
+        "op7_token_store": op7_token_store,
         "op8_license_scan": op8_license_scan,
         "op9_packing": op9_packing,
         "op10_warc": op10_warc,
