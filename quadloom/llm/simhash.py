@@ -144,18 +144,45 @@ def links(prints: DataFrame, radius: int = 3) -> DataFrame:
     return units.repartition(slots, F.xxhash64("t1", "i", "t2", "j")).select(F.explode(compare("left", "right", F.expr("t1 = t2 and i = j"))).alias("x")).select("x.a", "x.b")
 
 
+def _rooted(rows: DataFrame, radius: int) -> DataFrame:
+    """(print, root) of every fingerprint in rows, root being the least fingerprint that links reach."""
+    prints = rows.select("print").distinct()
+    roots = components(cut(links(prints, radius))).withColumnsRenamed({"node": "print"})
+    return prints.join(roots, "print", "left").select("print", F.coalesce("root", "print").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 3, radius: int = 3) -> DataFrame:
     """(id, print, component_id) for each document: its fingerprint and the smallest id reachable by links."""
     rows = cut(with_fingerprint(docs.select(F.col(id_col), F.col(text)), "print", text, size).drop(text))
-    by_print = rows.groupBy("print").agg(F.min(id_col).alias("least"))
-    roots = components(cut(links(by_print.select("print"), radius))).withColumnsRenamed({"node": "print"})
-    named = by_print.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
-    # only fingerprints with a link need the smallest id of their component
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    mapped = named.join(least, "root").select("print", "component_id")
+    # a third of the rows may share a fingerprint: its least id is aggregated before the shuffle
+    least = rows.groupBy("print").agg(F.min(id_col).alias("least"))
+    named = least.join(_rooted(rows, radius), "print")
+    mapped = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("print", "component_id")
     return rows.join(mapped, "print").select(id_col, "print", "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 3, radius: int = 3) -> DataFrame:
+    """docs without all but one document of each component, with all their columns.
+
+    The row with the smallest id stays (ids that are null come last, then the
+    smaller fingerprint decides). Rows that repeat both id and fingerprint count as
+    one document.
+    """
+    rows = cut(with_fingerprint(docs.select(F.col(id_col).alias("__id"), F.col(text)), "print", text, size).drop(text))
+    keys = rows.groupBy("__id", "print").agg(F.count(F.lit(1)).alias("n")).join(_rooted(rows, radius), "print")
+    order = F.struct(F.col("__id").isNull(), F.col("__id"), F.col("print"))
+    first = keys.groupBy("root").agg(F.min(order).alias("first"))
+    verdicts = keys.join(first, "root").select("__id", F.col("print").alias("__print"), "n", (order != F.col("first")).alias("__gone"))
+    notable = cut(verdicts.where("__gone or n > 1"))
+    marked = with_fingerprint(docs, "__print", text, size)
+    same = marked[id_col].eqNullSafe(notable["__id"]) & (marked["__print"] == notable["__print"])
+    joined = marked.join(notable, same, "left").drop(notable["__print"])
+    kept = joined.where("n is null").select(*docs.columns)
+    if notable.where("not __gone").isEmpty():
+        return kept
+    return kept.union(joined.where("not __gone").dropDuplicates([id_col, "__print"]).select(*docs.columns))
+
+
 def contract(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
