@@ -44,6 +44,9 @@ HEAD, RECORD = 64 << 10, 256 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 GZIP = b"\x1f\x8b\x08"
+#: Fields that every record has, and bytes that no header has.
+MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
+CONTROL = re.compile(rb"[\x00-\x08\x0e-\x1f]")
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 
 
@@ -225,7 +228,8 @@ def _headers(buffer: bytes) -> tuple[dict[str, str] | None, int]:
     except UnicodeDecodeError:
         return None, 0
     headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-    return (headers, end + 4) if headers.get("content-length", "").isdigit() else (None, 0)
+    whole = all(headers.get(k) for k in MANDATORY) and headers["content-length"].isdigit() and not CONTROL.search(buffer[:end])
+    return (headers, end + 4) if whole else (None, 0)
 
 
 def _wrong(headers: dict[str, str], block: bytes) -> str | None:
