@@ -46,7 +46,7 @@ def texts_of(column: pa.Array) -> pa.StringArray:
     return pa.concat_arrays([out, pa.array([], pa.string())]) if out.offset else out
 
 
-def slices(batches: Iterator[pa.RecordBatch], at: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], at: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a slice has most bytes of the text column at, or one row."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(at).cast(pa.binary())), 0).to_numpy(zero_copy_only=False)

@@ -143,6 +143,12 @@ def fit(featured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: s
     return model._replace(knots=ends, levels=0.999 * held + 0.001 * (ends + 1) / 3)
 
 
+def with_score(docs: DataFrame, model: Model, name: str, text: str = "text") -> DataFrame:
+    """docs and their calibrated scores; features and score are made in one pass over the texts."""
+    kind = T.StructType([T.StructField("score", T.DoubleType())])
+    return with_struct(docs, "__s", kind, lambda t: {"score": model.score(features(t))}, text).withColumn(name, F.col("__s.score")).drop("__s")
+
+
 def scores(model: Model, x: str = "__x") -> Column:
     """Calibrated score of a column of features."""
 
@@ -167,4 +173,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text:
     anew, so that whole texts never pass through a shuffle or the checkpoint folder.
     """
     model = fit(with_features(docs.select(id_col, text), text).drop(text), labels, id_col)
-    return with_features(docs, text).withColumn("__score", scores(model)).where(F.col("__score") >= cutoff).drop("__x", "__score")
+    return with_score(docs, model, "__score", text).where(F.col("__score") >= cutoff).drop("__score")

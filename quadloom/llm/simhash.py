@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadloom.llm._arrow import LOWER, bytes_of, offsets_of, slices, texts_of, words
-from quadloom.llm._shared import cut
+from quadloom.llm._shared import cut, map_array, work_dir, write_file
 from quadloom.llm.components import components
 
 SEED = 42
@@ -72,7 +72,7 @@ def with_fingerprint(docs: DataFrame, name: str, text: str = "text", size: int =
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, at, 4 << 20):
+        for batch in slices(batches, at, 2 << 20):
             prints = pa.array(fingerprints(texts_of(batch.column(at)), size).view(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns, prints], [*batch.schema.names, name])
 
@@ -166,13 +166,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size:
 
     The row with the smallest id stays (ids that are null come last, then the
     smaller fingerprint decides). Rows that repeat both id and fingerprint count as
-    one document.
+    one document. Where every row has an integer id of its own, texts pass no
+    shuffle: a row's id is looked up among those that go.
     """
     rows = cut(with_fingerprint(docs.select(F.col(id_col).alias("__id"), F.col(text)), "print", text, size).drop(text))
     keys = rows.groupBy("__id", "print").agg(F.count(F.lit(1)).alias("n")).join(_rooted(rows, radius), "print")
     order = F.struct(F.col("__id").isNull(), F.col("__id"), F.col("print"))
     first = keys.groupBy("root").agg(F.min(order).alias("first"))
-    verdicts = keys.join(first, "root").select("__id", F.col("print").alias("__print"), "n", (order != F.col("first")).alias("__gone"))
+    verdicts = cut(keys.join(first, "root").select("__id", F.col("print").alias("__print"), "n", (order != F.col("first")).alias("__gone")))
+    ids = verdicts.groupBy("__id").agg(F.sum("n").alias("n"))
+    if isinstance(docs.schema[id_col].dataType, T.IntegralType) and ids.where("n > 1 or __id is null").isEmpty():
+        return _without(docs, id_col, verdicts.where("__gone").select(F.col("__id").cast("long").alias("id")))
     notable = cut(verdicts.where("__gone or n > 1"))
     marked = with_fingerprint(docs, "__print", text, size)
     same = marked[id_col].eqNullSafe(notable["__id"]) & (marked["__print"] == notable["__print"])
@@ -183,6 +187,32 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size:
     return kept.union(joined.where("not __gone").dropDuplicates([id_col, "__print"]).select(*docs.columns))
 
 
+def _without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """docs without the ids in gone, which go as sorted arrays to the shared folder, where workers map them."""
+    spark = docs.sparkSession
+    uri, shards = work_dir(spark, "gone"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def write(key: tuple, table: pa.Table) -> pa.Table:
+        shard = key[0].as_py()
+        write_file(f"{uri}/{shard}", [np.sort(table["id"].to_numpy())])
+        return pa.table({"shard": pa.array([shard], pa.int64())})
+
+    dealt = gone.withColumn("shard", F.pmod("id", F.lit(shards)))
+    written = {r["shard"] for r in dealt.groupBy("shard").applyInArrow(write, "shard long").collect()}
+
+    @F.pandas_udf("boolean")
+    def stays(ids: pd.Series) -> pd.Series:
+        values = ids.to_numpy(np.int64)
+        out, shard = np.ones(len(values), bool), np.mod(values, shards)
+        for s in np.intersect1d(shard, list(written)).tolist():
+            at, held = np.flatnonzero(shard == s), map_array(f"{uri}/{s}", np.int64)
+            place = np.minimum(np.searchsorted(held, values[at]), len(held) - 1)
+            out[at] = held[place] != values[at]
+        return pd.Series(out)
+
+    return docs.where(stays(F.col(id_col).cast("long")))
+
+
 def contract(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
