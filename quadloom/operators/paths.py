@@ -62,7 +62,7 @@ def one_or_more(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
     Semi-naive rounds: only pairs found in the last round grow, those known before go,
     and each round is cut off by a checkpoint. Cycles end because pairs are a set.
     """
-    _checkpoints(edges)
+    ensure_checkpoints(edges)
     edges = edges.distinct().checkpoint()
     steps = edges.select(F.col("s").alias("__m"), F.col("o").alias("__n"))
     new = edges if start is None else edges.join(start.select("s").distinct(), "s", "left_semi")
@@ -79,7 +79,7 @@ def zero_or_more(edges: DataFrame, start: DataFrame | None = None, every: DataFr
     return one_or_more(edges, start).union(own.select("s", F.col("s").alias("o"))).distinct()
 
 
-def _checkpoints(df: DataFrame) -> None:
+def ensure_checkpoints(df: DataFrame) -> None:
     """Uses the session's checkpoint folder; sets one of our own only where none is set."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():

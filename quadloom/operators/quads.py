@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.functions import terms
+from quadloom.operators.paths import ensure_checkpoints
 from quadloom.operators.solutions import Solutions
 
 #: A pattern's place: "?name", an IRI as text, or a term column.
@@ -75,16 +76,14 @@ def construct_where(quads: DataFrame, *patterns: tuple) -> DataFrame:
     return construct(bgp(quads, *patterns), *patterns)
 
 
-def describe(quads: DataFrame, described: DataFrame, rounds: int = 32) -> DataFrame:
-    """Distinct triples about the terms in described's column s, and about the blank nodes these lead to."""
+def describe(quads: DataFrame, described: DataFrame) -> DataFrame:
+    """Distinct triples about the terms in described's column s, and about the blank nodes these lead to, round by round until none is new."""
+    ensure_checkpoints(quads)
     triples = quads.select("s", "p", "o").distinct()
     out = triples.join(described.select("s").distinct(), "s", "left_semi")
     frontier = out.where("o.kind = 1").select(F.col("o").alias("s")).distinct()
-    for _ in range(rounds):
-        if frontier.isEmpty():
-            break
-        more = triples.join(frontier, "s", "left_semi").join(out, ["s", "p", "o"], "left_anti")
-        more = more.checkpoint() if quads.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else more
+    while not frontier.isEmpty():
+        more = triples.join(frontier, "s", "left_semi").join(out, ["s", "p", "o"], "left_anti").checkpoint()
         out = out.union(more)
         frontier = more.where("o.kind = 1").select(F.col("o").alias("s")).distinct()
     return out
