@@ -13,6 +13,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,6 +95,11 @@ def words(texts: pa.StringArray, table: np.ndarray | None = None) -> Words:
     return Words(bounds - bounds[0], flat, coded.indices.to_numpy().astype(np.int64), coded.dictionary)
 
 
+def word_hashes(vocab: pa.Array) -> np.ndarray:
+    """64-bit hash of each word, the same in every task."""
+    return np.fromiter((xxhash.xxh64_intdigest(w) for w in vocab.to_pylist()), np.uint64, len(vocab))
+
+
 def per_text(values: np.ndarray, bounds: np.ndarray, ufunc: np.ufunc = np.add, dtype=np.int64) -> np.ndarray:
     """ufunc over each text's values; 0 for a text without any."""
     out, full = np.zeros(len(bounds) - 1, dtype), np.diff(bounds) > 0

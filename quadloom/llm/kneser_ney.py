@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.llm._arrow import LOWER, bucket_crc, per_text, slices, texts_of, words
+from quadloom.llm._arrow import LOWER, bucket_crc, per_text, slices, texts_of, word_hashes, words
 from quadloom.llm._shared import map_array, work_dir, write_file
 
 #: The end token's hash, and in place of a word's number the context at a text's start.
@@ -127,10 +127,6 @@ def _counted(batches: Iterator[pa.RecordBatch], at: int, ngrams, shard_of) -> It
 # words
 
 
-def word_hashes(vocab: pa.Array) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w) for w in vocab.to_pylist()), np.uint64, len(vocab))
-
-
 def hash_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 

@@ -1,7 +1,7 @@
 """Near duplicates by SimHash: exact comparison of fingerprints in tiles.
 
 Fingerprints (not documents: equal ones count once) are dealt into tiles by the
-bit counts of their two halves. Two fingerprints within the radius have half
+bit counts of their two halves, in steps of eight for wide radii. Two fingerprints within the radius have half
 counts whose differences add up to the radius at most, so tile pairs further
 apart are skipped; every other pair is compared in full with numpy exclusive-or
 and bit counts. Tiles above TILE rows are cut into pieces and each pair of pieces
@@ -18,19 +18,21 @@ the component of its fingerprint. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadloom.llm._arrow import LOWER, bytes_of, offsets_of, slices, texts_of, words
-from quadloom.llm._shared import cut, map_array, work_dir, write_file
+from quadloom.llm._arrow import LOWER, bytes_of, offsets_of, slices, texts_of, word_hashes, words
+from quadloom.llm._shared import cut, map_array, open_fs, put, work_dir, write_file
 from quadloom.llm.components import components
 
 SEED = 42
@@ -79,15 +81,20 @@ def with_fingerprint(docs: DataFrame, name: str, text: str = "text", size: int =
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
-def close(a: np.ndarray, b: np.ndarray, radius: int, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of a and b whose exclusive-or has radius bits or fewer, a block of rows at a time."""
+def close(a: np.ndarray, b: np.ndarray, radius: int, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index pairs of a and b whose exclusive-or has radius bits or fewer, and how many, a block of rows at a time."""
     for at in range(0, len(a), rows):
-        i, j = np.nonzero(np.bitwise_count(a[at : at + rows, None] ^ b[None, :]) <= radius)
-        yield i + at, j
+        bits = np.bitwise_count(a[at : at + rows, None] ^ b[None, :])
+        i, j = np.nonzero(bits <= radius)
+        yield i + at, j, bits[i, j]
 
 
-def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> list[tuple[int, int]]:
-    """Links that connect what the pair of pieces connects; at most len(a) + len(b) - 1."""
+def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool, links: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """Links that connect what the pair of pieces connects; at most len(a) + len(b) - 1.
+
+    links decides on a pair within the radius; it is asked for closer pairs first, and
+    not for pairs that are connected already.
+    """
     parent = np.arange(len(a) + (0 if same else len(b)))
 
     def root(x: int) -> int:
@@ -97,38 +104,121 @@ def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> list[tuple[
         return x
 
     shift, found = 0 if same else len(a), []
-    for i, j in close(a, b, radius):
+    for i, j, bits in close(a, b, radius):
         if same:
-            i, j = i[i < j], j[i < j]
-        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            i, j, bits = i[i < j], j[i < j], bits[i < j]
+        while (parent[parent] != parent).any():  # every node to its root
+            parent = parent[parent]
+        apart = np.flatnonzero(parent[i] != parent[j + shift])
+        for k in apart[np.argsort(bits[apart], kind="stable")].tolist():
+            x, y = int(i[k]), int(j[k])
             p, q = root(x), root(y + shift)
-            if p != q:
+            if p != q and (links is None or links(x, y)):
                 parent[max(p, q)] = min(p, q)
                 found.append((x, y))
     return found
 
 
-def _reach(radius: int) -> list[tuple[int, int]]:
-    """Differences of half counts within the radius, one of each opposite pair, zero first."""
-    span = range(-radius, radius + 1)
-    return [(0, 0), *((x, y) for x in span for y in span if abs(x) + abs(y) <= radius and (x, y) > (0, 0))]
+# sets of shingles, for links that a similarity decides
+
+
+def shingle_sets(texts: pa.StringArray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Number of distinct word shingles of each text, and their 32-bit hashes, ascending within a text."""
+    w = words(texts, LOWER)
+    hashes, counts = word_hashes(w.vocab), w.counts
+    shingles = np.where(counts > 0, np.maximum(counts - size + 1, 1), 0)
+    owner = np.repeat(np.arange(len(counts)), shingles)
+    first = np.arange(shingles.sum()) - np.repeat(np.cumsum(shingles) - shingles, shingles) + w.bounds[owner]
+    mixed = np.zeros(len(first), np.uint64)
+    for k in range(size):
+        inside = first + k < w.bounds[owner + 1]
+        word = hashes[w.codes[np.minimum(first + k, len(w.codes) - 1)]] if len(first) else mixed
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + np.where(inside, word, np.uint64(1))
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    key = np.unique(owner.astype(np.uint64) << np.uint64(32) | mixed >> np.uint64(32))
+    return np.bincount((key >> np.uint64(32)).astype(np.int64), minlength=len(counts)), (key & np.uint64(0xFFFFFFFF)).astype("<u4")
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two ascending sets have a Jaccard similarity of least or more."""
+    small, large = sorted((len(a), len(b)))
+    if small < least * large or not small:
+        return False
+    both = np.concatenate([a, b])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= least * (small + large - common)
+
+
+def with_sets(docs: DataFrame, uri: str, text: str = "text", size: int = 3, by: int = 5) -> DataFrame:
+    """docs without their texts, with fingerprints (print) and where each text's shingle set lies (part, at, n).
+
+    A task writes its sets, four bytes for a shingle, to one file in the folder.
+    """
+    at_text = docs.columns.index(text)
+    names = [c for c in docs.columns if c != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = open_fs(uri)
+        part, place = TaskContext.get().partitionId(), 0
+        draft = f"{folder}/{part}.{uuid.uuid4().hex}.tmp"
+        with store.open_output_stream(draft) as out:
+            for batch in slices(batches, at_text, 2 << 20):
+                texts = texts_of(batch.column(at_text))
+                n, sets = shingle_sets(texts, by)
+                out.write(sets.tobytes())
+                at = place + np.cumsum(n) - n
+                place += len(sets)
+                added = [pa.array(fingerprints(texts, size).view(np.int64)), pa.array(np.full(len(n), part), pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *added], [*names, "print", "part", "at", "n"])
+        put(store, draft, f"{folder}/{part}")
+
+    kept = [f for f in docs.schema.fields if f.name != text]
+    return docs.mapInArrow(run, T.StructType([*kept, *(T.StructField(c, T.LongType()) for c in ("print", "part", "at", "n"))]))
+
+
+_sets: dict[str, np.ndarray] = {}
+
+
+def _set(uri: str, part: int, at: int, n: int) -> np.ndarray:
+    key = f"{uri}/{part}"
+    if key not in _sets:
+        if len(_sets) > 512 or not all(k.startswith(uri) for k in _sets):
+            _sets.clear()
+        _sets[key] = map_array(key, np.uint32)
+    return _sets[key][at : at + n]
 
 
-def links(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """Links (a, b) that connect distinct fingerprints (column print) as all pairs within radius would."""
-    halves = [F.bit_count(F.shiftrightunsigned("print", k).bitwiseAND(F.lit(0xFFFFFFFF))).cast("int") for k in (0, 32)]
-    tiled = prints.select("print", (halves[0] * 64 + halves[1]).alias("tile"))
+def _reach(radius: int, grain: int) -> list[tuple[int, int]]:
+    """Differences of halves' steps that the radius allows, one of each opposite pair, zero first. A step is grain counts, so steps that differ by d are (d - 1) * grain + 1 counts apart at least."""
+    least = lambda d: max(0, (abs(d) - 1) * grain + 1)
+    span = range(-(radius // grain + 1), radius // grain + 2)
+    return [(0, 0), *((x, y) for x in span for y in span if least(x) + least(y) <= radius and (x, y) > (0, 0))]
+
+
+def links(prints: DataFrame, radius: int = 3, sets: str | None = None, least: float = 0.8) -> DataFrame:
+    """Links (a, b) that connect distinct fingerprints (column print) as all pairs within radius would.
+
+    With the folder of their shingle sets (and columns part, at, n) a pair within the
+    radius is a link only if the sets are similar.
+    """
+    # wide radii reach most tiles anyway: coarse steps then keep the number of units down
+    grain = 1 if radius <= 4 else 8
+    fields = ["print"] if sets is None else ["print", "part", "at", "n"]
+    halves = [F.floor(F.bit_count(F.shiftrightunsigned("print", k).bitwiseAND(F.lit(0xFFFFFFFF))) / grain).cast("int") for k in (0, 32)]
+    tiled = prints.select(*fields, (halves[0] * 64 + halves[1]).alias("tile"))
     pieces = tiled.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("pieces"))
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"tile": [key[0]], "piece": [key[1]], "block": [pdf["print"].to_numpy(np.int64).tobytes()]})
+        return pd.DataFrame({"tile": [key[0]], "piece": [key[1]], "block": [pdf[fields].to_numpy(np.int64).T.tobytes()]})
 
     # at most some TILE rows in a group: a hash of the fingerprint deals a tile's rows over its pieces
-    pieced = tiled.join(pieces, "tile").select("print", "tile", F.pmod(F.xxhash64("print"), F.col("pieces")).cast("int").alias("piece"))
+    pieced = tiled.join(pieces, "tile").select(*fields, "tile", F.pmod(F.xxhash64("print"), F.col("pieces")).cast("int").alias("piece"))
     blocks = cut(pieced.groupBy("tile", "piece").applyInPandas(pack, "tile int, piece int, block binary"))
 
     known = blocks.select("tile", "piece")
-    near = F.array(*(F.lit(x * 64 + y) for x, y in _reach(radius)))
+    near = F.array(*(F.lit(x * 64 + y) for x, y in _reach(radius, grain)))
     units = known.select(F.col("tile").alias("t1"), F.col("piece").alias("i"), F.explode(near).alias("d")).withColumn("t2", F.col("t1") + F.col("d")).drop("d")
     units = units.join(known.select(F.col("tile").alias("t2"), F.col("piece").alias("j")), "t2").where("t1 <> t2 or i <= j")
     units = units.join(blocks.select(F.col("tile").alias("t1"), F.col("piece").alias("i"), F.col("block").alias("left")), ["t1", "i"])
@@ -136,18 +226,20 @@ def links(prints: DataFrame, radius: int = 3) -> DataFrame:
 
     @F.udf("array<struct<a: bigint, b: bigint>>")
     def compare(left: bytes, right: bytes, same: bool) -> list[tuple[int, int]]:
-        a, b = np.frombuffer(left, np.int64), np.frombuffer(right, np.int64)
-        return [(int(a[x]), int(b[y])) for x, y in forest(a.view(np.uint64), b.view(np.uint64), radius, same)]
+        a, b = (np.frombuffer(x, np.int64).reshape(len(fields), -1) for x in (left, right))
+        check = None if sets is None else lambda x, y: similar(_set(sets, *a[1:, x].tolist()), _set(sets, *b[1:, y].tolist()), least)
+        return [(int(a[0, x]), int(b[0, y])) for x, y in forest(a[0].view(np.uint64), b[0].view(np.uint64), radius, same, check)]
 
     # dealt by a hash: one piece's pairs, which a join brings together, go to all tasks
     slots = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return units.repartition(slots, F.xxhash64("t1", "i", "t2", "j")).select(F.explode(compare("left", "right", F.expr("t1 = t2 and i = j"))).alias("x")).select("x.a", "x.b")
 
 
-def _rooted(rows: DataFrame, radius: int) -> DataFrame:
+def _rooted(rows: DataFrame, radius: int, sets: str | None = None, least: float = 0.8) -> DataFrame:
     """(print, root) of every fingerprint in rows, root being the least fingerprint that links reach."""
     prints = rows.select("print").distinct()
-    roots = components(cut(links(prints, radius))).withColumnsRenamed({"node": "print"})
+    placed = prints if sets is None else rows.groupBy("print").agg(F.min(F.struct("part", "at", "n")).alias("x")).select("print", "x.*")
+    roots = components(cut(links(placed, radius, sets, least))).withColumnsRenamed({"node": "print"})
     return prints.join(roots, "print", "left").select("print", F.coalesce("root", "print").alias("root"))
 
 
@@ -161,18 +253,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return rows.join(mapped, "print").select(id_col, "print", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 3, radius: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 3, radius: int = 3, least: float | None = None, by: int = 5) -> DataFrame:
     """docs without all but one document of each component, with all their columns.
 
+    With least, fingerprints only nominate: a pair within the radius is a link if the
+    Jaccard similarity of its texts' sets of by-word shingles (32-bit hashes, whole
+    texts) is least or more. Texts of one fingerprint count as alike either way.
     The row with the smallest id stays (ids that are null come last, then the
     smaller fingerprint decides). Rows that repeat both id and fingerprint count as
     one document. Where every row has an integer id of its own, texts pass no
     shuffle: a row's id is looked up among those that go.
     """
-    rows = cut(with_fingerprint(docs.select(F.col(id_col).alias("__id"), F.col(text)), "print", text, size).drop(text))
-    keys = rows.groupBy("__id", "print").agg(F.count(F.lit(1)).alias("n")).join(_rooted(rows, radius), "print")
+    cols, sets = docs.select(F.col(id_col).alias("__id"), F.col(text)), None if least is None else work_dir(docs.sparkSession, "sets")
+    rows = cut(with_fingerprint(cols, "print", text, size).drop(text) if sets is None else with_sets(cols, sets, text, size, by))
+    rooted = _rooted(rows, radius) if sets is None else _rooted(rows, radius, sets, least)
+    keys = rows.groupBy("__id", "print").agg(F.count(F.lit(1)).alias("n")).join(rooted, "print")
     order = F.struct(F.col("__id").isNull(), F.col("__id"), F.col("print"))
-    first = keys.groupBy("root").agg(F.min(order).alias("first"))
+    keys = cut(keys)  # so that the join below is one that the adaptive skew handling can split
+    first = cut(keys.groupBy("root").agg(F.min(order).alias("first")))
     verdicts = cut(keys.join(first, "root").select("__id", F.col("print").alias("__print"), "n", (order != F.col("first")).alias("__gone")))
     ids = verdicts.groupBy("__id").agg(F.sum("n").alias("n"))
     if isinstance(docs.schema[id_col].dataType, T.IntegralType) and ids.where("n > 1 or __id is null").isEmpty():

@@ -105,7 +105,20 @@ def test_simhash_on_hard_rows(spark, hard):
     kept = simhash.keep_one(hard)
     assert kept.columns == hard.columns
     assert sorted((r.doc_id, r.text and r.text[:5]) for r in kept.collect()) == [(7, None), (9, "a b c"), (9, "wholl"), (11, "x x x")]
-    assert simhash.contract(hard.limit(0)).count() == 0 and simhash.keep_one(hard.limit(0)).count() == 0
+    assert sorted((r.doc_id, r.text and r.text[:5]) for r in simhash.keep_one(hard, radius=12, least=0.8).collect()) == [(7, None), (9, "a b c"), (9, "wholl"), (11, "x x x")]
+    assert simhash.contract(hard.limit(0)).count() == 0 and simhash.keep_one(hard.limit(0), radius=12, least=0.8).count() == 0 and simhash.keep_one(hard.limit(0)).count() == 0
+
+
+def test_keep_one_by_similarity(spark, docs, texts):
+    """Exact similarity decides within the radius; a radius of 64 compares all pairs."""
+    sets = {d: {tuple(words(t)[i : i + 5]) for i in range(max(len(words(t)) - 4, 1))} for d, t in texts.items() if words(t)}
+    ids = sorted(sets)
+    pairs = [(a, b) for a in ids for b in ids if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for radius in (12, 64):
+        near = [(a, b) for a, b in pairs if (fingerprint(texts[a]) ^ fingerprint(texts[b])).bit_count() <= radius]
+        kept = {r.doc_id for r in simhash.keep_one(docs, radius=radius, least=0.8).select("doc_id").collect()}
+        assert kept == {d for d, root in grouped(near, sorted(texts)).items() if d == root}
+    assert len(near) == len(pairs) > 3
 
 
 def test_keep_one_by_unique_ids(spark, docs):
