@@ -18,6 +18,7 @@ the component of its fingerprint. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -210,29 +211,35 @@ def links(prints: DataFrame, radius: int = 3, sets: str | None = None, least: fl
     tiled = prints.select(*fields, (halves[0] * 64 + halves[1]).alias("tile"))
     pieces = tiled.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("pieces"))
 
-    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"tile": [key[0]], "piece": [key[1]], "block": [pdf[fields].to_numpy(np.int64).T.tobytes()]})
+    uri = work_dir(prints.sparkSession, "tiles")
+
+    def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        write_file(f"{uri}/{key[0]}-{key[1]}", [np.ascontiguousarray(pdf[fields].to_numpy(np.int64).T)])
+        return pd.DataFrame({"tile": [key[0]], "piece": [key[1]]})
 
     # at most some TILE rows in a group: a hash of the fingerprint deals a tile's rows over its pieces
     pieced = tiled.join(pieces, "tile").select(*fields, "tile", F.pmod(F.xxhash64("print"), F.col("pieces")).cast("int").alias("piece"))
-    blocks = cut(pieced.groupBy("tile", "piece").applyInPandas(pack, "tile int, piece int, block binary"))
+    known = cut(pieced.groupBy("tile", "piece").applyInPandas(write, "tile int, piece int"))
 
-    known = blocks.select("tile", "piece")
+    # a unit names two pieces; workers map their files, so that no piece passes a shuffle for each of its units
     near = F.array(*(F.lit(x * 64 + y) for x, y in _reach(radius, grain)))
     units = known.select(F.col("tile").alias("t1"), F.col("piece").alias("i"), F.explode(near).alias("d")).withColumn("t2", F.col("t1") + F.col("d")).drop("d")
     units = units.join(known.select(F.col("tile").alias("t2"), F.col("piece").alias("j")), "t2").where("t1 <> t2 or i <= j")
-    units = units.join(blocks.select(F.col("tile").alias("t1"), F.col("piece").alias("i"), F.col("block").alias("left")), ["t1", "i"])
-    units = units.join(blocks.select(F.col("tile").alias("t2"), F.col("piece").alias("j"), F.col("block").alias("right")), ["t2", "j"])
 
     @F.udf("array<struct<a: bigint, b: bigint>>")
-    def compare(left: bytes, right: bytes, same: bool) -> list[tuple[int, int]]:
-        a, b = (np.frombuffer(x, np.int64).reshape(len(fields), -1) for x in (left, right))
+    def compare(t1: int, i: int, t2: int, j: int) -> list[tuple[int, int]]:
+        a, b = _piece(uri, t1, i, len(fields)), _piece(uri, t2, j, len(fields))
         check = None if sets is None else lambda x, y: similar(_set(sets, *a[1:, x].tolist()), _set(sets, *b[1:, y].tolist()), least)
-        return [(int(a[0, x]), int(b[0, y])) for x, y in forest(a[0].view(np.uint64), b[0].view(np.uint64), radius, same, check)]
+        return [(int(a[0, x]), int(b[0, y])) for x, y in forest(a[0].view(np.uint64), b[0].view(np.uint64), radius, (t1, i) == (t2, j), check)]
 
     # dealt by a hash: one piece's pairs, which a join brings together, go to all tasks
     slots = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return units.repartition(slots, F.xxhash64("t1", "i", "t2", "j")).select(F.explode(compare("left", "right", F.expr("t1 = t2 and i = j"))).alias("x")).select("x.a", "x.b")
+    return units.repartition(slots, F.xxhash64("t1", "i", "t2", "j")).select(F.explode(compare("t1", "i", "t2", "j")).alias("x")).select("x.a", "x.b")
+
+
+@functools.lru_cache(128)
+def _piece(uri: str, tile: int, piece: int, fields: int) -> np.ndarray:
+    return map_array(f"{uri}/{tile}-{piece}", np.int64).reshape(fields, -1)
 
 
 def _rooted(rows: DataFrame, radius: int, sets: str | None = None, least: float = 0.8) -> DataFrame:
