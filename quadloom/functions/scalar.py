@@ -14,7 +14,7 @@ def _of(term: Column, text: Column) -> Column:
 
 
 def _bool(c: Column) -> Column:
-    return t.literal(F.when(c, "true").when(~c, "false"), t.BOOLEAN)
+    return t.literal(c.cast("string"), t.BOOLEAN)
 
 
 def _int(c: Column) -> Column:

@@ -380,10 +380,14 @@ def fn_hash(t):
 
 @query("SELECT l_orderkey AS k, trunc(l_extendedprice)::BIGINT AS i, l_quantity::BIGINT AS q, l_extendedprice AS d, CASE WHEN l_discount = 0 THEN 'false' ELSE 'true' END AS b, NULL::BIGINT AS e FROM lineitem")
 def fn_cast(t):
-    price, quantity, discount = (terms.of_native(F.col(c), t.lineitem.df.schema[c].dataType) for c in ("l_extendedprice", "l_quantity", "l_discount"))
+    df = t.lineitem.df
+    made = [terms.of_native(F.col(c), df.schema[c].dataType).alias(c) for c in ("l_extendedprice", "l_quantity", "l_discount")]
+    # terms in a projection of their own: the casts use each several times
+    rows = df.select("l_orderkey", *made, terms.literal(F.col("l_returnflag")).alias("flag"))
+    rows = rows.withColumn("text", scalar.str_(F.col("l_extendedprice")))
+    price, quantity, discount, flag, text = (F.col(c) for c in ("l_extendedprice", "l_quantity", "l_discount", "flag", "text"))
     whole = lambda c: scalar.to_integer(c).lex.cast("bigint")
-    flag = terms.literal(F.col("l_returnflag"))
-    return t.lineitem.df.select(F.col("l_orderkey").alias("k"), whole(price).alias("i"), whole(quantity).alias("q"), terms.double_of(scalar.to_double(scalar.str_(price))).alias("d"), scalar.to_boolean(discount).lex.alias("b"), whole(flag).alias("e"))
+    return rows.select(F.col("l_orderkey").alias("k"), whole(price).alias("i"), whole(quantity).alias("q"), terms.double_of(scalar.to_double(text)).alias("d"), scalar.to_boolean(discount).lex.alias("b"), whole(flag).alias("e"))
 
 
 @query("SELECT doc_id AS k, regexp_matches(text, '[0-9]{3,}') AS n, regexp_matches(text, 'LICEN[CS]E', 'i') AS l, length(regexp_replace(text, '[0-9]+', '#', 'g'))::BIGINT AS r FROM documents")
