@@ -70,18 +70,22 @@ def fingerprints(texts: pa.StringArray, size: int = 3) -> np.ndarray:
     return out
 
 
-def with_fingerprint(docs: DataFrame, name: str, text: str = "text", size: int = 3) -> DataFrame:
-    """docs and their fingerprints as signed longs; rows and order stay."""
+def _with_longs(docs: DataFrame, name: str, text: str, of: Callable[[pa.StringArray], np.ndarray]) -> DataFrame:
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, at, 2 << 20):
-            prints = pa.array(fingerprints(texts_of(batch.column(at)), size).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, prints], [*batch.schema.names, name])
+            longs = pa.array(of(texts_of(batch.column(at))).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, longs], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
+def with_fingerprint(docs: DataFrame, name: str, text: str = "text", size: int = 3) -> DataFrame:
+    """docs and their fingerprints as signed longs; rows and order stay."""
+    return _with_longs(docs, name, text, lambda texts: fingerprints(texts, size))
+
+
 def close(a: np.ndarray, b: np.ndarray, radius: int, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Index pairs of a and b whose exclusive-or has radius bits or fewer, and how many, a block of rows at a time."""
     for at in range(0, len(a), rows):
@@ -141,6 +145,12 @@ def shingle_sets(texts: pa.StringArray, size: int = 5) -> tuple[np.ndarray, np.n
     return np.bincount((key >> np.uint64(32)).astype(np.int64), minlength=len(counts)), (key & np.uint64(0xFFFFFFFF)).astype("<u4")
 
 
+def digests(n: np.ndarray, sets: np.ndarray) -> np.ndarray:
+    """64-bit digest of each set, the sets of n shingles lying one after the other."""
+    buffer, ends = sets.tobytes(), np.cumsum(n) * 4
+    return np.fromiter((xxhash.xxh64_intdigest(buffer[a:b], SEED) for a, b in zip((ends - n * 4).tolist(), ends.tolist(), strict=True)), np.uint64, len(n))
+
+
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     """Whether two ascending sets have a Jaccard similarity of least or more."""
     small, large = sorted((len(a), len(b)))
@@ -153,7 +163,7 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 
 
 def with_sets(docs: DataFrame, uri: str, text: str = "text", size: int = 3, by: int = 5) -> DataFrame:
-    """docs without their texts, with fingerprints (print) and where each text's shingle set lies (part, at, n).
+    """docs without their texts, with fingerprints (print), digests of the shingle sets (node) and where each text's set lies (part, at, n).
 
     A task writes its sets, four bytes for a shingle, to one file in the folder.
     """
@@ -171,12 +181,12 @@ def with_sets(docs: DataFrame, uri: str, text: str = "text", size: int = 3, by:
                 out.write(sets.tobytes())
                 at = place + np.cumsum(n) - n
                 place += len(sets)
-                added = [pa.array(fingerprints(texts, size).view(np.int64)), pa.array(np.full(len(n), part), pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int64())]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *added], [*names, "print", "part", "at", "n"])
+                added = [pa.array(fingerprints(texts, size).view(np.int64)), pa.array(digests(n, sets).view(np.int64)), pa.array(np.full(len(n), part), pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *added], [*names, "print", "node", "part", "at", "n"])
         put(store, draft, f"{folder}/{part}")
 
     kept = [f for f in docs.schema.fields if f.name != text]
-    return docs.mapInArrow(run, T.StructType([*kept, *(T.StructField(c, T.LongType()) for c in ("print", "part", "at", "n"))]))
+    return docs.mapInArrow(run, T.StructType([*kept, *(T.StructField(c, T.LongType()) for c in ("print", "node", "part", "at", "n"))]))
 
 
 _sets: dict[str, np.ndarray] = {}
@@ -201,12 +211,13 @@ def _reach(radius: int, grain: int) -> list[tuple[int, int]]:
 def links(prints: DataFrame, radius: int = 3, sets: str | None = None, least: float = 0.8) -> DataFrame:
     """Links (a, b) that connect distinct fingerprints (column print) as all pairs within radius would.
 
-    With the folder of their shingle sets (and columns part, at, n) a pair within the
-    radius is a link only if the sets are similar.
+    With the folder of their shingle sets (and columns node, part, at, n) rows are
+    distinct pairs of fingerprint and set, links are between nodes, and a pair within
+    the radius is a link only if the sets are similar.
     """
     # wide radii reach most tiles anyway: coarse steps then keep the number of units down
     grain = 1 if radius <= 4 else 8
-    fields = ["print"] if sets is None else ["print", "part", "at", "n"]
+    fields = ["print"] if sets is None else ["print", "node", "part", "at", "n"]
     halves = [F.floor(F.bit_count(F.shiftrightunsigned("print", k).bitwiseAND(F.lit(0xFFFFFFFF))) / grain).cast("int") for k in (0, 32)]
     tiled = prints.select(*fields, (halves[0] * 64 + halves[1]).alias("tile"))
     pieces = tiled.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("pieces"))
@@ -217,8 +228,8 @@ def links(prints: DataFrame, radius: int = 3, sets: str | None = None, least: fl
         write_file(f"{uri}/{key[0]}-{key[1]}", [np.ascontiguousarray(pdf[fields].to_numpy(np.int64).T)])
         return pd.DataFrame({"tile": [key[0]], "piece": [key[1]]})
 
-    # at most some TILE rows in a group: a hash of the fingerprint deals a tile's rows over its pieces
-    pieced = tiled.join(pieces, "tile").select(*fields, "tile", F.pmod(F.xxhash64("print"), F.col("pieces")).cast("int").alias("piece"))
+    # at most some TILE rows in a group: a hash of fingerprint and set deals a tile's rows over its pieces
+    pieced = tiled.join(pieces, "tile").select(*fields, "tile", F.pmod(F.xxhash64(*fields[:2]), F.col("pieces")).cast("int").alias("piece"))
     known = cut(pieced.groupBy("tile", "piece").applyInPandas(write, "tile int, piece int"))
 
     # a unit names two pieces; workers map their files, so that no piece passes a shuffle for each of its units
@@ -229,8 +240,9 @@ def links(prints: DataFrame, radius: int = 3, sets: str | None = None, least: fl
     @F.udf("array<struct<a: bigint, b: bigint>>")
     def compare(t1: int, i: int, t2: int, j: int) -> list[tuple[int, int]]:
         a, b = _piece(uri, t1, i, len(fields)), _piece(uri, t2, j, len(fields))
-        check = None if sets is None else lambda x, y: similar(_set(sets, *a[1:, x].tolist()), _set(sets, *b[1:, y].tolist()), least)
-        return [(int(a[0, x]), int(b[0, y])) for x, y in forest(a[0].view(np.uint64), b[0].view(np.uint64), radius, (t1, i) == (t2, j), check)]
+        check = None if sets is None else lambda x, y: similar(_set(sets, *a[2:, x].tolist()), _set(sets, *b[2:, y].tolist()), least)
+        named = 0 if sets is None else 1
+        return [(int(a[named, x]), int(b[named, y])) for x, y in forest(a[0].view(np.uint64), b[0].view(np.uint64), radius, (t1, i) == (t2, j), check)]
 
     # dealt by a hash: one piece's pairs, which a join brings together, go to all tasks
     slots = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -243,11 +255,15 @@ def _piece(uri: str, tile: int, piece: int, fields: int) -> np.ndarray:
 
 
 def _rooted(rows: DataFrame, radius: int, sets: str | None = None, least: float = 0.8) -> DataFrame:
-    """(print, root) of every fingerprint in rows, root being the least fingerprint that links reach."""
-    prints = rows.select("print").distinct()
-    placed = prints if sets is None else rows.groupBy("print").agg(F.min(F.struct("part", "at", "n")).alias("x")).select("print", "x.*")
-    roots = components(cut(links(placed, radius, sets, least))).withColumnsRenamed({"node": "print"})
-    return prints.join(roots, "print", "left").select("print", F.coalesce("root", "print").alias("root"))
+    """(print, root) of every fingerprint in rows, or (node, root) of every set, root being the least that links reach.
+
+    Sets of one fingerprint are rows of their own, so each is compared with all others.
+    """
+    key = "print" if sets is None else "node"
+    names = rows.select(key).distinct()
+    placed = names if sets is None else rows.groupBy("print", "node").agg(F.min(F.struct("part", "at", "n")).alias("x")).select("print", "node", "x.*")
+    roots = components(cut(links(placed, radius, sets, least))).withColumnsRenamed({"node": key})
+    return names.join(roots, key, "left").select(key, F.coalesce("root", key).alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 3, radius: int = 3) -> DataFrame:
@@ -265,31 +281,33 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size:
 
     With least, fingerprints only nominate: a pair within the radius is a link if the
     Jaccard similarity of its texts' sets of by-word shingles (32-bit hashes, whole
-    texts) is least or more. Texts of one fingerprint count as alike either way.
-    The row with the smallest id stays (ids that are null come last, then the
-    smaller fingerprint decides). Rows that repeat both id and fingerprint count as
-    one document. Where every row has an integer id of its own, texts pass no
+    texts) is least or more. Texts of one set (64-bit digests) count as alike, those
+    of one fingerprint only if their sets are similar.
+    The row with the smallest id stays (ids that are null come last, then the smaller
+    fingerprint, or digest of the set, decides). Rows that repeat both id and that
+    count as one document. Where every row has an integer id of its own, texts pass no
     shuffle: a row's id is looked up among those that go.
     """
     cols, sets = docs.select(F.col(id_col).alias("__id"), F.col(text)), None if least is None else work_dir(docs.sparkSession, "sets")
     rows = cut(with_fingerprint(cols, "print", text, size).drop(text) if sets is None else with_sets(cols, sets, text, size, by))
+    key = "print" if sets is None else "node"
     rooted = _rooted(rows, radius) if sets is None else _rooted(rows, radius, sets, least)
-    keys = rows.groupBy("__id", "print").agg(F.count(F.lit(1)).alias("n")).join(rooted, "print")
-    order = F.struct(F.col("__id").isNull(), F.col("__id"), F.col("print"))
+    keys = rows.groupBy("__id", key).agg(F.count(F.lit(1)).alias("n")).join(rooted, key)
+    order = F.struct(F.col("__id").isNull(), F.col("__id"), F.col(key))
     keys = cut(keys)  # so that the join below is one that the adaptive skew handling can split
     first = cut(keys.groupBy("root").agg(F.min(order).alias("first")))
-    verdicts = cut(keys.join(first, "root").select("__id", F.col("print").alias("__print"), "n", (order != F.col("first")).alias("__gone")))
+    verdicts = cut(keys.join(first, "root").select("__id", F.col(key).alias("__key"), "n", (order != F.col("first")).alias("__gone")))
     ids = verdicts.groupBy("__id").agg(F.sum("n").alias("n"))
     if isinstance(docs.schema[id_col].dataType, T.IntegralType) and ids.where("n > 1 or __id is null").isEmpty():
         return _without(docs, id_col, verdicts.where("__gone").select(F.col("__id").cast("long").alias("id")))
     notable = cut(verdicts.where("__gone or n > 1"))
-    marked = with_fingerprint(docs, "__print", text, size)
-    same = marked[id_col].eqNullSafe(notable["__id"]) & (marked["__print"] == notable["__print"])
-    joined = marked.join(notable, same, "left").drop(notable["__print"])
+    marked = with_fingerprint(docs, "__key", text, size) if sets is None else _with_longs(docs, "__key", text, lambda texts: digests(*shingle_sets(texts, by)))
+    same = marked[id_col].eqNullSafe(notable["__id"]) & (marked["__key"] == notable["__key"])
+    joined = marked.join(notable, same, "left").drop(notable["__key"])
     kept = joined.where("n is null").select(*docs.columns)
     if notable.where("not __gone").isEmpty():
         return kept
-    return kept.union(joined.where("not __gone").dropDuplicates([id_col, "__print"]).select(*docs.columns))
+    return kept.union(joined.where("not __gone").dropDuplicates([id_col, "__key"]).select(*docs.columns))
 
 
 def _without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:

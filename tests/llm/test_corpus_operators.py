@@ -121,6 +121,18 @@ def test_keep_one_by_similarity(spark, docs, texts):
     assert len(near) == len(pairs) > 3
 
 
+def test_sets_of_one_fingerprint_are_all_compared(spark, monkeypatch):
+    """1-2 and 2-3 are similar, 1-3 are not; whichever two share a fingerprint, all three are one group, and 4 stays apart."""
+    word = [f"w{k}" for k in range(400)]
+    rows = {1: word[:300], 2: word[20:320], 3: word[40:340], 4: word[200:]}
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows.items()], "doc_id long, text string")
+    for shared in ((1, 2), (2, 3), (1, 3), (1, 2, 3, 4)):
+        firsts = {rows[d][0]: 5 for d in shared}
+        monkeypatch.setattr(simhash, "fingerprints", lambda texts, size=3, firsts=firsts: np.array([firsts.get(t.split()[0], 6) for t in texts.to_pylist()], np.uint64))
+        for parts in (1, 4):
+            assert {r.doc_id for r in simhash.keep_one(df.repartition(parts), radius=12, least=0.8).collect()} == {1, 4}
+
+
 def test_keep_one_by_unique_ids(spark, docs):
     kept = {r.doc_id for r in simhash.keep_one(docs).select("doc_id").collect()}
     assert kept == {r.component_id for r in simhash.contract(docs).collect()}
