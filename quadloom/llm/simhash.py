@@ -19,6 +19,7 @@ the component of its fingerprint. An empty table gives an empty result.
 from __future__ import annotations
 
 import functools
+import math
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -254,16 +255,185 @@ def _piece(uri: str, tile: int, piece: int, fields: int) -> np.ndarray:
     return map_array(f"{uri}/{tile}-{piece}", np.int64).reshape(fields, -1)
 
 
-def _rooted(rows: DataFrame, radius: int, sets: str | None = None, least: float = 0.8) -> DataFrame:
+# pairs beyond the radius, by shingles that both sets must share
+
+#: Hash bits of the table of shingle counts, and the most files of sets that are counted for it.
+COUNT_BITS, COUNTED = 18, 256
+#: Roots and dissimilar pairs that a task remembers before it starts afresh.
+REMEMBERED = 100_000
+_PLACE = "part long, at long, n long"
+
+
+def _count_shingles(members: DataFrame, sets: str) -> str:
+    """File of how often shingles of each hash range occur in (a sample of) the sets."""
+    spark, bits = members.sparkSession, COUNT_BITS
+    uri = work_dir(spark, "shingle-counts")
+    parts = sorted(r["part"] for r in members.select("part").distinct().collect())
+    parts = parts[:: -(-len(parts) // COUNTED) or 1]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                held, counts = map_array(f"{sets}/{parts[k]}", np.uint32), np.zeros(1 << bits, np.int64)
+                for at in range(0, len(held), 1 << 20):
+                    counts += np.bincount(held[at : at + (1 << 20)] >> (32 - bits), minlength=1 << bits)
+                pieces = np.minimum(counts, 0xFFFFFFFF).astype("<u4").reshape(16, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([x.tobytes() for x in pieces], pa.binary())], ["piece", "counts"])
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        total = np.zeros((1 << bits) // 16, np.int64)
+        for x in table["counts"]:
+            total += np.frombuffer(x.as_buffer(), "<u4")
+        write_file(f"{uri}/{key[0].as_py()}", [np.minimum(total, 0xFFFFFFFF).astype("<u4")])
+        return pa.table({"piece": pa.array([key[0].as_py()], pa.int32())})
+
+    spark.range(0, len(parts), 1, max(1, len(parts))).mapInArrow(count, "piece int, counts binary").groupBy("piece").applyInArrow(add, "piece int").collect()
+    return uri
+
+
+@functools.lru_cache(2)
+def _counts(uri: str) -> np.ndarray:
+    return np.concatenate([map_array(f"{uri}/{k}", np.uint32) for k in range(16)]).astype(np.uint64)
+
+
+def prefix(held: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The rarest shingles of a set, rarest first: as many as leave fewer than least of the set, so two sets of that similarity share one."""
+    key = np.sort(counts[held >> np.uint32(32 - COUNT_BITS)] << np.uint64(32) | held)
+    return (key[: len(held) - math.ceil(least * len(held) - 1e-9) + 1] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def rare_links(members: DataFrame, sets: str, least: float = 0.8) -> DataFrame:
+    """Links (a, b) of roots that connect whatever sets have a similarity of least or more and lie apart as yet.
+
+    members: node, root, part, at, n of each distinct set. All sets' shingles are put in
+    one order, rare ones (by a table of hash ranges) first. Two similar sets share a
+    shingle of their prefixes, so comparing the sets that meet at each prefix shingle
+    finds every such pair; no fingerprint takes part. Shingles that only sets of one
+    root share are left out before places are shuffled. A shingle of more than TILE
+    sets is cut into pieces and each pair of pieces is one unit, as tiles are.
+    """
+    spark = members.sparkSession
+    slots, cap = int(spark.conf.get("spark.sql.shuffle.partitions")), TILE
+    members = members.where("n > 0").select("node", "root", "part", "at", "n")
+    table, uri = _count_shingles(members, sets), work_dir(spark, "shared-shingles")
+
+    def prefixes(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
+        places = np.stack([batch.column(k).to_numpy() for k in range(5)])
+        return places, [prefix(_set(sets, *p), _counts(table), least) for p in places[2:].T.tolist()]
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
+            places, found = prefixes(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.repeat(places[1], [len(x) for x in found]))], ["token", "root"])
+
+    def write(key: tuple, table: pa.Table) -> pa.Table:
+        kept = table.sort_by("token")
+        write_file(f"{uri}/{key[0].as_py()}", [kept["token"].to_numpy(), kept["pieces"].to_numpy()])
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64())})
+
+    met = members.mapInArrow(tokens, "token long, root long").groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.ceil(F.count(F.lit(1)) / cap).alias("pieces"))
+    shared = met.where("a <> b").select(F.pmod("token", F.lit(slots)).alias("shard"), "token", "pieces")
+    written = sorted(r["shard"] for r in shared.groupBy("shard").applyInArrow(write, "shard long").collect())
+
+    def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {s: map_array(f"{uri}/{s}", np.int64).reshape(2, -1) for s in written}
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
+            places, found = prefixes(batch)
+            length = np.array([len(x) for x in found])
+            token, row = np.concatenate(found), np.repeat(np.arange(len(found)), length)
+            rank = np.arange(len(token)) - np.repeat(np.cumsum(length) - length, length)
+            pieces, shard = np.zeros(len(token), np.int64), token % slots
+            for s in np.intersect1d(shard, written).tolist():
+                at = np.flatnonzero(shard == s)
+                place = np.minimum(np.searchsorted(held[s][0], token[at]), held[s].shape[1] - 1)
+                pieces[at] = np.where(held[s][0][place] == token[at], held[s][1][place], 0)
+            at = np.repeat(np.arange(len(token)), pieces)  # a row for each piece that the set's own one meets
+            other = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            own = ((places[0, row[at]].view(np.uint64) >> np.uint64(16)) % np.maximum(pieces[at], 1).astype(np.uint64)).astype(np.int64)
+            columns = [token[at], np.minimum(own, other), np.maximum(own, other), own, rank[at], *places[1:, row[at]]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "p", "q", "own", "rank", "root", "part", "at", "n"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, held = _Meeting(sets, least), np.zeros((9, 0), np.int64)
+        for batch in batches:
+            held = np.concatenate([held, np.stack([batch.column(k).to_numpy() for k in range(9)])], axis=1)
+            cuts = np.flatnonzero((held[:3, 1:] != held[:3, :-1]).any(axis=0)) + 1
+            if len(cuts):
+                yield task.links(held[:, : cuts[-1]], [0, *cuts.tolist()])
+                held = held[:, cuts[-1] :]
+        yield task.links(held, [0, held.shape[1]])
+
+    rows = members.mapInArrow(meetings, f"token long, p long, q long, own long, rank long, root long, {_PLACE}")
+    dealt = rows.repartition(slots, F.xxhash64("token", "p", "q")).sortWithinPartitions("token", "p", "q")
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
+class _Meeting:
+    """Compares the sets that meet at a shingle; remembers what a task has connected."""
+
+    def __init__(self, sets: str, least: float):
+        self.sets, self.least, self.parent, self.apart = sets, least, {}, set()
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (y := parent.get(x, x)) != x:
+            parent[x] = parent.get(y, y)
+            x = y
+        return x
+
+    def links(self, rows: np.ndarray, cuts: list[int]) -> pa.RecordBatch:
+        found = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            group = rows[:, a:b]
+            if b - a > 1 and (group[5] != group[5, 0]).any():
+                found += self.group(group)
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    def group(self, rows: np.ndarray) -> Iterator[tuple[int, int]]:
+        p, q, own, rank, root, n = rows[1, 0], rows[2, 0], rows[3], rows[4], rows[5], rows[8]
+        left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
+        for at in range(0, len(left), 256):
+            i, j = left[at : at + 256, None], right[None, :]
+            # before the first shingle that two prefixes share there is none; a pair that fails here met earlier or is dissimilar
+            most = np.minimum(n[i] - rank[i], n[j] - rank[j])
+            fit = (root[i] != root[j]) & (most >= self.least * (n[i] + n[j] - most) - 1e-9)
+            if p == q:
+                fit &= i < j
+            for x, y in zip(*np.nonzero(fit), strict=True):
+                x, y = int(left[at + x]), int(right[y])
+                c, d = self.root(int(root[x])), self.root(int(root[y]))
+                if c == d:
+                    continue
+                one, two = tuple(rows[6:, x].tolist()), tuple(rows[6:, y].tolist())
+                pair = (one, two) if one < two else (two, one)
+                if pair in self.apart:
+                    continue
+                if len(self.parent) + len(self.apart) > REMEMBERED:
+                    self.parent, self.apart = {}, set()
+                    c, d = int(root[x]), int(root[y])
+                if similar(_set(self.sets, *one), _set(self.sets, *two), self.least):
+                    self.parent[max(c, d)] = min(c, d)
+                    yield int(root[x]), int(root[y])
+                else:
+                    self.apart.add(pair)
+
+
+def _rooted(rows: DataFrame, radius: int, sets: str | None = None, least: float = 0.8, rest: bool = False) -> DataFrame:
     """(print, root) of every fingerprint in rows, or (node, root) of every set, root being the least that links reach.
 
     Sets of one fingerprint are rows of their own, so each is compared with all others.
+    With rest, similar sets beyond the radius are linked too.
     """
     key = "print" if sets is None else "node"
     names = rows.select(key).distinct()
     placed = names if sets is None else rows.groupBy("print", "node").agg(F.min(F.struct("part", "at", "n")).alias("x")).select("print", "node", "x.*")
     roots = components(cut(links(placed, radius, sets, least))).withColumnsRenamed({"node": key})
-    return names.join(roots, key, "left").select(key, F.coalesce("root", key).alias("root"))
+    rooted = names.join(roots, key, "left").select(key, F.coalesce("root", key).alias("root"))
+    if not rest:
+        return rooted
+    members = cut(placed.groupBy("node").agg(F.min(F.struct("part", "at", "n")).alias("x")).select("node", "x.*").join(rooted, "node"))
+    tops = components(cut(rare_links(members, sets, least))).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return members.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 3, radius: int = 3) -> DataFrame:
@@ -276,13 +446,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return rows.join(mapped, "print").select(id_col, "print", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 3, radius: int = 3, least: float | None = None, by: int = 5) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 3, radius: int = 3, least: float | None = None, by: int = 5, rest: bool = False) -> DataFrame:
     """docs without all but one document of each component, with all their columns.
 
     With least, fingerprints only nominate: a pair within the radius is a link if the
     Jaccard similarity of its texts' sets of by-word shingles (32-bit hashes, whole
     texts) is least or more. Texts of one set (64-bit digests) count as alike, those
-    of one fingerprint only if their sets are similar.
+    of one fingerprint only if their sets are similar. With rest (which needs least)
+    similar pairs beyond the radius are links too, so the radius changes no result.
     The row with the smallest id stays (ids that are null come last, then the smaller
     fingerprint, or digest of the set, decides). Rows that repeat both id and that
     count as one document. Where every row has an integer id of its own, texts pass no
@@ -291,7 +462,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size:
     cols, sets = docs.select(F.col(id_col).alias("__id"), F.col(text)), None if least is None else work_dir(docs.sparkSession, "sets")
     rows = cut(with_fingerprint(cols, "print", text, size).drop(text) if sets is None else with_sets(cols, sets, text, size, by))
     key = "print" if sets is None else "node"
-    rooted = _rooted(rows, radius) if sets is None else _rooted(rows, radius, sets, least)
+    rooted = _rooted(rows, radius) if sets is None else _rooted(rows, radius, sets, least, rest)
     keys = rows.groupBy("__id", key).agg(F.count(F.lit(1)).alias("n")).join(rooted, key)
     order = F.struct(F.col("__id").isNull(), F.col("__id"), F.col(key))
     keys = cut(keys)  # so that the join below is one that the adaptive skew handling can split

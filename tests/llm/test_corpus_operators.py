@@ -133,6 +133,30 @@ def test_sets_of_one_fingerprint_are_all_compared(spark, monkeypatch):
             assert {r.doc_id for r in simhash.keep_one(df.repartition(parts), radius=12, least=0.8).collect()} == {1, 4}
 
 
+def test_similar_texts_beyond_the_radius(spark, monkeypatch):
+    """All pairs of 0.8 or more, whatever the edit moves in the fingerprint; many shingles are common, some groups are cut into pieces."""
+    rng = random.Random(5)
+    line = " ".join(f"common{k}" for k in range(30))
+    rows = []
+    for base in range(12):
+        words_ = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(100, 500))]
+        phrase = " ".join(words_[20:28])
+        scattered = list(words_)
+        for _ in range(3):
+            scattered[rng.randrange(len(words_))] = "new"
+        copies = [words_, [*words_[:50], *[phrase] * 20, *words_[50:]], words_[: int(len(words_) * 0.83)], words_[: int(len(words_) * 0.7)], scattered, [*words_, "tail"]]
+        rows += [(10 * base + k, f"{line} " * (base % 2) + " ".join(c)) for k, c in enumerate(copies)]
+    sets = {d: {tuple(words(t)[i : i + 5]) for i in range(len(words(t)) - 4)} for d, t in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    far = [(a, b) for a, b in pairs if (fingerprint(dict(rows)[a]) ^ fingerprint(dict(rows)[b])).bit_count() > corpus_pipeline.RADIUS]
+    assert len(far) > 5
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {d for d, root in grouped(pairs, sorted(sets)).items() if d == root}
+    assert {r.doc_id for r in corpus_pipeline.deduplicate(spark, df, "").collect()} == want
+    monkeypatch.setattr(simhash, "TILE", 3)
+    assert {r.doc_id for r in simhash.keep_one(df, radius=0, least=0.8, rest=True).collect()} == want
+
+
 def test_keep_one_by_unique_ids(spark, docs):
     kept = {r.doc_id for r in simhash.keep_one(docs).select("doc_id").collect()}
     assert kept == {r.component_id for r in simhash.contract(docs).collect()}
