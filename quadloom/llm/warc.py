@@ -10,7 +10,7 @@ searches on for the next gzip member that inflates to a version line, or for the
 next plain version line, so that later records are recovered. It reads forward in
 bounded pieces and holds one record at a time.
 
-Null html is an empty payload. Rows that repeat both id and payload are all
+Control characters of a url are percent-encoded. Null html is an empty payload. Rows that repeat both id and payload are all
 responses if theirs is the largest id; a null id counts as the smallest and refers
 to the others' largest. An empty table leaves an empty folder, which reads as no rows.
 """
@@ -39,8 +39,8 @@ from quadloom.llm._shared import open_fs, put, work_dir
 ARCHIVE = 64 << 20
 LEVEL = 5
 PIECE = 256 << 10
-#: Longest header that is looked for, and longest record that is read.
-HEAD, RECORD = 64 << 10, 256 << 20
+#: First bytes in which a header's end is looked for, and longest record that is read: a cell holds no more.
+HEAD, RECORD = 64 << 10, (2 << 30) - 1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 GZIP = b"\x1f\x8b\x08"
@@ -93,7 +93,7 @@ def record(page_id: int | None, url: str | None, html: str | None, sha1: str, si
         f"WARC-Type: {'response' if first is None else 'revisit'}",
         f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {re.sub(r'[\r\n]', ' ', url or '')}",
+        f"WARC-Target-URI: {re.sub(r'[\x00-\x1f\x7f]', lambda m: f'%{ord(m[0]):02X}', url or '')}",
         *([] if first is None else [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{first}>"]),
         f"WARC-Payload-Digest: {digest}",
         f"WARC-Block-Digest: sha1:{base32(hashlib.sha1(block).hexdigest())}",
@@ -174,6 +174,11 @@ def record_at(read: Callable[[int, int], bytes], at: int, size: int) -> tuple[li
     if not VERSION.match(head):
         return "no gzip member or version line"
     buffer = read(at, min(HEAD, size - at))
+    while b"\r\n\r\n" not in buffer and len(buffer) < min(RECORD, size - at) and not CONTROL.search(buffer):
+        more = read(at + len(buffer), min(len(buffer), size - at - len(buffer)))
+        if not more:
+            break
+        buffer += more
     headers, begin = _headers(buffer)
     if headers is None:
         return "damaged headers"
@@ -207,28 +212,29 @@ def _member(read: Callable[[int, int], bytes], at: int, size: int) -> tuple[list
     place -= len(inflate.unused_data)
     text, records, begin = b"".join(data), [], 0
     while begin < len(text):
-        headers, start = _headers(text[begin : begin + HEAD]) if VERSION.match(text[begin : begin + 16]) else (None, 0)
+        headers, start = _headers(text, begin) if VERSION.match(text[begin : begin + 16]) else (None, 0)
         if headers is None:
             return "damaged headers"
-        block = text[begin + start : begin + start + int(headers["content-length"])]
+        block = text[start : start + int(headers["content-length"])]
         if reason := _wrong(headers, block):
             return reason
         records.append(Record(at, headers, block))
-        begin += start + len(block)
+        begin = start + len(block)
         begin += 4 if text[begin : begin + 4] == b"\r\n\r\n" else 0
     return records, place
 
 
-def _headers(buffer: bytes) -> tuple[dict[str, str] | None, int]:
-    end = buffer.find(b"\r\n\r\n")
+def _headers(buffer: bytes, begin: int = 0) -> tuple[dict[str, str] | None, int]:
+    """The headers of the record at begin, and where its block begins."""
+    end = buffer.find(b"\r\n\r\n", begin)
     if end < 0:
         return None, 0
     try:
-        lines = buffer[:end].decode().split("\r\n")[1:]
+        lines = buffer[begin:end].decode().split("\r\n")[1:]
     except UnicodeDecodeError:
         return None, 0
     headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-    whole = all(headers.get(k) for k in MANDATORY) and headers["content-length"].isdigit() and not CONTROL.search(buffer[:end])
+    whole = all(headers.get(k) for k in MANDATORY) and headers["content-length"].isdigit() and not CONTROL.search(buffer[begin:end])
     return (headers, end + 4) if whole else (None, 0)
 
 
@@ -302,12 +308,15 @@ def gaps(archives: DataFrame) -> DataFrame:
     return archives.where("gap_end is not null").select("archive", "offset", "gap_end", "gap_reason")
 
 
-def pages_of(archives: DataFrame) -> DataFrame:
-    """A row for each record: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+def pages_of(archives: DataFrame, whole: bool = False) -> DataFrame:
+    """A row for each record: page_id, payload_bytes, payload_digest, record_type, refers_to. With whole a gap is an error."""
     head = lambda name: F.col("headers")[name]
     number = lambda c: F.nullif(F.regexp_extract(c, r"^<urn:page:(-?\d*)>$", 1), F.lit("")).cast("long")
     http = F.substring(F.col("block"), 1, 256).cast("string")
-    return archives.where("gap_end is null").select(
+    said = F.concat_ws(" ", F.lit("gap in"), "archive", F.lit("at"), "offset", "gap_reason")
+    # one condition: a second one, that there is no gap, would be tested first
+    record = F.when(F.col("gap_end").isNull(), True).otherwise(F.raise_error(said).cast("boolean") if whole else False)
+    return archives.where(record).select(
         number(head("warc-record-id")).alias("page_id"),
         F.regexp_extract(http, r"(?i)\r\nContent-Length: (\d+)\r\n", 1).cast("long").alias("payload_bytes"),
         F.substring(head("warc-payload-digest"), 6, 32).alias("payload_digest"),
@@ -317,11 +326,11 @@ def pages_of(archives: DataFrame) -> DataFrame:
 
 
 def store_and_read(pages: DataFrame, id_col: str = "page_id", url: str = "url", payload: str = "html", least: int = 0) -> DataFrame:
-    """Writes pages to archives in a new shared folder and reads their records back."""
+    """Writes pages to archives in a new shared folder and reads their records back; a gap in them is an error."""
     uri = work_dir(pages.sparkSession, "warc")
     rows = decisions(pages.select(id_col, url, payload), id_col, payload, least)
     write_archives(rows.select(F.col(id_col).cast("long"), url, payload, "__sha1", "__bytes", F.col("__first").cast("long")), uri).agg(F.sum("records")).collect()
-    return pages_of(read_archives(pages.sparkSession, uri))
+    return pages_of(read_archives(pages.sparkSession, uri), whole=True)
 
 
 #: The rows of store_and_read over pages, in DuckDB's SQL.

@@ -385,6 +385,32 @@ def _archive(n=30, gzip=True):
     return parts
 
 
+def test_warc_keeps_pages_with_odd_urls(spark):
+    urls = ["http://x/" + "a" * 200_000, "http://x/\x00\x08\x0e\x1f\x7f", "http://x/\t\r\n\r\ny", "http://x/é%20"]
+    pages = spark.createDataFrame([(k, u, f"page {k}") for k, u in enumerate(urls)], "page_id long, url string, html string")
+    assert sorted(r.page_id for r in warc.store_and_read(pages).collect()) == [0, 1, 2, 3]
+    for k, u in enumerate(urls):
+        raw = warc.record(k, u, "page", "00" * 20, 4, None) * 2
+        found = list(warc.walk(lambda at, n, raw=raw: raw[at : at + n], len(raw)))
+        assert [r.headers["warc-record-id"] for r in found] == [f"<urn:page:{k}>"] * 2
+    assert found[0].headers["warc-target-uri"] == urls[3]
+
+
+def test_warc_reads_long_records():
+    raw = warc.record(1, "u", "x" * (257 << 20), "00" * 20, 257 << 20, None)
+    c = zlib.compressobj(1, zlib.DEFLATED, 31)
+    for data in (raw, c.compress(raw) + c.flush()):
+        assert [type(x) for x in warc.walk(lambda at, n, data=data: data[at : at + n], len(data))] == [warc.Record]
+
+
+def test_warc_fails_on_its_own_gaps(spark, tmp_path):
+    (tmp_path / "0.warc").write_bytes(b"".join(_archive(3, gzip=False)) + b"junk")
+    archives = warc.read_archives(spark, f"file://{tmp_path}")
+    assert warc.pages_of(archives).count() == 3
+    with pytest.raises(Exception, match="gap in 0.warc"):
+        warc.pages_of(archives, whole=True).collect()
+
+
 @pytest.mark.parametrize("gzip", [True, False])
 def test_salvage_recovers_everything_outside_the_damage(gzip):
     parts = _archive(gzip=gzip)
