@@ -1,14 +1,21 @@
-"""Perplexity by an interpolated modified Kneser-Ney bigram model.
+"""Perplexity by an interpolated modified Kneser-Ney n-gram model of any order.
 
-Spark counts: tasks aggregate their own n-grams with numpy and pass sorted blocks
-of counts to shards, which merge them and write sorted arrays into the shared
-folder. Words are sorted by 64-bit hash and a word's place is its number; a bigram's
-key is made of two such numbers, so bigrams never collide. Workers map the arrays
-and look n-grams up by binary search, hence hold none of the model in memory.
+Spark counts: tasks aggregate their own n-grams with numpy and pass blocks of them to
+shards. A shard merges its n-grams, writes them as a sorted hash array into the shared
+folder and passes their suffixes on, as the next lower order's n-grams, whose count is
+the number of distinct words in front. Workers map the arrays and look n-grams up by
+binary search, hence hold none of the model in memory.
 
-No group is unbounded: a shard gets a range of contexts, and a context that alone
-exceeds a shard's share (the start of text is one) is dealt over shards of its own.
-The driver sees a row of statistics for each shard.
+Words are numbered by falling count (whole powers of two apart), so n-grams are short
+rows of mostly small numbers and never collide while they are counted. In the arrays an
+n-gram is a bucket of its shard and 32 bits of its 64-bit hash: some five bytes, and a
+chance of one in 500 million that an unseen n-gram is taken for a seen one.
+
+No group is unbounded: there is a shard for every SHARE training tokens, and an n-gram
+goes to a shard by its context, so that a context's statistics come from one place. A
+context that could exceed a shard's share has only frequent words in it; such contexts
+are dealt over all shards n-gram by n-gram and their partial statistics are added up one
+step later. The driver sees rows of statistics for each shard.
 
 Null texts are empty and consist of the end token only. Repeated rows count as
 often as they come; a null id is in no held-out bucket and so is learnt from. With
@@ -18,7 +25,7 @@ nothing to learn from every token has probability 1 and all scores are 0.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -30,264 +37,421 @@ from pyspark.sql import functions as F
 from quadloom.llm._arrow import LOWER, bucket_crc, per_text, slices, texts_of, word_hashes, words
 from quadloom.llm._shared import map_array, work_dir, write_file
 
-#: The end token's hash, and in place of a word's number the context at a text's start.
+#: The end token's hash; its text is no word's.
 END = xxhash.xxh64_intdigest(b"")
 #: N-grams that a task holds before it passes them on.
 HELD = 4_000_000
+#: Training tokens for which there is a shard.
+SHARE = 8_000_000
+#: Rows of a step: n-grams, partial statistics of contexts, and statistics for the driver.
+GRAMS, CONTEXTS, STATS = range(3)
+ROWS = "shard int, kind int, block binary, stats array<bigint>"
+U = np.uint64
 
 
 class Model(NamedTuple):
-    """Where the arrays are and the numbers that hold for all words.
+    """Where the arrays are and the numbers that hold for all n-grams.
 
-    V words in `shards` ranges; bases: number of the first word of each hash shard;
-    discounts of bigrams and of continuations; hot: context to (first shard, shards,
-    bigrams seen once, twice, more often).
+    V words in word_shards shards; the first `frequent` numbers are words that may make
+    a context too large for one of `shards` shards; discounts by order; kinds: bigrams
+    that differ, lower_mass: what the lowest order leaves for equal shares.
     """
 
     uri: str
+    order: int
+    word_shards: int
     shards: int
-    bases: tuple[int, ...]
+    V: int
+    frequent: int
     tokens: int
-    texts: int
-    hot: dict[int, tuple[int, int, int, int, int]]
-    discounts: tuple[float, float, float]
-    lower_discounts: tuple[float, float, float]
+    discounts: tuple[tuple[float, float, float], ...]
     kinds: int
     lower_mass: float
 
-    @property
-    def V(self) -> int:
-        return self.bases[-1]
-
 
-# blocks of counts
+# n-grams as columns of numbers
 
 
-def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Ascending keys as byte planes of their differences, counts as bytes with the large ones apart."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    large = np.flatnonzero(counts > 254)
-    return b"".join((np.array([len(keys), len(large)], np.int64).tobytes(), np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes(), large.astype(np.int64).tobytes(), counts[large].astype(np.int64).tobytes()))
+def mixed(columns: list[np.ndarray]) -> np.ndarray:
+    """64-bit hash of each row."""
+    out = np.full(len(columns[0]), 0x243F6A8885A308D3, U)
+    for c in columns:
+        out ^= c.astype(U)
+        for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0x9E3779B97F4A7C15)):
+            out ^= out >> U(shift)
+            out *= U(factor)
+    return out ^ out >> U(32)
 
 
-def unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, m = np.frombuffer(block, np.int64, 2).tolist()
-    steps = np.ascontiguousarray(np.frombuffer(block, np.uint8, 8 * n, 16).reshape(8, n).T).view(np.uint64).ravel()
-    counts = np.frombuffer(block, np.uint8, n, 16 + 8 * n).astype(np.int64)
-    tail = np.frombuffer(block[16 + 9 * n :], np.int64)
-    counts[tail[:m]] = tail[m:]
-    return np.cumsum(steps, dtype=np.uint64), counts
+def merged(columns: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows with their counts added up; a count is 1 if not given."""
+    if not len(columns[0]):
+        return columns, np.zeros(0, np.int64)
+    order, first = _groups(mixed(columns))
+    counts = np.diff(np.append(first, len(order))) if counts is None else np.add.reduceat(counts[order], first)
+    return [c[order[first]] for c in columns], counts
 
 
-def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, ascending, with their counts added up."""
-    if not len(keys):
-        return keys.astype(np.uint64), counts.astype(np.int64)
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal keys together, and where in it each group starts."""
     order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts, first)
+    ascending = keys[order]
+    return order, np.flatnonzero(np.concatenate([[True], ascending[1:] != ascending[:-1]]))
+
+
+def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
+    return ((hashes >> U(32)) * U(shards) >> U(32)).astype(np.int64)
+
+
+class Dealing(NamedTuple):
+    """Which shard an n-gram belongs to."""
+
+    shards: int
+    frequent: int
+    begin: int
+
+    def wide(self, context: list[np.ndarray], n: int) -> np.ndarray:
+        """Rows whose context has frequent words only, and so may be too large for a shard."""
+        out = np.ones(n, bool)
+        for c in context:
+            out &= (c < self.frequent) | (c == self.begin)
+        return out
+
+    def shard(self, columns: list[np.ndarray]) -> np.ndarray:
+        wide = self.wide(columns[:-1], len(columns[0]))
+        keys = mixed(columns[:-1]) if len(columns) > 1 else np.zeros(len(columns[0]), U)
+        keys[wide] = mixed([c[wide] for c in columns])
+        return shard_of(keys, self.shards)
 
 
-def _gathered(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+# blocks
+
+
+@functools.cache
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=1)
+
+
+def packed(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
+    """Rows by their first two numbers, as compressed byte planes; the first column as differences, large counts apart."""
+    key = columns[0].astype(U)
+    order = np.argsort(key << U(32) | np.minimum(columns[1], 0xFFFFFFFF).astype(U) if len(columns) > 1 else key, kind="stable") if len(key) else np.zeros(0, np.int64)
+    columns, counts = [c[order].astype(U) for c in columns], counts[order]
+    columns[0] = np.diff(columns[0], prepend=U(0))
+    large = np.flatnonzero(counts > 254)
+    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns]
+    raw = b"".join((*planes, np.minimum(counts, 255).astype(np.uint8).tobytes(), large.astype(np.int64).tobytes(), counts[large].astype(np.int64).tobytes()))
+    return np.array([len(key), len(columns), len(large), len(raw)], np.int64).tobytes() + _codec().compress(raw, asbytes=True)
+
+
+def unpacked(block: bytes) -> tuple[list[np.ndarray], np.ndarray]:
+    n, width, large, size = np.frombuffer(block, np.int64, 4).tolist()
+    raw = _codec().decompress(block[32:], size, asbytes=True)
+    columns = [np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 8 * n * k).reshape(8, n).T).view(U).ravel() for k in range(width)]
+    columns[0] = np.cumsum(columns[0], dtype=U)
+    counts = np.frombuffer(raw, np.uint8, n, 8 * n * width).astype(np.int64)
+    tail = np.frombuffer(raw[(8 * width + 1) * n :], np.int64)
+    counts[tail[:large]] = tail[large:]
+    return columns, counts
+
+
+def _gathered(blocks: list[bytes], begin: int) -> tuple[list[np.ndarray], np.ndarray]:
+    narrow = np.uint32 if begin < 2**32 - 2 else U
     parts = [unpacked(b) for b in blocks]
-    return merged(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+    width = len(parts[0][0])
+    columns = [np.concatenate([p[0][k].astype(narrow) for p in parts]) for k in range(width)]
+    return merged(columns, np.concatenate([p[1] for p in parts]))
 
 
-def _blocks(shard: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Blocks by shard of ascending keys; shard need not ascend."""
+def _blocks(columns: list[np.ndarray], counts: np.ndarray, shard: np.ndarray) -> Iterator[tuple]:
+    """Rows of kind GRAMS, one for each shard that gets some."""
     order = np.argsort(shard, kind="stable")
     shard = shard[order]
     first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else []
     for a, b in zip(first, [*first[1:], len(shard)], strict=True):
-        yield int(shard[a]), packed(keys[order[a:b]], counts[order[a:b]])
+        at = order[a:b]
+        yield int(shard[a]), GRAMS, packed([c[at] for c in columns], counts[at]), None
 
 
-def _counted(batches: Iterator[pa.RecordBatch], at: int, ngrams, shard_of) -> Iterator[pa.RecordBatch]:
-    """Blocks (shard, block) of what ngrams finds in each slice of texts, aggregated in the task."""
-    keys, counts, held = [], [], 0
+def _counted(batches: Iterator[pa.RecordBatch], ngrams: Callable, shard: Callable) -> Iterator[pa.RecordBatch]:
+    """Blocks of the n-grams of texts, added up in the task while that makes them fewer."""
+    parts, held = [], 0
 
-    def out() -> pa.RecordBatch:
-        total = merged(np.concatenate(keys), np.concatenate(counts))
-        rows = list(_blocks(shard_of(total[0]), *total))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "block"])
+    def total() -> tuple[list[np.ndarray], np.ndarray]:
+        columns = [np.concatenate([p[0][k] for p in parts]) for k in range(len(parts[0][0]))]
+        return merged(columns, np.concatenate([p[1] for p in parts]))
 
-    for batch in slices(batches, at):
-        k, c = ngrams(texts_of(batch.column(at)))
-        keys.append(k)
-        counts.append(c)
-        held += len(k)
+    for batch in slices(batches, 0):
+        columns, counts = ngrams(texts_of(batch.column(0)))
+        parts.append((columns, counts))
+        held += len(counts)
         if held > HELD:
-            yield out()
-            keys, counts, held = [], [], 0
+            parts = [total()]
+            held = len(parts[0][1])
+            if held > HELD // 2:
+                yield _batch(list(_blocks(*parts[0], shard(parts[0][0]))))
+                parts, held = [], 0
     if held:
-        yield out()
+        columns, counts = total()
+        yield _batch(list(_blocks(columns, counts, shard(columns))))
+
+
+_ARROW = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("block", pa.binary()), ("stats", pa.list_(pa.int64()))])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_ARROW)], schema=_ARROW)
+
+
+# sorted hash arrays
+
+
+def _slots(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and 32-bit mark of each hash."""
+    spread = hashes * U(0x9E3779B97F4A7C15)
+    return ((spread >> U(32)) * U(buckets) >> U(32)).astype(np.int64), hashes.astype(np.uint32)
+
+
+def table(hashes: np.ndarray, *values: np.ndarray) -> list[bytes]:
+    """A file of sorted marks in buckets of eight or so, and of small numbers for each; numbers from 255 on stand apart."""
+    n, buckets = len(hashes), max(1, len(hashes) >> 3)
+    bucket, mark = _slots(hashes, buckets)
+    order = np.argsort(bucket.astype(U) << U(32) | mark.astype(U))
+    offsets = np.searchsorted(bucket[order], np.arange(buckets + 1)).astype(np.uint32)
+    parts, sizes = [offsets, mark[order]], []
+    for v in values:
+        v = v[order]
+        large = np.flatnonzero(v > 254)
+        sizes.append(len(large))
+        parts += [np.minimum(v, 255).astype(np.uint8), large.astype(np.uint32), v[large].astype(np.int64)]
+    head = np.array([n, buckets, len(values), *sizes], np.int64)
+    return [head.tobytes(), *(p.tobytes() + bytes(-p.nbytes % 8) for p in parts)]
+
+
+class Table:
+    """What table() has written, mapped."""
+
+    def __init__(self, raw: np.ndarray):
+        self.n = 0
+        if not len(raw):
+            return
+        self.n, self.buckets, width = raw[:24].view(np.int64).tolist()
+        sizes, at = raw[24 : 24 + 8 * width].view(np.int64).tolist(), 24 + 8 * width
+
+        def part(count: int, dtype: type) -> np.ndarray:
+            nonlocal at
+            size = count * np.dtype(dtype).itemsize
+            out = raw[at : at + size].view(dtype)
+            at += size + -size % 8
+            return out
+
+        self.offsets, self.marks = part(self.buckets + 1, np.uint32), part(self.n, np.uint32)
+        self.values = [(part(self.n, np.uint8), part(m, np.uint32), part(m, np.int64)) for m in sizes]
+
+    def find(self, hashes: np.ndarray, width: int) -> np.ndarray:
+        """Numbers of each hash, a row for each of the width kinds; zeros for an unknown one."""
+        out = np.zeros((width, len(hashes)), np.int64)
+        if not self.n:
+            return out
+        bucket, mark = _slots(hashes, self.buckets)
+        low, end = self.offsets[bucket].astype(np.int64), self.offsets[bucket + 1].astype(np.int64)
+        high = end.copy()
+        while (open_ := low < high).any():  # binary search in all buckets at once
+            middle = low + high >> 1
+            less = open_ & (self.marks[np.minimum(middle, self.n - 1)] < mark)
+            low, high = np.where(less, middle + 1, low), np.where(open_ & ~less, middle, high)
+        hit = np.flatnonzero(low < end)
+        hit = hit[self.marks[low[hit]] == mark[hit]]
+        at = low[hit]
+        for row, (small, places, large) in zip(out, self.values, strict=True):
+            found = small[at].astype(np.int64)
+            big = np.flatnonzero(found == 255)
+            found[big] = large[np.searchsorted(places, at[big])]
+            row[hit] = found
+        return out
 
 
 # words
 
 
-def hash_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+class Numbers(NamedTuple):
+    """Of the words: shards, number of words, tokens, texts, and by bits of the count how many words a shard has."""
 
-
-def range_shard(ids: np.ndarray, shards: int, V: int) -> np.ndarray:
-    return ids * shards // max(V, 1)
+    shards: int
+    V: int
+    tokens: int
+    bits: list[list[int]]
 
 
-def _starts(shards: int, V: int) -> list[int]:
-    """First number of each range of range_shard, and V."""
-    return [-(-j * V // shards) for j in range(shards + 1)]
+def _bits(counts: np.ndarray) -> np.ndarray:
+    return np.frexp(counts.astype(np.float64))[1]
 
 
-def _count_words(texts: DataFrame, uri: str, shards: int) -> tuple[tuple[int, ...], int, int]:
-    """Writes the word arrays. Their bases, and the numbers of tokens and texts."""
+def _count_words(texts: DataFrame, uri: str, shards: int) -> Numbers:
+    """Writes the words' hashes, counts and numbers."""
 
-    def ngrams(column: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    def ngrams(column: pa.StringArray) -> tuple[list[np.ndarray], np.ndarray]:
         w = words(column, LOWER)
-        return merged(np.append(word_hashes(w.vocab), np.uint64(END)), np.append(np.bincount(w.codes, minlength=len(w.vocab)), len(column)))
+        return [np.append(word_hashes(w.vocab), U(END))], np.append(np.bincount(w.codes, minlength=len(w.vocab)), len(column))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _counted(batches, 0, ngrams, lambda keys: hash_shard(keys, shards))
+        return _counted(batches, ngrams, lambda columns: shard_of(columns[0], shards))
 
-    def write(key: tuple, table: pa.Table) -> pa.Table:
+    def write(key: tuple, rows: pa.Table) -> pa.Table:
         shard = key[0].as_py()
-        keys, counts = _gathered(table["block"].to_pylist())
+        (keys,), counts = _gathered(rows["block"].to_pylist(), 2**63)
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
         write_file(f"{uri}/word-{shard}", [keys])
         write_file(f"{uri}/count-{shard}", [counts])
-        texts = counts[keys == np.uint64(END)].sum()
-        return pa.table({"shard": pa.array([shard], pa.int32()), "words": [len(keys)], "tokens": [int(counts.sum())], "texts": [int(texts)]})
+        return pa.Table.from_batches([_batch([(shard, STATS, None, [int(counts.sum()), *np.bincount(_bits(counts), minlength=64).tolist()])])])
 
-    done = texts.mapInArrow(count, "shard int, block binary").groupBy("shard").applyInArrow(write, "shard int, words long, tokens long, texts long").collect()
-    sizes = {r["shard"]: r["words"] for r in done}
+    done = {r["shard"]: r["stats"] for r in texts.mapInArrow(count, ROWS).groupBy("shard").applyInArrow(write, ROWS).select("shard", "stats").collect()}
     for shard in range(shards):
-        if shard not in sizes:
+        if shard not in done:
             write_file(f"{uri}/word-{shard}", [])
             write_file(f"{uri}/count-{shard}", [])
-    bases = (0, *np.cumsum([sizes.get(s, 0) for s in range(shards)]).tolist())
-    return bases, sum(r["tokens"] for r in done), sum(r["texts"] for r in done)
+    bits = [done[s][1:] if s in done else [0] * 64 for s in range(shards)]
+    numbers = Numbers(shards, sum(map(sum, bits)), sum(d[0] for d in done.values()), bits)
+    _number_words(texts.sparkSession, uri, numbers)
+    return numbers
+
+
+def _number_words(spark, uri: str, numbers: Numbers) -> None:
+    """Writes the words' numbers: frequent ones first, by bits of the count, then by shard and hash."""
+    per = np.array(numbers.bits)[:, ::-1]
+    base = (np.cumsum(per.T.ravel()) - per.T.ravel()).reshape(per.T.shape).T  # where each shard's words of so many bits begin
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                bits = 63 - _bits(np.asarray(map_array(f"{uri}/count-{s}", np.int64)))
+                order = np.argsort(bits, kind="stable")
+                rank = np.arange(len(bits)) - np.searchsorted(bits[order], bits[order])
+                ids = np.empty(len(bits), np.int64)
+                ids[order] = base[s][bits[order]] + rank
+                write_file(f"{uri}/id-{s}", [ids])
+                yield batch.slice(0, 0)
+
+    spark.range(numbers.shards).mapInArrow(run, "id long").count()
 
 
 class Words:
     """The word arrays, mapped."""
 
-    def __init__(self, uri: str, shards: int, bases: tuple[int, ...]):
-        self.shards, self.bases = shards, bases
-        self.hashes = [map_array(f"{uri}/word-{s}", np.uint64) for s in range(shards)]
-        self.counts = [map_array(f"{uri}/count-{s}", np.int64) for s in range(shards)]
+    def __init__(self, uri: str, shards: int):
+        self.shards = shards
+        self.hashes = [map_array(f"{uri}/word-{s}", U) for s in range(shards)]
+        self.counts, self.ids = ([map_array(f"{uri}/{name}-{s}", np.int64) for s in range(shards)] for name in ("count", "id"))
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number (-1 if unknown) and count of each word."""
-        ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
+    def find(self, hashes: np.ndarray, unknown: int) -> tuple[np.ndarray, np.ndarray]:
+        """Number (unknown if there is none) and count of each word."""
+        ids, counts = np.full(len(hashes), unknown, np.int64), np.zeros(len(hashes), np.int64)
         order = np.argsort(hashes)
-        shard = hash_shard(hashes[order], self.shards)
-        ends = np.searchsorted(shard, np.arange(self.shards + 1))
+        ends = np.searchsorted(shard_of(hashes[order], self.shards), np.arange(self.shards + 1))
         for s in range(self.shards):
             rows, known = order[ends[s] : ends[s + 1]], self.hashes[s]
             if len(rows) and len(known):
                 at = np.minimum(np.searchsorted(known, hashes[rows]), len(known) - 1)
                 hit = known[at] == hashes[rows]
-                ids[rows[hit]], counts[rows[hit]] = self.bases[s] + at[hit], self.counts[s][at[hit]]
+                ids[rows[hit]], counts[rows[hit]] = self.ids[s][at[hit]], self.counts[s][at[hit]]
         return ids, counts
 
 
 @functools.lru_cache(2)
-def open_words(uri: str, shards: int, bases: tuple[int, ...]) -> Words:
-    return Words(uri, shards, bases)
+def open_words(uri: str, shards: int) -> Words:
+    return Words(uri, shards)
 
 
-# bigrams
+# n-grams
 
 
-def neighbours(w, ids: np.ndarray, end: int, begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context and token number of each token of the texts, ends included, and the texts' bounds."""
-    n = len(w.counts)
-    bounds = w.bounds + np.arange(n + 1)
-    token = np.full(bounds[-1], end, np.int64)
+def ngrams_of(w, ids: np.ndarray, end: int, begin: int, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each token of the texts, ends included, the order - 1 before it (begin in front of a text) and itself, as columns; and the texts' bounds."""
+    bounds = w.bounds + np.arange(len(w.counts) + 1)
+    of = np.repeat(np.arange(len(w.counts)), np.diff(bounds))
+    place = np.arange(bounds[-1]) + (order - 1) * (of + 1)
+    narrow = np.uint32 if begin < 2**32 - 2 else U
+    stream = np.full(bounds[-1] + (order - 1) * len(w.counts), begin, narrow)
+    token = np.full(bounds[-1], end, narrow)
     token[np.arange(len(w.codes)) + w.text_of] = ids[w.codes]
-    context = np.empty_like(token)
-    context[1:] = token[:-1]
-    context[bounds[:-1]] = begin
-    return context, token, bounds
-
+    stream[place] = token
+    return [stream[place - back] for back in range(order - 1, -1, -1)], bounds
 
-def _shard_of(context: np.ndarray, token: np.ndarray, shards: int, V: int, hot: dict) -> np.ndarray:
-    out = range_shard(np.minimum(context, V - 1), shards, V)
-    for v, (first, spread, *_) in hot.items():
-        at = np.flatnonzero(context == v)
-        out[at] = first + token[at] * spread // V
-    return out
 
+def _count_ngrams(texts: DataFrame, uri: str, order: int, numbers: Numbers, dealing: Dealing) -> dict[int, np.ndarray]:
+    """Writes the arrays of every order. By order: n-grams counted once, twice, three, four times and more than twice, kinds, total; for order 1 these are the whole context's."""
+    begin = dealing.begin
 
-def _count_bigrams(texts: DataFrame, uri: str, shards: int, bases: tuple[int, ...], hot: dict) -> tuple[list[int], dict, list[int]]:
-    """Writes the bigram, context and continuation arrays. Counts of counts of bigrams, statistics of hot contexts, counts of counts of continuations."""
-    V = bases[-1]
-    starts = _starts(shards, V)
-    owner = {first + k: v for v, (first, spread, *_) in hot.items() for k in range(spread)}
-
-    def ngrams(column: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-        known = open_words(uri, shards, bases)
+    def ngrams(column: pa.StringArray) -> tuple[list[np.ndarray], np.ndarray]:
         w = words(column, LOWER)
-        ids, _ = known.find(np.append(word_hashes(w.vocab), np.uint64(END)))
-        context, token, _ = neighbours(w, ids, int(ids[-1]), V)
-        key, n = np.unique(context.astype(np.uint64) * np.uint64(V) + token.astype(np.uint64), return_counts=True)
-        return key, n
-
-    def shard_of(keys: np.ndarray) -> np.ndarray:
-        return _shard_of((keys // np.uint64(V)).astype(np.int64), (keys % np.uint64(V)).astype(np.int64), shards, V, hot)
+        ids, _ = open_words(uri, numbers.shards).find(np.append(word_hashes(w.vocab), U(END)), begin + 1)
+        return merged(ngrams_of(w, ids, int(ids[-1]), begin, order)[0])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _counted(batches, 0, ngrams, shard_of)
-
-    def write(key: tuple, table: pa.Table) -> pa.Table:
-        shard = key[0].as_py()
-        keys, counts = _gathered(table["block"].to_pylist())
-        write_file(f"{uri}/bigram-{shard}", [keys])
-        write_file(f"{uri}/times-{shard}", [counts.astype(np.uint32)])
-        context = (keys // np.uint64(V)).astype(np.int64)
-        by_count = [int((counts == k).sum()) for k in (1, 2)] + [int((counts > 2).sum())]
-        if shard not in owner:
-            lo, hi = starts[shard], starts[shard + 1]
-            kinds = np.stack([np.bincount(context[mask] - lo, minlength=hi - lo) for mask in (counts == 1, counts == 2, counts > 2)])
-            write_file(f"{uri}/context-{shard}", [kinds.astype(np.uint32)])
-        token, before = np.unique(keys % np.uint64(V), return_counts=True)
-        rows = list(_blocks(range_shard(token.astype(np.int64), shards, V), token, before))
-        stats = [*by_count[:2], int((counts == 3).sum()), int((counts == 4).sum()), by_count[2]]
-        return pa.table({"shard": pa.array([-1, *(r[0] for r in rows)], pa.int32()), "part": pa.array([shard] * (len(rows) + 1), pa.int32()), "block": pa.array([b"", *(r[1] for r in rows)], pa.binary()), "stats": pa.array([stats, *[None] * len(rows)], pa.list_(pa.int64()))})
-
-    def continuations(key: tuple, table: pa.Table) -> pa.Table:
-        shard = key[0].as_py()
-        if shard < 0:
-            return table.select(["shard", "part", "stats"])
-        keys, counts = _gathered(table["block"].to_pylist())
-        lo, hi = starts[shard], starts[shard + 1]
-        dense = np.zeros(hi - lo, np.uint32)
-        dense[keys.astype(np.int64) - lo] = counts
-        write_file(f"{uri}/before-{shard}", [dense])
-        stats = [*(int((counts == k).sum()) for k in range(1, 5)), int((counts > 2).sum()), int(counts.sum())]
-        return pa.table({"shard": pa.array([shard], pa.int32()), "part": pa.array([shard], pa.int32()), "stats": pa.array([stats], pa.list_(pa.int64()))})
-
-    done = (
-        texts.mapInArrow(count, "shard int, block binary").groupBy("shard").applyInArrow(write, "shard int, part int, block binary, stats array<bigint>")
-        .groupBy("shard").applyInArrow(continuations, "shard int, part int, stats array<bigint>").collect()
-    )
-    bigrams, lower, seen = [0] * 5, [0] * 6, set()
-    for r in done:
-        if r["shard"] >= 0:
-            lower = [a + b for a, b in zip(lower, r["stats"], strict=True)]
-            seen.add(("before", r["shard"]))
-            continue
-        bigrams = [a + b for a, b in zip(bigrams, r["stats"], strict=True)]
-        seen |= {("bigram", r["part"]), ("times", r["part"]), ("context", r["part"])}
-        if (v := owner.get(r["part"])) is not None:
-            first, spread, n1, n2, n3 = hot[v]
-            hot[v] = first, spread, n1 + r["stats"][0], n2 + r["stats"][1], n3 + r["stats"][4]
-    for j in range(shards + len(owner)):  # ranges without an n-gram
-        size = starts[j + 1] - starts[j] if j < shards else 0
-        for name, data in (("bigram", b""), ("times", b""), ("context", np.zeros((3, size), np.uint32)), ("before", np.zeros(size, np.uint32))):
-            if (name, j) not in seen and (j < shards or name in ("bigram", "times")):
-                write_file(f"{uri}/{name}-{j}", [data])
-    return bigrams, hot, lower
+        return _counted(batches, ngrams, dealing.shard)
+
+    def step(k: int) -> Callable:
+        def write(key: tuple, rows: pa.Table) -> pa.Table:
+            shard = key[0].as_py()
+            if shard < 0:  # statistics on their way to the driver
+                return rows.cast(_ARROW)
+            kinds, blocks = np.array(rows["kind"]), rows["block"].to_pylist()
+            if k < order:
+                write_file(f"{uri}/wide-{k + 1}-{shard}", table(*_added([b for b, x in zip(blocks, kinds, strict=True) if x == CONTEXTS])))
+            held = [b for b, x in zip(blocks, kinds, strict=True) if x == GRAMS]
+            if not held:
+                return pa.Table.from_batches([_batch([(-1, STATS, None, [k, shard] + [0] * 7)])])
+            columns, counts = _gathered(held, begin)
+            write_file(f"{uri}/gram-{k}-{shard}", table(mixed(columns), counts))
+            often = [int((counts == c).sum()) for c in (1, 2, 3, 4)] + [int((counts > 2).sum()), len(counts), int(counts.sum())]
+            out = [(-1, STATS, None, [k, shard, *often])]
+            if k > 1:
+                wide, contexts = dealing.wide(columns[:-1], len(counts)), mixed(columns[:-1])
+                write_file(f"{uri}/context-{k}-{shard}", table(*_summed(contexts[~wide], counts[~wide])))
+                partial = _summed(contexts[wide], counts[wide])
+                to = shard_of(partial[0], dealing.shards)
+                for s in np.unique(to).tolist():
+                    out.append((s, CONTEXTS, np.stack([p[to == s].astype(np.int64) for p in partial]).tobytes(), None))
+                lower, before = merged(columns[1:])
+                out += _blocks(lower, before, dealing.shard(lower))
+            return pa.Table.from_batches([_batch(out)])
+
+        return write
+
+    rows = texts.mapInArrow(count, ROWS)
+    for k in range(order, 0, -1):
+        rows = rows.groupBy("shard").applyInArrow(step(k), ROWS)
+    stats, seen = {k: np.zeros(7, np.int64) for k in range(1, order + 1)}, set()
+    for k, shard, *numbers_ in (r["stats"] for r in rows.select("stats").collect()):
+        stats[k] += np.array(numbers_)
+        seen.add((k, shard, bool(numbers_[5])))
+    for k in stats:  # shards without an n-gram, or that were never asked
+        for shard in range(dealing.shards):
+            full, asked = (k, shard, True) in seen, (k, shard, True) in seen or (k, shard, False) in seen
+            for name, there in (("gram", k), ("context", k)) if not full else ():
+                write_file(f"{uri}/{name}-{there}-{shard}", [])
+            if not asked and k < order:
+                write_file(f"{uri}/wide-{k + 1}-{shard}", [])
+    return stats
+
+
+def _summed(contexts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Contexts that differ, their totals, and how many n-grams each has with count 1, 2 and more."""
+    if not len(contexts):
+        return contexts, *(np.zeros(0, np.int64) for _ in range(4))
+    order, first = _groups(contexts)
+    counts = counts[order]
+    return contexts[order[first]], *(np.add.reduceat(v.astype(np.int64), first) for v in (counts, counts == 1, counts == 2, counts > 2))
+
+
+def _added(parts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Partial statistics of contexts added up."""
+    held = np.concatenate([np.frombuffer(p, np.int64).reshape(5, -1) for p in parts], axis=1) if parts else np.zeros((5, 0), np.int64)
+    if not held.shape[1]:
+        return held[0].view(U), *held[1:]
+    order, first = _groups(held[0].view(U))
+    return held[0].view(U)[order[first]], *(np.add.reduceat(v[order], first) for v in held[1:])
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -299,119 +463,86 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(d if 0 < d < k else 0.5 for k, d in enumerate(found, 1))
 
 
-def fit(train: DataFrame, text: str = "text") -> Model:
-    """Counts train's texts into a new folder of the shared one."""
+def fit(train: DataFrame, text: str = "text", order: int = 3) -> Model:
+    """Counts the n-grams of train's texts, up to order words long, into a new folder of the shared one."""
     spark = train.sparkSession
-    uri, shards = work_dir(spark, "kneser-ney"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    uri, word_shards = work_dir(spark, "kneser-ney"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = train.select(F.col(text))
-    bases, tokens, n_texts = _count_words(texts, uri, shards)
-    if not tokens:
-        return Model(uri, shards, bases, 0, 0, {}, (0.5,) * 3, (0.5,) * 3, 0, 1.0)
-    hot, first = {}, shards
-    limit = max(1, tokens // shards)
-    for v, n in [(bases[-1], n_texts), *_frequent(spark, uri, shards, bases, limit)]:
-        spread = -(-n // limit)
-        hot[v] = (first, spread, 0, 0, 0)
-        first += spread
-    bigrams, hot, lower = _count_bigrams(texts, uri, shards, bases, hot)
-    lower_discounts = discounts(*lower[:4])
-    kinds = lower[5]
-    mass = sum(d * n for d, n in zip(lower_discounts, (lower[0], lower[1], lower[4]), strict=True)) / kinds
-    return Model(uri, shards, bases, tokens, n_texts, hot, discounts(*bigrams[:4]), lower_discounts, kinds, mass)
-
-
-def _frequent(spark, uri: str, shards: int, bases: tuple[int, ...], limit: int) -> list[tuple[int, int]]:
-    """Words counted more than limit times, of which there are fewer than shards; the end token is no context."""
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s in batch.column(0).to_pylist():
-                counts, hashes = map_array(f"{uri}/count-{s}", np.int64), map_array(f"{uri}/word-{s}", np.uint64)
-                at = np.flatnonzero((counts > limit) & (hashes != np.uint64(END)))
-                yield pa.RecordBatch.from_arrays([pa.array(at + bases[s], pa.int64()), pa.array(np.asarray(counts[at]), pa.int64())], ["v", "n"])
-
-    return [(r["v"], r["n"]) for r in spark.range(shards).mapInArrow(find, "v long, n long").collect()]
+    numbers = _count_words(texts, uri, word_shards)
+    if not numbers.tokens:
+        return Model(uri, order, word_shards, 1, 0, 0, 0, ((0.5,) * 3,) * order, 0, 1.0)
+    shards = max(word_shards, -(-numbers.tokens // SHARE))
+    # words counted 2 ** (b - 1) times or more, that being a shard's share at most
+    least = max(1, (numbers.tokens // shards).bit_length())
+    frequent = sum(sum(b[least:]) for b in numbers.bits)
+    stats = _count_ngrams(texts, uri, order, numbers, Dealing(shards, frequent, numbers.V))
+    found = tuple(discounts(*stats[k][:4].tolist()) for k in range(1, order + 1))
+    n1, n2, _, _, n3, _, kinds = stats[1].tolist()
+    mass = sum(d * n for d, n in zip(found[0], (n1, n2, n3), strict=True)) / kinds
+    return Model(uri, order, word_shards, shards, numbers.V, frequent, numbers.tokens, found, kinds, mass)
 
 
 # scoring
 
 
 class Scorer:
-    """The model's arrays, mapped by a worker."""
+    """The model's arrays, mapped by a worker as they are needed."""
 
     def __init__(self, model: Model):
-        self.m = model
-        self.words = open_words(model.uri, model.shards, model.bases)
-        more = sum(h[1] for h in model.hot.values())
-        if model.tokens:
-            self.keys = [map_array(f"{model.uri}/bigram-{j}", np.uint64) for j in range(model.shards + more)]
-            self.times = [map_array(f"{model.uri}/times-{j}", np.uint32) for j in range(model.shards + more)]
-            self.before = [map_array(f"{model.uri}/before-{j}", np.uint32) for j in range(model.shards)]
-            self.context = [map_array(f"{model.uri}/context-{j}", np.uint32).reshape(3, -1) for j in range(model.shards)]
-            self.starts = _starts(model.shards, model.V)
-
-    def _dense(self, ids: np.ndarray, arrays: list, rows: int) -> np.ndarray:
-        """Values of the known words among ids, 0 for -1."""
-        out = np.zeros((rows, len(ids)), np.float64)
-        shard = np.where(ids < 0, -1, range_shard(np.maximum(ids, 0), self.m.shards, self.m.V))
-        order = np.argsort(shard, kind="stable")
+        self.m, self.open = model, {}
+        self.words = open_words(model.uri, model.word_shards)
+        self.dealing = Dealing(model.shards, model.frequent, model.V)
+
+    def _find(self, name: str, shard: np.ndarray, hashes: np.ndarray, width: int) -> np.ndarray:
+        out = np.zeros((width, len(hashes)), np.int64)
+        order = np.argsort(shard.astype(np.uint16 if self.m.shards < 2**16 else np.uint32), kind="stable")
         ends = np.searchsorted(shard[order], np.arange(self.m.shards + 1))
-        for s in range(self.m.shards):
-            at = order[ends[s] : ends[s + 1]]
-            if len(at):
-                out[:, at] = arrays[s].reshape(rows, -1)[:, ids[at] - self.starts[s]]
+        for s in np.flatnonzero(np.diff(ends)).tolist():
+            rows = order[ends[s] : ends[s + 1]]
+            if (name, s) not in self.open:
+                self.open[name, s] = Table(map_array(f"{self.m.uri}/{name}-{s}", np.uint8))
+            out[:, rows] = self.open[name, s].find(hashes[rows], width)
         return out
 
-    def lower(self, ids: np.ndarray) -> np.ndarray:
-        """Continuation probability of each word; unknown ones share the mass of one more word."""
-        k = self._dense(ids, self.before, 1)[0]
-        d = np.array([0.0, *self.m.lower_discounts])[np.minimum(k, 3).astype(np.int64)]
-        return (k - d) / self.m.kinds + self.m.lower_mass / (self.m.V + 1)
-
-    def backoff(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Weight of the lower order after each context; 1 after unknown ones."""
-        kinds = self._dense(np.where(ids == self.m.V, -1, ids), self.context, 3)
-        for v, (_, _, *n) in self.m.hot.items():
-            kinds[:, ids == v] = np.array(n, float)[:, None]
-        return np.where(counts > 0, np.array(self.m.discounts) @ kinds / np.maximum(counts, 1), 1.0)
-
-    def bigrams(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """Count of each bigram."""
-        out = np.zeros(len(context), np.float64)
-        known = np.flatnonzero((context >= 0) & (token >= 0))
-        key, back = np.unique(context[known].astype(np.uint64) * np.uint64(self.m.V) + token[known].astype(np.uint64), return_inverse=True)
-        V = np.uint64(self.m.V)
-        shard = _shard_of((key // V).astype(np.int64), (key % V).astype(np.int64), self.m.shards, self.m.V, self.m.hot)
-        order = np.argsort(shard, kind="stable")
-        ends = np.searchsorted(shard[order], np.arange(len(self.keys) + 1))
-        found = np.zeros(len(key), np.float64)
-        for j in range(len(self.keys)):
-            at = order[ends[j] : ends[j + 1]]
-            if len(at) and len(self.keys[j]):
-                place = np.minimum(np.searchsorted(self.keys[j], key[at]), len(self.keys[j]) - 1)
-                found[at] = np.where(self.keys[j][place] == key[at], self.times[j][place], 0)
-        out[known] = found[back]
-        return out
+    def lowest(self, ids: np.ndarray) -> np.ndarray:
+        """Probability of each word without context; unknown ones share the mass of one more word."""
+        m, keys = self.m, mixed([ids])
+        c = self._find("gram-1", self.dealing.shard([ids]), keys, 1)[0]
+        return (c - self._discount(1, c)) / m.kinds + m.lower_mass / (m.V + 1)
+
+    def _discount(self, k: int, counts: np.ndarray) -> np.ndarray:
+        return np.array([0.0, *self.m.discounts[k - 1]])[np.minimum(counts, 3)]
+
+    def raised(self, columns: list[np.ndarray], lower: np.ndarray) -> np.ndarray:
+        """Probability of the last column given the others, from that given one word less; the same after an unknown context."""
+        k, context = len(columns), mixed(columns[:-1])
+        wide = self.dealing.wide(columns[:-1], len(context))
+        c = self._find(f"gram-{k}", self.dealing.shard(columns), mixed(columns), 1)[0]
+        home, about = shard_of(context, self.m.shards), np.zeros((4, len(context)), np.int64)
+        for name, rows in ((f"context-{k}", np.flatnonzero(~wide)), (f"wide-{k}", np.flatnonzero(wide))):
+            about[:, rows] = self._find(name, home[rows], context[rows], 4)
+        total = np.maximum(about[0], 1)
+        spare = np.where(about[0] > 0, np.array(self.m.discounts[k - 1]) @ about[1:], 1.0)
+        return (c - self._discount(k, c)) / total + spare / total * lower
 
     def score(self, texts: pa.StringArray) -> dict[str, np.ndarray]:
         w = words(texts, LOWER)
         m, n = self.m, len(texts)
         if not m.tokens:
             return {"n_tokens": w.counts + 1, "n_known": np.zeros(n, np.int64), "base_score": np.zeros(n), "score": np.zeros(n)}
-        ids, counts = self.words.find(np.append(word_hashes(w.vocab), np.uint64(END)))
-        # rows of the words' values: each word of the slice, the end, the start of text
-        last = len(ids)
-        context, token, bounds = neighbours(w, np.arange(last - 1), last - 1, last)
-        ids, counts = np.append(ids, m.V), np.append(counts, m.texts)
-        lower, backoff = self.lower(ids[:-1]), self.backoff(ids, counts)
-        c = self.bigrams(ids[context], ids[token])
-        d = np.array([0.0, *m.discounts])[np.minimum(c, 3).astype(np.int64)]
-        p = (c - d) / np.maximum(counts[context], 1) + backoff[context] * lower[token]
-        base = np.log10((counts[:-1] + 1) / (m.tokens + m.V + 1))
+        ids, counts = self.words.find(np.append(word_hashes(w.vocab), U(END)), m.V + 1)
+        # the words of the slice and the end, by their places
+        place = np.full(int(w.bounds[-1]) + n, len(ids) - 1)
+        place[np.arange(len(w.codes)) + w.text_of] = w.codes
+        columns, bounds = ngrams_of(w, ids, int(ids[-1]), m.V, m.order)
+        p = self.lowest(ids.astype(columns[0].dtype))[place]
+        for k in range(2, m.order + 1):
+            p = self.raised(columns[m.order - k :], p)
+        base = np.log10((counts + 1) / (m.tokens + m.V + 1))
         return {
             "n_tokens": np.diff(bounds),
-            "n_known": per_text((counts[token] > 0).astype(np.int64), bounds),
-            "base_score": per_text(base[token], bounds, dtype=np.float64),
+            "n_known": per_text((counts > 0).astype(np.int64)[place], bounds),
+            "base_score": per_text(base[place], bounds, dtype=np.float64),
             "score": per_text(np.log10(p), bounds, dtype=np.float64),
         }
 
@@ -439,8 +570,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
     return cols.mapInArrow(run, f"{kinds}, n_tokens long, n_known long, base_score double, score double, perplexity double")
 
 
-def contract(docs: DataFrame) -> DataFrame:
+def contract(docs: DataFrame, order: int = 3) -> DataFrame:
     """Learns from all documents but those whose id falls in bucket 2 of 7; scores all."""
     rows = docs.select("doc_id", "text", (bucket_crc("doc_id", 7) == 2).alias("held_out"))
-    model = fit(rows.where("not held_out"))
+    model = fit(rows.where("not held_out"), order=order)
     return score(rows, model, extra=("held_out",)).withColumn("train_tokens", F.lit(model.tokens).cast("long"))

@@ -1,5 +1,6 @@
 """Operators over the corpus against brute force and exact round trips."""
 
+import functools
 import hashlib
 import math
 import os
@@ -165,38 +166,58 @@ def test_keep_one_by_unique_ids(spark, docs):
 # language model
 
 
-def test_kneser_ney_query(spark, texts):
-    got = {r.doc_id: r for r in queries()["op2_kneser_ney"](spark, SMALL).collect()}
+def brute_force(corpus, order):
+    """p(tuple of context, word) of the model, and the words' counts."""
+    level = {order: Counter()}
+    for seq in corpus:
+        padded = [None] * (order - 1) + seq
+        level[order].update(tuple(padded[i : i + order]) for i in range(len(seq)))
+    for k in range(order - 1, 0, -1):
+        level[k] = Counter(g[1:] for g in level[k + 1])
+    of = {k: kneser_ney.discounts(*(Counter(c.values())[j] for j in (1, 2, 3, 4))) for k, c in level.items()}
+    total, spare = defaultdict(int), defaultdict(float)
+    for k, c in level.items():
+        for g, n in c.items():
+            total[g[:-1]] += n
+            spare[g[:-1]] += of[k][min(n, 3) - 1]
+    size = len(level[1])
+
+    @functools.cache
+    def p(g):
+        k, context = len(g), g[:-1]
+        lower = p(g[1:]) if k > 1 else 1 / (size + 1)
+        if not total[context]:
+            return lower
+        n = level[k][g]
+        return ((n - of[k][min(n, 3) - 1] if n else 0) + spare[context] * lower) / total[context]
+
+    return p
+
+
+@pytest.mark.parametrize(("order", "share"), [(1, 10**9), (2, 500), (3, 10**9), (3, 500), (4, 3000)])
+def test_kneser_ney_by_brute_force(spark, docs, texts, monkeypatch, order, share):
+    """Few shards and many; with many, contexts of frequent words are dealt over all of them."""
+    monkeypatch.setattr(kneser_ney, "SHARE", share)
+    monkeypatch.setattr(kneser_ney, "HELD", 10_000)
+    got = {r.doc_id: r for r in kneser_ney.contract(docs, order).collect()}
     held = {d for d in texts if zlib.crc32(str(d).encode()) % 7 == 2}
-    one, two = Counter(), Counter()
-    for d in set(texts) - held:
-        seq = [None, *words(texts[d]), b""]
-        one.update(seq[1:])
-        two.update(zip(seq, seq[1:], strict=False))
+    tokens = {d: [*words(t), b""] for d, t in texts.items()}
+    one = Counter(w for d in texts if d not in held for w in tokens[d])
     total, size = sum(one.values()), len(one)
-    of = lambda c: kneser_ney.discounts(*(Counter(c.values())[k] for k in (1, 2, 3, 4)))
-    before = Counter(w for _, w in two)
-    d2, d1, context, kinds = of(two), of(before), Counter(), defaultdict(float)
-    for (v, _), n in two.items():
-        context[v] += n
-        kinds[v] += d2[min(n, 3) - 1]
-    spare = sum(d1[min(n, 3) - 1] for n in before.values()) / len(two)
-
-    def lower(w):
-        return (before[w] - d1[min(before[w], 3) - 1] if before[w] else 0) / len(two) + spare / (size + 1)
-
-    def p(v, w):
-        c = two[v, w]
-        return ((c - d2[min(c, 3) - 1] if c else 0) + kinds[v] * lower(w)) / context[v] if context[v] else lower(w)
-
-    assert sum(p(None, w) for w in one) + p(None, b"?") == pytest.approx(1)
-    for d, t in texts.items():
-        seq = [None, *words(t), b""]
-        r = got[d]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (d in held, len(seq) - 1, sum(one[w] > 0 for w in seq[1:]), total)
-        assert r.base_score == pytest.approx(sum(math.log10((one[w] + 1) / (total + size + 1)) for w in seq[1:]))
-        assert r.score == pytest.approx(sum(math.log10(p(v, w)) for v, w in zip(seq, seq[1:], strict=False)))
-    assert sum(got[d].score for d in held) > sum(got[d].base_score for d in held)
+    p = brute_force([tokens[d] for d in texts if d not in held], order)
+    assert sum(p((*[None] * (order - 1), w)) for w in one) + p((*[None] * (order - 1), b"?")) == pytest.approx(1)
+    for d, seq in tokens.items():
+        r, padded = got[d], [None] * (order - 1) + seq
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (d in held, len(seq), sum(one[w] > 0 for w in seq), total)
+        assert r.base_score == pytest.approx(sum(math.log10((one[w] + 1) / (total + size + 1)) for w in seq))
+        assert r.score == pytest.approx(sum(math.log10(p(tuple(padded[i : i + order]))) for i in range(len(seq))))
+    if order > 1:
+        assert sum(got[d].score for d in held) > sum(got[d].base_score for d in held)
+
+
+def test_kneser_ney_query(spark, docs, texts):
+    got = queries()["op2_kneser_ney"](spark, SMALL)
+    assert sorted(got.collect()) == sorted(kneser_ney.contract(docs).drop("perplexity").select(got.columns).collect())
 
 
 def test_kneser_ney_on_hard_rows(spark, hard):
@@ -208,10 +229,21 @@ def test_kneser_ney_on_hard_rows(spark, hard):
 
 
 def test_count_blocks_round_trip():
-    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 500).astype(np.uint64))
-    counts = np.arange(len(keys)) * 3
-    a, b = kneser_ney.unpacked(kneser_ney.packed(keys, counts))
-    assert (a == keys).all() and (b == counts).all()
+    rng = np.random.default_rng(1)
+    columns = [rng.integers(0, 5, 3000).astype(np.uint64), rng.integers(0, 1 << 40, 3000).astype(np.uint64), rng.integers(0, 9, 3000).astype(np.uint64)]
+    counts = rng.integers(1, 500, 3000)
+    got, n = kneser_ney.unpacked(kneser_ney.packed(columns, counts))
+    assert sorted(zip(*got, n, strict=True)) == sorted(zip(*columns, counts, strict=True))
+    assert len(kneser_ney.unpacked(kneser_ney.packed([np.zeros(0, np.uint64)], np.zeros(0, np.int64)))[1]) == 0
+
+
+def test_tables_find_what_they_hold():
+    rng = np.random.default_rng(2)
+    keys = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
+    values = rng.integers(1, 1000, (2, 5000))
+    held = kneser_ney.Table(np.frombuffer(b"".join(kneser_ney.table(keys, *values)), np.uint8))
+    assert (held.find(keys, 2) == values).all() and not held.find(rng.integers(0, 1 << 63, 5000).astype(np.uint64), 2).any()
+    assert not kneser_ney.Table(np.zeros(0, np.uint8)).find(keys, 2).any()
 
 
 # packing
