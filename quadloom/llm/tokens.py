@@ -13,6 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from quadloom.llm._arrow import bytes_of, offsets_of, strings
@@ -189,10 +190,37 @@ def _encode_apart(vocab: pa.Array, zero: np.ndarray, path: str) -> tuple[np.ndar
     return np.array([len(x) for x in lists], np.int64), np.concatenate(lists)
 
 
-def encode(texts: pa.StringArray, path: str) -> Ids:
-    """Ids of each text without special tokens, as the tokenizers library gives for whole texts."""
+@functools.cache
+def _whole(path: str):
+    """The file's tokenizer, and the texts that it looks for before it splits anything."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    out = Tokenizer.from_file(path)
+    return out, [t.content for t in out.get_added_tokens_decoder().values()]
+
+
+def encode(texts: pa.StringArray, path: str, special: bool = True) -> Ids:
+    """Ids of each text, as the tokenizers library gives for whole texts without adding tokens.
+
+    A text that spells a special token out gets that token's id there, as by the
+    library's own setting; such texts go to the library whole. With special false
+    (the library's encode_special_tokens) the letters are ordinary text.
+    """
     found = pieces(texts)
-    return lay_out(found, *encode_kinds(found.vocab, path))
+    got = lay_out(found, *encode_kinds(found.vocab, path))
+    library, named = _whole(path)
+    spelt = np.zeros(len(texts), bool)
+    for content in named if special else ():
+        spelt |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+    if not spelt.any():
+        return got
+    lists = np.split(got.ids, got.bounds[1:-1])
+    for k in np.flatnonzero(spelt).tolist():
+        lists[k] = np.array(library.encode(texts[k].as_py(), add_special_tokens=False).ids, np.int64)
+    return Ids(np.concatenate([[0], np.cumsum([len(x) for x in lists])]), np.concatenate(lists))
 
 
 def with_end(got: Ids, end: int = 0) -> Ids:

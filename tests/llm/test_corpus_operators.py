@@ -253,7 +253,6 @@ def ids_of(texts):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(PATH)
-    whole.encode_special_tokens = True
     return [np.array([*e.ids, 0], "<u4") for e in whole.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -273,6 +272,19 @@ def check_packing(rows, wanted):
     return padding / (1024 * len(places))
 
 
+def test_special_tokens_as_the_library_treats_them(spark):
+    end = "<|endoftext|>"
+    rows = [(1, f"{end} a head"), (2, f"in {end}{end} the middle"), (3, f"the end {end}"), (4, "none"), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    wanted = ids_of([t or "" for _, t in rows])
+    assert sum(50256 in x for x in wanted) == 3
+    stored = token_store.read(spark, token_store.write(df, PATH)).orderBy("doc_id").collect()
+    assert [np.frombuffer(r.ids, "<u4").tolist() for r in stored] == [x.tolist() for x in wanted]
+    packed = packing.pack(df, PATH).collect()
+    assert {(r.doc_id, r.start, r.ids_crc32) for r in packed} == {(r.doc_id, r.start, zlib.crc32(wanted[r.doc_id - 1][r.start : r.start + r.length].tobytes())) for r in packed}
+    assert sum(r.length for r in packed) == sum(map(len, wanted))
+
+
 def test_packing_query(spark, texts):
     rows = queries()["op9_packing"](spark, SMALL).collect()
     ids = dict(zip(texts, ids_of(list(texts.values())), strict=True))

@@ -109,12 +109,14 @@ def test_isotonic_pools_violators():
 def test_library_ids(texts):
     from tokenizers import Tokenizer
 
-    path = vocabulary("byte_bpe_50k.json")
+    path, end = vocabulary("byte_bpe_50k.json"), "<|endoftext|>"
+    texts = [*texts, f"{end}at the head", f"in {end} the\n{end}{end} middle", f"at the end {end}", f"nearly <|endoftext |> {end[:-1]}", f"é{end}\x00 {end} "]
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
-    got = tokens.encode(pa.array(texts), path)
-    for k, e in enumerate(whole.encode_batch(texts, add_special_tokens=False)):
-        assert got.ids[got.bounds[k] : got.bounds[k + 1]].tolist() == e.ids, texts[k][:50]
+    for special in (True, False):
+        whole.encode_special_tokens = not special
+        got = tokens.encode(pa.array(texts), path, special)
+        for k, e in enumerate(whole.encode_batch(texts, add_special_tokens=False)):
+            assert got.ids[got.bounds[k] : got.bounds[k + 1]].tolist() == e.ids, texts[k][:50]
     assert len(tokens.encode(pa.array([], pa.string()), path).ids) == 0
 
 
