@@ -136,6 +136,33 @@ def test_merge_replay(texts, name):
         assert data[bounds[k] : bounds[k + 1]].tobytes() == t.encode()
 
 
+def test_long_pieces_and_the_corpus_arrays(spark, monkeypatch):
+    """Pieces too long for the common replay, hashes that collide, pieces the arrays lack."""
+    import base64
+
+    import public_tokenizers
+
+    path = vocabulary("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = np.random.default_rng(4)
+    some = ["a" * 200_000, "ab" * 700, "".join(rng.choice(list("abcdefghij"), 3000)), "!?" * 900, "word " * 50, "日本語" * 400, *HARD]
+    for length in (512, 8):
+        monkeypatch.setattr(bpe, "LONG", length)
+        got = bpe.encode(pa.array(some), bpe.load(path))
+        assert [x.tolist() for x in np.split(got.ids, got.bounds[1:-1])] == [plain.encode_ordinary(t) for t in some]
+    uri, shards = bpe.learn(spark.createDataFrame([(t,) for t in some[2:]], "text string"), path)
+    corpus = bpe.Known(uri, shards, path)
+    monkeypatch.setattr(bpe, "replayed", lambda vocab, ranks, whole=bpe.replayed: whole(vocab, ranks) if len(vocab) < 9 else pytest.fail("most pieces are known"))
+    for _ in range(2):
+        got = corpus.encode(pa.array([*some, "zzqx new"]))
+        assert [x.tolist() for x in np.split(got.ids, got.bounds[1:-1])] == [plain.encode_ordinary(t) for t in [*some, "zzqx new"]]
+        monkeypatch.undo()
+        corpus.bytes = [np.array(b) for b in corpus.bytes]  # other pieces of the same hash and length
+        for b in corpus.bytes:
+            b[::40] ^= 1
+
+
 def test_bpe_query_on_hard_rows(spark, hard):
     path = vocabulary("byte_bpe_multi_50k.tiktoken")
     rows = bpe.digests(hard, path).collect()
