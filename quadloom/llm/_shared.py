@@ -11,12 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where it is unset."""
+    """spark.checkpoint.dir of the session. Where it is unset, a folder of our own in local mode, and an error on a cluster."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
+    if not base and current.isDefined():
+        base = os.path.dirname(current.get())
     if not base:
-        base = os.path.dirname(current.get()) if current.isDefined() else tempfile.mkdtemp(prefix="spark-checkpoint-")
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-checkpoint-")
     if not current.isDefined():
         sc.setCheckpointDir(base)
     return base
@@ -66,20 +70,12 @@ def cut(df: DataFrame) -> DataFrame:
 def map_array(uri: str, dtype: type):
     """The file as a read-only memory-mapped array.
 
-    A local or mounted file is mapped in place, so a machine's workers share its
-    pages. Any other store is copied to an unnamed local file first, which goes when
-    the worker does.
+    It is mapped in place, so a machine's workers share its pages; the shared folder must
+    therefore be mounted, and a folder that only a client library can read is an error.
     """
-    import shutil
-
     import numpy as np
 
     store, path = open_fs(uri)
-    if store.get_file_info(path).size == 0:
-        return np.zeros(0, dtype)
-    if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(path, dtype, "r")
-    with store.open_input_stream(path) as source, tempfile.TemporaryFile() as copy:
-        shutil.copyfileobj(source, copy)
-        copy.flush()
-        return np.memmap(copy, dtype, "r")
+    if not isinstance(store, fs.LocalFileSystem):
+        raise ValueError(f"{uri} cannot be mapped: spark.checkpoint.dir must be a mounted file system")
+    return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)

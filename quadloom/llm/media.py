@@ -5,7 +5,9 @@ tar archive. The data source plans byte ranges over all archives of a folder; a
 range yields the members whose header starts in it, as Arrow batches. A member that
 fails its checksum is read again by offset, on a new handle, without touching its
 neighbours; one that keeps failing becomes a row with an error and no media. After
-a damaged header the reader looks for the next valid one.
+a damaged header the reader looks for the next valid one. A range finds its first
+header in the index of offsets that the writer leaves beside each archive; in an
+archive without one it hops there from the archive's head.
 
 Null and empty texts give one row of filling; equal texts give equal media. Rows are
 stored one by one, so repeated rows and null ids keep their places; an empty table
@@ -14,6 +16,7 @@ leaves an empty folder, which reads as no rows.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import struct
 import tarfile
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quadloom.llm._arrow import slices, texts_of
-from quadloom.llm._shared import open_fs, put, work_dir
+from quadloom.llm._shared import open_fs, put, work_dir, write_file
 
 #: Samples in a row of the picture, and the payload's unit.
 UNIT = 576
@@ -43,6 +46,8 @@ ARCHIVE = 256 << 20
 #: Size of a planned byte range.
 RANGE = 32 << 20
 TRIES = 3
+#: Ending of an archive's index: the offsets of its headers, ascending.
+INDEX = ".idx"
 #: Members' bytes in an Arrow batch of the source.
 BATCH = 4 << 20
 
@@ -113,24 +118,26 @@ def write_archives(rows: DataFrame, uri: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = open_fs(uri)
-        part, number, out, members, size, draft, row = TaskContext.get().partitionId(), 0, None, 0, 0, "", 0
+        part, number, out, offsets, size, draft, row = TaskContext.get().partitionId(), 0, None, [], 0, "", 0
 
         def close() -> pa.RecordBatch:
             out.write(bytes(2 * BLOCK))
             out.close()
             name = f"{part:06d}-{number:03d}.tar"
+            write_file(f"{uri}/{name}{INDEX}", [np.array(offsets, np.int64)])
             put(store, draft, f"{folder}/{name}")
-            return pa.RecordBatch.from_pydict({"archive": [name], "members": [members], "bytes": [size]})
+            return pa.RecordBatch.from_pydict({"archive": [name], "members": [len(offsets)], "bytes": [size]})
 
         for batch in slices(batches, 1):
             for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)).to_pylist(), strict=True):
                 if out is None:
                     draft = f"{folder}/_{part:06d}-{number:03d}-{uuid.uuid4().hex}.tmp"
-                    out, members, size = store.open_output_stream(draft), 0, 0
+                    out, offsets, size = store.open_output_stream(draft), [], 0
                 media = to_png(payload_of(text.encode()))
                 head = header(f"{part:06d}_{row:012d}_{'' if doc_id is None else doc_id}.png", media)
+                offsets.append(out.tell())
                 out.write(head + media + bytes(-len(media) % BLOCK))
-                members, size, row = members + 1, size + len(media), row + 1
+                size, row = size + len(media), row + 1
                 if size >= ARCHIVE:
                     yield close()
                     out, number = None, number + 1
@@ -195,8 +202,8 @@ def _batch(held: list[Member]) -> pa.RecordBatch:
 
 
 def members(store: fs.FileSystem, path: str, start: int, end: int) -> Iterator[Member]:
-    """Members whose header lies in [start, end), found by hopping from header to header."""
-    name, at = path.rsplit("/", 1)[-1], 0
+    """Members whose header lies in [start, end), found by hopping from header to header on one handle."""
+    name, at = path.rsplit("/", 1)[-1], _begin(store, path, start)
     with store.open_input_file(path) as file:
         size = file.size()
         while at < min(end, size):
@@ -214,11 +221,21 @@ def members(store: fs.FileSystem, path: str, start: int, end: int) -> Iterator[M
                     yield Member(name, bad, None, None, f"damaged header, {at - bad} bytes passed over")
                 continue
             if at >= start:
-                media, error = _media(store, path, at + BLOCK, info)
+                media, error = _media(store, path, at + BLOCK, info, file)
                 yield Member(name, at, info.name, media, error)
             at += BLOCK + -(-info.size // BLOCK) * BLOCK
 
 
+def _begin(store: fs.FileSystem, path: str, start: int) -> int:
+    """Where to hop from: the last indexed header before start, if there is an index."""
+    if not start or store.get_file_info(path + INDEX).type != fs.FileType.File:
+        return 0
+    with store.open_input_file(path + INDEX) as file:
+        offsets = np.frombuffer(file.read(), np.int64)
+    at = int(np.searchsorted(offsets, start)) - 1
+    return int(offsets[at]) if at >= 0 else 0
+
+
 def _valid(head: bytes) -> bool:
     try:
         tarfile.TarInfo.frombuf(head, "utf-8", "strict")
@@ -227,13 +244,13 @@ def _valid(head: bytes) -> bool:
     return True
 
 
-def _media(store: fs.FileSystem, path: str, at: int, info: tarfile.TarInfo) -> tuple[bytes | None, str | None]:
-    """The member's bytes, read again on a new handle while they fail their checksum."""
+def _media(store: fs.FileSystem, path: str, at: int, info: tarfile.TarInfo, file: pa.NativeFile) -> tuple[bytes | None, str | None]:
+    """The member's bytes; while they fail their checksum they are read again, on a new handle."""
     error = None
-    for _ in range(TRIES):
+    for attempt in range(TRIES):
         try:
-            with store.open_input_file(path) as file:
-                media = file.read_at(info.size, at)
+            with contextlib.nullcontext(file) if not attempt else store.open_input_file(path) as source:
+                media = source.read_at(info.size, at)
             if len(media) == info.size and (not info.uname.startswith("crc32-") or info.uname == f"crc32-{zlib.crc32(media):08x}"):
                 return media, None
             error = "damaged member"

@@ -41,7 +41,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.store_and_read(_table(spark, sf_dir, "documents")).drop("error")
+    return media.store_and_read(_table(spark, sf_dir, "documents"))
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,9 +10,14 @@ searches on for the next gzip member that inflates to a version line, or for the
 next plain version line, so that later records are recovered. It reads forward in
 bounded pieces and holds one record at a time.
 
-Control characters of a url are percent-encoded. Null html is an empty payload. Rows that repeat both id and payload are all
-responses if theirs is the largest id; a null id counts as the smallest and refers
-to the others' largest. An empty table leaves an empty folder, which reads as no rows.
+Archives have names of their own for each attempt at a task, since the order of rows
+behind a shuffle differs between attempts; a list names the archives of the attempts
+that counted, and only these are read. A folder without a list is read whole.
+
+Control characters of a url are percent-encoded. Null html is an empty payload. Rows
+that repeat both id and payload are all responses if theirs is the largest id; a null
+id counts as the smallest and refers to the others' largest. An empty table leaves an
+empty folder, which reads as no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quadloom.llm._arrow import slices
-from quadloom.llm._shared import open_fs, put, work_dir
+from quadloom.llm._shared import open_fs, put, work_dir, write_file
 
 #: Size at which a task starts its next archive.
 ARCHIVE = 64 << 20
@@ -43,6 +48,8 @@ PIECE = 256 << 10
 HEAD, RECORD = 64 << 10, (2 << 30) - 1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
+#: File that names the archives that count.
+LIST = "archives.txt"
 GZIP = b"\x1f\x8b\x08"
 #: Fields that every record has, and bytes that no header has.
 MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
@@ -104,7 +111,7 @@ def record(page_id: int | None, url: str | None, html: str | None, sha1: str, si
 
 
 def write_archives(rows: DataFrame, uri: str) -> DataFrame:
-    """rows: id, url, payload, sha1, bytes, first. A row (archive, records) for each archive that a task writes."""
+    """rows: id, url, payload, sha1, bytes, first. A row (archive, records) for each archive that a task writes; see list_archives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = open_fs(uri)
@@ -112,8 +119,9 @@ def write_archives(rows: DataFrame, uri: str) -> DataFrame:
 
         def close() -> pa.RecordBatch:
             out.close()
-            put(store, draft, f"{folder}/{part:06d}-{number:03d}.warc.gz")
-            return pa.RecordBatch.from_pydict({"archive": [f"{part:06d}-{number:03d}.warc.gz"], "records": [records]})
+            name = f"{part:06d}-{number:03d}-{uuid.uuid4().hex}.warc.gz"
+            put(store, draft, f"{folder}/{name}")
+            return pa.RecordBatch.from_pydict({"archive": [name], "records": [records]})
 
         for batch in slices(batches, 2):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -132,6 +140,12 @@ def write_archives(rows: DataFrame, uri: str) -> DataFrame:
     return rows.mapInArrow(run, "archive string, records long")
 
 
+def list_archives(written: DataFrame, uri: str) -> None:
+    """Writes down which archives of the folder count: a name for each ARCHIVE bytes passes the driver."""
+    names = sorted(r["archive"] for r in written.select("archive").collect())
+    write_file(f"{uri}/{LIST}", ["\n".join(names).encode()])
+
+
 # reading
 
 
@@ -259,6 +273,10 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         store, folder = open_fs(self.uri)
         files = [f for f in store.get_file_info(fs.FileSelector(folder)) if f.path.endswith((".warc.gz", ".warc"))]
+        if store.get_file_info(f"{folder}/{LIST}").type == fs.FileType.File:
+            with store.open_input_stream(f"{folder}/{LIST}") as source:
+                listed = set(source.read().decode().split("\n"))
+            files = [f for f in files if f.path.rsplit("/", 1)[-1] in listed]
         return [Archive(f.path) for f in sorted(files, key=lambda f: (-f.size, f.path))] or [Archive("")]
 
     def read(self, partition: Archive) -> Iterator[pa.RecordBatch]:
@@ -329,7 +347,7 @@ def store_and_read(pages: DataFrame, id_col: str = "page_id", url: str = "url",
     """Writes pages to archives in a new shared folder and reads their records back; a gap in them is an error."""
     uri = work_dir(pages.sparkSession, "warc")
     rows = decisions(pages.select(id_col, url, payload), id_col, payload, least)
-    write_archives(rows.select(F.col(id_col).cast("long"), url, payload, "__sha1", "__bytes", F.col("__first").cast("long")), uri).agg(F.sum("records")).collect()
+    list_archives(write_archives(rows.select(F.col(id_col).cast("long"), url, payload, "__sha1", "__bytes", F.col("__first").cast("long")), uri), uri)
     return pages_of(read_archives(pages.sparkSession, uri), whole=True)
 
 

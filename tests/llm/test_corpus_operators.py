@@ -351,12 +351,47 @@ def test_chunks_follow_content():
 # media
 
 
-def test_media_query(spark, texts):
-    for r in queries()["op6_media_columns"](spark, SMALL).collect():
-        payload = media.payload_of(texts[r.doc_id].encode())
-        picture = media.to_png(payload)
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(texts[r.doc_id].encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
-        assert (r.media_bytes, r.media_sha256) == (len(picture), hashlib.sha256(picture).hexdigest()) and len(payload) % 576 == 0 < len(payload)
+def samples_of(picture):
+    """Size and rows of an 8-bit gray picture without filters, by the format's own description."""
+    assert picture[:8] == b"\x89PNG\r\n\x1a\n"
+    at, chunks = 8, []
+    while at < len(picture):
+        size = int.from_bytes(picture[at : at + 4], "big")
+        chunks.append((picture[at + 4 : at + 8], picture[at + 8 : at + 8 + size]))
+        assert int.from_bytes(picture[at + 8 + size : at + 12 + size], "big") == zlib.crc32(picture[at + 4 : at + 8 + size])
+        at += 12 + size
+    assert [k for k, _ in chunks] == [b"IHDR", b"IDAT", b"IEND"]
+    width, height = (int.from_bytes(chunks[0][1][k : k + 4], "big") for k in (0, 4))
+    assert chunks[0][1][8:] == bytes([8, 0, 0, 0, 0])  # depth, gray, deflate, filters, no interlace
+    raw = zlib.decompress(chunks[1][1])
+    rows = [raw[k : k + width + 1] for k in range(0, len(raw), width + 1)]
+    assert len(rows) == height and all(r[0] == 0 for r in rows)
+    return b"".join(r[1:] for r in rows)
+
+
+def feature_of(payload):
+    n, mean = len(payload), sum(payload) / len(payload)
+    spread = math.sqrt(sum((b - mean) ** 2 for b in payload) / n)
+    steps = Counter(b // 32 for b in payload)
+    return sum(payload) * 1000 // n, spread * 1000, [steps[k] for k in range(8)]
+
+
+def test_media_query(spark, docs, texts):
+    uri = _shared.work_dir(spark, "media-test")
+    media.write_archives(docs.select("doc_id", "text"), uri).collect()
+    spark.dataSource.register(media.ArchiveSource)
+    stored = {hashlib.sha256(r.media).hexdigest(): r.media for r in spark.read.format("quadloom_archive").load(uri).collect()}
+    rows = queries()["op6_media_columns"](spark, SMALL).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        raw = texts[r.doc_id].encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.error) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), None)
+        picture = stored[r.media_sha256]
+        assert r.media_bytes == len(picture) and samples_of(picture) == payload
+        mean, spread, steps = feature_of(payload)
+        got = dict(x.split("=") for x in r.feature.split(";"))
+        assert int(got["mean"]) == mean and abs(int(got["dev"]) - spread) < 1 and list(map(int, got["hist"].split(","))) == steps
 
 
 def test_media_ranges_retries_and_damage(spark, docs):
@@ -367,13 +402,21 @@ def test_media_ranges_retries_and_damage(spark, docs):
     assert read().count() == read().select("offset").distinct().count() == 200
     path = f"{uri[7:]}/{next(f for f in os.listdir(uri[7:]) if f.endswith('.tar'))}"
     offsets = [r.offset for r in read().orderBy("offset").collect()]
+    assert offsets == np.fromfile(path + media.INDEX, np.int64).tolist()
+    store, place = _shared.open_fs(f"file://{path}")
+    for start in (1, 20_000, offsets[-1], offsets[-1] + 1, 1 << 40):
+        begin = media._begin(store, place, start)
+        assert begin == max(o for o in offsets if o < start)
     with open(path, "r+b") as file:
         file.seek(offsets[3])
         file.write(b"\x07" * 300)  # a header
         file.seek(offsets[50] + 600)
         file.write(b"\x07" * 20)  # a member
-    rows = read().collect()
-    assert sum(r.error is None for r in rows) == 198 and sorted(r.offset for r in rows if r.error) == [offsets[3], offsets[50]]
+    for indexed in (True, False):
+        if not indexed:
+            os.rename(path + media.INDEX, path + ".old")
+        rows = read().collect()
+        assert sum(r.error is None for r in rows) == 198 and sorted(r.offset for r in rows if r.error) == [offsets[3], offsets[50]]
     assert sum(r.error is None for r in media.read_features(spark, uri).collect()) == 198
 
 
@@ -391,7 +434,9 @@ def test_media_reads_again(monkeypatch):
 
     info = tarfile.TarInfo("x")
     info.size = 4
-    assert media._media(Flaky(), "p", 2, info) == (b"2345", None) and Flaky.opened == 3
+    broken = type("Broken", (), {"read_at": lambda self, n, at: b"short"})()
+    assert media._media(Flaky(), "p", 2, info, broken) == (None, "gone") and Flaky.opened == 2
+    assert media._media(Flaky(), "p", 2, info, broken) == (b"2345", None) and Flaky.opened == 3
 
 
 def test_media_on_hard_rows(spark, hard):
@@ -411,6 +456,15 @@ def test_warc_query(spark):
     assert df.columns == found.columns and sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, found.fetchall()))
 
 
+def test_warc_reads_only_the_attempts_that_counted(spark):
+    pages = spark.createDataFrame([(k, f"http://x/{k}", f"page {k}") for k in range(20)], "page_id long, url string, html string")
+    rows = warc.decisions(pages).select("page_id", "url", "html", "__sha1", "__bytes", "__first")
+    uri = _shared.work_dir(spark, "warc-test")
+    warc.write_archives(rows.where("page_id < 7"), uri).collect()  # an attempt that was lost
+    warc.list_archives(warc.write_archives(rows.coalesce(3), uri), uri)
+    assert sorted(r.page_id for r in warc.pages_of(warc.read_archives(spark, uri)).collect()) == list(range(20))
+
+
 def test_warc_revisits_and_hard_rows(spark):
     rows = [(None, "u", "same", 1), (3, "u", "same", 1), (5, None, "same", 1), (5, "u", "same", 1), (6, "u\r\nX: y", None, 1), (7, "u", "", 1), (8, "u", "<p>é</p>" * 50_000, 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, __first int")
