@@ -191,7 +191,56 @@ def test_license_places(texts):
 def test_templates(text, label):
     got = licenses.scan(pa.array([text]))
     assert (label in got["labels"][0].split(",")) if label else got["labels"][0] == ""
-    assert got["score"][0] == (1.0 if label else 0.0)
+    assert got["score"][0] == (licenses.SCORES[label.rsplit("-", 1)[1]] if label else 0.0)
+
+
+def pattern_of(template):
+    """The template as a regular expression over words that each have a space behind them."""
+    out = ""
+    for part in re.findall(r"\[\[|\]\]|\{\{\d+\}\}|\w+", template):
+        out += "(?:" if part == "[[" else ")?" if part == "]]" else rf"(?:\S+ ){{0,{part[2:-2]}}}" if part.startswith("{{") else f"{part} "
+    return re.compile(rf"(?<!\S){out}")
+
+
+def test_templates_by_brute_force():
+    """Whole texts with their optional and replaceable regions filled in all manners, cut, and changed in one word."""
+    rng = np.random.default_rng(6)
+
+    def spelt(template):
+        out, skip = [], 0
+        for part in re.findall(r"\[\[|\]\]|\{\{\d+\}\}|\w+", template):
+            if part == "[[":
+                skip += skip > 0 or rng.random() < 0.4
+            elif part == "]]":
+                skip = max(0, skip - 1)
+            elif not skip:
+                out += [f"Any{k}" for k in range(rng.integers(0, int(part[2:-2]) + 2))] if part.startswith("{{") else [part]
+        return out
+
+    some = []
+    for template in licenses.TEMPLATES.values():
+        for _ in range(12):
+            w = spelt(template)
+            some.append(["Before", "this", *w, "after"])
+            change = list(w)
+            change[rng.integers(len(w))] = "changed"
+            some += [change, w[: rng.integers(1, len(w) + 1)], w[rng.integers(len(w)) :], [*w[: len(w) // 2], *w]]
+    texts = ["".join(x.capitalize() + str(rng.choice([" ", ", ", "\n", " - "])) for x in w) for w in some]
+    got = licenses.scan(pa.array(texts))
+    full = 0
+    for k, w in enumerate(some):
+        line = "".join(x.lower() + " " for x in w)
+        want = {label for label, t in licenses.TEMPLATES.items() if pattern_of(t).search(line)}
+        base = {label for phrase, label in licenses.PHRASES.items() if f" {phrase} " in f" {line}"}
+        assert got["labels"][k] == ",".join(sorted(want | base)) and got["base_labels"][k] == ",".join(sorted(base)), texts[k]
+        full += any(x.endswith("-text") for x in want)
+    assert 50 < full < len(some)
+
+
+def test_a_notice_many_times_over_is_read_once():
+    text = "Licensed under the Apache License, Version 2.0 (the License); you may not. " * 20_000
+    got = licenses.scan(pa.array([text]))
+    assert got["labels"] == ["apache-notice"]
 
 
 def test_licenses_on_hard_rows(spark, hard):
