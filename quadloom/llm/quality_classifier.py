@@ -93,12 +93,15 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([batch.column("__x").field(n).to_numpy(zero_copy_only=False) for n in NAMES], axis=1) if batch.num_rows else np.zeros((0, len(NAMES)))
 
 
-def fit(featured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "quality") -> Model:
-    """featured: id_col and __x. labels: id_col and label, 0 or 1."""
+def taught(labels: DataFrame, id_col: str = "doc_id", label: str = "quality") -> DataFrame:
+    """(__id, y, bucket) of the labels that may be learnt from, some SAMPLE rows at most."""
     known = labels.select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("y")).where("__id is not null and y is not null").withColumn("bucket", bucket_crc("__id", 4)).where("bucket <> 2")
     total = known.count()
-    if total > SAMPLE:
-        known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < int((1 << 20) * SAMPLE / total))
+    return known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < int((1 << 20) * SAMPLE / total)) if total > SAMPLE else known
+
+
+def fit(featured: DataFrame, known: DataFrame, id_col: str = "doc_id") -> Model:
+    """featured: id_col and __x. known: what taught gives."""
     rows = cut(known.join(featured.select(F.col(id_col).alias("__id"), "__x"), "__id").select("bucket", "y", "__x"))
     train, rest = rows.where("bucket < 2"), rows.where("bucket = 3")
     aggregates = [F.avg(f"__x.{n}") for n in NAMES] + [F.stddev_pop(f"__x.{n}") for n in NAMES]
@@ -162,15 +165,18 @@ def scores(model: Model, x: str = "__x") -> Column:
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", cutoff: float = CUTOFF) -> DataFrame:
     """id, held_out, score, predicted for each document. Texts are read once; their features go to the checkpoint folder."""
     rows = cut(with_features(docs.select(id_col, text), text).drop(text))
-    model = fit(rows, labels, id_col)
+    model = fit(rows, taught(labels, id_col), id_col)
     return rows.select(id_col, (bucket_crc(id_col, 4) == 2).alias("held_out"), scores(model).alias("score")).withColumn("predicted", (F.col("score") >= cutoff).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", cutoff: float = CUTOFF) -> DataFrame:
     """The documents that classify accepts, with all their columns and no join on ids.
 
-    Only labelled documents' features are kept for the fit; the filter makes them
-    anew, so that whole texts never pass through a shuffle or the checkpoint folder.
+    Only labelled documents' features are made for the fit (their ids, of which SAMPLE
+    bounds the number, are broadcast); the filter makes all anew, so that whole texts
+    never pass through a shuffle or the checkpoint folder.
     """
-    model = fit(with_features(docs.select(id_col, text), text).drop(text), labels, id_col)
+    known = cut(taught(labels, id_col))
+    labelled = docs.select(F.col(id_col), F.col(text)).join(F.broadcast(known.select(F.col("__id").alias(id_col)).distinct()), id_col, "left_semi")
+    model = fit(with_features(labelled, text).drop(text), known, id_col)
     return with_score(docs, model, "__score", text).where(F.col("__score") >= cutoff).drop("__score")

@@ -25,7 +25,8 @@ from quadloom.llm import text_stats
 from quadloom.llm._arrow import with_struct
 from quadloom.llm._shared import cut
 
-#: Rule: (numerator, denominator, good from, good to, bad below, bad above); in between it abstains.
+#: Rule: (numerator, denominator, good from, good to, bad below, bad above); in between it abstains. Some are narrow on
+#: purpose: they see much and are often wrong, which the estimates find out.
 RULES: dict[str, tuple[str, str, float, float, float, float]] = {
     "symbols": ("n_symbols", "n_words", 0.0, 0.05, -1.0, 0.2),
     "symbol_share": ("n_symbols", "n_bytes", 0.0, 0.01, -1.0, 0.05),
@@ -33,8 +34,8 @@ RULES: dict[str, tuple[str, str, float, float, float, float]] = {
     "exclaiming": ("n_shouts", "n_words", 0.0, 0.05, -1.0, 0.2),
     "repeating": ("n_repeat_words", "n_words", 0.0, 0.1, -1.0, 0.3),
     "stutter": ("n_stutter", "n_words", 0.0, 0.1, -1.0, 0.3),
-    "lines": ("n_dup_lines", "n_lines", 0.0, 0.2, -1.0, 0.5),
-    "sentences": ("n_stops", "n_words", 0.02, 0.34, 0.004, 0.6),
+    "lines": ("n_dup_lines", "n_lines", 0.0, 0.05, -1.0, 0.15),
+    "sentences": ("n_stops", "n_words", 0.06, 0.13, 0.05, 0.16),
     "variety": ("n_top", "n_words", 0.0, 0.15, -1.0, 0.3),
     "word_length": ("word_chars", "n_words", 3.0, 9.0, 2.0, 14.0),
     "bare": ("n_bare", "n_words", 0.0, 0.05, -1.0, 0.2),
@@ -42,10 +43,6 @@ RULES: dict[str, tuple[str, str, float, float, float, float]] = {
 GOOD, BAD, ABSTAIN = 1, -1, 0
 
 
-#: Least accuracies that the estimates keep to: a rule is seldom wrong about a good text, but may miss most bad ones.
-FLOOR = (0.998, 0.05)
-
-
 class Model(NamedTuple):
     """prior: share of good texts; right: per rule (P(votes good | good, votes), P(votes bad | bad, votes))."""
 
@@ -64,34 +61,40 @@ def with_stats(df: DataFrame, name: str, text: str = "text") -> DataFrame:
     return with_struct(df, name, text_stats.KIND, text_stats.stats, text)
 
 
-def fit(with_stats: DataFrame, stats: str, rounds: int = 200) -> Model:
+def fit(with_stats: DataFrame, stats: str, rounds: int = 500) -> Model:
     """Accuracies and prior by expectation maximisation over all rows' vote patterns."""
     votes = with_stats.select(*(vote(r, stats).alias(r) for r in RULES)).groupBy(*RULES).agg(F.count(F.lit(1)).alias("n")).collect()
-    return maximise(np.array([[v[r] for r in RULES] for v in votes]).reshape(-1, len(RULES)), np.array([v["n"] for v in votes], float), rounds)
+    prior, right = maximise(np.array([[v[r] for r in RULES] for v in votes]).reshape(-1, len(RULES)), np.array([v["n"] for v in votes], float), rounds)
+    return Model(prior, {r: (float(right[j, 0]), float(right[j, 1])) for j, r in enumerate(RULES)})
 
 
-def maximise(votes: np.ndarray, n: np.ndarray, rounds: int = 200) -> Model:
-    """One row of votes for each pattern, n rows having it.
+def maximise(votes: np.ndarray, n: np.ndarray, rounds: int = 500) -> tuple[float, np.ndarray]:
+    """Share of good texts, and for each rule how often its votes on good and on bad texts are right. One row of votes for each pattern, n rows having it.
 
-    Starts from the belief that one bad vote makes a text doubtful. Light Beta
-    priors keep empty input defined, and FLOOR keeps the two classes from trading
-    places: without it a kind of junk that one rule alone sees joins the good texts.
+    Starts from the belief that any bad vote makes a text doubtful. Beta priors of ten
+    votes on good and two on bad texts keep empty input defined. A rule that the estimates
+    call worse than chance (it would vote good more often on bad texts than on good ones)
+    counts as saying nothing in that round, so the classes cannot trade places; nothing
+    else holds the accuracies.
     """
     good = np.where((votes == BAD).any(axis=1), 0.05, 0.95)
-    prior, right = 0.8, np.full((len(RULES), 2), 0.5)
+    prior, right = 0.8, np.full((votes.shape[1], 2), 0.5)
     for _ in range(rounds):
         prior = (good @ n + 8) / (n.sum() + 10)
-        for j in range(len(RULES)):
+        for j in range(len(right)):
             yes, no = votes[:, j] == GOOD, votes[:, j] == BAD
-            right[j] = ((n * good)[yes].sum() + 99) / ((n * good)[yes | no].sum() + 100), ((n * (1 - good))[no].sum() + 1) / ((n * (1 - good))[yes | no].sum() + 2)
-        right = np.clip(right, FLOOR, 1 - 1e-6)
+            right[j] = ((n * good)[yes].sum() + 9) / ((n * good)[yes | no].sum() + 10), ((n * (1 - good))[no].sum() + 1) / ((n * (1 - good))[yes | no].sum() + 2)
+            if right[j].sum() < 1:
+                share = (n[yes].sum() + 1) / (n[yes | no].sum() + 2)
+                right[j] = share, 1 - share
+        right = np.clip(right, 1e-6, 1 - 1e-6)
         odds = math.log(prior / (1 - prior)) + np.where(votes == GOOD, np.log(right[:, 0] / (1 - right[:, 1])), np.where(votes == BAD, np.log((1 - right[:, 0]) / right[:, 1]), 0)).sum(axis=1)
         new = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
         moved = np.abs(new - good).max(initial=0)
         good = new
         if moved < 1e-9:
             break
-    return Model(float(prior), {r: (float(right[j, 0]), float(right[j, 1])) for j, r in enumerate(RULES)})
+    return float(prior), right
 
 
 def posterior(model: Model, stats: str) -> Column:

@@ -63,15 +63,74 @@ def test_quality_rules_query(spark):
     assert np.mean([k == bool(q) for k, q in judged]) > 0.95
 
 
-def test_maximisation_finds_what_one_rule_alone_sees():
-    rules = len(quality_rules.RULES)
-    votes = np.ones((3, rules), int)
-    votes[1, 0] = votes[1, 1] = -1
-    votes[2, 2] = votes[2, 3] = -1
-    model = quality_rules.maximise(votes, np.array([9000.0, 300.0, 400.0]))
-    assert model.prior > 0.9 and all(0.998 <= g < 1 for g, _ in model.right.values())
-    empty = quality_rules.maximise(np.zeros((0, rules), int), np.zeros(0))
-    assert 0 < empty.prior < 1
+def planted_votes(n=4000, seed=8):
+    """Rows of votes by rules of known accuracy on good and bad texts; the last one often calls good texts bad."""
+    rng = np.random.default_rng(seed)
+    truth = rng.random(n) < 0.8
+    accuracy = [(0.98, 0.9), (0.97, 0.8), (0.99, 0.6), (0.95, 0.85), (0.75, 0.55)]
+    said = np.stack([np.where(truth, np.where(rng.random(n) < g, 1, -1), np.where(rng.random(n) < b, -1, 1)) for g, b in accuracy], axis=1)
+    said[rng.random(said.shape) < 0.1] = 0
+    return truth, accuracy, said
+
+
+def test_maximisation_by_brute_force():
+    """Row by row in plain Python, with the same start and priors."""
+    truth, accuracy, said = planted_votes(600)
+    good = [0.05 if -1 in row else 0.95 for row in said.tolist()]
+    for _ in range(40):
+        prior = (sum(good) + 8) / (len(good) + 10)
+        right = []
+        for j in range(len(accuracy)):
+            on = [(row[j], g) for row, g in zip(said.tolist(), good, strict=True) if row[j]]
+            a = (sum(g for v, g in on if v == 1) + 9) / (sum(g for _, g in on) + 10)
+            b = (sum(1 - g for v, g in on if v == -1) + 1) / (sum(1 - g for _, g in on) + 2)
+            if a + b < 1:
+                a = (sum(v == 1 for v, _ in on) + 1) / (len(on) + 2)
+                b = 1 - a
+            right.append((a, b))
+        for k, row in enumerate(said.tolist()):
+            p, q = prior, 1 - prior
+            for v, (a, b) in zip(row, right, strict=True):
+                p, q = (p * a, q * (1 - b)) if v == 1 else (p * (1 - a), q * b) if v == -1 else (p, q)
+            good[k] = p / (p + q)
+    patterns, n = np.unique(said, axis=0, return_counts=True)
+    got_prior, got = quality_rules.maximise(patterns, n.astype(float), 40)
+    assert got_prior == pytest.approx(prior, abs=1e-9) and np.allclose(got, right, atol=1e-9)
+
+
+def test_maximisation_finds_planted_accuracies_and_overrules_a_noisy_rule():
+    truth, accuracy, said = planted_votes()
+    patterns, back, n = np.unique(said, axis=0, return_inverse=True, return_counts=True)
+    prior, right = quality_rules.maximise(patterns, n.astype(float))
+    assert abs(prior - truth.mean()) < 0.02 and np.abs(right - np.array(accuracy)).max() < 0.06
+    lone = (said[:, 4] == -1) & (said[:, :4] == 1).all(axis=1)
+    # all-must-pass rejects these, nearly all of them wrongly; the posterior keeps them
+    p = np.log(prior / (1 - prior)) + np.where(said == 1, np.log(right[:, 0] / (1 - right[:, 1])), np.where(said == -1, np.log((1 - right[:, 0]) / right[:, 1]), 0)).sum(axis=1)
+    assert lone.sum() > 300 and truth[lone].mean() > 0.99 and (p[lone] > 0).all()
+    assert ((p > 0) == truth).mean() > 0.97 > ((said != -1).all(axis=1) == truth).mean() + 0.1
+    prior, right = quality_rules.maximise(np.zeros((0, 5), int), np.zeros(0))
+    assert 0 < prior < 1 and right.shape == (5, 2)
+
+
+def test_verdicts_by_brute_force(spark, texts):
+    """Votes, accuracies and posteriors of the query, from the texts in plain Python."""
+    got = {r.doc_id: r for r in queries()["op1_quality_rules"](spark, SMALL).collect()}
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    stats = text_stats.stats(pa.array([r.text for r in rows]))
+    votes = []
+    for k in range(len(rows)):
+        row = []
+        for top, under, low, high, below, above in quality_rules.RULES.values():
+            x = stats[top][k] / max(stats[under][k], 1)
+            row.append(0 if not stats["n_words"][k] else 1 if low <= x <= high else -1 if x < below or x > above else 0)
+        votes.append(row)
+    prior, right = quality_rules.maximise(np.array(votes), np.ones(len(votes)))
+    for r, row in zip(rows, votes, strict=True):
+        p, q = prior, 1 - prior
+        for v, (a, b) in zip(row, right.tolist(), strict=True):
+            p, q = (p * a, q * (1 - b)) if v == 1 else (p * (1 - a), q * b) if v == -1 else (p, q)
+        assert got[r.doc_id].quality == pytest.approx(p / (p + q), abs=1e-6)
+        assert got[r.doc_id].kept == (not got[r.doc_id].base_failed and p >= q)
 
 
 def test_quality_rules_on_hard_rows(spark, hard):
@@ -91,6 +150,29 @@ def test_classifier_on_held_out_documents(spark):
     assert np.mean([g > b for g in good for b in bad]) > 0.97 and np.mean([(r.score >= 0.7) == r.quality for r in held]) > 0.93
 
 
+def test_classifier_by_direct_solution(spark):
+    """Features, normal equations and calibration over all labelled rows at once, without Spark."""
+    big = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{big}/documents.parquet").join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").orderBy("doc_id").collect()
+    bucket = np.array([zlib.crc32(str(r.doc_id).encode()) % 4 for r in rows])
+    x, y = quality_classifier.features(pa.array([r.text for r in rows])), np.array([r.quality for r in rows], float)
+    train, rest = bucket < 2, bucket == 3
+    mean, scale = x[train].mean(axis=0), x[train].std(axis=0)
+    z = quality_classifier.fourier((x - mean) / np.where(scale > 1e-9, scale, 1.0))
+    weights = np.linalg.solve(z[train].T @ z[train] + quality_classifier.RIDGE * np.eye(z.shape[1]), z[train].T @ y[train])
+    steps = np.round(np.clip(z[rest] @ weights, -1, 2) / quality_classifier.STEP).astype(int)
+    # isotonic regression as the largest of smallest means
+    kinds = np.unique(steps)
+    p, n = np.array([y[rest][steps == k].sum() for k in kinds]), np.array([(steps == k).sum() for k in kinds])
+    level = [max(min(p[a : b + 1].sum() / n[a : b + 1].sum() for b in range(k, len(kinds))) for a in range(k + 1)) for k in range(len(kinds))]
+    blocks = [np.flatnonzero(np.isclose(level, v, atol=1e-12)) for v in np.unique(np.round(level, 12))]
+    knots = np.array([-1.0, *((kinds[b] * n[b]).sum() / n[b].sum() * quality_classifier.STEP for b in blocks), 2.0])
+    levels = np.array([level[0], *(level[b[0]] for b in blocks), level[-1]])
+    want = np.clip(np.interp(z @ weights, knots, 0.999 * levels + 0.001 * (knots + 1) / 3), 0, 1)
+    got = {r.doc_id: r.score for r in queries()["op4_quality_classifier"](spark, big).collect()}
+    assert np.abs(np.array([got[r.doc_id] for r in rows]) - want).max() < 1e-6
+
+
 def test_classifier_on_hard_rows(spark, hard):
     labels = spark.createDataFrame([(None, 1), (7, None), (100, 1), (101, 0), (102, 1), (102, 1), (999, 0)], "doc_id long, quality int")
     assert quality_classifier.classify(hard, labels).count() == hard.count()
