@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quadloom.functions import iris
 from quadloom.functions import terms as t
 
 
@@ -21,6 +22,11 @@ def _int(c: Column) -> Column:
     return t.literal(c.cast("string"), t.INTEGER)
 
 
+def _made(dt: str, value: Column) -> Column:
+    """Literal of a long expression."""
+    return t.once(value.cast("string"), lambda lex: t.literal(lex, dt))
+
+
 def _fits(a: Column, b: Column) -> Column:
     """Arguments are compatible if the second has no language or the first's."""
     return t.is_string(a) & t.is_string(b) & (b.lang.isNull() | b.lang.eqNullSafe(a.lang))
@@ -42,8 +48,8 @@ def datatype(a: Column) -> Column:
 
 
 def iri(a: Column, base: str = "") -> Column:
-    """IRI of a string or IRI; one without a scheme is appended to base."""
-    return t.iri(F.when((a.kind == t.IRI) | (a.dt == t.STRING), F.when(a.lex.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), a.lex).otherwise(F.concat(F.lit(base), a.lex))))
+    """IRI of a string or IRI, resolved against base."""
+    return t.iri(F.when((a.kind == t.IRI) | (a.dt == t.STRING), iris.resolved(a.lex, base)))
 
 
 def bnode(row: Column, a: Column | None = None) -> Column:
@@ -154,82 +160,120 @@ def lang_matches(tag: Column, wanted: Column) -> Column:
     return _bool(F.when(b == "*", a != "").otherwise((a == b) | F.startswith(a, F.concat(b, F.lit("-")))))
 
 
-def _pattern(pattern: str, flags: str) -> str:
+def _pattern(pattern: str | Column, flags: str) -> Column:
+    """A pattern (text, or a column of string terms) with SPARQL's flags put into it."""
+    text = F.lit(pattern) if isinstance(pattern, str) else t.string_of(pattern)
     inline = "".join(f for f in flags if f in "smix")
-    return (f"(?{inline})" if inline else "") + (f"\\Q{pattern}\\E" if "q" in flags else pattern)
+    if "q" in flags:
+        text = F.concat(F.lit("\\Q"), text, F.lit("\\E"))
+    return F.concat(F.lit(f"(?{inline})"), text) if inline else text
 
 
-def regex(a: Column, pattern: str, flags: str = "") -> Column:
-    return _bool(t.string_of(a).rlike(_pattern(pattern, flags)))
+def regex(a: Column, pattern: str | Column, flags: str = "") -> Column:
+    return _bool(F.regexp_like(t.string_of(a), _pattern(pattern, flags)))
 
 
-def replace(a: Column, pattern: str, by: str, flags: str = "") -> Column:
+def replace(a: Column, pattern: str | Column, by: str | Column, flags: str = "") -> Column:
     """An error if the pattern matches the empty string."""
-    text = F.regexp_replace(t.string_of(a), _pattern(pattern, flags), by)
-    return _of(a, F.when(~F.lit("").rlike(_pattern(pattern, flags)), text))
+    found = _pattern(pattern, flags)
+    text = F.regexp_replace(t.string_of(a), found, F.lit(by) if isinstance(by, str) else t.string_of(by))
+    return _of(a, F.when(~F.regexp_like(F.lit(""), found), text))
 
 
 # numbers
 
 
-def _numeric(a: Column, exact, approximate) -> Column:
-    """Result in the argument's own type: exact over decimals, approximate over doubles."""
-    whole = t.literal(exact(t.decimal_of(a)).cast("decimal(38,0)").cast("string"), t.INTEGER)
-    return F.when(t.is_integer(a), whole).when(t.is_exact(a), t.literal(_plain(exact(t.decimal_of(a))), t.DECIMAL)).when(t.is_numeric(a), F.struct(a.kind.alias("kind"), approximate(t.double_of(a)).cast("string").alias("lex"), a.dt.alias("dt"), a.lang.alias("lang")))
+def _numeric(a: Column, whole, exact, approximate) -> Column:
+    """Result in the argument's own type: whole over integers of 38 digits, exact over decimals, approximate over doubles."""
+    integer, number = a.lex.try_cast("decimal(38,0)"), t.parsed(a.lex)
+    value = (
+        F.when(a.dt.isin(t.INTEGERS), F.when(a.lex.rlike(t.INTEGER_FORM), whole(integer).cast("string")))
+        .when(a.dt == t.DECIMAL, _plain(exact(t.decimal_of(a))))
+        .when(a.dt.isin(t.FLOAT, t.DOUBLE) & a.lex.rlike(t.DOUBLE_FORM), _double_text(approximate(number)))
+    )
+    dt = F.when(a.dt.isin(t.INTEGERS), t.INTEGER).otherwise(a.dt)
+    return t.once(F.struct(value.alias("lex"), dt.alias("dt")), lambda x: t.typed(x.lex, x.dt))
 
 
 def _plain(x: Column) -> Column:
-    """A decimal without trailing zeros."""
-    return F.regexp_replace(F.regexp_replace(x.cast("decimal(28,8)").cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    """A decimal without trailing zeros; null beyond 28 digits."""
+    return F.regexp_replace(F.regexp_replace(x.try_cast("decimal(28,8)").cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+
+
+def _double_text(x: Column) -> Column:
+    return F.replace(x.cast("string"), F.lit("Infinity"), F.lit("INF"))
+
+
+def _same(x: Column) -> Column:
+    return x
+
+
+def _stepped(step):
+    """A rounding that Spark does by way of 64-bit integers; doubles that large have no fraction, and stay."""
+    return lambda x: F.when(F.abs(x) < float(1 << 52), step(x).cast("double")).otherwise(x)
 
 
 def abs_(a: Column) -> Column:
-    return _numeric(a, F.abs, F.abs)
+    return _numeric(a, F.abs, F.abs, F.abs)
 
 
 def ceil(a: Column) -> Column:
-    return _numeric(a, F.ceil, lambda x: F.ceil(x).cast("double"))
+    return _numeric(a, _same, F.ceil, _stepped(F.ceil))
 
 
 def floor(a: Column) -> Column:
-    return _numeric(a, F.floor, lambda x: F.floor(x).cast("double"))
+    return _numeric(a, _same, F.floor, _stepped(F.floor))
 
 
 def round_(a: Column) -> Column:
     """Ties go up."""
-    return _numeric(a, lambda x: F.floor(x + F.lit(0.5).cast("decimal(2,1)")), lambda x: F.floor(x + 0.5).cast("double"))
+    return _numeric(a, _same, lambda x: F.floor(x + F.lit(0.5).cast("decimal(2,1)")), _stepped(lambda x: F.floor(x + 0.5)))
 
 
 def rand() -> Column:
     return t.literal(F.rand().cast("string"), t.DOUBLE)
 
 
-def _arithmetic(a: Column, b: Column, exact, approximate, integral: bool = True) -> Column:
-    both = exact(t.decimal_of(a).cast("decimal(20,8)"), t.decimal_of(b).cast("decimal(20,8)"))
-    whole = t.literal(both.cast("decimal(38,0)").cast("string"), t.INTEGER)
-    some = t.literal(_plain(both), t.DECIMAL)
-    return F.when(t.is_integer(a) & t.is_integer(b), whole if integral else some).when(t.is_exact(a) & t.is_exact(b), some).when(t.is_numeric(a) & t.is_numeric(b), t.literal(approximate(t.double_of(a), t.double_of(b)).cast("string"), t.DOUBLE))
+def _arithmetic(a: Column, b: Column, whole, exact, approximate) -> Column:
+    """Integers by whole over 38 digits, exact numbers by exact over decimals of a given type, others over doubles; null (an error) beyond the digits."""
+    integers = a.dt.isin(t.INTEGERS) & b.dt.isin(t.INTEGERS)
+    valid = t.is_numeric(a) & t.is_numeric(b)
+    some = _plain(exact(t.decimal_of(a), t.decimal_of(b)))
+    all_ = some if whole is None else whole(a.lex.try_cast("decimal(38,0)"), b.lex.try_cast("decimal(38,0)")).cast("string")
+    both = a.dt.isin(*t.INTEGERS, t.DECIMAL) & b.dt.isin(*t.INTEGERS, t.DECIMAL)
+    value = F.when(valid, F.when(integers, all_).when(both, some).otherwise(_double_text(approximate(t.parsed(a.lex), t.parsed(b.lex)))))
+    floats = F.when((a.dt == t.DOUBLE) | (b.dt == t.DOUBLE), t.DOUBLE).otherwise(t.FLOAT)
+    dt = F.when(integers, F.lit(t.DECIMAL if whole is None else t.INTEGER)).when(both, t.DECIMAL).otherwise(floats)
+    return t.once(F.struct(value.alias("lex"), dt.alias("dt")), lambda x: t.typed(x.lex, x.dt))
 
 
 def add(a: Column, b: Column) -> Column:
-    return _arithmetic(a, b, F.try_add, F.try_add)
+    return _arithmetic(a, b, F.try_add, F.try_add, F.try_add)
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return _arithmetic(a, b, F.try_subtract, F.try_subtract)
+    return _arithmetic(a, b, F.try_subtract, F.try_subtract, F.try_subtract)
 
 
 def multiply(a: Column, b: Column) -> Column:
-    return _arithmetic(a, b, F.try_multiply, F.try_multiply)
+    def exact(x: Column, y: Column) -> Column:  # Spark keeps 8 places of a product only for narrower factors
+        return F.coalesce(F.try_multiply(x.try_cast("decimal(20,8)"), y.try_cast("decimal(20,8)")).try_cast("decimal(28,8)"), F.try_multiply(x, y).try_cast("decimal(28,8)"))
+
+    return _arithmetic(a, b, F.try_multiply, exact, F.try_multiply)
 
 
 def divide(a: Column, b: Column) -> Column:
-    """Integers divide to a decimal; division of exact numbers by zero is an error."""
-    return _arithmetic(a, b, F.try_divide, F.try_divide, integral=False)
+    """Integers divide to a decimal; division of exact numbers by zero is an error, of doubles it is not."""
+
+    def approximate(x: Column, y: Column) -> Column:
+        nothing = F.when((x == 0) | F.isnan(x), float("nan")).when(x > 0, float("inf")).otherwise(float("-inf"))
+        return F.coalesce(F.try_divide(x, y), nothing)
+
+    return _arithmetic(a, b, None, F.try_divide, approximate)
 
 
 def minus(a: Column) -> Column:
-    return _numeric(a, F.negative, F.negative)
+    return _numeric(a, F.negative, F.negative, F.negative)
 
 
 # times, read from the lexical form so that the offset is not applied
@@ -303,32 +347,52 @@ def sha512(a: Column) -> Column:
     return t.literal(F.sha2(t.string_of(a), 512))
 
 
-# casts
+# casts: one branch for each datatype that can be cast, so that a row is tested once
+
+
+def _cast(a: Column, whole, exact, approximate, text, flag) -> Column:
+    """Values by the argument's datatype, of its lexical form; flag is given the value itself."""
+    lex = a.lex
+    return (
+        F.when(a.dt.isin(t.FLOAT, t.DOUBLE), F.when(lex.rlike(t.DOUBLE_FORM), approximate(lex)))
+        .when(a.dt.isin(t.INTEGERS), F.when(lex.rlike(t.INTEGER_FORM), whole(lex)))
+        .when(a.dt == t.DECIMAL, F.when(lex.rlike(t.DECIMAL_FORM), exact(lex)))
+        .when(a.dt.isin(t.STRING, t.LANG_STRING), text(lex))
+        .when(a.dt == t.BOOLEAN, flag(F.when(lex.isin("true", "1"), 1).when(lex.isin("false", "0"), 0)))
+    )
 
 
 def to_boolean(a: Column) -> Column:
-    number = t.double_of(a)
-    return F.coalesce(_bool(t.boolean_of(a)), _bool((number != 0) & ~F.isnan(number)), _bool(F.when(t.string_of(a).isin("true", "1"), True).when(t.string_of(a).isin("false", "0"), False)))
+    def number(lex: Column) -> Column:
+        value = t.parsed(lex)
+        return (value != 0) & ~F.isnan(value)
+
+    words = lambda lex: F.when(lex.isin("true", "1"), True).when(lex.isin("false", "0"), False)
+    return _made(t.BOOLEAN, _cast(a, number, number, number, words, lambda x: x == 1))
 
 
 def to_integer(a: Column) -> Column:
-    """Truncates numbers; strings must look like integers."""
-    number = F.when(t.is_exact(a), F.regexp_extract(a.lex, r"^([+-]?[0-9]*)", 1).try_cast("decimal(38,0)"))
-    rounded = F.when(t.is_numeric(a) & ~F.isnan(t.double_of(a)), (F.signum(t.double_of(a)) * F.floor(F.abs(t.double_of(a)))).try_cast("decimal(38,0)"))
-    text = F.when(t.string_of(a).rlike(t.INTEGER_FORM), a.lex.try_cast("decimal(38,0)"))
-    flag = t.boolean_of(a).cast("int").cast("decimal(38,0)")
-    return _int(F.coalesce(number, rounded, text, flag))
+    """Truncates numbers; strings must look like integers. Null beyond 38 digits."""
+    wide = "decimal(38,0)"
+
+    def approximate(lex: Column) -> Column:
+        value = t.parsed(lex)
+        return F.when(F.abs(value) < 9e18, value.try_cast("bigint").cast("string")).otherwise(value.try_cast(wide).cast("string"))
+
+    whole = lambda lex: F.coalesce(lex.try_cast("bigint").cast("string"), lex.try_cast(wide).cast("string"))
+    exact = lambda lex: F.coalesce(whole(F.substring_index(lex, ".", 1)), F.lit("0"))
+    return _made(t.INTEGER, _cast(a, whole, exact, approximate, lambda lex: F.when(lex.rlike(t.INTEGER_FORM), whole(lex)), lambda x: x.cast("string")))
 
 
 def to_decimal(a: Column) -> Column:
-    text = F.when(t.string_of(a).rlike(t.DECIMAL_FORM), a.lex.try_cast("decimal(28,8)"))
-    return t.literal(_plain(F.coalesce(t.decimal_of(a), t.double_of(a).try_cast("decimal(28,8)"), text, t.boolean_of(a).cast("int").cast("decimal(28,8)"))), t.DECIMAL)
+    exact = lambda lex: lex.try_cast("decimal(28,8)")
+    text = lambda lex: F.when(lex.rlike(t.DECIMAL_FORM), exact(lex))
+    return _made(t.DECIMAL, _plain(_cast(a, exact, exact, lambda lex: t.parsed(lex).try_cast("decimal(28,8)"), text, lambda x: x.cast("decimal(28,8)"))))
 
 
 def _float(a: Column, kind: str, dt: str) -> Column:
-    text = F.when(t.string_of(a).rlike(t.DOUBLE_FORM), F.regexp_replace(a.lex, "INF$", "Infinity").try_cast(kind))
-    value = F.coalesce(t.double_of(a).cast(kind), text, t.boolean_of(a).cast("int").cast(kind))
-    return t.literal(F.replace(value.cast("string"), F.lit("Infinity"), F.lit("INF")), dt)
+    number = lambda lex: t.parsed(lex, kind)
+    return _made(dt, _double_text(_cast(a, number, number, number, lambda lex: F.when(lex.rlike(t.DOUBLE_FORM), number(lex)), lambda x: x.cast(kind))))
 
 
 def to_float(a: Column) -> Column:

@@ -24,7 +24,7 @@ LANG_STRING, TYPE, SUBCLASS = RDF + "langString", RDF + "type", RDFS + "subClass
 INTEGERS = [XSD + n for n in ("integer", "int", "long", "short", "byte", "nonNegativeInteger", "positiveInteger", "nonPositiveInteger", "negativeInteger", "unsignedLong", "unsignedInt", "unsignedShort", "unsignedByte")]
 #: Lexical forms of numbers and times.
 INTEGER_FORM, DECIMAL_FORM = r"^[+-]?[0-9]+$", r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$"
-DOUBLE_FORM = r"^([+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?|[+-]?INF|NaN)$"
+DOUBLE_FORM = r"^(?:[+-]?(?:[0-9]++(?:\.[0-9]*+)?|\.[0-9]++)(?:[eE][+-]?[0-9]++)?|[+-]?INF|NaN)$"
 DATETIME_FORM = r"^(-?[0-9]{4,})-([0-9]{2})-([0-9]{2})T([0-9]{2}):([0-9]{2}):([0-9]{2}(?:\.[0-9]+)?)(Z|[+-][0-9]{2}:[0-9]{2})?$"
 
 
@@ -34,6 +34,11 @@ def _term(kind: int, lex: Column, dt: Column | None = None, lang: Column | None
     return F.when(lex.isNotNull(), made)
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with value evaluated once however often use names it; keeps long expressions from multiplying when they nest."""
+    return F.transform(F.array(value), use)[0]
+
+
 def iri(lex: Column | str) -> Column:
     """IRI of a column, or of a Python string as a constant."""
     return _term(IRI, F.lit(lex) if isinstance(lex, str) else lex)
@@ -47,6 +52,11 @@ def literal(lex: Column, dt: str = STRING) -> Column:
     return _term(LITERAL, lex, F.lit(dt))
 
 
+def typed(lex: Column, dt: Column) -> Column:
+    """Literal whose datatype is a column of IRIs."""
+    return _term(LITERAL, lex, dt)
+
+
 def tagged(lex: Column, lang: Column) -> Column:
     """Language-tagged string; tags compare in lower case."""
     return _term(LITERAL, lex, F.lit(LANG_STRING), F.lower(lang))
@@ -88,14 +98,18 @@ def is_numeric(t: Column) -> Column:
     return is_exact(t) | ((t.kind == LITERAL) & t.dt.isin(FLOAT, DOUBLE) & t.lex.rlike(DOUBLE_FORM))
 
 
+def parsed(lex: Column, kind: str = "double") -> Column:
+    """A number's lexical form as double or float; null if Spark cannot read it."""
+    return F.when(lex.endswith("INF"), F.replace(lex, F.lit("INF"), F.lit("Infinity"))).otherwise(lex).try_cast(kind)
+
+
 def double_of(t: Column) -> Column:
     """Numeric value as a double, null for anything else."""
-    text = F.regexp_replace(t.lex, "INF$", "Infinity")
-    return F.when(is_numeric(t), text.try_cast("double"))
+    return F.when(is_numeric(t), parsed(t.lex))
 
 
 def decimal_of(t: Column) -> Column:
-    """Value of an integer or decimal at 20 digits, 8 of them fractional."""
+    """Value of an integer or decimal at 28 digits, 8 of them fractional."""
     return F.when(is_exact(t), t.lex.try_cast("decimal(28,8)"))
 
 
@@ -114,8 +128,10 @@ def string_of(t: Column) -> Column:
 
 
 def effective(t: Column) -> Column:
-    """Effective boolean value; null (an error) for terms that have none."""
-    return F.coalesce(boolean_of(t), F.when(is_string(t), F.length(t.lex) > 0), F.when(is_numeric(t), (double_of(t) != 0) & ~F.isnan(double_of(t))))
+    """Effective boolean value: false for booleans and numbers with an ill-formed text, null (an error) for terms that have none."""
+    number = parsed(t.lex)
+    fine = (number != 0) & ~F.isnan(number) & t.lex.rlike(DOUBLE_FORM) & (~t.dt.isin(INTEGERS) | t.lex.rlike(INTEGER_FORM))
+    return F.when(t.dt == BOOLEAN, t.lex.isin("true", "1")).when(t.dt.isin(STRING, LANG_STRING), F.length(t.lex) > 0).when(t.dt.isin(*INTEGERS, DECIMAL, FLOAT, DOUBLE), F.coalesce(fine, F.lit(False)))
 
 
 # comparison by value

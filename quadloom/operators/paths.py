@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from quadloom.functions import terms
 
 
+#: Rounds after which what they found is merged into one checkpoint.
+MERGED = 16
+
+
 def link(quads: DataFrame, predicate: str) -> DataFrame:
     return quads.where(F.col("p") == terms.iri(predicate)).select("s", "o").distinct()
 
@@ -66,11 +70,13 @@ def one_or_more(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
     edges = edges.distinct().checkpoint()
     steps = edges.select(F.col("s").alias("__m"), F.col("o").alias("__n"))
     new = edges if start is None else edges.join(start.select("s").distinct(), "s", "left_semi")
-    found = new
+    found, rounds = new, 0
     while not new.isEmpty():
         grown = new.join(steps, new["o"] == steps["__m"]).select("s", F.col("__n").alias("o")).distinct()
         new = grown.join(found, ["s", "o"], "left_anti").checkpoint()
-        found = found.union(new)  # each round is cut off already
+        found, rounds = found.union(new), rounds + 1  # each round is cut off already
+        if rounds % MERGED == 0:
+            found = found.checkpoint()
     return found
 
 
@@ -80,7 +86,11 @@ def zero_or_more(edges: DataFrame, start: DataFrame | None = None, every: DataFr
 
 
 def ensure_checkpoints(df: DataFrame) -> None:
-    """Uses the session's checkpoint folder; sets one of our own only where none is set."""
+    """Uses the session's checkpoint folder. Where none is set, one of our own in local mode, and an error on a cluster."""
     sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.functions import terms
-from quadloom.operators.paths import ensure_checkpoints
+from quadloom.operators.paths import MERGED, ensure_checkpoints
 from quadloom.operators.solutions import Solutions
 
 #: A pattern's place: "?name", an IRI as text, or a term column.
@@ -77,14 +77,23 @@ def construct_where(quads: DataFrame, *patterns: tuple) -> DataFrame:
 
 
 def describe(quads: DataFrame, described: DataFrame) -> DataFrame:
-    """Distinct triples about the terms in described's column s, and about the blank nodes these lead to, round by round until none is new."""
+    """Distinct triples about the terms in described's column s, and about the blank nodes these lead to, round by round until none is new.
+
+    Rounds after the first look among the triples about blank nodes only, which are
+    made distinct and kept once; what is found is one checkpoint every few rounds.
+    """
     ensure_checkpoints(quads)
-    triples = quads.select("s", "p", "o").distinct()
-    out = triples.join(described.select("s").distinct(), "s", "left_semi")
+    triples = quads.select("s", "p", "o")
+    out = triples.join(described.select("s").distinct(), "s", "left_semi").distinct().checkpoint()
     frontier = out.where("o.kind = 1").select(F.col("o").alias("s")).distinct()
+    if frontier.isEmpty():
+        return out
+    blanks, rounds = triples.where("s.kind = 1").distinct().checkpoint(), 0
     while not frontier.isEmpty():
-        more = triples.join(frontier, "s", "left_semi").join(out, ["s", "p", "o"], "left_anti").checkpoint()
-        out = out.union(more)
+        more = blanks.join(frontier, "s", "left_semi").join(out, ["s", "p", "o"], "left_anti").checkpoint()
+        out, rounds = out.union(more), rounds + 1
+        if rounds % MERGED == 0:
+            out = out.checkpoint()
         frontier = more.where("o.kind = 1").select(F.col("o").alias("s")).distinct()
     return out
 

@@ -166,21 +166,28 @@ def json_ld(quads: DataFrame, *keys: str) -> DataFrame:
     member = F.concat(quoted(F.col("p.lex")), F.lit(":["), F.col("values"), F.lit("]"))
     by_subject = by_predicate.groupBy(*keys, "g", "s").agg(F.array_join(F.array_sort(F.collect_list(member)), ",").alias("members"))
     body = F.concat(F.lit('{"@id":'), quoted(node(F.col("s"))), F.lit(","), F.col("members"), F.lit("}"))
+    body = F.when(F.col("s").isNotNull(), body)
     return by_subject.select(*keys, F.when(F.col("g").isNull(), body).otherwise(F.concat(F.lit('{"@id":'), quoted(node(F.col("g"))), F.lit(',"@graph":['), body, F.lit("]}"))).alias("value"))
 
 
-def html_rows(quads: DataFrame) -> DataFrame:
-    """A table row for each triple; the graph's name is dropped."""
+def html_row() -> Column:
+    """A table row for a triple; the graph's name is dropped."""
     cells = [F.concat(F.lit("<td>"), html_escaped(terms.n_triples(F.col(c))), F.lit("</td>")) for c in ("s", "p", "o")]
-    return quads.select(F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("value"))
+    return F.concat(F.lit("<tr>"), *cells, F.lit("</tr>"))
 
 
-def html(quads: DataFrame) -> DataFrame:
-    """The table in one text, its caption saying how many triples it has."""
-    rows = html_rows(quads)
-    body = F.array_join(F.array_sort(F.collect_list("value")), "")
+def html_table(counted: Column, row: Column) -> Column:
+    """Aggregate: the table in one text, its caption saying how many triples it has."""
     head = "<thead><tr><th>subject</th><th>predicate</th><th>object</th></tr></thead>"
-    return rows.agg(F.concat(F.lit('<table class="rdf"><caption>'), F.count(F.lit(1)).cast("string"), F.lit(f" triples</caption>{head}<tbody>"), body, F.lit("</tbody></table>")).alias("value"))
+    return F.concat(F.lit('<table class="rdf"><caption>'), F.count(counted).cast("string"), F.lit(f" triples</caption>{head}<tbody>"), F.array_join(F.array_sort(F.collect_list(row)), ""), F.lit("</tbody></table>"))
+
+
+def html_rows(quads: DataFrame) -> DataFrame:
+    return quads.select(html_row().alias("value"))
+
+
+def html(quads: DataFrame) -> DataFrame:
+    return html_rows(quads).agg(html_table(F.col("value"), F.col("value")).alias("value"))
 
 
 def graph_rows(quads: DataFrame, form: str) -> tuple[DataFrame, tuple[str, str, str]]:
@@ -193,7 +200,7 @@ def graph_rows(quads: DataFrame, form: str) -> tuple[DataFrame, tuple[str, str,
 
 
 def grouped(quads: DataFrame, form: str) -> DataFrame:
-    """(uri, value): each document's quads (column uri) in a nested syntax."""
-    rows = {"turtle": turtle, "trig": trig, "rdfxml": rdf_xml, "jsonld": json_ld}[form](quads, "uri")
+    """(uri, value): each document's quads (columns doc, uri) in a nested syntax."""
+    rows = {"turtle": turtle, "trig": trig, "rdfxml": rdf_xml, "jsonld": json_ld}[form](quads, "doc", "uri")
     before, between, after = RDF_XML if form == "rdfxml" else JSON_LD if form == "jsonld" else ("", "\n", "\n")
-    return rows.groupBy("uri").agg(F.concat(F.lit(before), F.array_join(F.array_sort(F.collect_list("value")), between), F.lit(after)).alias("value"))
+    return rows.groupBy("doc", "uri").agg(F.concat(F.lit(before), F.array_join(F.array_sort(F.collect_list("value")), between), F.lit(after)).alias("value")).drop("doc")

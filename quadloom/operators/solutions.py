@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-#: Most solutions of the smaller side of a product.
+#: Most solutions of a side that a product sends to every task.
 PRODUCT = 1000
 
 
@@ -63,10 +63,8 @@ class Solutions:
         return bound.union(left_open).union(right_open)
 
     def product(self, other: Solutions) -> Solutions:
-        """All pairs. One side must have PRODUCT rows at most, which is looked up; two large sides are an error."""
+        """All pairs, which is what patterns without a shared variable mean. A side of PRODUCT rows at most, which is looked up, is broadcast."""
         small = next((s for s in (other, self) if len(s.df.take(PRODUCT + 1)) <= PRODUCT), None)
-        if small is None:
-            raise ValueError(f"no shared variable, and both sides have more than {PRODUCT} solutions")
         left, right = (F.broadcast(s.df) if s is small else s.df for s in (self, other))
         return Solutions(left.join(right, F.lit(True)), self.maybe | other.maybe)
 

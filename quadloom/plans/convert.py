@@ -57,26 +57,28 @@ class Registry:
 
 
 def convert_graphs(documents: DataFrame, to: str) -> DataFrame:
-    """Graph documents in another syntax; their own is sniffed. One text row for each document, in order of uri's own statements."""
+    """Graph documents in another syntax; their own is sniffed. One text row for each document, its statements in order.
+
+    A document without statements gives an empty one, and rows that share a uri stay apart.
+    """
     form = media.target_format(to)
     text = documents.withColumn("media_type", rdf_syntax(F.col("content"))).withColumn("content", F.col("content").cast("string"))
-    quads = rdf_text.documents(text)
+    quads = rdf_text.documents(text, keep=True)
     return _per_document(quads, form).select("uri", F.col("value").cast("binary").alias("content"), F.lit(media.base(to)).alias("media_type"))
 
 
 def _per_document(quads: DataFrame, form: str) -> DataFrame:
-    """(uri, value): the serialisation of each document's quads."""
-    cells = {"html": ("s", "p", "o"), "ntriples": ("s", "p", "o"), "nquads": ("s", "p", "o", "g")}.get(form)
+    """(uri, value): the serialisation of each document's quads; rows without a quad stand for the document alone."""
+    cells = {"ntriples": ("s", "p", "o"), "nquads": ("s", "p", "o", "g")}.get(form)
     if cells:
-        text = [serialize.terms.n_triples(F.col(c)) for c in cells]
-        line = F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td>"), serialize.html_escaped(x), F.lit("</td>")) for x in text), F.lit("</tr>")) if form == "html" else F.concat_ws(" ", *text, F.lit("."))
-        held = F.array_sort(F.collect_list(line))
-        if form != "html":
-            return quads.groupBy("uri").agg(F.concat(F.array_join(held, "\n"), F.lit("\n")).alias("value"))
-        head = "<thead><tr><th>subject</th><th>predicate</th><th>object</th></tr></thead>"
-        return quads.groupBy("uri").agg(F.concat(F.lit('<table class="rdf"><caption>'), F.count(F.lit(1)).cast("string"), F.lit(f" triples</caption>{head}<tbody>"), F.array_join(held, ""), F.lit("</tbody></table>")).alias("value"))
-    # nested syntaxes group by subject first: the document's uri rides along as part of the key
-    return serialize.grouped(quads, form)
+        line = F.when(F.col("s").isNotNull(), F.concat_ws(" ", *(serialize.terms.n_triples(F.col(c)) for c in cells), F.lit(".")))
+        whole = F.array_join(F.array_sort(F.collect_list(F.concat(line, F.lit("\n")))), "")
+    elif form == "html":
+        whole = serialize.html_table(F.col("s"), serialize.html_row())
+    else:
+        # nested syntaxes group by subject first: the document rides along as part of the key
+        return serialize.grouped(quads, form)
+    return quads.groupBy("doc", "uri").agg(whole.alias("value")).drop("doc")
 
 
 def default_registry() -> Registry:

@@ -71,20 +71,30 @@ class Dataset:
         return reduce(lambda a, b: a.union(b), parts)
 
 
+#: Endings of files whose every line is a statement.
+LINES = (".nt", ".nq", ".nt.gz", ".nq.gz", ".ntriples", ".nquads")
+
+
 def _file(spark: SparkSession, uri: str) -> DataFrame:
+    """A file or folder: quads if its name tells that lines are statements, so that large files split; else documents."""
+    if uri.endswith(LINES):
+        text = spark.read.text(uri).select("value", F.col("_metadata.file_path").alias("uri"))
+        return rdf_text.lines(text, rdf_text.scope_of(F.col("uri")))
     files = spark.read.format("binaryFile").load(uri)
     return files.select(F.col("path").alias("uri"), "content", F.lit(None).cast("string").alias("media_type"))
 
 
 def _read(documents: DataFrame) -> DataFrame:
-    """Quads of documents by media type, or by sniffing where that is no graph format. Line syntaxes split freely, so their lines are read natively."""
+    """Quads of documents by media type, or by sniffing where that is no graph format. Quads stay as they are."""
+    if "content" not in documents.columns:
+        return documents
     form = F.coalesce(media.graph_format_column(F.col("media_type")), media.graph_format_column(rdf_syntax(F.col("content"))))
     text = documents.select("uri", F.col("content").cast("string").alias("content"), form.alias("form"))
-    each = text.where("form in ('ntriples', 'nquads')").select(F.explode(F.split("content", "\n")).alias("value"))
+    each = text.where("form in ('ntriples', 'nquads')").select("uri", F.explode(F.split("content", "\n")).alias("value"))
     nested = text.where("form not in ('ntriples', 'nquads')")
     names = F.create_map(*(F.lit(x) for k, v in media.GRAPH_FORMATS.items() for x in (v, k)))
-    quads = rdf_text.documents(nested.select("uri", "content", F.element_at(names, F.col("form")).alias("media_type")))
-    return rdf_text.lines(each).union(quads.select("g", "s", "p", "o"))
+    quads = rdf_text.documents(nested.select("uri", "content", F.element_at(names, F.col("form")).alias("media_type")), base=True)
+    return rdf_text.lines(each, rdf_text.scope_of(F.col("uri"))).union(quads.select("g", "s", "p", "o"))
 
 
 def answer(result: Solutions | DataFrame, as_: str | None = None) -> tuple[str, DataFrame]:

@@ -359,10 +359,11 @@ def fn_string(t):
 
 @query("SELECT c_custkey AS k, abs(c_acctbal) AS a, ceil(c_acctbal) AS c, floor(c_acctbal) AS f, floor(c_acctbal + 0.5::DOUBLE) AS r, c_acctbal * 2 AS m, c_nationkey::DOUBLE / 4 AS d, (c_nationkey - 7)::DOUBLE AS s FROM customer")
 def fn_numeric(t):
-    x, n = terms.of_native(F.col("c_acctbal"), t.customer.df.schema["c_acctbal"].dataType), terms.of_native(F.col("c_nationkey"), t.customer.df.schema["c_nationkey"].dataType)
+    cells = t.customer.df.select(F.col("c_custkey").alias("k"), *(terms.of_native(F.col(c), t.customer.df.schema[c].dataType).alias(c) for c in ("c_acctbal", "c_nationkey")))
+    x, n = F.col("c_acctbal"), F.col("c_nationkey")
     whole = lambda v: terms.literal(F.lit(v), terms.INTEGER)
     made = {"a": scalar.abs_(x), "c": scalar.ceil(x), "f": scalar.floor(x), "r": scalar.round_(x), "m": scalar.multiply(x, whole("2")), "d": scalar.divide(n, whole("4")), "s": scalar.subtract(n, whole("7"))}
-    return t.customer.df.select(F.col("c_custkey").alias("k"), *(terms.double_of(c).alias(v) for v, c in made.items()))
+    return cells.select("k", *(c.alias(v) for v, c in made.items())).select("k", *(terms.double_of(F.col(v)).alias(v) for v in made))
 
 
 @query("""SELECT o_orderkey AS k, year(o_orderdate)::VARCHAR AS y, month(o_orderdate)::VARCHAR AS m, day(o_orderdate)::VARCHAR AS d, hour(o_orderdate)::VARCHAR AS h, minute(o_orderdate)::VARCHAR AS i, '' AS z FROM orders""")
@@ -386,8 +387,9 @@ def fn_cast(t):
     rows = df.select("l_orderkey", *made, terms.literal(F.col("l_returnflag")).alias("flag"))
     rows = rows.withColumn("text", scalar.str_(F.col("l_extendedprice")))
     price, quantity, discount, flag, text = (F.col(c) for c in ("l_extendedprice", "l_quantity", "l_discount", "flag", "text"))
-    whole = lambda c: scalar.to_integer(c).lex.cast("bigint")
-    return rows.select(F.col("l_orderkey").alias("k"), whole(price).alias("i"), whole(quantity).alias("q"), terms.double_of(scalar.to_double(text)).alias("d"), scalar.to_boolean(discount).lex.alias("b"), whole(flag).alias("e"))
+    cast = rows.select(F.col("l_orderkey").alias("k"), scalar.to_integer(price).alias("i"), scalar.to_integer(quantity).alias("q"), scalar.to_double(text).alias("d"), scalar.to_boolean(discount).alias("b"), scalar.to_integer(flag).alias("e"))
+    whole = lambda c: F.col(c).lex.cast("bigint").alias(c)
+    return cast.select("k", whole("i"), whole("q"), terms.double_of(F.col("d")).alias("d"), F.col("b").lex.alias("b"), whole("e"))
 
 
 @query("SELECT doc_id AS k, regexp_matches(text, '[0-9]{3,}') AS n, regexp_matches(text, 'LICEN[CS]E', 'i') AS l, length(regexp_replace(text, '[0-9]+', '#', 'g'))::BIGINT AS r FROM documents")

@@ -3,22 +3,26 @@
 N-Triples and N-Quads are read line by line with native columns and so split freely.
 The nested syntaxes are read a document at a time, by a small reader inside
 mapInPandas; a document is then one row's work, and documents are read in parallel.
-Blank nodes are scoped to their document by a prefix from its URI.
+Blank nodes are scoped to their document by a prefix from its URI. What a reader does
+not know is an error, never passed over.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import xml.etree.ElementTree as ET
-import zlib
 from collections.abc import Iterator
+from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.functions import terms
+from quadloom.functions.iris import resolve
 from quadloom.functions.sniff import JSON_LD, RDF_XML, TURTLE
 from quadloom.functions.terms import RDF, XSD
 
@@ -37,26 +41,32 @@ def _unescaped(text):
     points = F.regexp_extract_all(held, F.lit(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})"), F.lit(0))
     character = lambda x: F.decode(F.unhex(F.lpad(F.substring(x, 3, 8), 8, "0")), "UTF-32")
     held = F.when(held.contains("\\u") | held.contains("\\U"), F.aggregate(points, held, lambda acc, x: F.replace(acc, x, character(x)))).otherwise(held)
-    return F.replace(held, F.lit("﷐"), F.lit("\\"))
+    return F.when(text.contains("\\"), F.replace(held, F.lit("﷐"), F.lit("\\"))).otherwise(text)
 
 
-def lines(text: DataFrame, scope: str = "", strict: bool = True) -> DataFrame:
-    """Quads of N-Triples or N-Quads lines in column value.
+def scope_of(uri):
+    """Prefix of the blank nodes of the document at uri (a column)."""
+    return F.concat(F.lit("d"), F.substring(F.md5(F.coalesce(uri, F.lit(""))), 1, 16), F.lit("-"))
+
+
+def lines(text: DataFrame, scope: str | Column = "", strict: bool = True) -> DataFrame:
+    """Quads of N-Triples or N-Quads lines in column value; scope is put in front of blank nodes' names.
 
     Empty and comment lines give nothing. Another line that is no statement is an
     error when it is read or, if not strict, is passed over.
     """
     x = lambda k: F.nullif(F.col("__part")[k - 1], F.lit(""))
     none = F.lit(None).cast(terms.TERM)
-    node = lambda i, b: F.coalesce(terms.iri(_unescaped(x(i))), terms.blank(F.concat(F.lit(scope), x(b))))
-    raw = F.col("__part")[5]
-    value = F.when(x(8).isNotNull(), terms.tagged(_unescaped(raw), x(8))).when(x(7).isNotNull(), F.struct(F.lit(terms.LITERAL).cast("tinyint").alias("kind"), _unescaped(raw).alias("lex"), x(7).alias("dt"), F.lit(None).cast("string").alias("lang"))).otherwise(terms.literal(_unescaped(raw)))
-    rows = text.where(~F.col("value").rlike(r"^[ \t\r]*(#.*)?$")).select(F.regexp_replace("value", r"\r$", "").alias("value"))
-    fits = F.col("value").rlike(LINE)
-    rows = rows.where(F.when(fits, True).otherwise(F.raise_error(F.concat(F.lit("no statement: "), F.substring("value", 1, 80))).cast("boolean")) if strict else fits)
-    # one match for all groups; a noncharacter parts them
-    rows = rows.select(F.split(F.regexp_replace("value", LINE, "\ufdd1".join(f"${k}" for k in range(1, 11))), "\ufdd1").alias("__part"))
-    return rows.select(F.coalesce(node(9, 10), none).alias("g"), node(1, 2).alias("s"), terms.iri(_unescaped(x(3))).alias("p"), F.coalesce(node(4, 5), value).alias("o"))
+    node = lambda i, b: F.coalesce(terms.iri(_unescaped(x(i))), terms.blank(F.concat(F.col("__scope"), x(b))))
+    rows = text.where(~F.col("value").rlike(r"^[ \t\r]*(#.*)?$")).select(F.regexp_replace("value", r"\r$", "").alias("value"), (F.lit(scope) if isinstance(scope, str) else scope).alias("__scope"))
+    # one match for all groups; a noncharacter parts them, and a line that does not match keeps as it is
+    parted = rows.select("value", "__scope", F.split(F.regexp_replace("value", LINE, "\ufdd1".join(f"${k}" for k in range(1, 11))), "\ufdd1").alias("__part"))
+    fits = F.size("__part") == 10
+    said = F.raise_error(F.concat(F.lit("no statement: "), F.substring("value", 1, 80))).cast("boolean")
+    parted = parted.where(F.when(fits, True).otherwise(said) if strict else fits)
+    named = parted.select("__part", "__scope", F.when(x(4).isNull() & x(5).isNull(), _unescaped(F.col("__part")[5])).alias("__raw"))
+    value = F.when(x(8).isNotNull(), terms.tagged(F.col("__raw"), x(8))).otherwise(terms.typed(F.col("__raw"), F.coalesce(x(7), F.lit(terms.STRING))))
+    return named.select(F.coalesce(node(9, 10), none).alias("g"), node(1, 2).alias("s"), terms.iri(_unescaped(x(3))).alias("p"), F.coalesce(node(4, 5), value).alias("o"))
 
 
 # one document at a time. A term here is a tuple (kind, lex, dt, lang).
@@ -78,7 +88,7 @@ def _plain(text: str) -> str:
 class _Turtle:
     """Turtle and TriG by descent over tokens."""
 
-    def __init__(self, text: str, scope: str):
+    def __init__(self, text: str, scope: str, base: str = ""):
         self.tokens, at = [], 0
         while at < len(text):
             m = _TOKEN.match(text, at)
@@ -87,7 +97,7 @@ class _Turtle:
             if m.lastgroup != "skip":
                 self.tokens.append((m.lastgroup, m[0]))
             at = m.end()
-        self.at, self.scope, self.prefixes, self.base, self.graph, self.fresh = 0, scope, {}, "", None, 0
+        self.at, self.scope, self.prefixes, self.base, self.graph, self.fresh = 0, scope, {}, base, None, 0
 
     def peek(self) -> tuple[str, str]:
         return self.tokens[self.at] if self.at < len(self.tokens) else ("end", "")
@@ -107,7 +117,7 @@ class _Turtle:
         kind, text = found
         if kind == "iri":
             lex = _plain(text[1:-1])
-            return 2, lex if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", lex) else self.base + lex, None, None
+            return 2, resolve(self.base, lex), None, None
         prefix, colon, local = text.partition(":")
         if kind != "name" or not colon or prefix not in self.prefixes:
             raise ValueError(f"no IRI: {text!r}")
@@ -211,132 +221,308 @@ class _Turtle:
 
 
 _R, _X = "{" + RDF + "}", "{http://www.w3.org/XML/1998/namespace}"
+#: Names of the syntax that are no properties.
+_SYNTAX = {_R + n for n in ("RDF", "ID", "about", "parseType", "resource", "nodeID", "datatype", "aboutEach", "aboutEachPrefix", "bagID", "Description")}
+
+
+def _iri(lex: str) -> Term:
+    return 2, lex, None, None
 
 
-def _rdf_xml(text: str, scope: str) -> Iterator[tuple]:
-    """Node and property elements, nested ones included; parse types Resource and Literal text."""
-    fresh = iter(range(1 << 60))
-    tag = lambda e: e.replace("{", "").replace("}", "")
+class _RdfXml:
+    """RDF/XML over a parsed tree."""
 
-    def node(element: ET.Element, lang: str | None) -> tuple[Term, list[tuple]]:
-        lang, out = element.get(_X + "lang", lang), []
+    def __init__(self, text: str, scope: str, base: str = ""):
+        self.root, self.scope, self.base, self.fresh, self.out = ET.fromstring(text), scope, base, 0, []
+
+    def run(self) -> Iterator[tuple]:
+        base, lang = self.around(self.root, self.base, None)
+        for element in self.root if self.root.tag == _R + "RDF" else [self.root]:
+            self.node(element, base, lang)
+        yield from self.out
+
+    def around(self, element: ET.Element, base: str, lang: str | None) -> tuple[str, str | None]:
+        return resolve(base, element.get(_X + "base", base)), element.get(_X + "lang", lang) or None
+
+    def add(self, subject: Term, predicate: Term, value: Term, about: str | None = None) -> None:
+        self.out.append((None, subject, predicate, value))
+        if about is not None:  # a statement with an ID is described as well
+            for name, x in (("type", _iri(RDF + "Statement")), ("subject", subject), ("predicate", predicate), ("object", value)):
+                self.out.append((None, _iri(about), _iri(RDF + name), x))
+
+    def blank(self, name: str | None = None) -> Term:
+        self.fresh += name is None
+        return 1, self.scope + (f"n-{name}" if name is not None else f"x{self.fresh}"), None, None
+
+    def name(self, tag: str) -> str:
+        if tag[:1] != "{":
+            raise ValueError(f"{tag!r} has no namespace")
+        return tag[1:].replace("}", "", 1)
+
+    def literal(self, text: str, lang: str | None) -> Term:
+        return 3, text, terms.LANG_STRING if lang else terms.STRING, lang and lang.lower()
+
+    def node(self, element: ET.Element, base: str, lang: str | None) -> Term:
+        base, lang = self.around(element, base, lang)
         if (about := element.get(_R + "about")) is not None:
-            subject: Term = 2, about, None, None
+            subject = _iri(resolve(base, about))
+        elif (name := element.get(_R + "ID")) is not None:
+            subject = _iri(resolve(base, "#" + name))
         else:
-            subject = 1, scope + (element.get(_R + "nodeID") or f"x{next(fresh)}"), None, None
+            subject = self.blank(element.get(_R + "nodeID"))
         if element.tag != _R + "Description":
-            out.append((None, subject, (2, RDF + "type", None, None), (2, tag(element.tag), None, None)))
-        for name, value in element.attrib.items():
-            if not name.startswith((_R, _X)):
-                out.append((None, subject, (2, tag(name), None, None), (3, value, terms.LANG_STRING if lang else terms.STRING, lang and lang.lower())))
-        for child in element:
-            inner = child.get(_X + "lang", lang)
-            predicate = 2, tag(child.tag), None, None
-            if (to := child.get(_R + "resource")) is not None:
-                value: Term = 2, to, None, None
-            elif (to := child.get(_R + "nodeID")) is not None:
-                value = 1, scope + to, None, None
-            elif child.get(_R + "parseType") == "Resource":
-                wrapped = ET.Element(_R + "Description")
-                wrapped.extend(list(child))
-                value, more = node(wrapped, inner)
-                out += more
-            elif len(child):
-                value, more = node(child[0], inner)
-                out += more
-            elif (dt := child.get(_R + "datatype")) is not None:
-                value = 3, child.text or "", dt, None
+            if element.tag in _SYNTAX or element.tag == _R + "li":
+                raise ValueError(f"{element.tag!r} is no node")
+            self.add(subject, _iri(RDF + "type"), _iri(self.name(element.tag)))
+        self.attributes(subject, element, base, lang)
+        self.properties(subject, element, base, lang)
+        return subject
+
+    def attributes(self, subject: Term, element: ET.Element, base: str, lang: str | None) -> None:
+        for key, value in element.attrib.items():
+            if key == _R + "type":
+                self.add(subject, _iri(RDF + "type"), _iri(resolve(base, value)))
+            elif key.startswith(_X) or key in (_R + "about", _R + "ID", _R + "nodeID", _R + "resource"):
+                continue
+            elif key in _SYNTAX or key == _R + "li":
+                raise ValueError(f"{key!r} does not fit here")
             else:
-                value = 3, child.text or "", terms.LANG_STRING if inner else terms.STRING, inner and inner.lower()
-            out.append((None, subject, predicate, value))
-        return subject, out
+                self.add(subject, _iri(self.name(key)), self.literal(value, lang))
 
-    root = ET.fromstring(text)
-    for element in root if root.tag == _R + "RDF" else [root]:
-        yield from node(element, root.get(_X + "lang"))[1]
+    def properties(self, subject: Term, element: ET.Element, base: str, lang: str | None) -> None:
+        number = 0
+        for child in element:
+            if child.tag in _SYNTAX:
+                raise ValueError(f"{child.tag!r} is no property")
+            number += child.tag == _R + "li"
+            predicate = _iri(f"{RDF}_{number}" if child.tag == _R + "li" else self.name(child.tag))
+            own, inner = self.around(child, base, lang)
+            about = None if child.get(_R + "ID") is None else resolve(own, "#" + child.get(_R + "ID"))
+            self.add(subject, predicate, self.value(child, own, inner), about)
+
+    def value(self, child: ET.Element, base: str, lang: str | None) -> Term:
+        kind = child.get(_R + "parseType")
+        if kind == "Resource":
+            node = self.blank()
+            self.properties(node, child, base, lang)
+            return node
+        if kind == "Collection":
+            items = [self.node(item, base, lang) for item in child]
+            rest = _iri(RDF + "nil")
+            for item in reversed(items):
+                cell = self.blank()
+                self.add(cell, _iri(RDF + "first"), item)
+                self.add(cell, _iri(RDF + "rest"), rest)
+                rest = cell
+            return rest
+        if kind is not None:  # Literal, and any other kind as well
+            inside = escape(child.text or "") + "".join(ET.tostring(x, encoding="unicode") for x in child)
+            return 3, inside, RDF + "XMLLiteral", None
+        if len(child):
+            if len(child) > 1 or (child.text or "").strip():
+                raise ValueError(f"{child.tag!r} holds more than one node")
+            return self.node(child[0], base, lang)
+        if (dt := child.get(_R + "datatype")) is not None:
+            return 3, child.text or "", resolve(base, dt), None
+        more = [k for k in child.attrib if not k.startswith(_X) and k not in (_R + "ID", _R + "resource", _R + "nodeID")]
+        if (to := child.get(_R + "resource")) is not None:
+            node = _iri(resolve(base, to))
+        elif more or child.get(_R + "nodeID") is not None:
+            node = self.blank(child.get(_R + "nodeID"))
+        else:
+            return self.literal(child.text or "", lang)
+        self.attributes(node, child, base, lang)
+        return node
 
 
-def _json_ld(text: str, scope: str) -> Iterator[tuple]:
-    """Node objects with inline contexts of terms, prefixes, @vocab and typed terms; remote contexts are an error."""
-    fresh = iter(range(1 << 60))
+class _JsonLd:
+    """JSON-LD with contexts inside the document: terms, prefixes, aliases of keywords, @vocab, @base, @language, containers of lists, sets, languages and indexes, and reverse properties. Anything else of the syntax is an error."""
 
-    def expand(name: str, context: dict, vocab: bool) -> str:
-        entry = context.get(name) if vocab else None
-        if entry is not None:
-            return expand(entry["@id"] if isinstance(entry, dict) else entry, {k: v for k, v in context.items() if k != name}, True)
-        prefix, colon, local = name.partition(":")
-        if colon and isinstance(context.get(prefix), str) and not local.startswith("//"):
-            return context[prefix] + local
-        return context["@vocab"] + name if vocab and not colon and "@vocab" in context and name[:1] != "@" else name
-
-    def ref(value: str, context: dict, vocab: bool = False) -> Term:
-        lex = expand(value, context, vocab)
-        return (1, scope + lex[2:], None, None) if lex.startswith("_:") else (2, lex, None, None)
-
-    def value_of(value, entry, context: dict, graph, out: list) -> Term:
-        kind = entry.get("@type") if isinstance(entry, dict) else None
-        if isinstance(value, dict) and "@value" in value:
-            raw, dt, lang = value["@value"], value.get("@type"), value.get("@language")
-            if lang:
-                return 3, str(raw), terms.LANG_STRING, lang.lower()
-            return 3, raw if isinstance(raw, str) else json.dumps(raw), expand(dt, context, True) if dt else native(raw), None
-        if isinstance(value, dict):
-            return node(value, context, graph, out)
-        if kind in ("@id", "@vocab") and isinstance(value, str):
-            return ref(value, context, kind == "@vocab")
-        return 3, value if isinstance(value, str) else json.dumps(value), expand(kind, context, True) if kind else native(value), None
+    def __init__(self, text: str, scope: str, base: str = ""):
+        self.loaded, self.scope, self.fresh, self.out, self.start = json.loads(text), scope, 0, [], {"@base": base}
+
+    def run(self) -> Iterator[tuple]:
+        for item in self.loaded if isinstance(self.loaded, list) else [self.loaded]:
+            if not isinstance(item, dict):
+                raise ValueError("no node object")
+            self.node(item, self.start, None)
+        yield from self.out
 
-    def native(value) -> str:
-        return terms.BOOLEAN if isinstance(value, bool) else terms.INTEGER if isinstance(value, int) else terms.DOUBLE if isinstance(value, float) else terms.STRING
+    def blank(self) -> Term:
+        self.fresh += 1
+        return 1, f"{self.scope}x{self.fresh}", None, None
 
-    def node(item: dict, context: dict, graph: Term | None, out: list) -> Term:
-        given = item.get("@context", {})
+    def context(self, given, context: dict) -> dict:
         for part in given if isinstance(given, list) else [given]:
-            if isinstance(part, str):
+            if part is None:
+                context = self.start
+                continue
+            if not isinstance(part, dict):
                 raise ValueError(f"remote context {part!r}")
-            context = {**context, **(part or {})}
-        subject = ref(item["@id"], context) if "@id" in item else (1, f"{scope}x{next(fresh)}", None, None)
-        for key, values in item.items():
-            values = values if isinstance(values, list) else [values]
-            name = expand(key, context, True)
+            wrong = [k for k in part if k[:1] == "@" and k not in ("@base", "@vocab", "@language", "@version")]
+            if wrong:
+                raise ValueError(f"{wrong[0]} in a context is not supported")
+            context = {**context, **part}
+            if part.get("@base") is not None:
+                context["@base"] = resolve(context.get("@base") or "", part["@base"])
+        return context
+
+    def entry(self, key: str, context: dict) -> dict:
+        """The term's definition as a dictionary."""
+        found = context.get(key) if key[:1] != "@" else None
+        found = {"@id": found} if isinstance(found, str) else found or {}
+        wrong = [k for k in found if k not in ("@id", "@type", "@language", "@container", "@reverse")]
+        if wrong:
+            raise ValueError(f"{wrong[0]} in a term is not supported")
+        return found
+
+    def expand(self, name: str, context: dict, vocab: bool) -> str:
+        if name[:1] == "@":
+            return name
+        found = self.entry(name, context) if vocab and name in context else {}
+        if to := found.get("@id") or found.get("@reverse"):
+            return self.expand(to, {k: v for k, v in context.items() if k != name}, True)
+        prefix, colon, local = name.partition(":")
+        if colon and prefix != "_" and not local.startswith("//") and prefix in context:
+            return self.expand(prefix, context, True) + local
+        if vocab and not colon:
+            return context["@vocab"] + name if context.get("@vocab") is not None else name
+        return name if prefix == "_" and colon else resolve(context.get("@base") or "", name)
+
+    def ref(self, value: str, context: dict, vocab: bool = False) -> Term:
+        lex = self.expand(value, context, vocab)
+        return (1, f"{self.scope}n-{lex[2:]}", None, None) if lex.startswith("_:") else _iri(resolve(context.get("@base") or "", lex))
+
+    def scalar(self, value, kind: str | None, lang: str | None) -> Term:
+        if isinstance(value, bool):
+            return 3, json.dumps(value), kind or terms.BOOLEAN, None
+        if isinstance(value, float) and (value % 1 or abs(value) >= 1e21 or kind == terms.DOUBLE):
+            mantissa, power = f"{value:.15E}".split("E")
+            return 3, f"{mantissa.rstrip('0') if not mantissa.rstrip('0').endswith('.') else mantissa.rstrip('0') + '0'}E{int(power)}", kind or terms.DOUBLE, None
+        if isinstance(value, (int, float)):
+            return 3, str(int(value)), kind or terms.INTEGER, None
+        if kind:
+            return 3, value, kind, None
+        return 3, value, terms.LANG_STRING if lang else terms.STRING, lang and lang.lower()
+
+    def value(self, value, found: dict, context: dict, graph) -> Term | None:
+        """The object that a value stands for; None for a null."""
+        kind = found.get("@type")
+        if isinstance(value, dict):
+            names = {self.expand(k, context, True): v for k, v in value.items()}
+            if "@value" in names:
+                if names["@value"] is None:
+                    return None
+                own = names.get("@type")
+                if own == "@json":
+                    return 3, json.dumps(names["@value"], sort_keys=True, separators=(",", ":"), ensure_ascii=False), RDF + "JSON", None
+                return self.scalar(names["@value"], self.expand(own, context, True) if own else None, names.get("@language"))
+            if "@list" in names:
+                return self.list(names["@list"], found, context, graph)
+            return self.node(value, context, graph)
+        if kind == "@json":
+            return 3, json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False), RDF + "JSON", None
+        if isinstance(value, list):
+            return self.list(value, found, context, graph)
+        if kind in ("@id", "@vocab") and isinstance(value, str):
+            return self.ref(value, context, kind == "@vocab")
+        lang = found.get("@language", context.get("@language")) if kind in (None, "@none") else None
+        return None if value is None else self.scalar(value, self.expand(kind, context, True) if kind and kind[:1] != "@" else None, lang)
+
+    def list(self, items, found: dict, context: dict, graph) -> Term:
+        items = items if isinstance(items, list) else [items]
+        rest = _iri(RDF + "nil")
+        for item in reversed([x for x in (self.value(i, found, context, graph) for i in items) if x is not None]):
+            cell = self.blank()
+            self.out += [(graph, cell, _iri(RDF + "first"), item), (graph, cell, _iri(RDF + "rest"), rest)]
+            rest = cell
+        return rest
+
+    def values(self, value, found: dict, context: dict) -> list:
+        """The values of a property, its container undone."""
+        container = found.get("@container")
+        container = container[0] if isinstance(container, list) and len(container) == 1 else container
+        if container == "@list":
+            return [value if isinstance(value, dict) else {"@list": value}]
+        if container == "@language" and isinstance(value, dict):
+            return [{"@value": v, **({} if k == "@none" else {"@language": k})} for k, vs in value.items() for v in (vs if isinstance(vs, list) else [vs])]
+        if container == "@index" and isinstance(value, dict):
+            return [v for vs in value.values() for v in (vs if isinstance(vs, list) else [vs])]
+        if container not in (None, "@set", "@language", "@index"):
+            raise ValueError(f"container {container!r} is not supported")
+        out = []
+        for v in value if isinstance(value, list) else [value]:  # nested arrays and sets are one
+            sets = [x for k, x in v.items() if self.expand(k, context, True) == "@set"] if isinstance(v, dict) else []
+            out += self.values(sets[0], found, context) if sets else self.values(v, found, context) if isinstance(v, list) else [v]
+        return out
+
+    def node(self, item: dict, context: dict, graph: Term | None) -> Term:
+        if "@context" in item:
+            context = self.context(item["@context"], context)
+        named = [(self.expand(k, context, True), k, v) for k, v in item.items() if k != "@context"]
+        ids = [v for name, _, v in named if name == "@id"]
+        subject = self.ref(ids[0], context) if ids and ids[0] is not None else self.blank()
+        plain = {"@id", "@graph", "@context"}
+        for name, key, value in named:
+            found = self.entry(key, context)
             if name == "@type":
-                out += [(graph, subject, (2, RDF + "type", None, None), ref(v, context, True)) for v in values]
-            elif name == "@graph":
-                inner = subject if "@id" in item else graph
-                for v in values:
-                    node(v, context, inner, out)
+                self.out += [(graph, subject, _iri(RDF + "type"), self.ref(v, context, True)) for v in (value if isinstance(value, list) else [value])]
+            elif name in ("@graph", "@included"):
+                # a graph without a name and without properties of its own is the graph around it
+                alone = name == "@included" or (not ids and all(n in plain for n, _, _ in named))
+                for v in value if isinstance(value, list) else [value]:
+                    self.node(v, context, graph if alone else subject)
+            elif name == "@reverse":
+                for inner, v in value.items():
+                    self.reversed(subject, self.expand(inner, context, True), self.entry(inner, context), v, context, graph)
+            elif name[:1] == "@" and name not in ("@id", "@index"):
+                raise ValueError(f"{name} is not supported")
+            elif "@reverse" in found:
+                self.reversed(subject, name, found, value, context, graph)
             elif name[:1] != "@" and ":" in name:
-                out += [(graph, subject, (2, name, None, None), value_of(v, context.get(key), context, graph, out)) for v in values if v is not None]
+                for v in self.values(value, found, context) if found.get("@type") != "@json" else [value]:
+                    if (x := self.value(v, found, context, graph)) is not None:
+                        self.out.append((graph, subject, self.ref(name, {}), x))
         return subject
 
-    loaded, found = json.loads(text), []
-    for item in loaded if isinstance(loaded, list) else [loaded]:
-        node(item, {}, None, found)
-    yield from found
+    def reversed(self, subject: Term, name: str, found: dict, value, context: dict, graph) -> None:
+        for v in self.values(value, found, context):
+            other = self.value(v, {**found, "@type": found.get("@type", "@id")}, context, graph)
+            if other is None or other[0] == 3:
+                raise ValueError(f"{name} reversed needs nodes")
+            self.out.append((graph, other, _iri(name), subject))
 
 
-READERS = {TURTLE: lambda text, scope: _Turtle(text, scope).run(), "application/trig": lambda text, scope: _Turtle(text, scope).run(), RDF_XML: _rdf_xml, JSON_LD: _json_ld}
+READERS = {TURTLE: _Turtle, "application/trig": _Turtle, RDF_XML: _RdfXml, JSON_LD: _JsonLd}
+_COLUMNS = ["uri", "g", "s", "p", "o"]
 
 
-def documents(df: DataFrame, strict: bool = True) -> DataFrame:
+def documents(df: DataFrame, strict: bool = True, keep: bool = False, base: bool = False) -> DataFrame:
     """Quads of nested documents: columns uri, content (string) and media_type; g is null where a document names none.
 
     A document that cannot be read is an error or, if not strict, gives what was read
-    before the fault. Each quad carries its document's uri in column uri.
+    before the fault. Each quad carries its document's uri in column uri. With keep a
+    column doc tells rows apart that share a uri, and every document has a row without
+    a quad besides. With base relative IRIs are resolved against the document's uri.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, part = 0, TaskContext.get().partitionId()
         for frame in frames:
             rows = []
             for uri, content, media in zip(frame["uri"], frame["content"], frame["media_type"], strict=True):
-                scope = f"d{zlib.crc32((uri or '').encode()):x}-"
+                doc, number = f"{part}-{number}", number + 1
+                scope = f"d{hashlib.md5((uri or '').encode()).hexdigest()[:16]}-"
+                if keep:
+                    scope += f"{doc}-"
+                    rows.append((uri, None, None, None, None, doc))
                 try:
-                    for g, s, p, o in READERS[media](content, scope):
-                        rows.append((uri, *(None if t is None else dict(zip(("kind", "lex", "dt", "lang"), t, strict=True)) for t in (g, s, p, o))))
-                except (ValueError, KeyError, IndexError, ET.ParseError) as e:
+                    for g, s, p, o in READERS[media](content, scope, (uri or "") if base else "").run():
+                        rows.append((uri, *(None if t is None else dict(zip(("kind", "lex", "dt", "lang"), t, strict=True)) for t in (g, s, p, o)), doc))
+                except (ValueError, KeyError, IndexError, TypeError, AttributeError, ET.ParseError) as e:
                     if strict:
                         raise ValueError(f"{uri} cannot be read: {e}") from e
-            yield pd.DataFrame(rows, columns=["uri", "g", "s", "p", "o"])
-
-    return df.select("uri", "content", "media_type").mapInPandas(run, "uri string, " + QUAD)
+            made = pd.DataFrame(rows, columns=[*_COLUMNS, "doc"])
+            yield made if keep else made[_COLUMNS]
 
+    return df.select("uri", "content", "media_type").mapInPandas(run, "uri string, " + QUAD + (", doc string" if keep else ""))

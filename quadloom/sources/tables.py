@@ -41,9 +41,9 @@ class Table(NamedTuple):
         return f"{BASE}{self.name}#{'ref-' if ref else ''}{column}"
 
     def subject(self) -> Column:
-        """IRI of the row from its key; a blank node without one."""
+        """IRI of the row from its key; without one a blank node by the row's file and place in it, the same in every scan."""
         if not self.keys:
-            return terms.blank(F.concat(F.lit(f"{self.name}-"), F.monotonically_increasing_id().cast("string")))
+            return terms.blank(F.concat_ws("-", F.lit(self.name), F.substring(F.md5(F.col("_metadata.file_path")), 1, 16), F.col("_metadata.row_index").cast("string")))
         return terms.iri(F.concat(F.lit(f"{self.graph}/"), F.concat_ws("/", *(F.col(k).cast("string") for k in self.keys))))
 
     def star(self, **variables: str) -> Solutions:

@@ -9,7 +9,7 @@ from quadloom.plans import cache, catalog, convert, dataset
 from quadloom.sources import rdf_text
 from quadloom.streaming import graphs
 
-PERSON = '@prefix ex: <http://ex/> . ex:me ex:name "Ada" ; ex:knows ex:you .'
+PERSON = '@prefix ex: <http://ex/> . ex:mill ex:name "Ada" ; ex:beside ex:ford .'
 
 
 def docs(spark, *texts):
@@ -22,9 +22,9 @@ def text(df):
 
 def test_turtle_to_lines_and_html(spark):
     lines = text(convert.convert_graphs(docs(spark, PERSON), "nt")).split("\n")
-    assert sorted(x for x in lines if x) == ['<http://ex/me> <http://ex/knows> <http://ex/you> .', '<http://ex/me> <http://ex/name> "Ada" .']
+    assert sorted(x for x in lines if x) == ['<http://ex/mill> <http://ex/beside> <http://ex/ford> .', '<http://ex/mill> <http://ex/name> "Ada" .']
     html = text(convert.convert_graphs(docs(spark, PERSON), media.HTML))
-    assert "<caption>2 triples</caption>" in html and "&lt;http://ex/me&gt;" in html
+    assert "<caption>2 triples</caption>" in html and "&lt;http://ex/mill&gt;" in html
     with pytest.raises(ValueError, match="unknown target"):
         convert.convert_graphs(docs(spark, PERSON), "application/pdf")
 
@@ -47,6 +47,98 @@ def test_round_trips_keep_every_triple(spark, to):
     assert shape(once) == shape(again) and len(shape(once)) == 16
 
 
+def test_documents_without_statements_and_of_one_uri_stay(spark):
+    rows = [("a", "# nothing"), ("a", '<http://s> <http://p> _:x .'), ("a", '<http://t> <http://p> _:x .'), ("b", ""), ("b", "")]
+    df = spark.createDataFrame([(u, bytearray(t.encode())) for u, t in rows], "uri string, content binary").repartition(3)
+    for to in ("text/turtle", "application/trig", "application/rdf+xml", "application/ld+json", "nt", "nq", "text/html"):
+        made = convert.convert_graphs(df, to).collect()
+        assert sorted(r.uri for r in made) == ["a", "a", "a", "b", "b"], to
+        back = [bytes(r.content).decode() for r in made]
+        assert sum("http://s" in t for t in back) == sum("http://t" in t for t in back) == 1 and not any("http://s" in t and "http://t" in t for t in back)
+    assert sum("<caption>0 triples" in t for t in back) == 3
+    assert convert.convert_graphs(df.limit(0), "nt").count() == 0
+
+
+def read(spark, text, media, base=""):
+    """Triples of a document as text, its blank nodes numbered by first use in order of predicate and object."""
+    reader = rdf_text.READERS[media](text, "", base)
+    return sorted((reader_text(s), p[1].rsplit("#", 1)[-1].rsplit("/", 1)[-1], reader_text(o)) for _, s, p, o in reader.run())
+
+
+def reader_text(t):
+    return t[1] if t[0] == 2 else "_" if t[0] == 1 else f"{t[1]}@{t[3]}" if t[3] else f"{t[1]}^{t[2].rsplit('#', 1)[-1]}"
+
+
+def lists(found):
+    """The values of rdf:first in any order, and how many cells end a list."""
+    return sorted(o for _, p, o in found if p == "first"), sum(o.endswith("#nil") for _, p, o in found if p == "rest")
+
+
+RDF_HEAD = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:e="http://e/" xml:base="http://h/a/b">'
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ('<e:T rdf:about="x"><e:p rdf:resource="../y"/></e:T>', [("http://h/a/x", "p", "http://h/y"), ("http://h/a/x", "type", "http://e/T")]),
+        ('<rdf:Description rdf:ID="i" e:q="v" rdf:type="http://e/U" xml:lang="EN"/>', [("http://h/a/b#i", "q", "v@en"), ("http://h/a/b#i", "type", "http://e/U")]),
+        ('<rdf:Description rdf:about=""><e:p rdf:nodeID="n"/><e:q e:r="1"/></rdf:Description>', [("_", "r", "1^string"), ("http://h/a/b", "p", "_"), ("http://h/a/b", "q", "_")]),
+        ('<rdf:Bag rdf:about="x"><rdf:li>1</rdf:li><rdf:li rdf:resource="y"/></rdf:Bag>', [("http://h/a/x", "_1", "1^string"), ("http://h/a/x", "_2", "http://h/a/y"), ("http://h/a/x", "type", "http://www.w3.org/1999/02/22-rdf-syntax-ns#Bag")]),
+        ('<rdf:Description rdf:about="x"><e:p rdf:parseType="Literal">a<b>c</b></e:p></rdf:Description>', [("http://h/a/x", "p", "a<b>c</b>^XMLLiteral")]),
+        ('<rdf:Description rdf:about="x"><e:p rdf:parseType="Resource"><e:q>1</e:q></e:p></rdf:Description>', [("_", "q", "1^string"), ("http://h/a/x", "p", "_")]),
+        ('<rdf:Description rdf:about="x"><e:p rdf:ID="s" rdf:datatype="http://e/#t">1</e:p></rdf:Description>', [("http://h/a/b#s", "object", "1^t"), ("http://h/a/b#s", "predicate", "http://e/p"), ("http://h/a/b#s", "subject", "http://h/a/x"), ("http://h/a/b#s", "type", "http://www.w3.org/1999/02/22-rdf-syntax-ns#Statement"), ("http://h/a/x", "p", "1^t")]),
+    ],
+)
+def test_rdf_xml_statements(spark, body, want):
+    assert read(spark, f"{RDF_HEAD}{body}</rdf:RDF>", "application/rdf+xml") == want
+
+
+def test_collections_of_every_syntax(spark):
+    xml = f'{RDF_HEAD}<rdf:Description rdf:about="x"><e:p rdf:parseType="Collection"><e:T rdf:about="1"/><rdf:Description rdf:about="2"/><rdf:Description rdf:about="3"/></e:p><e:q rdf:parseType="Collection"/></rdf:Description></rdf:RDF>'
+    found = read(spark, xml, "application/rdf+xml")
+    assert lists(found) == (["http://h/a/1", "http://h/a/2", "http://h/a/3"], 1) and ("http://h/a/x", "q", "http://www.w3.org/1999/02/22-rdf-syntax-ns#nil") in found and len(found) == 9
+    json = '{"@id": "http://x", "http://p": {"@list": [1, "a", {"@id": "http://y"}, {"@list": []}]}, "http://q": {"@list": []}}'
+    found = read(spark, json, "application/ld+json")
+    assert lists(found) == (["1^integer", "a^string", "http://www.w3.org/1999/02/22-rdf-syntax-ns#nil", "http://y"], 1) and len(found) == 10
+    for bad in ('<e:T rdf:about="x"><rdf:Description/></e:T>', '<rdf:li rdf:about="x"/>', '<e:T rdf:about="x"><e:p><e:A/><e:B/></e:p></e:T>', '<e:T rdf:about="x" rdf:li="1"/>'):
+        with pytest.raises(ValueError, match="."):
+            read(spark, f"{RDF_HEAD}{bad}</rdf:RDF>", "application/rdf+xml")
+
+
+@pytest.mark.parametrize(
+    ("context", "body", "want"),
+    [
+        ('{"@base": "http://h/a/", "@vocab": "http://v/", "@language": "DE"}', '"@id": "../x", "p": "w", "q": {"@value": "u"}, "r": {"@value": "f", "@language": "fr"}', [("http://h/x", "p", "w@de"), ("http://h/x", "q", "u^string"), ("http://h/x", "r", "f@fr")]),
+        ('{"id": "@id", "type": "@type", "e": "http://e/"}', '"id": "e:s", "type": ["e:T"], "e:p": {"id": "e:o"}', [("http://e/s", "p", "http://e/o"), ("http://e/s", "type", "http://e/T")]),
+        ('{"e": "http://e/", "child": {"@reverse": "e:parent"}}', '"@id": "e:s", "child": [{"@id": "e:a"}, "e:b"], "@reverse": {"e:of": {"@id": "e:c"}}', [("http://e/a", "parent", "http://e/s"), ("http://e/b", "parent", "http://e/s"), ("http://e/c", "of", "http://e/s")]),
+        ('{"e": "http://e/", "l": {"@id": "e:l", "@container": "@language"}, "s": {"@id": "e:s", "@container": "@set"}, "i": {"@id": "e:i", "@container": "@index"}}', '"@id": "e:x", "l": {"en": "a", "de": ["b", "c"]}, "s": [1, 2], "i": {"k": 3}', [("http://e/x", "i", "3^integer"), ("http://e/x", "l", "a@en"), ("http://e/x", "l", "b@de"), ("http://e/x", "l", "c@de"), ("http://e/x", "s", "1^integer"), ("http://e/x", "s", "2^integer")]),
+        ('{"e": "http://e/", "d": {"@id": "e:d", "@type": "http://www.w3.org/2001/XMLSchema#date"}, "n": {"@id": "e:n", "@language": null}, "@language": "en"}', '"@id": "e:x", "d": "2020-01-01", "n": "plain", "e:f": [1.5, true, 10.0, null]', [("http://e/x", "d", "2020-01-01^date"), ("http://e/x", "f", "1.5E0^double"), ("http://e/x", "f", "10^integer"), ("http://e/x", "f", "true^boolean"), ("http://e/x", "n", "plain^string")]),
+    ],
+)
+def test_json_ld_statements(spark, context, body, want):
+    assert read(spark, f'{{"@context": {context}, {body}}}', "application/ld+json") == want
+
+
+@pytest.mark.parametrize("body", ['"@context": "http://c/x"', '"@context": {"@propagate": false}', '"@context": {"t": {"@id": "http://t", "@nest": "n"}}, "t": 1', '"http://p": {"@nest": 1, "@id": "http://x"}', '"@context": {"t": {"@id": "http://t", "@container": "@id"}}, "t": {"a": 1}'])
+def test_json_ld_that_is_not_supported_is_an_error(spark, body):
+    with pytest.raises(ValueError, match="."):
+        read(spark, f"{{{body}}}", "application/ld+json")
+
+
+def test_blank_nodes_are_scoped_by_document(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.nt").write_text(f'_:x <http://p> "{name}" .\n_:x <http://q> _:y .\n')
+        (tmp_path / f"{name}.ttl").write_text(f'_:x <http://p> "{name}" .')
+    data = dataset.Dataset(spark)
+    lines = data.quads(f"file://{tmp_path}/a.nt file://{tmp_path}/b.nt", vocabulary=False)
+    assert lines.count() == 4 and lines.select("s").distinct().count() == 2 and lines.where("p.lex = 'http://q'").select("o").distinct().count() == 2
+    nested = data.quads(f"file://{tmp_path}/a.ttl file://{tmp_path}/b.ttl", vocabulary=False)
+    assert nested.select("s").distinct().count() == 2
+    held = spark.createDataFrame([("u1", b'_:x <http://p> "1" .', "nt"), ("u2", b'_:x <http://p> "2" .', "nt")], "uri string, content binary, media_type string")
+    assert dataset.Dataset(spark).resolver("m", lambda s, u: held).quads("m:x", vocabulary=False).select("s").distinct().count() == 2
+    assert "_metadata.row_index" not in str(data.graph(f"file://{tmp_path}/a.nt").columns)
+
+
 def test_trig_and_quads_keep_graphs(spark):
     trig = "@prefix e: <http://e/> . e:g { e:a e:b e:c . } e:a e:b e:d . GRAPH <http://h> { e:x e:y 'z' }"
     df = spark.createDataFrame([("u", trig, "application/trig")], "uri string, content string, media_type string")
