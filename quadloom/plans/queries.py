@@ -10,14 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.functions import media, scalar, sniff, terms
 from quadloom.operators import aggregates as agg
 from quadloom.operators import paths, quads, serialize
 from quadloom.operators.solutions import Solutions
-from quadloom.plans import convert
+from quadloom.plans import cache, catalog, convert, dataset
 from quadloom.sources import rdf_text
 from quadloom.sources.tables import BASE, Table, table
 
@@ -54,9 +54,9 @@ def query(sql: str | None):
 # patterns and joins
 
 
-@query("SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("SELECT c_name AS n, n_name AS y, r_name AS r FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def bgp_nation_region(t):
-    return t.nation.star(n="n_name", y="n_regionkey").join(t.region.star(y="r_regionkey", r="r_name")).project("n", "r")
+    return t.customer.star(n="c_name", k="c_nationkey").join(t.nation.star(y="n_name", k="n_nationkey", x="n_regionkey")).join(t.region.star(x="r_regionkey", r="r_name")).project("n", "y", "r")
 
 
 @query("SELECT l_orderkey AS o, l_quantity AS q, l_shipdate AS d FROM lineitem")
@@ -123,9 +123,9 @@ def minus_unlabelled_docs(t):
     return t.documents.star(d="doc_id").minus(t.labels.star(d="doc_id"))
 
 
-@query("SELECT n_nationkey AS n, n_name AS m FROM nation")
+@query("SELECT s_suppkey AS n, s_name AS m FROM supplier")
 def minus_disjoint_vars(t):
-    return t.nation.star(n="n_nationkey", m="n_name").minus(t.region.star(r="r_regionkey"))
+    return t.supplier.star(n="s_suppkey", m="s_name").minus(t.customer.star(r="c_custkey"))
 
 
 @query("SELECT o_orderkey AS o FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
@@ -205,9 +205,9 @@ def avg_min_max_by_brand(t):
     return t.part.star(b="p_brand", z="p_size", p="p_retailprice", n="p_name").group(["b"], a=agg.average(F.col("z")), x=agg.least(p), y=agg.greatest(p), s=agg.sample(F.col("n")))
 
 
-@query("SELECT r_name AS r, string_agg(n_name, '|' ORDER BY n_name) AS names FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+@query("SELECT n_name AS n, string_agg(s_name, '|' ORDER BY s_name) AS names FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name")
 def groupconcat_nation_by_region(t):
-    return t.nation.star(n="n_name", k="n_regionkey").join(t.region.star(k="r_regionkey", r="r_name")).group(["r"], names=agg.group_concat(F.col("n"), "|"))
+    return t.supplier.star(m="s_name", k="s_nationkey").join(t.nation.star(k="n_nationkey", n="n_name")).group(["n"], names=agg.group_concat(F.col("m"), "|"))
 
 
 @query("SELECT o_orderkey AS o, o_totalprice AS p FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 5")
@@ -230,10 +230,10 @@ def _some(t: Tables, *names: str) -> DataFrame:
     return reduce(lambda a, b: a.union(b), [getattr(t, n).quads() for n in names])
 
 
-@query("SELECT n_nationkey::VARCHAR AS k, n_name AS n FROM nation")
+@query("SELECT s_suppkey::VARCHAR AS k, s_name AS n FROM supplier")
 def graph_iri_nation(t):
-    """GRAPH <nation> over the triples themselves."""
-    found = quads.bgp(_some(t, "nation", "region"), ("?x", BASE + "nation#n_nationkey", "?k"), ("?x", BASE + "nation#n_name", "?n"), g=BASE + "nation")
+    """GRAPH <supplier> over the triples of two graphs."""
+    found = quads.bgp(_some(t, "supplier", "nation"), ("?x", BASE + "supplier#s_suppkey", "?k"), ("?x", BASE + "supplier#s_name", "?n"), g=BASE + "supplier")
     return found.df.select(F.col("k.lex").alias("k"), F.col("n.lex").alias("n"))
 
 
@@ -251,9 +251,9 @@ def union_default_count(t):
     return quads.match(every, "?s", "?p", "?o").group([], n=agg.count())
 
 
-@query("SELECT n_name AS n FROM nation")
+@query("SELECT c_name AS n FROM customer")
 def from_named_nation(t):
-    return quads.match(quads.from_graphs(_some(t, "nation", "region"), named=[BASE + "nation"]), "?x", BASE + "nation#n_name", "?n", "?g").df.select(F.col("n.lex").alias("n"))
+    return quads.match(quads.from_graphs(_some(t, "customer", "supplier"), named=[BASE + "customer"]), "?x", BASE + "customer#c_name", "?n", "?g").df.select(F.col("n.lex").alias("n"))
 
 
 @query("SELECT count(*) > 0 AS answer FROM events WHERE event_type = 'error'")
@@ -275,16 +275,30 @@ def construct_where_supplier(t):
     return quads.construct_where(t.supplier.quads(), ("?s", BASE + "supplier#s_name", "?n")).select(F.col("o.lex").alias("o"))
 
 
-@query("""SELECT 'http://data.example/nation#n_nationkey' AS p, n_nationkey::VARCHAR AS o FROM nation WHERE n_regionkey = 2
-UNION ALL SELECT 'http://data.example/nation#n_name', n_name FROM nation WHERE n_regionkey = 2 UNION ALL SELECT 'http://data.example/nation#n_regionkey', '2' FROM nation WHERE n_regionkey = 2
-UNION ALL SELECT 'http://data.example/nation#ref-n_regionkey', 'http://data.example/region/2' FROM nation WHERE n_regionkey = 2
-UNION ALL SELECT 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'http://data.example/nation' FROM nation WHERE n_regionkey = 2""")
+@query("""SELECT 'http://data.example/supplier#' || p AS p, o FROM (SELECT unnest(['s_suppkey', 's_name', 's_nationkey', 'ref-s_nationkey']) AS p,
+unnest([s_suppkey::VARCHAR, s_name, s_nationkey::VARCHAR, 'http://data.example/nation/' || s_nationkey]) AS o FROM supplier WHERE s_nationkey = 2)
+UNION ALL SELECT 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'http://data.example/supplier' FROM supplier WHERE s_nationkey = 2""")
 def describe_nations(t):
-    every = t.nation.quads()
-    which = quads.match(every, "?s", BASE + "nation#ref-n_regionkey", BASE + "region/2").df
+    """The suppliers of a nation; balances are left out, as their text form is not SQL's."""
+    every = t.supplier.quads().where(F.col("p.lex") != BASE + "supplier#s_acctbal")
+    which = quads.match(every, "?s", BASE + "supplier#ref-s_nationkey", BASE + "nation/2").df
     return quads.describe(every, which).select(F.col("p.lex").alias("p"), F.col("o.lex").alias("o"))
 
 
+@query("""WITH x AS (SELECT DISTINCT o_orderkey, l_linenumber, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey % 10 = 1)
+SELECT 'http://data.example/orders/' || o_orderkey AS s, 'has' AS p, 'line' AS o FROM (SELECT DISTINCT o_orderkey, l_linenumber FROM x) UNION ALL SELECT 'line', 'part', l_partkey::VARCHAR FROM x""")
+def describe_order_lines(t):
+    """Orders of some customers and, behind blank nodes, their lines."""
+    line = terms.blank(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")))
+    order = terms.iri(F.concat(F.lit(BASE + "orders/"), F.col("l_orderkey").cast("string")))
+    has = t.lineitem.df.select(order.alias("s"), terms.iri(BASE + "has").alias("p"), line.alias("o"))
+    parts = t.lineitem.df.select(line.alias("s"), terms.iri(BASE + "part").alias("p"), terms.of_native(F.col("l_partkey"), t.lineitem.df.schema["l_partkey"].dataType).alias("o"))
+    which = t.orders.df.where("o_custkey % 10 = 1").select(terms.iri(F.concat(F.lit(BASE + "orders/"), F.col("o_orderkey").cast("string"))).alias("s"))
+    found = quads.describe(has.union(parts).select(F.lit(None).cast(terms.TERM).alias("g"), "s", "p", "o"), which)
+    text = lambda c: F.when(F.col(c).kind == terms.BLANK, "line").otherwise(F.col(c).lex)
+    return found.select(text("s").alias("s"), F.split_part("p.lex", F.lit("/"), F.lit(-1)).alias("p"), text("o").alias("o"))
+
+
 # paths
 
 
@@ -294,10 +308,10 @@ def path_seq_customer_region(t):
     return edges.select(F.col("s").alias("c"), F.col("o").alias("r"))
 
 
-@query("SELECT n_name AS o FROM nation UNION ALL SELECT r_name FROM region")
+@query("SELECT c_name AS o FROM customer UNION ALL SELECT s_name FROM supplier")
 def path_alt(t):
-    every = _some(t, "nation", "region")
-    return paths.alternative(paths.link(every, BASE + "nation#n_name"), paths.link(every, BASE + "region#r_name")).select(F.col("o.lex").alias("o"))
+    every = _some(t, "customer", "supplier")
+    return paths.alternative(paths.link(every, BASE + "customer#c_name"), paths.link(every, BASE + "supplier#s_name")).select(F.col("o.lex").alias("o"))
 
 
 @query("SELECT n_nationkey AS s, s_suppkey AS o FROM supplier JOIN nation ON s_nationkey = n_nationkey")
@@ -305,15 +319,17 @@ def path_inverse(t):
     return paths.inverse(t.supplier.star(s="s_suppkey", o="s_nationkey").df)
 
 
-@query("SELECT s::BIGINT AS s, o::BIGINT AS o FROM (SELECT n_nationkey AS s, n_nationkey + 1 AS o FROM nation UNION SELECT n_nationkey, n_nationkey FROM nation UNION SELECT n_nationkey + 1, n_nationkey + 1 FROM nation)")
+@query("SELECT s::BIGINT AS s, o::BIGINT AS o FROM (SELECT c_custkey AS s, c_custkey + 1 AS o FROM customer UNION SELECT c_custkey, c_custkey FROM customer UNION SELECT c_custkey + 1, c_custkey + 1 FROM customer)")
 def path_optional(t):
-    step = t.nation.star(s="n_nationkey").df.select(F.col("s").cast("bigint").alias("s"), (F.col("s").cast("bigint") + 1).alias("o"))
+    step = t.customer.star(s="c_custkey").df.select(F.col("s").cast("bigint").alias("s"), (F.col("s").cast("bigint") + 1).alias("o"))
     return paths.zero_or_one(step)
 
 
-@query("SELECT r_name AS o FROM region UNION ALL SELECT r_regionkey::VARCHAR FROM region")
+@query("SELECT c_name AS o FROM customer UNION ALL SELECT c_custkey::VARCHAR FROM customer UNION ALL SELECT c_mktsegment FROM customer UNION ALL SELECT 'http://data.example/nation/' || c_nationkey FROM customer")
 def path_negated(t):
-    return paths.negated(t.region.quads(), forward=[terms.TYPE]).select(F.col("o.lex").alias("o"))
+    """Any predicate but three; two of a subject's objects may be one term, which then counts once."""
+    without = [terms.TYPE, BASE + "customer#c_nationkey", BASE + "customer#c_acctbal"]
+    return paths.negated(t.customer.quads(), forward=without).select(F.col("o.lex").alias("o"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT a.conv_id * 1000 + a.turn AS s, b.conv_id * 1000 + b.turn AS o FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
@@ -331,13 +347,15 @@ def path_star_cyclic(t):
     return paths.zero_or_more(found.select(F.col("n").cast("bigint").alias("s"), ((F.col("n") * 3 + F.col("k") % 2) % 25).cast("bigint").alias("o")).distinct())
 
 
-@query("SELECT p_partkey AS p FROM part")
+@query("""SELECT p_partkey AS p, depth FROM part, (SELECT unnest([0, 1, 2, 3]) AS depth) WHERE depth < 3 OR p_type LIKE '%BRASS' OR p_type LIKE '%STEEL' """)
 def schema_join(t):
-    """Parts as instances of their type or of a class above it: type, then any number of subclass steps."""
-    types = t.part.df.select(F.col("p_partkey").cast("string").alias("s"), F.col("p_type").alias("o"))
-    above = t.part.df.select(F.col("p_type").alias("s"), F.lit("part").alias("o")).distinct()
-    reached = paths.sequence(types, paths.zero_or_more(above))
-    return reached.where("o = 'part'").select(F.col("s").cast("bigint").alias("p"))
+    """Parts as instances of their type and of the classes above it: by size of the type's name, its metal, things, and solid things for two metals."""
+    metal = F.substring_index("p_type", " ", -1)
+    kinds = t.part.df.select("p_type", metal.alias("metal")).distinct()
+    above = kinds.select(F.concat(F.lit("0"), F.col("p_type")).alias("s"), F.concat(F.lit("1"), F.col("metal")).alias("o"))
+    above = above.union(kinds.select(F.concat(F.lit("1"), F.col("metal")), F.lit("2thing"))).union(kinds.where("metal in ('BRASS', 'STEEL')").select(F.concat(F.lit("1"), F.col("metal")), F.lit("3solid"))).distinct()
+    types = t.part.df.select(F.col("p_partkey").alias("s"), F.concat(F.lit("0"), F.col("p_type")).alias("o"))
+    return paths.sequence(types, paths.zero_or_more(above)).select(F.col("s").alias("p"), F.substring("o", 1, 1).cast("int").alias("depth"))
 
 
 # functions
@@ -458,44 +476,68 @@ def media_base_pages(t):
 # text forms
 
 
-@query("SELECT '<http://data.example/nation/' || n_nationkey || '> <http://data.example/nation#n_name> \"' || n_name || '\" .' AS value FROM nation")
+@query("SELECT '<http://data.example/customer/' || c_custkey || '> <http://data.example/customer#c_name> \"' || c_name || '\" .' AS value FROM customer")
 def ntriples_nation(t):
-    return serialize.n_triples(t.nation.quads().where(F.col("p.lex") == BASE + "nation#n_name"))
+    return serialize.n_triples(t.customer.quads().where(F.col("p.lex") == BASE + "customer#c_name"))
 
 
-@query("SELECT '<http://data.example/region/' || r_regionkey || '> <http://data.example/region#r_name> \"' || r_name || '\" <http://data.example/region> .' AS value FROM region")
+@query("SELECT '<http://data.example/orders/' || o_orderkey || '> <http://data.example/orders#o_orderstatus> \"' || o_orderstatus || '\" <http://data.example/orders> .' AS value FROM orders")
 def nquads_region(t):
-    return serialize.n_quads(t.region.quads().where(F.col("p.lex") == BASE + "region#r_name"))
+    return serialize.n_quads(t.orders.quads().where(F.col("p.lex") == BASE + "orders#o_orderstatus"))
 
 
-@query("SELECT 'http://data.example/documents/' || doc_id AS s, text AS o FROM documents")
+@query("SELECT 'http://data.example/documents/' || doc_id AS s, text AS o, 'http://www.w3.org/2001/XMLSchema#string' AS dt FROM documents")
 def roundtrip_documents(t):
     """Whole texts through N-Triples and back."""
     lines = serialize.n_triples(t.documents.quads().where(F.col("p.lex") == BASE + "documents#text"))
-    return rdf_text.lines(lines).select(F.col("s.lex").alias("s"), F.col("o.lex").alias("o"))
+    return rdf_text.lines(lines).select(F.col("s.lex").alias("s"), F.col("o.lex").alias("o"), F.col("o.dt").alias("dt"))
+
+
+#: Every term of four triples of each row, whole: an integer, a string, a text with a language and signs to escape, an IRI.
+WHOLE = """SELECT 'http://data.example/{t}/' || k AS s, p, lex, dt, lang FROM (SELECT {k} AS k, unnest(['{k}', '{n}', 'text', 'type']) AS p,
+unnest([{k}::VARCHAR, {n}, '"a" <b> & \\c' || chr(10) || {n}, 'http://data.example/{t}']) AS lex,
+unnest(['http://www.w3.org/2001/XMLSchema#integer', 'http://www.w3.org/2001/XMLSchema#string', 'http://www.w3.org/1999/02/22-rdf-syntax-ns#langString', NULL]) AS dt, unnest([NULL, NULL, 'en-gb', NULL]) AS lang FROM {t})"""
+
+
+def _whole(table: Table, key: str, name: str) -> DataFrame:
+    """The quads that WHOLE tells of."""
+    text = terms.tagged(F.concat(F.lit('"a" <b> & \\c\n'), F.col(name)), F.lit("en-GB"))
+    cells = [(BASE + key, terms.literal(F.col(key).cast("string"), terms.INTEGER)), (BASE + name, terms.literal(F.col(name))), (BASE + "text", text), (terms.TYPE, terms.iri(table.graph))]
+    each = F.explode(F.array(*(F.struct(terms.iri(p).alias("p"), o.alias("o")) for p, o in cells))).alias("x")
+    return table.df.select(F.lit(None).cast(terms.TERM).alias("g"), table.subject().alias("s"), each).select("g", "s", "x.p", "x.o")
+
+
+def _told(found: DataFrame, *more: Column) -> DataFrame:
+    return found.select(*more, F.col("s.lex").alias("s"), F.regexp_extract("p.lex", "[^/#]*$", 0).alias("p"), F.col("o.lex").alias("lex"), F.col("o.dt").alias("dt"), F.col("o.lang").alias("lang"))
+
 
+def _back(rows: DataFrame, media_type: str, around: tuple[str, str, str] = ("", "", "")) -> DataFrame:
+    """Quads read from a document for each row."""
+    return rdf_text.documents(rows.select(F.sha1("value").alias("uri"), F.concat(F.lit(around[0]), "value", F.lit(around[2])).alias("content"), F.lit(media_type).alias("media_type")))
 
-@query("SELECT n_name AS o FROM nation UNION ALL SELECT n_nationkey::VARCHAR FROM nation UNION ALL SELECT n_regionkey::VARCHAR FROM nation UNION ALL SELECT 'http://data.example/nation' FROM nation UNION ALL SELECT 'http://data.example/region/' || n_regionkey FROM nation")
+
+@query(WHOLE.format(t="orders", k="o_orderkey", n="o_orderpriority"))
 def roundtrip_turtle_nation(t):
     """A Turtle document for each subject, read back by the document reader."""
-    rows = serialize.turtle(t.nation.quads().select("s", "p", "o"))
-    docs = rows.select(F.sha1("value").alias("uri"), F.col("value").alias("content"), F.lit(sniff.TURTLE).alias("media_type"))
-    return rdf_text.documents(docs).select(F.col("o.lex").alias("o"))
+    return _told(_back(serialize.turtle(_whole(t.orders, "o_orderkey", "o_orderpriority").select("s", "p", "o")), sniff.TURTLE))
 
 
-@query("SELECT 'http://data.example/supplier/' || s_suppkey AS s, s_name AS o FROM supplier")
+@query(WHOLE.format(t="supplier", k="s_suppkey", n="s_name"))
 def roundtrip_rdfxml_supplier(t):
-    rows = serialize.rdf_xml(t.supplier.quads().select("s", "p", "o"))
-    before, _, after = serialize.RDF_XML
-    docs = rows.select(F.sha1("value").alias("uri"), F.concat(F.lit(before), "value", F.lit(after)).alias("content"), F.lit(sniff.RDF_XML).alias("media_type"))
-    return rdf_text.documents(docs).where(F.col("p.lex") == BASE + "supplier#s_name").select(F.col("s.lex").alias("s"), F.col("o.lex").alias("o"))
+    return _told(_back(serialize.rdf_xml(_whole(t.supplier, "s_suppkey", "s_name").select("s", "p", "o")), sniff.RDF_XML, serialize.RDF_XML))
 
 
-@query("SELECT 'http://data.example/customer/' || c_custkey AS s, c_name AS o FROM customer")
+@query(WHOLE.format(t="customer", k="c_custkey", n="c_name"))
 def roundtrip_jsonld_customer(t):
-    rows = serialize.json_ld(t.customer.quads().withColumn("g", F.lit(None).cast(terms.TERM)))
-    docs = rows.select(F.sha1("value").alias("uri"), F.col("value").alias("content"), F.lit(sniff.JSON_LD).alias("media_type"))
-    return rdf_text.documents(docs).where(F.col("p.lex") == BASE + "customer#c_name").select(F.col("s.lex").alias("s"), F.col("o.lex").alias("o"))
+    return _told(_back(serialize.json_ld(_whole(t.customer, "c_custkey", "c_name")), sniff.JSON_LD))
+
+
+@query("SELECT 'http://data.example/customer' AS g, * FROM (" + WHOLE.format(t="customer", k="c_custkey", n="c_name") + ")")
+def roundtrip_trig_customer(t):
+    """Named graphs through TriG and back."""
+    named = _whole(t.customer, "c_custkey", "c_name").withColumn("g", terms.iri(t.customer.graph))
+    found = _back(serialize.trig(named), "application/trig")
+    return _told(found, F.col("g.lex").alias("g"))
 
 
 @query("SELECT '<tr><td>&lt;http://data.example/supplier/' || s_suppkey || '&gt;</td><td>&lt;http://data.example/supplier#s_name&gt;</td><td>\"' || s_name || '\"</td></tr>' AS value FROM supplier")
@@ -535,17 +577,230 @@ def subclass_pairs(t):
     return quads.subclass_pairs(kinds.union(t.part.quads().select("s", "p", "o")))
 
 
-@query("SELECT page_id AS k, NULL::INTEGER AS steps FROM pages")
-def auto_reachable_pages(t):
-    """Steps from each page's sniffed type to Turtle: HTML is no source of conversions."""
-    return t.pages.df.select(F.col("page_id").alias("k"), convert.reachable(sniff.sniff(F.col("html").cast("binary")), sniff.TURTLE).cast("int").alias("steps"))
+@query("""SELECT k, CASE k % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 1 ELSE NULL END::INTEGER AS steps FROM (SELECT o_orderkey AS k FROM orders)""")
+def auto_reachable_orders(t):
+    """Steps from the sniffed type of made bytes to Turtle: Turtle itself, JSON-LD, RDF/XML, unknown bytes that may be Turtle, and a picture, from which no chain leads."""
+    leads = ["40707265666978", "7b22406964223a", "3c7264663a52444620", "00", "89504e470d0a1a0a"]
+    lead = F.unhex(F.element_at(F.array(*(F.lit(x) for x in leads)), (F.col("o_orderkey") % 5 + 1).cast("int")))
+    return t.orders.df.select(F.col("o_orderkey").alias("k"), convert.reachable(sniff.sniff(F.concat(lead, F.lit(" x").cast("binary"))), sniff.TURTLE).cast("int").alias("steps"))
 
 
-@query("SELECT 'http://data.example/region' AS g, r_regionkey::VARCHAR AS uri, 'text/html' AS media_type FROM region UNION ALL SELECT 'http://data.example/nation', n_nationkey::VARCHAR, 'text/html' FROM nation")
+@query("""SELECT 'customer' AS g, c_custkey::VARCHAR AS uri, 'text/html' AS media_type, '<table class="rdf"><caption>1 triples</caption><thead><tr><th>subject</th><th>predicate</th><th>object</th></tr></thead><tbody><tr><td>&lt;http://data.example/customer/' || c_custkey
+|| '&gt;</td><td>&lt;http://data.example/customer#c_name&gt;</td><td>"' || c_name || '"</td></tr></tbody></table>' AS content FROM customer
+UNION ALL SELECT 'supplier', s_suppkey::VARCHAR, 'text/html', '<table class="rdf"><caption>1 triples</caption><thead><tr><th>subject</th><th>predicate</th><th>object</th></tr></thead><tbody><tr><td>&lt;http://data.example/supplier/' || s_suppkey
+|| '&gt;</td><td>&lt;http://data.example/supplier#s_name&gt;</td><td>"' || s_name || '"</td></tr></tbody></table>' FROM supplier""")
 def auto_dispatch(t):
-    """Turtle and JSON-LD documents of regions and nations, sniffed and sent to HTML."""
-    r = serialize.turtle(t.region.quads().select("s", "p", "o"))
-    n = serialize.json_ld(t.nation.quads().withColumn("g", F.lit(None).cast(terms.TERM)))
-    docs = r.union(n).select(F.regexp_extract("value", r"http://data\.example/((?:region|nation)/[0-9]+)", 1).alias("uri"), F.col("value").cast("binary").alias("content"))
+    """Turtle documents of customers and JSON-LD ones of suppliers, sniffed and sent to HTML."""
+    c = serialize.turtle(t.customer.quads().where(F.col("p.lex") == BASE + "customer#c_name").select("s", "p", "o"))
+    s = serialize.json_ld(t.supplier.quads().where(F.col("p.lex") == BASE + "supplier#s_name").withColumn("g", F.lit(None).cast(terms.TERM)))
+    docs = c.union(s).select(F.regexp_extract("value", r"http://data\.example/((?:customer|supplier)/[0-9]+)", 1).alias("uri"), F.col("value").cast("binary").alias("content"))
     made = convert.auto(docs, media.HTML)
-    return made.select(F.concat(F.lit(BASE), F.split_part("uri", F.lit("/"), F.lit(1))).alias("g"), F.split_part("uri", F.lit("/"), F.lit(2)).alias("uri"), "media_type")
+    return made.select(F.split_part("uri", F.lit("/"), F.lit(1)).alias("g"), F.split_part("uri", F.lit("/"), F.lit(2)).alias("uri"), "media_type", F.col("content").cast("string").alias("content"))
+
+
+@query("SELECT c_custkey AS k, 'text/turtle' AS media_type, '<http://data.example/customer/' || c_custkey || '> <http://data.example/name> \"' || c_name || '\" .' AS content FROM customer")
+def auto_pass_through(t):
+    """Documents of the target's own type pass unchanged."""
+    value = F.concat(F.lit("<http://data.example/customer/"), F.col("c_custkey").cast("string"), F.lit('> <http://data.example/name> "'), F.col("c_name"), F.lit('" .'))
+    made = convert.auto(t.customer.df.select(F.col("c_custkey").cast("string").alias("uri"), value.cast("binary").alias("content")), sniff.TURTLE)
+    return made.select(F.col("uri").cast("bigint").alias("k"), "media_type", F.col("content").cast("string").alias("content"))
+
+
+@query("""SELECT s_suppkey AS k, '<http://data.example/supplier/' || s_suppkey || '> <http://data.example/n> "' || s_name || '" .' || chr(10) AS nt FROM supplier""")
+def convert_rdfxml_to_lines(t):
+    """RDF/XML documents, sniffed as such, to N-Triples: the content, not only that there is one."""
+    open_, close = serialize.RDF_XML[0], serialize.RDF_XML[2]
+    body = F.concat(F.lit(open_ + '<rdf:Description rdf:about="http://data.example/supplier/'), F.col("s_suppkey").cast("string"), F.lit('"><n xmlns="http://data.example/">'), F.col("s_name"), F.lit("</n></rdf:Description>" + close))
+    made = convert.convert_graphs(t.supplier.df.select(F.col("s_suppkey").cast("string").alias("uri"), body.cast("binary").alias("content")), "application/n-triples")
+    return made.select(F.col("uri").cast("bigint").alias("k"), F.col("content").cast("string").alias("nt"))
+
+
+# datasets, vocabulary, catalog
+
+
+@query("""SELECT 'orders' AS g, o_orderkey::VARCHAR AS s, o_orderstatus AS o FROM orders UNION ALL SELECT 'remote', c_custkey::VARCHAR, c_name FROM customer""")
+def federation(t):
+    """Two graphs by URI, one registered and one that a resolver of its scheme reads from documents; the second is listed twice."""
+    named = t.orders.quads().where(F.col("p.lex") == BASE + "orders#o_orderstatus").drop("g")
+    value = F.concat(F.lit("@prefix e: <http://data.example/> . <http://data.example/customer/"), F.col("c_custkey").cast("string"), F.lit('> e:name "'), F.col("c_name"), F.lit('" .'))
+    remote = lambda spark, uri: t.customer.df.select(F.concat(F.lit("m:"), F.col("c_custkey").cast("string")).alias("uri"), value.alias("content"), F.lit("text/turtle").alias("media_type"))
+    data = dataset.Dataset(t.spark).register("http://data.example/g/orders", named).resolver("m", remote)
+    found = quads.match(data.quads("http://data.example/g/orders, m:remote\tm:remote", vocabulary=False), "?s", "?p", "?o", "?g").df
+    last = lambda c: F.regexp_extract(f"{c}.lex", "[^/:]*$", 0)
+    return found.select(last("g").alias("g"), last("s").alias("s"), F.col("o.lex").alias("o"))
+
+
+@query("SELECT c_nationkey::VARCHAR AS k, count(*)::BIGINT AS n FROM customer JOIN supplier ON c_nationkey = s_nationkey GROUP BY 1")
+def bgp_over_graphs(t):
+    """A pattern in one graph joined with a pattern in another one."""
+    every = _some(t, "customer", "supplier")
+    left = quads.match(every, "?c", BASE + "customer#c_nationkey", "?k", BASE + "customer")
+    right = quads.match(every, "?x", BASE + "supplier#s_nationkey", "?k", BASE + "supplier")
+    return left.join(right).group(["k"], n=agg.count()).df.select(F.col("k.lex").alias("k"), "n")
+
+
+@query("""SELECT urn, n FROM (SELECT 'urn:graph:convert' AS urn UNION ALL SELECT unnest(['urn:query:select', 'urn:query:ask', 'urn:query:construct', 'urn:query:describe', 'urn:sniff', 'urn:convert:auto'])),
+(SELECT count(*)::BIGINT AS n FROM supplier)""")
+def catalog_endpoints(t):
+    """Everything that is an endpoint by type and any number of subclass steps, over the catalog, the vocabulary and as many more triples as there are suppliers."""
+    data = dataset.Dataset(t.spark).register("urn:catalog", catalog.triples(catalog.catalog(t.spark))).register("http://data.example/g", t.supplier.quads().drop("g"))
+    every = data.quads("urn:catalog http://data.example/g")
+    kinds = paths.sequence(paths.link(every, terms.TYPE), paths.zero_or_more(paths.link(every, terms.SUBCLASS), every=quads.match(every, "?s", terms.TYPE, "?o").df.select(F.col("o").alias("s")).distinct()))
+    found = kinds.where(F.col("o") == terms.iri(dataset.NS + "Endpoint")).select("s").distinct()
+    counted = quads.match(every, "?x", BASE + "supplier#s_name", "?n").group([], n=agg.count()).df
+    return found.select(F.col("s.lex").alias("urn")).join(F.broadcast(counted), F.lit(True))
+
+
+# more functions
+
+
+@query("""SELECT c_custkey AS k, 'http://data.example/a/' || c_custkey AS i, 'http://data.example/c/' || c_custkey AS j, c_custkey::VARCHAR || '^^' || 'http://www.w3.org/2001/XMLSchema#integer' AS d, c_name || '@de' AS l, true AS b, true AS u, true AS v, true AS r, true AS n,
+'true' AS same, 'false' AS other FROM customer""")
+def fn_construct(t):
+    """IRI, STRDT, STRLANG, BNODE, UUID, STRUUID, RAND, NOW, sameTerm."""
+    name, key = terms.literal(F.col("c_name")), terms.literal(F.col("c_custkey").cast("string"))
+    dt, blank = scalar.strdt(key, terms.iri(terms.INTEGER)), scalar.bnode(F.col("c_custkey"), name)
+    return t.customer.df.select(
+        F.col("c_custkey").alias("k"), scalar.iri(key, BASE + "a/b").lex.alias("i"), scalar.iri(terms.literal(F.concat(F.lit("../c/./"), F.col("c_custkey").cast("string"))), BASE + "a/b").lex.alias("j"), F.concat_ws("^^", dt.lex, dt.dt).alias("d"),
+        F.concat_ws("@", scalar.strlang(name, terms.literal(F.lit("DE"))).lex, scalar.strlang(name, terms.literal(F.lit("DE"))).lang).alias("l"), ((blank.kind == terms.BLANK) & (blank == scalar.bnode(F.col("c_custkey"), name))).alias("b"),
+        scalar.uuid().lex.rlike("^urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$").alias("u"), scalar.struuid().lex.rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$").alias("v"), terms.double_of(scalar.rand()).between(0, 1).alias("r"), terms.time_of(scalar.now()).isNotNull().alias("n"),
+        scalar.same_term(name, terms.literal(F.col("c_name"))).lex.alias("same"), scalar.same_term(name, scalar.strlang(name, terms.literal(F.lit("de")))).lex.alias("other"),
+    )
+
+
+@query("""SELECT doc_id AS k, CASE WHEN doc_id % 3 = 0 THEN 'true' ELSE 'false' END AS i, CASE WHEN doc_id % 3 = 1 THEN 'true' ELSE 'false' END AS b, CASE WHEN doc_id % 3 = 2 THEN 'true' ELSE 'false' END AS l, CASE WHEN doc_id % 3 = 2 AND doc_id % 2 = 0 THEN 'true' ELSE 'false' END AS n,
+CASE WHEN doc_id % 3 = 1 THEN NULL ELSE doc_id::VARCHAR END AS s, CASE WHEN doc_id % 3 = 2 THEN CASE WHEN doc_id % 2 = 0 THEN 'integer' ELSE 'string' END END AS d FROM documents""")
+def fn_kinds(t):
+    """isIRI, isBlank, isLiteral, isNumeric, STR, DATATYPE over a column of mixed terms."""
+    key = F.col("doc_id").cast("string")
+    x = F.when(F.col("doc_id") % 3 == 0, terms.iri(key)).when(F.col("doc_id") % 3 == 1, terms.blank(key)).when(F.col("doc_id") % 2 == 0, terms.literal(key, terms.INTEGER)).otherwise(terms.literal(key))
+    rows, x = t.documents.df.select("doc_id", x.alias("x")), F.col("x")
+    made = {"i": scalar.is_iri(x), "b": scalar.is_blank(x), "l": scalar.is_literal(x), "n": scalar.is_numeric(x), "s": scalar.str_(x)}
+    return rows.select(F.col("doc_id").alias("k"), *(c.lex.alias(n) for n, c in made.items()), F.substring_index(scalar.datatype(x).lex, "#", -1).alias("d"))
+
+
+@query("""SELECT o_orderkey AS k, second(o_orderdate)::VARCHAR AS s, CASE WHEN o_orderkey % 2 = 0 THEN '+05:30' ELSE 'Z' END AS z, CASE WHEN o_orderkey % 2 = 0 THEN 'PT5H30M' ELSE 'PT0S' END AS t FROM orders""")
+def fn_seconds_and_zones(t):
+    """SECONDS, TZ, TIMEZONE."""
+    zone = F.when(F.col("o_orderkey") % 2 == 0, "+05:30").otherwise("Z")
+    text = F.concat(terms.of_native(F.col("o_orderdate"), t.orders.df.schema["o_orderdate"].dataType).lex, zone)
+    rows = t.orders.df.select(F.col("o_orderkey").alias("k"), terms.literal(text, terms.DATETIME).alias("x"))
+    return rows.select("k", scalar.seconds(F.col("x")).lex.alias("s"), scalar.tz(F.col("x")).lex.alias("z"), scalar.timezone(F.col("x")).lex.alias("t"))
+
+
+@query("SELECT s_suppkey AS k, 96 AS a, 128 AS b, true AS x FROM supplier")
+def fn_long_hashes(t):
+    """SHA384 and SHA512, whose texts SQL cannot make: their lengths, and that they tell names apart."""
+    rows = t.supplier.df.select("s_suppkey", scalar.sha384(terms.literal(F.col("s_name"))).alias("a"), scalar.sha512(terms.literal(F.col("s_name"))).alias("b"))
+    return rows.select(F.col("s_suppkey").alias("k"), F.length("a.lex").alias("a"), F.length("b.lex").alias("b"), (F.col("a.lex") != F.substring("b.lex", 1, 96)).alias("x"))
+
+
+@query("""SELECT l_orderkey AS k, l_linenumber AS n, l_quantity::BIGINT::VARCHAR AS d, l_quantity AS f, l_returnflag AS s, strftime(l_shipdate, '%Y-%m-%d') AS t, (l_quantity::BIGINT + 10000000000000)::VARCHAR AS big, l_linenumber <> 3 AS e FROM lineitem""")
+def fn_more_casts(t):
+    """xsd:decimal, xsd:float, xsd:string, xsd:dateTime; integers beyond doubles' digits; effective boolean values of well and ill-formed terms."""
+    df, kind = t.lineitem.df, t.lineitem.df.schema
+    cell = lambda c: terms.of_native(F.col(c), kind[c].dataType)
+    day = terms.literal(F.date_format("l_shipdate", "yyyy-MM-dd'T'00:00:00"))
+    flag = terms.typed(F.when(F.col("l_linenumber") == 3, "yes").otherwise("1"), F.when(F.col("l_linenumber") % 2 == 1, terms.BOOLEAN).otherwise(terms.INTEGER))
+    rows = df.select("l_orderkey", "l_linenumber", cell("l_quantity").alias("q"), cell("l_returnflag").alias("r"), day.alias("day"), flag.alias("flag"))
+    made = rows.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), scalar.to_decimal(F.col("q")).alias("d"), scalar.to_float(F.col("q")).alias("f"), scalar.to_string(F.col("r")).alias("s"), scalar.to_datetime(F.col("day")).alias("t"), scalar.to_integer(F.col("q")).alias("i"), terms.effective(F.col("flag")).alias("e"))
+    big = scalar.add(F.col("i"), terms.literal(F.lit("10000000000000"), terms.INTEGER))
+    return made.select("k", "n", F.col("d.lex").alias("d"), F.col("f.lex").cast("double").alias("f"), F.col("s.lex").alias("s"), F.substring("t.lex", 1, 10).alias("t"), big.lex.alias("big"), "e")
+
+
+@query("SELECT p_partkey AS k, contains(p_name, split_part(p_type, ' ', 1)) AS r, replace(p_type, split_part(p_type, ' ', 1), '[' || p_brand || ']') AS s FROM part")
+def fn_regex_of_columns(t):
+    """REGEX and REPLACE whose pattern and replacement are columns."""
+    name, kind, brand = (terms.literal(F.col(c)) for c in ("p_name", "p_type", "p_brand"))
+    word = terms.literal(F.split_part("p_type", F.lit(" "), F.lit(1)))
+    return t.part.df.select(F.col("p_partkey").alias("k"), terms.boolean_of(scalar.regex(name, word)).alias("r"), scalar.replace(kind, word, scalar.concat(terms.literal(F.lit("[")), brand, terms.literal(F.lit("]")))).lex.alias("s"))
+
+
+@query("""SELECT o_orderkey AS k, o_orderkey % 3 = 0 OR o_orderkey % 2 = 0 AS kept FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0""")
+def filter_errors(t):
+    """|| and && where one side is an error: true || error is true, and false && error is false."""
+    number = F.when(F.col("o_orderkey") % 2 == 0, terms.literal(F.lit("1"), terms.INTEGER)).otherwise(terms.literal(F.lit("x"), "http://data.example/t"))
+    rows = Solutions(t.orders.df.select(F.col("o_orderkey").alias("k"), number.alias("x")))
+    either = (F.col("k") % 3 == 0) | terms.effective(F.col("x"))
+    both = ~((F.col("k") % 3 != 0) & terms.effective(F.lit(None).cast(terms.TERM)) & F.lit(True)) | either
+    return rows.filter(either).bind("kept", F.coalesce(both, either)).project("k", "kept")
+
+
+@query("""SELECT a.s_suppkey AS s, n.n_nationkey AS n FROM (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) a, nation n""")
+def product_suppliers_nations(t):
+    found = t.supplier.star(s="s_suppkey", b="s_acctbal")
+    return found.filter(found["b"] < 0).project("s").join(t.nation.star(n="n_nationkey"))
+
+
+@query("""SELECT c_mktsegment AS g, min(c_name) FILTER (c_custkey % 2 = 1) AS low, max(CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END)::DOUBLE AS high FROM customer GROUP BY 1""")
+def agg_terms_of_any_kind(t):
+    """MIN and MAX over a mixed column of numbers and names: what has no number comes first."""
+    x = F.when(F.col("c_custkey") % 2 == 0, terms.literal(F.col("c_nationkey").cast("string"), terms.INTEGER)).otherwise(terms.literal(F.col("c_name")))
+    found = Solutions(t.customer.df.select(F.col("c_mktsegment").alias("g"), x.alias("x"))).group(["g"], low=agg.least_term(F.col("x")), high=agg.greatest_term(F.col("x")))
+    return found.df.select("g", F.col("low.lex").alias("low"), terms.double_of(F.col("high")).alias("high"))
+
+
+@query("""SELECT 'http://data.example/alias' AS k, c_custkey AS c, CASE c_custkey % 6 WHEN 0 THEN 'Text/Turtle' WHEN 1 THEN 'application/n-triples' WHEN 2 THEN 'application/ld+json' WHEN 3 THEN 'text/turtle' WHEN 4 THEN 'application/x-other' END AS base,
+CASE c_custkey % 6 WHEN 1 THEN 'ntriples' WHEN 2 THEN 'jsonld' WHEN 3 THEN 'turtle' END AS form FROM customer""")
+def media_aliases(t):
+    """Media types without their parameters, and graph formats by type; types compare as exact text, and an unknown one has none."""
+    spec = F.element_at(F.array(*(F.lit(x) for x in ("Text/Turtle; charset=utf-8", "application/n-triples", " application/ld+json ;profile=x", "text/turtle", "application/x-other;a=b", None))), (F.col("c_custkey") % 6 + 1).cast("int"))
+    return t.customer.df.select(F.lit("http://data.example/alias").alias("k"), F.col("c_custkey").alias("c"), media.base_column(spec).alias("base"), media.graph_format_column(spec).alias("form"))
+
+
+@query("""SELECT CASE WHEN form = 'json' THEN '{"head":{},"boolean":' || a || '}' WHEN form = 'xml' THEN '<?xml version="1.0"?><sparql xmlns="http://www.w3.org/2005/sparql-results#"><head/><boolean>' || a || '</boolean></sparql>' ELSE a END AS value, form
+FROM (SELECT CASE WHEN count(*) > 0 THEN 'true' ELSE 'false' END AS a FROM events WHERE event_type = 'error'), (SELECT unnest(['json', 'xml', 'csv', 'tsv']) AS form)""")
+def ask_in_every_format(t):
+    found = t.events.star(e="event_type")
+    answer = found.filter(found["e"] == "error").ask()
+    parts = [dataset.answer(answer, form)[1].select("value", F.lit(form).alias("form")) for form in ("json", "xml", "csv", "tsv")]
+    return reduce(lambda a, b: a.union(b), parts)
+
+
+@query("""SELECT 'n' || chr(13) || chr(10) || string_agg(s_name, chr(13) || chr(10) ORDER BY s_name) || chr(13) || chr(10) AS value, 'text/csv' AS media_type FROM supplier""")
+def answer_as_csv(t):
+    """The format by name, and the whole document."""
+    made, body = dataset.answer(Solutions(t.supplier.df.select(terms.literal(F.col("s_name")).alias("n"))), "csv")
+    return body.select("value", F.lit(made).alias("media_type"))
+
+
+@query("""SELECT 'text/turtle' AS media_type, sum(1)::BIGINT AS n FROM (SELECT DISTINCT c_mktsegment, c_custkey FROM customer)""")
+def answer_graph_falls_back(t):
+    """An unknown format for a graph falls back to Turtle; its statements, counted in the document."""
+    c = t.customer
+    made, body = dataset.answer(quads.construct(Solutions(c.df.select(c.subject().alias("s"), terms.literal(F.col("c_mktsegment")).alias("m"))), ("?s", BASE + "label", "?m")), "nonsense")
+    return body.select(F.lit(made).alias("media_type"), F.regexp_count("value", F.lit("label> ")).cast("bigint").alias("n"))
+
+
+@query("SELECT event_type AS e, count(*)::BIGINT AS n FROM events GROUP BY 1")
+def cached_counts(t):
+    """Counts by way of the cache, asked for twice and made once."""
+    made = []
+
+    def make() -> DataFrame:
+        made.append(1)
+        return t.events.star(e="event_type").group(["e"], n=agg.count()).df
+
+    held = cache.Cache()
+    for _ in range(2):
+        out = held.get("counts", (), [t.events.df], make)
+    if len(made) != 1:
+        raise ValueError("the cache does not hold")
+    return out
+
+
+@query("""SELECT k % 7 AS k, CASE k % 7 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/gif' WHEN 3 THEN 'image/gif' WHEN 4 THEN 'application/gzip' WHEN 5 THEN 'application/pdf' ELSE 'text/plain' END AS media, count(*)::BIGINT AS n
+FROM (SELECT o_orderkey AS k FROM orders) GROUP BY 1, 2""")
+def sniff_signatures(t):
+    """Every signature in front of orders' priorities, and none."""
+    leads = ["89504e470d0a1a0a", "ffd8ff", "474946383761", "474946383961", "1f8b", "255044462d", ""]
+    lead = F.unhex(F.element_at(F.array(*(F.lit(x) for x in leads)), (F.col("o_orderkey") % 7 + 1).cast("int")))
+    rows = t.orders.df.select((F.col("o_orderkey") % 7).alias("k"), F.concat(lead, F.col("o_orderpriority").cast("binary")).alias("b"))
+    return rows.groupBy("k", sniff.sniff(F.col("b")).alias("media")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT CASE WHEN html ILIKE '%<title>%' THEN 'titled' ELSE 'text/html' END AS media, count(*)::BIGINT AS n FROM pages GROUP BY 1""")
+def sniff_with_own_detector(t):
+    """A detector of one's own in front of the known ones."""
+    own = lambda v: F.when(F.lower(v.raw.cast("string")).contains("<title>"), "titled")
+    return t.pages.df.groupBy(sniff.sniff(F.col("html").cast("binary"), [("titled", own), *sniff.DETECTORS]).alias("media")).agg(F.count(F.lit(1)).alias("n"))
