@@ -8,6 +8,7 @@ import uuid
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -67,6 +68,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def join_hot(rows: DataFrame, by: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of by, which has one row for each key.
+
+    Keys of more than a task's share of the rows, of which there are fewer than tasks,
+    are looked up in a broadcast table, so none of them is one task's work; the others
+    join by shuffle. Both sides should be cheap to read again.
+    """
+    slots = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    total = rows.count()
+    hot = cut(counts.where(F.col("__n") > max(1, total // slots)).select(key))
+    if hot.isEmpty():
+        return rows.join(by, key)
+    few = F.broadcast(hot)
+    return rows.join(F.broadcast(by.join(few, key, "left_semi")), key).unionByName(rows.join(few, key, "left_anti").join(by, key))
+
+
 def map_array(uri: str, dtype: type):
     """The file as a read-only memory-mapped array.
 

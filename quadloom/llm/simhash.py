@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadloom.llm._arrow import LOWER, bytes_of, offsets_of, slices, texts_of, word_hashes, words
-from quadloom.llm._shared import cut, map_array, open_fs, put, work_dir, write_file
+from quadloom.llm._shared import cut, join_hot, map_array, open_fs, put, work_dir, write_file
 from quadloom.llm.components import components
 
 SEED = 42
@@ -238,16 +238,18 @@ def links(prints: DataFrame, radius: int = 3, sets: str | None = None, least: fl
     units = known.select(F.col("tile").alias("t1"), F.col("piece").alias("i"), F.explode(near).alias("d")).withColumn("t2", F.col("t1") + F.col("d")).drop("d")
     units = units.join(known.select(F.col("tile").alias("t2"), F.col("piece").alias("j")), "t2").where("t1 <> t2 or i <= j")
 
-    @F.udf("array<struct<a: bigint, b: bigint>>")
-    def compare(t1: int, i: int, t2: int, j: int) -> list[tuple[int, int]]:
-        a, b = _piece(uri, t1, i, len(fields)), _piece(uri, t2, j, len(fields))
-        check = None if sets is None else lambda x, y: similar(_set(sets, *a[2:, x].tolist()), _set(sets, *b[2:, y].tolist()), least)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         named = 0 if sets is None else 1
-        return [(int(a[named, x]), int(b[named, y])) for x, y in forest(a[0].view(np.uint64), b[0].view(np.uint64), radius, (t1, i) == (t2, j), check)]
+        for batch in batches:
+            for t1, i, t2, j in zip(*(batch.column(c).to_pylist() for c in ("t1", "i", "t2", "j")), strict=True):
+                a, b = _piece(uri, t1, i, len(fields)), _piece(uri, t2, j, len(fields))
+                check = None if sets is None else lambda x, y, a=a, b=b: similar(_set(sets, *a[2:, x].tolist()), _set(sets, *b[2:, y].tolist()), least)
+                found = np.array(forest(a[0].view(np.uint64), b[0].view(np.uint64), radius, (t1, i) == (t2, j), check), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(a[named][found[:, 0]]), pa.array(b[named][found[:, 1]])], ["a", "b"])
 
     # dealt by a hash: one piece's pairs, which a join brings together, go to all tasks
     slots = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return units.repartition(slots, F.xxhash64("t1", "i", "t2", "j")).select(F.explode(compare("t1", "i", "t2", "j")).alias("x")).select("x.a", "x.b")
+    return units.repartition(slots, F.xxhash64("t1", "i", "t2", "j")).mapInArrow(compare, "a long, b long")
 
 
 @functools.lru_cache(128)
@@ -433,7 +435,8 @@ def _rooted(rows: DataFrame, radius: int, sets: str | None = None, least: float
         return rooted
     members = cut(placed.groupBy("node").agg(F.min(F.struct("part", "at", "n")).alias("x")).select("node", "x.*").join(rooted, "node"))
     tops = components(cut(rare_links(members, sets, least))).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    return members.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    every = cut(members.select("root").distinct().join(tops, "root", "left").select("root", F.coalesce("top", "root").alias("top")))
+    return join_hot(members, every, "root").select("node", F.col("top").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 3, radius: int = 3) -> DataFrame:
@@ -441,9 +444,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rows = cut(with_fingerprint(docs.select(F.col(id_col), F.col(text)), "print", text, size).drop(text))
     # a third of the rows may share a fingerprint: its least id is aggregated before the shuffle
     least = rows.groupBy("print").agg(F.min(id_col).alias("least"))
-    named = least.join(_rooted(rows, radius), "print")
-    mapped = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("print", "component_id")
-    return rows.join(mapped, "print").select(id_col, "print", "component_id")
+    named = cut(least.join(_rooted(rows, radius), "print"))
+    # a third of the fingerprints may be one component, and a third of the rows one fingerprint
+    mapped = cut(join_hot(named, named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("print", "component_id"))
+    return join_hot(rows, mapped, "print").select(id_col, "print", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 3, radius: int = 3, least: float | None = None, by: int = 5, rest: bool = False) -> DataFrame:
@@ -463,11 +467,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size:
     rows = cut(with_fingerprint(cols, "print", text, size).drop(text) if sets is None else with_sets(cols, sets, text, size, by))
     key = "print" if sets is None else "node"
     rooted = _rooted(rows, radius) if sets is None else _rooted(rows, radius, sets, least, rest)
-    keys = rows.groupBy("__id", key).agg(F.count(F.lit(1)).alias("n")).join(rooted, key)
+    rooted = cut(rooted)
+    keys = cut(join_hot(cut(rows.groupBy("__id", key).agg(F.count(F.lit(1)).alias("n"))), rooted, key))
     order = F.struct(F.col("__id").isNull(), F.col("__id"), F.col(key))
-    keys = cut(keys)  # so that the join below is one that the adaptive skew handling can split
     first = cut(keys.groupBy("root").agg(F.min(order).alias("first")))
-    verdicts = cut(keys.join(first, "root").select("__id", F.col(key).alias("__key"), "n", (order != F.col("first")).alias("__gone")))
+    verdicts = cut(join_hot(keys, first, "root").select("__id", F.col(key).alias("__key"), "n", (order != F.col("first")).alias("__gone")))
     ids = verdicts.groupBy("__id").agg(F.sum("n").alias("n"))
     if isinstance(docs.schema[id_col].dataType, T.IntegralType) and ids.where("n > 1 or __id is null").isEmpty():
         return _without(docs, id_col, verdicts.where("__gone").select(F.col("__id").cast("long").alias("id")))

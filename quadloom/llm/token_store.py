@@ -19,9 +19,11 @@ in the order of the input; null ids come first. An empty table gives an empty st
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import hashlib
 import json
+import uuid
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 
 from quadloom.llm import tokens
 from quadloom.llm._arrow import slices, texts_of
-from quadloom.llm._shared import cut, open_fs, work_dir, write_file
+from quadloom.llm._shared import cut, open_fs, put, work_dir, write_file
 
 #: Ids in a chunk: least, most, and on average between cuts as a power of two.
 LEAST, MOST, BITS = 128, 4096, 9
@@ -44,6 +46,8 @@ SEEN = 16
 DIGEST = 16
 #: Ids at which a task starts its next pack, between documents.
 PACK = 16_000_000
+#: Documents for which there is a recipe file.
+RECIPES = 1_000_000
 FACTOR = 0x9E3779B97F4A7C15
 
 
@@ -119,14 +123,14 @@ class _Draft:
     def add(self, doc_ids: list, got: tokens.Ids, dtype: type) -> None:
         ends = chunk_ends(got.ids, got.bounds)
         stream = got.ids.astype(dtype)
-        begin, numbers = 0, []
+        begin, numbers, new = 0, [], []
         for end in ends:
             raw = stream[begin:end].tobytes()
             key = digest(raw)
             number = self.known.get(key)
             if number is None:
                 number = self.known[key] = len(self.known)
-                self.parts.append(raw)
+                new.append(raw)
                 self.sizes.append(end - begin)
             numbers.append(number)
             begin = end
@@ -135,7 +139,7 @@ class _Draft:
         self.lengths += np.diff(got.bounds).tolist()
         self.doc_ids += [NULL if d is None else d for d in doc_ids]
         self.ids += len(stream)
-        self.parts = [b"".join(self.parts)]
+        self.parts.append(b"".join(new))
 
     def write(self, uri: str) -> pa.RecordBatch:
         write_file(f"{uri}/draft-{self.number}", self.parts)
@@ -214,19 +218,25 @@ def _compact(uri: str, dtype: type):
 
 
 def write_recipes(recipes: DataFrame, uri: str, parts: int) -> list[tuple[int, int, int, str]]:
-    """Recipe files in ascending order of ids. (file, documents, ids, Merkle root) of each."""
+    """Recipe files in ascending order of ids. (file, documents, ids, Merkle root) of each; a task holds its documents' leaves, 16 bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held).select(["doc_id", "length", "places", "digests"])
-        part, sink = TaskContext.get().partitionId(), pa.BufferOutputStream()
-        with pa.ipc.new_file(sink, table.schema) as out:
-            out.write_table(table, 4096)
-        write_file(f"{uri}/recipe-{part}", [sink.getvalue()])
-        root = merkle([leaf(d, n, k) for d, n, k in zip(*(table[c].to_pylist() for c in ("doc_id", "length", "digests")), strict=True)])
-        yield pa.RecordBatch.from_pydict({"part": [part], "docs": [table.num_rows], "ids": [int(pa.compute.sum(table["length"]).as_py())], "root": [root.hex()]})
+        part, leaves, ids, out = TaskContext.get().partitionId(), [], 0, None
+        store, folder = open_fs(uri)
+        draft = f"{folder}/recipe-{part}.{uuid.uuid4().hex}.tmp"
+        with contextlib.ExitStack() as held:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                batch = batch.select(["doc_id", "length", "places", "digests"])
+                out = out or held.enter_context(pa.ipc.new_file(held.enter_context(store.open_output_stream(draft)), batch.schema))
+                for at in range(0, batch.num_rows, 4096):
+                    out.write_batch(batch.slice(at, 4096))
+                leaves += [leaf(d, n, k) for d, n, k in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "length", "digests")), strict=True)]
+                ids += pa.compute.sum(batch.column("length")).as_py()
+        if leaves:
+            put(store, draft, f"{folder}/recipe-{part}")
+            yield pa.RecordBatch.from_pydict({"part": [part], "docs": [len(leaves)], "ids": [ids], "root": [merkle(leaves).hex()]})
 
     rows = recipes.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "pack", "row").mapInArrow(run, "part long, docs long, ids long, root string").collect()
     return sorted((r["part"], r["docs"], r["ids"], r["root"]) for r in rows)
@@ -244,7 +254,8 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text"
     owners = chunks.groupBy("digest").agg(F.min(F.struct("pack", "number")).alias("first"))
     owned = chunks.join(owners, "digest").select("pack", "number", F.col("first.pack").alias("owner"), F.col("first.number").alias("place"))
     recipes = cut(owned.groupBy("pack").cogroup(packs.groupBy("pack")).applyInArrow(_compact(uri, dtype), RECIPE_SCHEMA))
-    files = write_recipes(recipes, uri, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    docs_in_all = (packs.agg(F.sum(F.octet_length("doc_ids"))).first()[0] or 0) // 8
+    files = write_recipes(recipes, uri, max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs_in_all // RECIPES))
     manifest = {"dtype": np.dtype(dtype).name, "files": files, "root": merkle([bytes.fromhex(f[3]) for f in files]).hex()}
     write_file(f"{uri}/manifest.json", [json.dumps(manifest).encode()])
     return uri
