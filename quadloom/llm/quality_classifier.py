@@ -20,7 +20,6 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -155,9 +154,9 @@ def with_score(docs: DataFrame, model: Model, name: str, text: str = "text") ->
 def scores(model: Model, x: str = "__x") -> Column:
     """Calibrated score of a column of features."""
 
-    @F.pandas_udf("double")
-    def apply(rows: pd.DataFrame) -> pd.Series:
-        return pd.Series(model.score(rows[NAMES].to_numpy(float)))
+    @F.arrow_udf("double")
+    def apply(rows: pa.Array) -> pa.Array:
+        return pa.array(model.score(np.stack([rows.field(n).to_numpy(zero_copy_only=False) for n in NAMES], axis=1)))
 
     return apply(F.col(x))
 

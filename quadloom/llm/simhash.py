@@ -24,7 +24,6 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -225,13 +224,14 @@ def links(prints: DataFrame, radius: int = 3, sets: str | None = None, least: fl
 
     uri = work_dir(prints.sparkSession, "tiles")
 
-    def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        write_file(f"{uri}/{key[0]}-{key[1]}", [np.ascontiguousarray(pdf[fields].to_numpy(np.int64).T)])
-        return pd.DataFrame({"tile": [key[0]], "piece": [key[1]]})
+    def write(key: tuple, table: pa.Table) -> pa.Table:
+        tile, piece = (k.as_py() for k in key)
+        write_file(f"{uri}/{tile}-{piece}", [np.stack([table[c].to_numpy() for c in fields])])
+        return pa.table({"tile": pa.array([tile], pa.int32()), "piece": pa.array([piece], pa.int32())})
 
     # at most some TILE rows in a group: a hash of fingerprint and set deals a tile's rows over its pieces
     pieced = tiled.join(pieces, "tile").select(*fields, "tile", F.pmod(F.xxhash64(*fields[:2]), F.col("pieces")).cast("int").alias("piece"))
-    known = cut(pieced.groupBy("tile", "piece").applyInPandas(write, "tile int, piece int"))
+    known = cut(pieced.groupBy("tile", "piece").applyInArrow(write, "tile int, piece int"))
 
     # a unit names two pieces; workers map their files, so that no piece passes a shuffle for each of its units
     near = F.array(*(F.lit(x * 64 + y) for x, y in _reach(radius, grain)))
@@ -498,15 +498,15 @@ def _without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
     dealt = gone.withColumn("shard", F.pmod("id", F.lit(shards)))
     written = {r["shard"] for r in dealt.groupBy("shard").applyInArrow(write, "shard long").collect()}
 
-    @F.pandas_udf("boolean")
-    def stays(ids: pd.Series) -> pd.Series:
-        values = ids.to_numpy(np.int64)
+    @F.arrow_udf("boolean")
+    def stays(ids: pa.Array) -> pa.Array:
+        values = ids.to_numpy(zero_copy_only=False)
         out, shard = np.ones(len(values), bool), np.mod(values, shards)
         for s in np.intersect1d(shard, list(written)).tolist():
             at, held = np.flatnonzero(shard == s), map_array(f"{uri}/{s}", np.int64)
             place = np.minimum(np.searchsorted(held, values[at]), len(held) - 1)
             out[at] = held[place] != values[at]
-        return pd.Series(out)
+        return pa.array(out)
 
     return docs.where(stays(F.col(id_col).cast("long")))
 
