@@ -23,8 +23,9 @@ def _int(c: Column) -> Column:
 
 
 def _made(dt: str, value: Column) -> Column:
-    """Literal of a long expression."""
-    return t.once(value.cast("string"), lambda lex: t.literal(lex, dt))
+    """Literal of a long expression, null if the expression is; nullif names it once and stays in generated code."""
+    whole = lambda lex: F.struct(F.lit(t.LITERAL).cast("tinyint").alias("kind"), lex.cast("string").alias("lex"), F.lit(dt).alias("dt"), F.lit(None).cast("string").alias("lang"))
+    return F.nullif(whole(value), whole(F.lit(None)))
 
 
 def _fits(a: Column, b: Column) -> Column:
@@ -347,31 +348,38 @@ def sha512(a: Column) -> Column:
     return t.literal(F.sha2(t.string_of(a), 512))
 
 
-# casts: one branch for each datatype that can be cast, so that a row is tested once
+# casts: one branch for each datatype that can be cast, so that a row is tested once. Where the datatype of all of a
+# column's literals is known (of), as it is for a table's columns, only its branch is made.
 
 
-def _cast(a: Column, whole, exact, approximate, text, flag) -> Column:
+def _cast(a: Column, of: str | None, whole, exact, approximate, text, flag) -> Column:
     """Values by the argument's datatype, of its lexical form; flag is given the value itself."""
     lex = a.lex
-    return (
-        F.when(a.dt.isin(t.FLOAT, t.DOUBLE), F.when(lex.rlike(t.DOUBLE_FORM), approximate(lex)))
-        .when(a.dt.isin(t.INTEGERS), F.when(lex.rlike(t.INTEGER_FORM), whole(lex)))
-        .when(a.dt == t.DECIMAL, F.when(lex.rlike(t.DECIMAL_FORM), exact(lex)))
-        .when(a.dt.isin(t.STRING, t.LANG_STRING), text(lex))
-        .when(a.dt == t.BOOLEAN, flag(F.when(lex.isin("true", "1"), 1).when(lex.isin("false", "0"), 0)))
+    branches = (
+        ((t.FLOAT, t.DOUBLE), F.when(lex.rlike(t.DOUBLE_FORM), approximate(lex))),
+        (t.INTEGERS, F.when(lex.rlike(t.INTEGER_FORM), whole(lex))),
+        ((t.DECIMAL,), F.when(lex.rlike(t.DECIMAL_FORM), exact(lex))),
+        ((t.STRING, t.LANG_STRING), text(lex)),
+        ((t.BOOLEAN,), flag(F.when(lex.isin("true", "1"), 1).when(lex.isin("false", "0"), 0))),
     )
+    if of is not None:
+        return next((value for dts, value in branches if of in dts), F.lit(None))
+    out = F
+    for dts, value in branches:
+        out = out.when(a.dt.isin(*dts), value)
+    return out
 
 
-def to_boolean(a: Column) -> Column:
+def to_boolean(a: Column, of: str | None = None) -> Column:
     def number(lex: Column) -> Column:
         value = t.parsed(lex)
         return (value != 0) & ~F.isnan(value)
 
     words = lambda lex: F.when(lex.isin("true", "1"), True).when(lex.isin("false", "0"), False)
-    return _made(t.BOOLEAN, _cast(a, number, number, number, words, lambda x: x == 1))
+    return _made(t.BOOLEAN, _cast(a, of, number, number, number, words, lambda x: x == 1))
 
 
-def to_integer(a: Column) -> Column:
+def to_integer(a: Column, of: str | None = None) -> Column:
     """Truncates numbers; strings must look like integers. Null beyond 38 digits."""
     wide = "decimal(38,0)"
 
@@ -381,26 +389,26 @@ def to_integer(a: Column) -> Column:
 
     whole = lambda lex: F.coalesce(lex.try_cast("bigint").cast("string"), lex.try_cast(wide).cast("string"))
     exact = lambda lex: F.coalesce(whole(F.substring_index(lex, ".", 1)), F.lit("0"))
-    return _made(t.INTEGER, _cast(a, whole, exact, approximate, lambda lex: F.when(lex.rlike(t.INTEGER_FORM), whole(lex)), lambda x: x.cast("string")))
+    return _made(t.INTEGER, _cast(a, of, whole, exact, approximate, lambda lex: F.when(lex.rlike(t.INTEGER_FORM), whole(lex)), lambda x: x.cast("string")))
 
 
-def to_decimal(a: Column) -> Column:
+def to_decimal(a: Column, of: str | None = None) -> Column:
     exact = lambda lex: lex.try_cast("decimal(28,8)")
     text = lambda lex: F.when(lex.rlike(t.DECIMAL_FORM), exact(lex))
-    return _made(t.DECIMAL, _plain(_cast(a, exact, exact, lambda lex: t.parsed(lex).try_cast("decimal(28,8)"), text, lambda x: x.cast("decimal(28,8)"))))
+    return _made(t.DECIMAL, _plain(_cast(a, of, exact, exact, lambda lex: t.parsed(lex).try_cast("decimal(28,8)"), text, lambda x: x.cast("decimal(28,8)"))))
 
 
-def _float(a: Column, kind: str, dt: str) -> Column:
+def _float(a: Column, of: str | None, kind: str, dt: str) -> Column:
     number = lambda lex: t.parsed(lex, kind)
-    return _made(dt, _double_text(_cast(a, number, number, number, lambda lex: F.when(lex.rlike(t.DOUBLE_FORM), number(lex)), lambda x: x.cast(kind))))
+    return _made(dt, _double_text(_cast(a, of, number, number, number, lambda lex: F.when(lex.rlike(t.DOUBLE_FORM), number(lex)), lambda x: x.cast(kind))))
 
 
-def to_float(a: Column) -> Column:
-    return _float(a, "float", t.FLOAT)
+def to_float(a: Column, of: str | None = None) -> Column:
+    return _float(a, of, "float", t.FLOAT)
 
 
-def to_double(a: Column) -> Column:
-    return _float(a, "double", t.DOUBLE)
+def to_double(a: Column, of: str | None = None) -> Column:
+    return _float(a, of, "double", t.DOUBLE)
 
 
 def to_string(a: Column) -> Column:

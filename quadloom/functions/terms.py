@@ -62,21 +62,28 @@ def tagged(lex: Column, lang: Column) -> Column:
     return _term(LITERAL, lex, F.lit(LANG_STRING), F.lower(lang))
 
 
-def of_native(c: Column, kind: T.DataType) -> Column:
-    """A table's cell as a literal; null stays unbound."""
+def native_datatype(kind: T.DataType) -> str:
+    """Datatype of the literals that of_native makes of a type's cells."""
     if isinstance(kind, T.BooleanType):
-        return literal(c.cast("string"), BOOLEAN)
+        return BOOLEAN
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return literal(c.cast("string"), INTEGER)
+        return INTEGER
     if isinstance(kind, T.DecimalType):
-        return literal(c.cast("string"), DECIMAL)
+        return DECIMAL
     if isinstance(kind, (T.FloatType, T.DoubleType)):
-        text = F.when(F.isnan(c), "NaN").when(c == float("inf"), "INF").when(c == float("-inf"), "-INF").otherwise(c.cast("string"))
-        return literal(text, DOUBLE)
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return DOUBLE
+    return DATETIME if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else STRING
+
+
+def of_native(c: Column, kind: T.DataType) -> Column:
+    """A table's cell as a literal; null stays unbound."""
+    dt, text = native_datatype(kind), c.cast("string")
+    if dt == DOUBLE:
+        text = F.when(F.isnan(c), "NaN").when(c == float("inf"), "INF").when(c == float("-inf"), "-INF").otherwise(text)
+    if dt == DATETIME:
         text = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-        return literal(F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", ""), DATETIME)
-    return literal(c.cast("string"))
+        text = F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    return literal(text, dt)
 
 
 # what a term is
@@ -103,9 +110,9 @@ def parsed(lex: Column, kind: str = "double") -> Column:
     return F.when(lex.endswith("INF"), F.replace(lex, F.lit("INF"), F.lit("Infinity"))).otherwise(lex).try_cast(kind)
 
 
-def double_of(t: Column) -> Column:
-    """Numeric value as a double, null for anything else."""
-    return F.when(is_numeric(t), parsed(t.lex))
+def double_of(t: Column, of: str | None = None) -> Column:
+    """Numeric value as a double, null for anything else; of is the datatype of all literals, where it is known."""
+    return F.when(is_numeric(t) if of not in (FLOAT, DOUBLE) else t.lex.rlike(DOUBLE_FORM), parsed(t.lex))
 
 
 def decimal_of(t: Column) -> Column:

@@ -400,14 +400,17 @@ def fn_hash(t):
 @query("SELECT l_orderkey AS k, trunc(l_extendedprice)::BIGINT AS i, l_quantity::BIGINT AS q, l_extendedprice AS d, CASE WHEN l_discount = 0 THEN 'false' ELSE 'true' END AS b, NULL::BIGINT AS e FROM lineitem")
 def fn_cast(t):
     df = t.lineitem.df
-    made = [terms.of_native(F.col(c), df.schema[c].dataType).alias(c) for c in ("l_extendedprice", "l_quantity", "l_discount")]
+    kinds = {c: df.schema[c].dataType for c in ("l_extendedprice", "l_quantity", "l_discount")}
+    price, quantity, discount = (terms.native_datatype(kind) for kind in kinds.values())
     # terms in a projection of their own: the casts use each several times
-    rows = df.select("l_orderkey", *made, terms.literal(F.col("l_returnflag")).alias("flag"))
+    rows = df.select("l_orderkey", *(terms.of_native(F.col(c), kind).alias(c) for c, kind in kinds.items()), terms.literal(F.col("l_returnflag")).alias("flag"))
     rows = rows.withColumn("text", scalar.str_(F.col("l_extendedprice")))
-    price, quantity, discount, flag, text = (F.col(c) for c in ("l_extendedprice", "l_quantity", "l_discount", "flag", "text"))
-    cast = rows.select(F.col("l_orderkey").alias("k"), scalar.to_integer(price).alias("i"), scalar.to_integer(quantity).alias("q"), scalar.to_double(text).alias("d"), scalar.to_boolean(discount).alias("b"), scalar.to_integer(flag).alias("e"))
+    cast = rows.select(
+        F.col("l_orderkey").alias("k"), scalar.to_integer(F.col("l_extendedprice"), price).alias("i"), scalar.to_integer(F.col("l_quantity"), quantity).alias("q"),
+        scalar.to_double(F.col("text"), terms.STRING).alias("d"), scalar.to_boolean(F.col("l_discount"), discount).alias("b"), scalar.to_integer(F.col("flag")).alias("e"),
+    )
     whole = lambda c: F.col(c).lex.cast("bigint").alias(c)
-    return cast.select("k", whole("i"), whole("q"), terms.double_of(F.col("d")).alias("d"), F.col("b").lex.alias("b"), whole("e"))
+    return cast.select("k", whole("i"), whole("q"), terms.double_of(F.col("d"), terms.DOUBLE).alias("d"), F.col("b").lex.alias("b"), whole("e"))
 
 
 @query("SELECT doc_id AS k, regexp_matches(text, '[0-9]{3,}') AS n, regexp_matches(text, 'LICEN[CS]E', 'i') AS l, length(regexp_replace(text, '[0-9]+', '#', 'g'))::BIGINT AS r FROM documents")

@@ -28,20 +28,19 @@ from quadloom.functions.terms import RDF, XSD
 
 QUAD = "g struct<kind:tinyint,lex:string,dt:string,lang:string>, s struct<kind:tinyint,lex:string,dt:string,lang:string>, p struct<kind:tinyint,lex:string,dt:string,lang:string>, o struct<kind:tinyint,lex:string,dt:string,lang:string>"
 
-_IRI, _BLANK = r"<([^<>\"{}|^`\\\x00-\x20]*)>", r"_:([A-Za-z0-9_](?:[A-Za-z0-9_.·-]*[A-Za-z0-9_·-])?)"
-_LITERAL = r'"((?:[^"\\\r\n]++|\\.)*+)"(?:\^\^<([^<>]*)>|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?'
+_POINT = r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}"
+_IRI, _BLANK = rf"<((?:[^<>\"{{}}|^`\\\x00-\x20]++|{_POINT})*+)>", r"_:([A-Za-z0-9_](?:[A-Za-z0-9_.·-]*[A-Za-z0-9_·-])?)"
+_LITERAL = rf'"((?:[^"\\\r\n]++|\\[tbnrf"\'\\]|{_POINT})*+)"(?:\^\^{_IRI}|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?'
 LINE = rf"^[ \t]*(?:{_IRI}|{_BLANK})[ \t]*{_IRI}[ \t]*(?:{_IRI}|{_BLANK}|{_LITERAL})[ \t]*(?:(?:{_IRI}|{_BLANK})[ \t]*)?\.[ \t]*(?:#.*)?$"
 
 
 def _unescaped(text):
-    """String and unicode escapes; the sign that stands in for a backslash meanwhile is no character of any text."""
-    held = F.replace(text, F.lit("\\\\"), F.lit("﷐"))
-    for sign, raw in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ("\\b", "\b"), ("\\f", "\f"), ('\\"', '"'), ("\\'", "'")):
-        held = F.replace(held, F.lit(sign), F.lit(raw))
-    points = F.regexp_extract_all(held, F.lit(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})"), F.lit(0))
-    character = lambda x: F.decode(F.unhex(F.lpad(F.substring(x, 3, 8), 8, "0")), "UTF-32")
-    held = F.when(held.contains("\\u") | held.contains("\\U"), F.aggregate(points, held, lambda acc, x: F.replace(acc, x, character(x)))).otherwise(held)
-    return F.when(text.contains("\\"), F.replace(held, F.lit("﷐"), F.lit("\\"))).otherwise(text)
+    """String and unicode escapes resolved in one pass; a text without a backslash is returned as it is."""
+    runs = F.regexp_extract_all(text, F.lit(rf"[^\\]++|{_POINT}|\\."), F.lit(0))
+    point = lambda x: F.decode(F.unhex(F.lpad(F.substring(x, 3, 8), 8, "0")), "UTF-32")
+    sign = lambda x: F.translate(F.substring(x, 2, 1), "tbnrf", "\t\b\n\r\f")
+    plain = lambda x: F.when(~x.startswith("\\"), x).when(F.length(x) > 2, point(x)).otherwise(sign(x))
+    return F.when(text.contains("\\"), F.array_join(F.transform(runs, plain), "")).otherwise(text)
 
 
 def scope_of(uri):
@@ -58,14 +57,17 @@ def lines(text: DataFrame, scope: str | Column = "", strict: bool = True) -> Dat
     x = lambda k: F.nullif(F.col("__part")[k - 1], F.lit(""))
     none = F.lit(None).cast(terms.TERM)
     node = lambda i, b: F.coalesce(terms.iri(_unescaped(x(i))), terms.blank(F.concat(F.col("__scope"), x(b))))
-    rows = text.where(~F.col("value").rlike(r"^[ \t\r]*(#.*)?$")).select(F.regexp_replace("value", r"\r$", "").alias("value"), (F.lit(scope) if isinstance(scope, str) else scope).alias("__scope"))
-    # one match for all groups; a noncharacter parts them, and a line that does not match keeps as it is
-    parted = rows.select("value", "__scope", F.split(F.regexp_replace("value", LINE, "\ufdd1".join(f"${k}" for k in range(1, 11))), "\ufdd1").alias("__part"))
-    fits = F.size("__part") == 10
-    said = F.raise_error(F.concat(F.lit("no statement: "), F.substring("value", 1, 80))).cast("boolean")
-    parted = parted.where(F.when(fits, True).otherwise(said) if strict else fits)
+    # one match for all groups; a line break, which no line holds, parts them, and a line that does not match keeps as it is
+    line = F.rtrim(F.col("value"), F.lit("\r\n"))
+    parts = F.array(F.split(F.regexp_replace(line, LINE, "\n".join(f"${k}" for k in range(1, 11))), "\n"))
+    fits = lambda part: (F.size(part) == 10) & ~line.contains("\n")
+    said = F.raise_error(F.concat(F.lit("no statement: "), F.substring("value", 1, 80))).cast("array<string>")
+    kept = F.transform(parts, lambda part: F.when(fits(part), part).otherwise(said)) if strict else F.filter(parts, fits)
+    # a generator, since filters would be pushed below the match and repeat it
+    each = F.explode(F.when(line.rlike(r"^[ \t\r]*(#.*)?$"), F.array().cast("array<array<string>>")).otherwise(kept)).alias("__part")
+    parted = text.select("value", (F.lit(scope) if isinstance(scope, str) else scope).alias("__scope")).select("__scope", each)
     named = parted.select("__part", "__scope", F.when(x(4).isNull() & x(5).isNull(), _unescaped(F.col("__part")[5])).alias("__raw"))
-    value = F.when(x(8).isNotNull(), terms.tagged(F.col("__raw"), x(8))).otherwise(terms.typed(F.col("__raw"), F.coalesce(x(7), F.lit(terms.STRING))))
+    value = F.when(x(8).isNotNull(), terms.tagged(F.col("__raw"), x(8))).otherwise(terms.typed(F.col("__raw"), F.coalesce(_unescaped(x(7)), F.lit(terms.STRING))))
     return named.select(F.coalesce(node(9, 10), none).alias("g"), node(1, 2).alias("s"), terms.iri(_unescaped(x(3))).alias("p"), F.coalesce(node(4, 5), value).alias("o"))
 
 

@@ -159,6 +159,20 @@ def test_lines_escapes_and_errors(spark):
         rdf_text.lines(bad).collect()
 
 
+def test_escapes_of_lines(spark):
+    """Noncharacters, escaped escapes and points in IRIs; expected values are written by hand."""
+    text = {
+        r'<http://h/\u00E9> <http://h/p> "\ufdd0 \uFDD1\\n" .'.replace("\\ufdd0", "\ufdd0"): ("http://h/é", "\ufdd0 \ufdd1\\n"),
+        r'<http://h/a> <http://h/p> "\u005Cu0041\U0001F600\t\"\'" .': ("http://h/a", "\\u0041😀\t\"'"),
+        r'<http://h/b> <http://h/p> "x"^^<http://h/\u0064> .' + "\r\n": ("http://h/b", "x"),
+    }
+    got = {(q.s.lex, q.o.lex) for q in rdf_text.lines(spark.createDataFrame([(x,) for x in text], "value string")).collect()}
+    assert got == set(text.values())
+    bad = [r'<http://h/a> <http://h/p> "\x" .', r"<http://h/\n> <http://h/p> <http://h/a> .", '<http://h/a> <http://h/p> "a" .\n<http://h/a> <http://h/p> "b" .', "\n".join("a" * 10)]
+    assert rdf_text.lines(spark.createDataFrame([(x,) for x in bad], "value string"), strict=False).count() == 0
+
+
+
 def test_strict_documents_fail_and_lenient_ones_keep_what_was_read(spark):
     df = spark.createDataFrame([("u", "<http://a> <http://b> <http://c> . broken", "text/turtle")], "uri string, content string, media_type string")
     assert rdf_text.documents(df, strict=False).count() == 1

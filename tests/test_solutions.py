@@ -149,6 +149,17 @@ def test_functions(spark, make, want):
     assert (None if out is None else out.lex) == want
 
 
+def test_casts_of_a_known_datatype(spark):
+    """Literals of one datatype cast alike whether it is told or not, ill-formed and unbound ones too."""
+    forms = ["1", "-3.7", "1e300", "INF", "NaN", "true", "x", "", " 1", ".5", "9" * 38, None]
+    rows = spark.createDataFrame([(x,) for x in forms], "x string")
+    for dt in (terms.BOOLEAN, terms.INTEGER, terms.DECIMAL, terms.FLOAT, terms.DOUBLE, terms.STRING, terms.DATETIME):
+        a = terms.literal(F.col("x"), dt)
+        casts = (scalar.to_boolean, scalar.to_integer, scalar.to_decimal, scalar.to_float, scalar.to_double)
+        for told, general in rows.select(F.array(*(f(a, dt) for f in casts)).alias("told"), F.array(*(f(a) for f in casts)).alias("general")).collect():
+            assert told == general, dt
+
+
 #: The examples of RFC 3986, section 5.4, against http://a/b/c/d;p?q.
 REFERENCES = {
     "g:h": "g:h", "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g", "?y": "http://a/b/c/d;p?y", "g?y": "http://a/b/c/g?y",
