@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadloom.llm import bpe, hard_negatives, kneser_ney, licenses, media, packing, quality_classifier, quality_rules, simhash, token_store, warc
+from quadloom.llm import bpe, hard_negatives, kneser_ney, licenses, media, packing, quality_classifier, quality_rules, ranked_search, simhash, token_store, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.store_and_read(_table(spark, sf_dir, "pages"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.contract(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.contract(_table(spark, sf_dir, "embeddings"))
 
@@ -77,9 +81,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_packing": op9_packing,
         "op10_warc": op10_warc,
+        "op11_ranked_search": op11_ranked_search,
         "op13_hard_negatives": op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc": warc.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
+    return {"op10_warc": warc.ORACLE, "op11_ranked_search": ranked_search.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
