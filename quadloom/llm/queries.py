@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadloom.llm import bpe, hard_negatives, kneser_ney, licenses, media, packing, quality_classifier, quality_rules, ranked_search, simhash, token_store, warc
+from quadloom.llm import bpe, hard_negatives, kneser_ney, licenses, media, packing, page_text, quality_classifier, quality_rules, ranked_search, simhash, token_store, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.contract(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.contract(_table(spark, sf_dir, "pages"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.contract(_table(spark, sf_dir, "embeddings"))
 
@@ -82,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": op9_packing,
         "op10_warc": op10_warc,
         "op11_ranked_search": op11_ranked_search,
+        "op12_page_text": op12_page_text,
         "op13_hard_negatives": op13_hard_negatives,
     }
 
