@@ -121,7 +121,7 @@ def load(uri: str, n: int, dim: int) -> Tree:
 def quantized(column: pa.Array, scale: float) -> np.ndarray:
     """The batch's vectors, all of one length, as whole doubles."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return np.floor(scale * flat).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+    return np.floor(scale * flat).reshape(len(column), len(flat) // max(len(column), 1))
 
 
 def plant(rows: DataFrame, scale: float) -> str:
@@ -137,7 +137,7 @@ def plant(rows: DataFrame, scale: float) -> str:
     size, most = rows.agg(F.count(F.lit(1)), F.max(square)).first()
     norm = float(np.sqrt(most or 0.0))
     sample = rows.select("id", "v", "dim").orderBy(F.xxhash64("id", "v"), "id").limit(min(PIVOTS, -(-size // PER_PIVOT))).collect()
-    pivots = {d: augmented(np.floor(scale * np.array([r.v for r in sample if r.dim == d]).reshape(-1, d)), norm) for d in {r.dim for r in sample}}
+    pivots = {d: augmented(np.floor(scale * np.array([r.v for r in sample if r.dim == d], float)), norm) for d in {r.dim for r in sample}}
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,7 +231,7 @@ class Forest:
         if not mine or not len(of):
             return best
         radius = np.array([self.trees[t]["radius"] for t in mine])
-        lows, highs = bounds(anchors @ np.array([self.roots[t] for t in mine]).reshape(-1, dim).T, length, radius, self.norm)
+        lows, highs = bounds(anchors @ np.array([self.roots[t] for t in mine], float).T, length, radius, self.norm)
         lows, highs = lows[of], np.minimum(highs[of], high[:, None])
         order = np.argsort(-np.where((lows <= high[:, None]) & (highs >= low[:, None]), highs, -np.inf).max(0), kind="stable")
         for t in order:

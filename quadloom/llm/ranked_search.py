@@ -243,7 +243,8 @@ def _search(index: Index, items: Items, k: int) -> DataFrame:
 
     tops = hits.select("m", "chunk", F.struct("code", F.element_at("tfs", 1).alias("tf")).alias("top")).groupBy("m", "chunk").agg(F.collect_list("top").alias("tops"))
     bounds = cut(tops.mapInArrow(bound, "m long, chunk long, q int, bound long"))
-    ids = index.postings.where("term IS NULL").select("m", "chunk", "ids")
+    own = [F.col(c).alias(c) for c in ("m", "chunk", "ids")]  # else they and those of hits are the same columns to Spark
+    ids = index.postings.where("term IS NULL").select(own)
 
     def asked(wanted: DataFrame) -> DataFrame:
         return ids.join(wanted.groupBy("m", "chunk").agg(F.collect_list("q").alias("queries")), ["m", "chunk"])
