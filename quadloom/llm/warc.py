@@ -7,8 +7,9 @@ a gzip member of its own.
 The reader walks an archive record by record. Where a check fails (gzip's checksum,
 the version line, the length, the block digest) it logs a quarantined gap and
 searches on for the next gzip member that inflates to a version line, or for the
-next plain version line, so that later records are recovered. It reads forward in
-bounded pieces and holds one record at a time.
+next plain version line, so that later records are recovered. In a member of several
+records only the failing ones go, and of a damaged or cut one what stands before the damage is kept. It reads forward in
+bounded pieces and holds one record at a time (and records without a digest up to the end of their member).
 
 Archives have names of their own for each attempt at a task, since the order of rows
 behind a shuffle differs between attempts; a list names the archives of the attempts
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quadloom.llm._arrow import slices
-from quadloom.llm._shared import open_fs, put, work_dir, write_file
+from quadloom.llm._shared import cut, open_fs, put, work_dir, write_file
 
 #: Size at which a task starts its next archive.
 ARCHIVE = 64 << 20
@@ -55,6 +56,8 @@ GZIP = b"\x1f\x8b\x08"
 MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
 CONTROL = re.compile(rb"[\x00-\x08\x0e-\x1f]")
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+#: Lengths of up to 18 digits; longer ones are no lengths.
+LENGTH = re.compile(r"[0-9]{1,18}")
 
 
 class Record(NamedTuple):
@@ -81,13 +84,17 @@ def base32(sha1_hex: str) -> str:
 def decisions(pages: DataFrame, id_col: str = "page_id", payload: str = "html", least: int = 0) -> DataFrame:
     """pages with columns __sha1, __bytes and __first: the id of the response that a revisit refers to, else null.
 
-    The largest id of each digest is found by partial aggregation; a digest that a third
-    of the pages share is split in the join by the adaptive skew handling.
+    The largest id of each digest that repeats is found by partial aggregation. Digests of more
+    than a task's share of the pages, fewer than tasks, are looked up in a broadcast table; the others
+    join by shuffle.
     """
     data = F.coalesce(F.col(payload), F.lit(""))
     rows = pages.withColumn("__sha1", F.sha1(data.cast("binary"))).withColumn("__bytes", F.octet_length(data).cast("long"))
-    largest = rows.where(F.col("__bytes") >= least).groupBy("__sha1").agg(F.max(id_col).alias("__largest"))
-    joined = rows.join(largest, "__sha1", "left")
+    slots = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = cut(rows.where(F.col("__bytes") >= least).groupBy("__sha1").agg(F.max(id_col).alias("__largest"), F.count(F.lit(1)).alias("__n")).where("__n > 1"))
+    share = max(1, pages.count() // slots)
+    hot, rest = F.broadcast(shared.where(F.col("__n") > share).drop("__n")), shared.where(F.col("__n") <= share).drop("__n")
+    joined = rows.join(hot, "__sha1").unionByName(rows.join(hot, "__sha1", "left_anti").join(rest, "__sha1", "left"))
     return joined.withColumn("__first", F.when(~F.col("__largest").eqNullSafe(F.col(id_col)), F.col("__largest"))).drop("__largest")
 
 
@@ -149,24 +156,31 @@ def list_archives(written: DataFrame, uri: str) -> None:
 # reading
 
 
+class Bad(NamedTuple):
+    """Why nothing more can be read at a place."""
+
+    reason: str
+
+
 def walk(read: Callable[[int, int], bytes], size: int) -> Iterator[Record | Gap]:
     """Records and gaps of an archive of size bytes; read(offset, n) gives bytes of it."""
     at = 0
     while at < size:
-        found = record_at(read, at, size)
-        if isinstance(found, tuple):
-            records, at = found
-            yield from records
-            continue
-        end = at + 1
-        while end < size:
-            end = _candidate(read, end, size)
-            if end < size and isinstance(record_at(read, end, size), tuple):
-                break
-            end += 1
-        end = min(end, size)
-        yield Gap(at, end, found)
-        at = end
+        for found in items_at(read, at, size):
+            if isinstance(found, Bad):
+                end = at + 1
+                while end < size:
+                    end = _candidate(read, end, size)
+                    if end < size and not isinstance(next(items_at(read, end, size)), Bad):
+                        break
+                    end += 1
+                end = min(end, size)
+                yield Gap(at, end, found.reason)
+                at = end
+            elif isinstance(found, int):
+                at = found
+            else:
+                yield found
 
 
 def _candidate(read: Callable[[int, int], bytes], at: int, size: int) -> int:
@@ -180,13 +194,15 @@ def _candidate(read: Callable[[int, int], bytes], at: int, size: int) -> int:
     return size
 
 
-def record_at(read: Callable[[int, int], bytes], at: int, size: int) -> tuple[list[Record], int] | str:
-    """The records of the member at offset at, or the plain record there, and where they end; or what is wrong."""
+def items_at(read: Callable[[int, int], bytes], at: int, size: int) -> Iterator[Record | Gap | int | Bad]:
+    """What stands at offset at: its records, its inner gaps, and the offset behind it, or what is wrong with the rest of it."""
     head = read(at, 16)
     if head.startswith(GZIP):
-        return _member(read, at, size)
+        yield from _member(read, at)
+        return
     if not VERSION.match(head):
-        return "no gzip member or version line"
+        yield Bad("no gzip member or version line")
+        return
     buffer = read(at, min(HEAD, size - at))
     while b"\r\n\r\n" not in buffer and len(buffer) < min(RECORD, size - at) and not CONTROL.search(buffer):
         more = read(at + len(buffer), min(len(buffer), size - at - len(buffer)))
@@ -195,50 +211,127 @@ def record_at(read: Callable[[int, int], bytes], at: int, size: int) -> tuple[li
         buffer += more
     headers, begin = _headers(buffer)
     if headers is None:
-        return "damaged headers"
+        yield Bad("damaged headers")
+        return
     length = int(headers["content-length"])
     if length > RECORD or at + begin + length > size:
-        return "record is cut off"
+        yield Bad("record is cut off")
+        return
     block = read(at + begin, length)
     if reason := _wrong(headers, block):
-        return reason
+        yield Bad(reason)
+        return
     end = at + begin + length
-    return [Record(at, headers, block)], end + (4 if read(end, 4) == b"\r\n\r\n" else 0)
+    yield Record(at, headers, block)
+    yield end + (4 if read(end, 4) == b"\r\n\r\n" else 0)
 
 
-def _member(read: Callable[[int, int], bytes], at: int, size: int) -> tuple[list[Record], int] | str:
-    inflate, data, place = zlib.decompressobj(31), [], at
-    total = 0
+def _member(read: Callable[[int, int], bytes], at: int) -> Iterator[Record | Gap | int | Bad]:
+    """A gzip member's records, inflated piece by piece.
+
+    A record that fails a check is skipped up to the next version line that begins a whole
+    record, and noted as a gap of the member that names the inflated bytes. Where the member is damaged or cut off, the
+    records before that are kept: after damage those with a block digest, which vouches for
+    them; others might be wrong bytes that inflated all the same.
+    """
+    inflate, place, failed = zlib.decompressobj(31), at, ""
+    buffer, behind, skipped = bytearray(), 0, None  # behind: inflated bytes before the buffer; skipped: start and reason of an inner gap
+    inner: list[str] = []
+    unsure: list[Record] = []
+    begun = False
+    while not inflate.eof and not failed:
+        piece = read(place, PIECE)
+        if not piece:
+            failed = "gzip member is cut off"
+        place += len(piece)
+        more, error = _inflated(inflate, piece)
+        buffer += more
+        failed = failed or (error and f"gzip member is damaged: {error}")
+        if not begun:
+            if not VERSION.match(buffer[:16]):
+                yield Bad(failed or "gzip member without version line")
+                return
+            begun = True
+        begin, last = 0, bool(inflate.eof or failed)
+        while begin < len(buffer):
+            found = _record(buffer, begin, at, last)
+            if isinstance(found, tuple):
+                if skipped:
+                    inner.append(f"inflated bytes {skipped[0]} to {behind + begin}: {skipped[1]}")
+                    skipped = None
+                record, begin = found
+                if "warc-block-digest" in record.headers:
+                    yield record
+                else:
+                    unsure.append(record)
+                continue
+            if found is None:  # the rest of the record is still to come
+                break
+            skipped = skipped or (behind + begin, found)
+            ahead = VERSION.search(buffer, begin + 1)
+            begin = ahead.start() if ahead else len(buffer) if last else max(begin + 1, len(buffer) - 16)
+            if not ahead and not last:
+                break
+        behind += begin
+        del buffer[:begin]
+    if not failed or failed == "gzip member is cut off":
+        yield from unsure
+    if failed:
+        yield Bad(failed)
+        return
+    place -= len(inflate.unused_data)
+    if skipped:
+        inner.append(f"inflated bytes {skipped[0]} to {behind + len(buffer)}: {skipped[1]}")
+    for reason in inner:
+        yield Gap(at, place, reason)
+    yield place
+
+
+def _inflated(inflate, piece: bytes) -> tuple[bytes, str]:
+    """What piece inflates to, up to where it is damaged, and the damage."""
+    before = inflate.copy()
     try:
-        while not inflate.eof:
-            piece = read(place, PIECE)
-            if not piece:
-                return "gzip member is cut off"
-            data.append(inflate.decompress(piece))
-            place += len(piece)
-            total += len(data[-1])
-            if len(data) == 1 and not VERSION.match(data[0][:16]):
-                return "gzip member without version line"
-            if total > RECORD:
-                return "gzip member is too long"
+        return inflate.decompress(piece), ""
     except zlib.error as e:
-        return f"gzip member is damaged: {e}"
-    place -= len(inflate.unused_data)
-    text, records, begin = b"".join(data), [], 0
-    while begin < len(text):
-        headers, start = _headers(text, begin) if VERSION.match(text[begin : begin + 16]) else (None, 0)
-        if headers is None:
-            return "damaged headers"
-        block = text[start : start + int(headers["content-length"])]
-        if reason := _wrong(headers, block):
-            return reason
-        records.append(Record(at, headers, block))
-        begin = start + len(block)
-        begin += 4 if text[begin : begin + 4] == b"\r\n\r\n" else 0
-    return records, place
-
-
-def _headers(buffer: bytes, begin: int = 0) -> tuple[dict[str, str] | None, int]:
+        out, error, step = bytearray(), str(e), 4096
+        for k in range(0, len(piece), step):
+            held = before.copy()
+            try:
+                out += before.decompress(piece[k : k + step])
+            except zlib.error:
+                before = held
+                for j in range(k, min(k + step, len(piece))):
+                    try:
+                        out += before.decompress(piece[j : j + 1])
+                    except zlib.error:
+                        break
+                break
+        return bytes(out), error
+
+
+def _record(buffer: bytearray, begin: int, at: int, last: bool) -> tuple[Record, int] | str | None:
+    """The record at begin and where it ends, or what is wrong; None if more must be inflated first."""
+    head = buffer[begin : begin + 16]
+    if not VERSION.match(head):
+        return None if len(head) < 16 and not last else "no version line"
+    if buffer.find(b"\r\n\r\n", begin) < 0 and not last and len(buffer) - begin < RECORD and not CONTROL.search(buffer, begin):
+        return None
+    headers, start = _headers(buffer, begin)
+    if headers is None:
+        return "damaged headers"
+    length = int(headers["content-length"])
+    if length > RECORD:
+        return "record is too long"
+    if start + length + 4 > len(buffer) and not last:
+        return None
+    block = bytes(buffer[start : start + length])
+    if reason := _wrong(headers, block):
+        return reason
+    end = start + length
+    return Record(at, headers, block), end + (4 if buffer[end : end + 4] == b"\r\n\r\n" else 0)
+
+
+def _headers(buffer: bytes | bytearray, begin: int = 0) -> tuple[dict[str, str] | None, int]:
     """The headers of the record at begin, and where its block begins."""
     end = buffer.find(b"\r\n\r\n", begin)
     if end < 0:
@@ -248,15 +341,17 @@ def _headers(buffer: bytes, begin: int = 0) -> tuple[dict[str, str] | None, int]
     except UnicodeDecodeError:
         return None, 0
     headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-    whole = all(headers.get(k) for k in MANDATORY) and headers["content-length"].isdigit() and not CONTROL.search(buffer[begin:end])
+    whole = all(headers.get(k) for k in MANDATORY) and LENGTH.fullmatch(headers["content-length"]) and not CONTROL.search(buffer[begin:end])
     return (headers, end + 4) if whole else (None, 0)
 
 
 def _wrong(headers: dict[str, str], block: bytes) -> str | None:
+    """What the block fails; a SHA-1 digest may be in base 32 or hexadecimal, in any case."""
     if len(block) != int(headers["content-length"]):
         return "block is cut off"
-    want = headers.get("warc-block-digest", "")
-    if want.startswith("sha1:") and want[5:] != base32(hashlib.sha1(block).hexdigest()):
+    kind, _, want = headers.get("warc-block-digest", "").partition(":")
+    have = hashlib.sha1(block).hexdigest()
+    if kind.strip().lower() == "sha1" and want.strip().upper().rstrip("=") not in (base32(have), have.upper()):
         return "block digest differs"
     return None
 

@@ -1,10 +1,12 @@
 """Operators over the corpus against brute force and exact round trips."""
 
+import base64
 import functools
 import hashlib
 import math
 import os
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -532,6 +534,51 @@ def test_salvage_reads_many_records_in_one_member():
     assert list(warc.walk(lambda at, n: b"", 0)) == []
 
 
+def squeezed(*parts):
+    c = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return b"".join(c.compress(p) for p in parts) + c.flush()
+
+
+def salvaged(data):
+    found = list(warc.walk(lambda at, n: bytes(data[at : at + n]), len(data)))
+    return [x.headers["warc-record-id"][10:-1] for x in found if isinstance(x, warc.Record)], [x for x in found if isinstance(x, warc.Gap)]
+
+
+@pytest.mark.parametrize("piece", [512, warc.PIECE])
+def test_salvage_inside_a_member(monkeypatch, piece):
+    monkeypatch.setattr(warc, "PIECE", piece)
+    raw, other = _archive(5, gzip=False), squeezed(*_archive(2, gzip=False))
+    damaged = raw[1].replace(b"page 1", b"page X")
+    ids, gaps = salvaged(squeezed(raw[0], damaged, raw[2]) + other)
+    assert ids == ["0", "2", "0", "1"] and len(gaps) == 1 and f"inflated bytes {len(raw[0])} to {len(raw[0]) + len(raw[1])}: block digest differs" == gaps[0].reason
+    whole = squeezed(*(r + random.Random(k).randbytes(3000).hex().encode() for k, r in enumerate(raw)))
+    ids, gaps = salvaged(squeezed(*raw[:3])[:-12])
+    assert ids == ["0", "1"] and [g.reason for g in gaps] == ["gzip member is cut off"]
+    ids, gaps = salvaged(whole[: len(whole) // 2] + bytes(200) + other)
+    assert ids[:2] == ["0", "1"] and ids[-2:] == ["0", "1"] and len(gaps) == 1
+    ids, gaps = salvaged(squeezed(*raw)[:-8] + bytes(8) + other)
+    assert ids == ["0", "1", "2", "3", "4", "0", "1"] and "damaged" in gaps[0].reason
+
+
+@pytest.mark.parametrize("gzip", [True, False])
+@pytest.mark.parametrize("length", ["²81", "9" * 5000, "-5", "1e3", ""])
+def test_salvage_of_odd_lengths(gzip, length):
+    raw = _archive(3, gzip=False)
+    raw[1] = re.sub(rb"\r\nContent-Length: \d+\r\n\r\nHTTP", f"\r\nContent-Length: {length}\r\n\r\nHTTP".encode(), raw[1])
+    data = b"".join(map(squeezed, raw)) if gzip else b"".join(raw)
+    ids, gaps = salvaged(data)
+    assert ids == ["0", "2"] and len(gaps) == 1
+
+
+def test_salvage_takes_every_spelling_of_a_digest():
+    raw = _archive(1, gzip=False)[0]
+    digest = re.search(rb"Block-Digest: sha1:(\w+)", raw)[1]
+    for spelt in (digest.lower(), base64.b32decode(digest).hex().encode(), base64.b32decode(digest).hex().upper().encode()):
+        assert salvaged(raw.replace(digest, spelt))[0] == ["0"]
+        assert salvaged(raw.replace(digest, spelt).replace(b"page 0", b"page 1"))[0] == []
+    assert salvaged(raw.replace(b"sha1:" + digest, b"SHA1:" + digest))[0] == ["0"] and salvaged(raw.replace(b"sha1:" + digest, b"md5:" + digest))[0] == ["0"]
+
+
 # pipeline
 
 
