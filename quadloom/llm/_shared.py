@@ -62,6 +62,14 @@ def put(store: fs.FileSystem, draft: str, path: str) -> None:
         store.move(draft, path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, lengthened until no column of df has it; Spark's names don't tell cases apart."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder, its lineage cut."""
     checkpoint_dir(df.sparkSession)

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from quadloom.llm import text_stats
 from quadloom.llm._arrow import bucket_crc, with_struct
-from quadloom.llm._shared import cut
+from quadloom.llm._shared import cut, fresh
 
 #: Random features, their seed and the kernel's width in standard deviations.
 WIDTH, SEED, SIGMA = 256, 11, 3.0
@@ -148,7 +148,8 @@ def fit(featured: DataFrame, known: DataFrame, id_col: str = "doc_id") -> Model:
 def with_score(docs: DataFrame, model: Model, name: str, text: str = "text") -> DataFrame:
     """docs and their calibrated scores; features and score are made in one pass over the texts."""
     kind = T.StructType([T.StructField("score", T.DoubleType())])
-    return with_struct(docs, "__s", kind, lambda t: {"score": model.score(features(t))}, text).withColumn(name, F.col("__s.score")).drop("__s")
+    held = fresh(docs, "__s")
+    return with_struct(docs, held, kind, lambda t: {"score": model.score(features(t))}, text).withColumn(name, F.col(f"{held}.score")).drop(held)
 
 
 def scores(model: Model, x: str = "__x") -> Column:
@@ -178,4 +179,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text:
     known = cut(taught(labels, id_col))
     labelled = docs.select(F.col(id_col), F.col(text)).join(F.broadcast(known.select(F.col("__id").alias(id_col)).distinct()), id_col, "left_semi")
     model = fit(with_features(labelled, text).drop(text), known, id_col)
-    return with_score(docs, model, "__score", text).where(F.col("__score") >= cutoff).drop("__score")
+    score = fresh(docs, "__score")
+    return with_score(docs, model, score, text).where(F.col(score) >= cutoff).drop(score)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quadloom.llm import text_stats
 from quadloom.llm._arrow import with_struct
-from quadloom.llm._shared import cut
+from quadloom.llm._shared import cut, fresh
 
 #: Rule: (numerator, denominator, good from, good to, bad below, bad above); in between it abstains. Some are narrow on
 #: purpose: they see much and are often wrong, which the estimates find out.
@@ -137,6 +137,7 @@ def keep_good(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFr
     The statistics are made twice, once to fit and once to filter, so that whole
     texts never pass through a shuffle or the checkpoint folder.
     """
-    rows = with_stats(docs, "__stats", text)
-    model = fit(with_stats(docs.select(text), "__stats", text), "__stats")
-    return rows.where(kept(model, "__stats", least)).drop("__stats")
+    stats = fresh(docs, "__stats")
+    rows = with_stats(docs, stats, text)
+    model = fit(with_stats(docs.select(text), stats, text), stats)
+    return rows.where(kept(model, stats, least)).drop(stats)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadloom.llm._arrow import LOWER, bytes_of, offsets_of, slices, texts_of, word_hashes, words
-from quadloom.llm._shared import cut, join_hot, map_array, open_fs, put, work_dir, write_file
+from quadloom.llm._shared import cut, fresh, join_hot, map_array, open_fs, put, work_dir, write_file
 from quadloom.llm.components import components
 
 SEED = 42
@@ -475,14 +475,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size:
     ids = verdicts.groupBy("__id").agg(F.sum("n").alias("n"))
     if isinstance(docs.schema[id_col].dataType, T.IntegralType) and ids.where("n > 1 or __id is null").isEmpty():
         return _without(docs, id_col, verdicts.where("__gone").select(F.col("__id").cast("long").alias("id")))
-    notable = cut(verdicts.where("__gone or n > 1"))
-    marked = with_fingerprint(docs, "__key", text, size) if sets is None else _with_longs(docs, "__key", text, lambda texts: digests(*shingle_sets(texts, by)))
-    same = marked[id_col].eqNullSafe(notable["__id"]) & (marked["__key"] == notable["__key"])
-    joined = marked.join(notable, same, "left").drop(notable["__key"])
-    kept = joined.where("n is null").select(*docs.columns)
-    if notable.where("not __gone").isEmpty():
+    own, its_id, its_key, gone = (fresh(docs, name) for name in ("__key", "__other_id", "__other_key", "__gone"))
+    notable = cut(verdicts.where("__gone or n > 1").select(F.col("__id").alias(its_id), F.col("__key").alias(its_key), F.col("__gone").alias(gone)))
+    marked = with_fingerprint(docs, own, text, size) if sets is None else _with_longs(docs, own, text, lambda texts: digests(*shingle_sets(texts, by)))
+    joined = marked.join(notable, F.col(id_col).eqNullSafe(F.col(its_id)) & (F.col(own) == F.col(its_key)), "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = joined.where(F.col(gone).isNull()).select(columns)
+    if notable.where(~F.col(gone)).isEmpty():
         return kept
-    return kept.union(joined.where("not __gone").dropDuplicates([id_col, "__key"]).select(*docs.columns))
+    return kept.union(joined.where(~F.col(gone)).dropDuplicates([id_col, own]).select(columns))
 
 
 def _without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:

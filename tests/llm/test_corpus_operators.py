@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quadloom.llm import _shared, components, kneser_ney, media, packing, simhash, token_store, warc
+from quadloom.llm import _shared, components, kneser_ney, media, packing, quality_classifier, quality_rules, simhash, token_store, warc
 from quadloom.llm.queries import oracle_sql, queries, vocabulary
 
 SMALL = "/root/testdata/sf0.001"
@@ -39,7 +39,8 @@ def texts(docs):
 def hard(spark):
     """Null ids and texts, repeated rows, ties, and columns whose names the operators use themselves."""
     rows = [(None, None, 1, "x"), (None, "a b c d e", 1, "x"), (7, None, 1, "x"), (7, None, 1, "x"), (8, "", 1, "y"), (9, "a b c d e", 1, "z"), (9, "a b c d e", 1, "z"), (9, "wholly different words stand here", 1, "z"), (10, "A  B\nC d E", 1, "z"), (11, "x " * 20_000, 1, "z")]
-    return spark.createDataFrame(rows, "doc_id long, text string, print int, start string")
+    own = ["n", "node", "part", "root", "ids", "__stats", "__s", "__x", "__key", "__gone", "__id", "__score", "__other_id", "__GONE_"]
+    return spark.createDataFrame(rows, "doc_id long, text string, print int, start string").withColumns({c: F.lit("own") for c in own})
 
 
 def words(text):
@@ -593,4 +594,48 @@ def test_pipeline(spark, docs):
     assert len(ids) == len(set(ids)) and np.mean([labels[d] for d in ids if d in labels]) > 0.97
     rows = corpus_pipeline.run(spark, SMALL).collect()
     assert {r.doc_id for r in rows} == set(ids)
-    check_packing(rows, [(0, np.zeros(sum(r.length for r in rows)))])
+
+
+def check_pieces(rows, whole):
+    """Every id of every document (id, ids) lies in exactly one piece, with its checksum; documents that repeat an id are told apart by their lengths."""
+    left = Counter({(d, len(i), zlib.crc32(i.tobytes())): 0 for d, i in whole})
+    by_document = defaultdict(list)
+    for r in rows:
+        by_document[r.doc_id, r.doc_tokens].append(r)
+    for d, i in whole:
+        left[d, len(i), zlib.crc32(i.tobytes())] += 1
+    for (d, size, _), times in left.items():
+        pieces = Counter((r.start, r.length, r.ids_crc32) for r in by_document[d, size])
+        ids = next(i for e, i in whole if e == d and len(i) == size)
+        assert sum(length * n for (_, length, _), n in pieces.items()) == size * times
+        assert all(crc == zlib.crc32(ids[start : start + length].tobytes()) for start, length, crc in pieces)
+    assert sum(r.length for r in rows) == sum(len(i) for _, i in whole)
+
+
+def test_pipeline_by_brute_force(spark, docs, texts):
+    """The verdicts of the two scored stages, every pair of texts compared, and all ids of what is left."""
+    good = {r.doc_id for r in quality_classifier.classify(docs, spark.read.parquet(f"{SMALL}/labels.parquet")).collect() if r.score >= 0.7}
+    weighed = quality_rules.judge(docs.where(F.col("doc_id").isin(good)))
+    kept = sorted(r.doc_id for r in weighed.collect() if r.kept)
+    sets = {d: {tuple(words(texts[d])[i : i + 5]) for i in range(max(len(words(texts[d])) - 4, 1))} for d in kept}
+    pairs = [(a, b) for a in kept for b in kept if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    alone = [d for d, root in grouped(pairs, kept).items() if d == root]
+    rows = corpus_pipeline.run(spark, SMALL).collect()
+    assert {r.doc_id for r in rows} == set(alone) and len(alone) < len(kept) < len(texts)
+    whole = list(zip(alone, ids_of([texts[d] for d in alone]), strict=True))
+    check_packing(rows, whole)
+    check_pieces(rows, whole)
+
+
+def test_pipeline_stages_on_hard_rows(spark, hard):
+    """Null, empty and repeated rows and clashing columns: every stage gives the columns it got, and an empty table stays empty."""
+    rich = hard.unionByName(hard.limit(1).withColumns({"doc_id": F.lit(50).cast("long"), "text": F.lit("Plain sentences of some length stand in this text. " * 2 + " ".join(f"Word {k} follows." for k in range(60)))}))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, rich, SMALL)
+        assert got.columns == rich.columns and got.count() <= rich.count(), name
+        assert all(r["__stats"] == "own" and r.n == "own" for r in got.collect())
+    assert sorted((r.doc_id, (r.text or "")[:5]) for r in corpus_pipeline.deduplicate(spark, rich, SMALL).collect()) == [(7, ""), (9, "a b c"), (9, "wholl"), (11, "x x x"), (50, "Plain")]
+    packed = corpus_pipeline.pack(spark, rich, SMALL).collect()
+    check_pieces(packed, [(r.doc_id, i) for r, i in zip(rich.collect(), ids_of([r.text or "" for r in rich.collect()]), strict=True)])
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, rich.limit(0), SMALL).count() == 0, name

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from quadloom.llm import _arrow, bpe, licenses, quality_classifier, quality_rules, text_stats, tokens
 from quadloom.llm.queries import queries, vocabulary
@@ -24,7 +25,7 @@ def texts(spark):
 def hard(spark):
     """Null ids and texts, repeated rows, and columns whose names the operators use themselves."""
     rows = [(None, None, 1, "x", 2.0), (7, None, 1, "x", 2.0), (7, None, 1, "x", 2.0), (8, "", 1, "x", 2.0), *((100 + k, t, 1, "x", 2.0) for k, t in enumerate(HARD)), (100, HARD[0], 1, "x", 2.0)]
-    return spark.createDataFrame(rows, "doc_id long, text string, n_words int, label string, score double")
+    return spark.createDataFrame(rows, "doc_id long, text string, n_words int, label string, score double").withColumns({c: F.lit("own") for c in ("__stats", "__s", "__x", "__score", "__S_")})
 
 
 def split(text):
