@@ -1,5 +1,7 @@
 """The algebra where unbound and null differ from SQL's habits."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +60,65 @@ def test_product_of_any_size(spark, make):
     assert large.join(Solutions(spark.range(1500).toDF("y"))).df.count() == 3_000_000
 
 
+def compatible(a, b):
+    return all(a[v] == b[v] for v in a.keys() & b.keys())
+
+
+def bound(s):
+    """Solutions as dictionaries of what they bind."""
+    return [{k: v for k, v in r.asDict().items() if v is not None} for r in s.df.collect()]
+
+
+def told(rows):
+    return sorted(repr(sorted(r.items())) for r in rows)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_partial_bindings_by_brute_force(make, seed):
+    """Every operation over two and three variables that may be unbound on either side, against its definition, without nested loops."""
+    rng = random.Random(seed)
+    names = [["a", "b"], ["a", "b", "c"], ["a", "b"], ["a"]][seed]
+    maybes = [(set(names), set(names)), (set(names), {"a", "b"}), ({"a"}, {"b"}), ({"a"}, {"a"})][seed]
+    value = lambda v, maybe: None if v in maybe and rng.random() < 0.5 else rng.randrange(3)
+    sides = [make(", ".join(f"{v} int" for v in [*names, extra]), [(*(value(v, maybe) for v in names), k) for k in range(14)] + [(*(value(v, maybe) for v in names), 0)] * 2, maybe) for extra, maybe in zip("xy", maybes, strict=True)]
+    left, right = sides
+    ls, rs = bound(left), bound(right)
+    pairs = [{**p, **q} for p in ls for q in rs if compatible(p, q)]
+    joined = left.join(right)
+    assert told(bound(joined)) == told(pairs)
+    assert all(v in joined.maybe for p in pairs for v in joined.variables if v not in p)
+    assert told(bound(left.optional(right))) == told(pairs + [p for p in ls if not any(compatible(p, q) for q in rs)])
+    assert told(bound(left.minus(right))) == told([p for p in ls if not any(compatible(p, q) and (p.keys() & q.keys()) for q in rs)])
+    for negated in (False, True):
+        assert told(bound(left.exists(right, negated=negated))) == told([p for p in ls if any(compatible(p, q) for q in rs) != negated])
+    assert told(bound(left.mark("e", right))) == told([{**p, "e": any(compatible(p, q) for q in rs)} for p in ls])
+    close = lambda p, q: p["x"] + q["y"] < 11
+    near = F.col("x") + F.col("y") < 11
+    assert told(bound(left.optional(right, near))) == told([{**p, **q} for p in ls for q in rs if compatible(p, q) and close(p, q)] + [p for p in ls if not any(compatible(p, q) and close(p, q) for q in rs)])
+    assert told(bound(left.exists(right, near))) == told([p for p in ls if any(compatible(p, q) and close(p, q) for q in rs)])
+    assert told(bound(left.mark("e", right, near))) == told([{**p, "e": any(compatible(p, q) and close(p, q) for q in rs)} for p in ls])
+
+
+def test_partial_bindings_join_by_key(spark):
+    """No nested loop but for the product of what shares no bound variable; each side is read as often as it stands in the plan, not once for each variable."""
+    left, right = (Solutions(spark.range(100).selectExpr("if(id % 3 = 0, null, id) a", "if(id % 5 = 0, null, id) b", f"id {x}"), {"a", "b"}) for x in "xy")
+    plan = lambda s: s.df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan(left.minus(right)) and "Cartesian" not in plan(left.minus(right))
+    loops = plan(left.optional(right)).count("Range (") - plan(Solutions(left.df)).count("Range (")
+    assert loops < 16
+
+
+def test_mark_stands_inside_an_expression(make):
+    people = make("p int, age int", [(1, 10), (1, 10), (2, 20), (3, 30)])
+    pets = make("p int, pet string", [(1, "cat"), (1, "dog"), (3, "cat")])
+    marked = people.mark("has", pets)
+    assert got(marked.filter(~F.col("has") | (F.col("age") > 25)).project("p")) == [(2,), (3,)]
+    assert got(marked.project("p", "has")) == [(1, True), (1, True), (2, False), (3, True)] and not marked.maybe
+    assert got(people.mark("any", make("z int", [(1,)])).project("any")) == [(True,)] * 4 and got(people.mark("any", make("z int", [])).project("any")) == [(False,)] * 4
+    with pytest.raises(ValueError, match="bound already"):
+        people.mark("age", pets)
+
+
 def test_aggregates_of_nothing_and_of_errors(make):
     a = make("g int, x int", [(1, 1), (1, 3), (2, None), (2, 5)], {"x"})
     x = F.col("x")
