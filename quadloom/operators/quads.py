@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,8 +22,12 @@ def _constant(place: Place) -> Column | None:
     return place
 
 
-def match(quads: DataFrame, s: Place, p: Place, o: Place, g: Place | None = None) -> Solutions:
-    """Solutions of one triple pattern. Without g in the union of all graphs, in which a triple counts once; "?g" ranges over named graphs."""
+def match(quads: DataFrame, s: Place, p: Place, o: Place, g: Place | None = None, once: bool = False) -> Solutions:
+    """Solutions of one triple pattern. Without g in the union of all graphs, in which a triple counts once; "?g" ranges over named graphs.
+
+    once: no triple occurs in quads twice, as in graphs of different tables, so that the
+    union needs no distinct.
+    """
     places = {"s": s, "p": p, "o": o} | ({} if g is None else {"g": g})
     found = quads if g is None else quads.where("g is not null")
     columns: dict[str, Column] = {}
@@ -33,21 +38,88 @@ def match(quads: DataFrame, s: Place, p: Place, o: Place, g: Place | None = None
             found = found.where(F.col(name) == columns[place[1:]])
         else:
             columns[place[1:]] = F.col(name)
-    if g is None:
-        found = found.select("s", "p", "o").distinct()
+    if not once:
+        found = found.select("s", "p", "o", *([] if g is None else ["g"])).distinct()
     return Solutions(found.select(*(c.alias(v) for v, c in columns.items())) if columns else found.select(F.lit(True).alias("__found")))
 
 
-def bgp(quads: DataFrame, *patterns: tuple, g: Place | None = None) -> Solutions:
-    """Join of patterns, the ones with most constants first and each connected to the ones before where possible."""
-    rest = sorted(patterns, key=lambda x: -sum(_constant(place) is not None for place in x))
-    ordered, known = [rest.pop(0)], set()
-    known |= {x for x in ordered[0] if isinstance(x, str) and x.startswith("?")}
+#: Triples of a subject from which its star is joined, not gathered.
+HUB = 1 << 16
+
+
+def star(quads: DataFrame, s: Place, *cells: tuple[str, Place], g: Place | None = None, once: bool = False) -> Solutions:
+    """Patterns (predicate IRI, object) of one subject: one scan of their predicates, grouped by subject once.
+
+    A group holds the objects of each predicate, made distinct as the union and sets of
+    triples want it, and the solutions are its combinations. Subjects of more than HUB
+    such triples (a lookup that reads subjects and predicates finds them, and at most one
+    in HUB triples can be one) are matched pattern by pattern and joined instead.
+    """
+    held = quads.where(F.col("p.lex").isin(*{p for p, _ in cells}) & (F.col("p.kind") == terms.IRI))
+    for name, place in {"s": s, "g": g}.items():
+        if place is not None and (constant := _constant(place)) is not None:
+            held = held.where(F.col(name) == constant)
+    keys = ["s"] if g is None else ["g", "s"]
+    if g is not None:
+        held = held.where("g is not null")
+    hubs = held.groupBy("s").count().where(F.col("count") > HUB).select("s")
+    if hubs.isEmpty():
+        return _gathered(held, s, cells, g, once, keys)
+    ensure_checkpoints(quads)
+    hubs = F.broadcast(hubs.checkpoint())
+    apart = reduce(lambda a, b: a.join(b), [match(held.join(hubs, "s", "left_semi"), s, *cell, g=g, once=once) for cell in cells])
+    return _gathered(held.join(hubs, "s", "left_anti"), s, cells, g, once, keys).union(apart)
+
+
+def _gathered(held: DataFrame, s: Place, cells: tuple, g: Place | None, once: bool, keys: list[str]) -> Solutions:
+    collect = F.collect_list if once else F.collect_set
+    objects = []
+    for k, (p, o) in enumerate(cells):
+        fits = F.col("p.lex") == p
+        if (constant := _constant(o)) is not None:
+            fits = fits & (F.col("o") == constant)
+        objects.append(collect(F.when(fits, F.col("o"))).alias(f"cell {k}"))
+    rows = held.groupBy(*keys).agg(*objects).where(reduce(lambda a, b: a & b, [F.size(f"cell {k}") > 0 for k in range(len(cells))]))
+    columns = {x[1:]: F.col(name) for name, x in (("s", s), ("g", g)) if isinstance(x, str) and x.startswith("?") and (name == "s" or g is not None)}
+    if len(columns) < sum(isinstance(x, str) and x.startswith("?") for x in (s, g)):
+        rows = rows.where(F.col("s") == F.col("g"))
+    for k, (_, o) in enumerate(cells):
+        rows = rows.withColumn(f"cell {k}", F.explode(f"cell {k}"))
+        if _constant(o) is None:
+            if o[1:] in columns:
+                rows = rows.where(F.col(f"cell {k}") == columns[o[1:]])
+            else:
+                columns[o[1:]] = F.col(f"cell {k}")
+    return Solutions(rows.select(*(c.alias(v) for v, c in columns.items())) if columns else rows.select(F.lit(True).alias("__found")))
+
+
+def _variables(pattern: tuple) -> set[str]:
+    return {x for x in pattern if isinstance(x, str) and x.startswith("?")}
+
+
+def bgp(quads: DataFrame, *patterns: tuple, g: Place | None = None, once: bool = False) -> Solutions:
+    """Join of patterns. Those of one subject with given predicates are a star; the ones with most constants come first, and each is connected to the ones before where possible."""
+    stars: dict[str, list[tuple]] = {}
+    parts: list[tuple[int, set[str], Callable[[], Solutions]]] = []
+    for x in patterns:
+        if isinstance(x[0], str) and isinstance(x[1], str) and not x[1].startswith("?"):
+            stars.setdefault(x[0], []).append(x)
+        else:
+            parts.append((sum(_constant(place) is not None for place in x), _variables(x), lambda x=x: match(quads, *x, g=g, once=once)))
+    for s, held in stars.items():
+        given = sum(_constant(place) is not None for x in held for place in x)
+        names = set().union(*map(_variables, held))
+        if len(held) == 1:
+            parts.append((given, names, lambda x=held[0]: match(quads, *x, g=g, once=once)))
+        else:
+            parts.append((given, names, lambda s=s, held=held: star(quads, s, *(x[1:] for x in held), g=g, once=once)))
+    rest = sorted(parts, key=lambda x: -x[0])
+    out, known = rest[0][2](), set(rest.pop(0)[1])
     while rest:
-        at = next((k for k, x in enumerate(rest) if known & {y for y in x if isinstance(y, str)}), 0)
-        ordered.append(rest.pop(at))
-        known |= {x for x in ordered[-1] if isinstance(x, str) and x.startswith("?")}
-    return reduce(lambda a, b: a.join(b), [match(quads, *x, g=g) for x in ordered])
+        at = next((k for k, x in enumerate(rest) if known & x[1]), 0)
+        _, names, make = rest.pop(at)
+        out, known = out.join(make()), known | names
+    return out
 
 
 def from_graphs(quads: DataFrame, default: list[str] = (), named: list[str] = ()) -> DataFrame:

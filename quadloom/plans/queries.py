@@ -218,14 +218,66 @@ def order_limit_offset_orders(t):
 @query("SELECT v FROM (SELECT c_custkey::DOUBLE AS v FROM customer UNION ALL SELECT c_nationkey::DOUBLE FROM customer UNION ALL SELECT c_acctbal FROM customer) ORDER BY v DESC LIMIT 20")
 def order_terms_customer(t):
     """The last objects in the order of terms, which puts numbers by value behind IRIs and texts without one."""
-    found = quads.match(t.customer.quads(), "?s", "?p", "?o")
+    found = quads.match(t.customer.quads(), "?s", "?p", "?o", once=True)
     numbers = found.filter(terms.is_numeric(found["o"]))
     return numbers.order(terms.sort_key(numbers["o"]).desc()).slice(20).df.select(terms.double_of(F.col("o")).alias("v"))
 
 
+@query("""SELECT c_custkey AS c, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT') AS u FROM customer
+WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') OR c_acctbal > 5000""")
+def exists_under_or(t):
+    """EXISTS as a value, and NOT EXISTS under ||."""
+    orders = t.orders.star(c="o_custkey", p="o_orderpriority", s="o_orderstatus")
+    found = t.customer.star(c="c_custkey", b="c_acctbal").mark("u", orders.filter(orders["p"] == "1-URGENT").project("c")).mark("f", orders.filter(orders["s"] == "F").project("c"))
+    return found.filter(~F.col("f") | (F.col("b") > 5000)).project("c", "u")
+
+
+LABELLED = "WITH x AS (SELECT d.doc_id AS d, l.quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id), y AS (SELECT quality AS q, toxic AS t, count(*)::BIGINT AS n FROM labels GROUP BY ALL) "
+
+
+def _labelled(t: Tables) -> tuple[Solutions, Solutions]:
+    """Documents with a quality that may be unbound, and counts for each quality."""
+    groups = t.labels.star(q="quality", t="toxic").group(["q", "t"], n=agg.count())
+    return t.documents.star(d="doc_id").optional(t.labels.star(d="doc_id", q="quality")), Solutions(groups.df)
+
+
+@query(LABELLED + "SELECT d, q, EXISTS (SELECT 1 FROM y WHERE t = 1 AND (y.q = x.q OR x.q IS NULL)) AS e FROM x")
+def exists_flag_unbound(t):
+    left, groups = _labelled(t)
+    return left.mark("e", groups.filter(groups["t"] == 1).project("q"))
+
+
+@query(LABELLED + "SELECT x.d, coalesce(x.q, y.q) AS q, y.t, y.n FROM x LEFT JOIN y ON t = 1 AND (y.q = x.q OR x.q IS NULL)")
+def optional_unbound(t):
+    left, groups = _labelled(t)
+    return left.optional(groups.filter(groups["t"] == 1))
+
+
+@query(LABELLED + "SELECT x.d, x.q FROM x LEFT JOIN y ON t = 0 AND n > 3 AND y.q = x.q WHERE y.q IS NULL")
+def minus_unbound(t):
+    left, groups = _labelled(t)
+    return left.minus(groups.filter((groups["t"] == 0) & (groups["n"] > 3)).project("q"))
+
+
 # graphs and query forms
 
 
+@query("SELECT o_orderkey::VARCHAR AS k, o_orderstatus AS s, o_orderpriority AS p, 'http://data.example/customer/' || o_custkey AS c FROM orders")
+def bgp_star_over_quads(t):
+    """Four patterns of one subject over loaded quads: one scan, one exchange."""
+    at = BASE + "orders#"
+    found = quads.bgp(t.orders.quads(), ("?o", at + "o_orderkey", "?k"), ("?o", at + "o_orderstatus", "?s"), ("?o", at + "o_orderpriority", "?p"), ("?o", at + "ref-o_custkey", "?c"), once=True)
+    return found.df.select(*(F.col(v).lex.alias(v) for v in "kspc"))
+
+
+@query("SELECT c_name AS c, n_name AS n, n_regionkey::VARCHAR AS r FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING'")
+def bgp_two_stars_over_quads(t):
+    """Two stars over the union of two graphs, joined by the reference between them."""
+    patterns = [("?c", BASE + "customer#c_name", "?name"), ("?c", BASE + "customer#c_mktsegment", terms.literal(F.lit("BUILDING"))), ("?c", BASE + "customer#ref-c_nationkey", "?n")]
+    found = quads.bgp(_some(t, "customer", "nation"), *patterns, ("?n", BASE + "nation#n_name", "?nation"), ("?n", BASE + "nation#n_regionkey", "?r"))
+    return found.df.select(F.col("name.lex").alias("c"), F.col("nation.lex").alias("n"), F.col("r.lex").alias("r"))
+
+
 def _some(t: Tables, *names: str) -> DataFrame:
     return reduce(lambda a, b: a.union(b), [getattr(t, n).quads() for n in names])
 
@@ -233,14 +285,14 @@ def _some(t: Tables, *names: str) -> DataFrame:
 @query("SELECT s_suppkey::VARCHAR AS k, s_name AS n FROM supplier")
 def graph_iri_nation(t):
     """GRAPH <supplier> over the triples of two graphs."""
-    found = quads.bgp(_some(t, "supplier", "nation"), ("?x", BASE + "supplier#s_suppkey", "?k"), ("?x", BASE + "supplier#s_name", "?n"), g=BASE + "supplier")
+    found = quads.bgp(_some(t, "supplier", "nation"), ("?x", BASE + "supplier#s_suppkey", "?k"), ("?x", BASE + "supplier#s_name", "?n"), g=BASE + "supplier", once=True)
     return found.df.select(F.col("k.lex").alias("k"), F.col("n.lex").alias("n"))
 
 
 @query("""SELECT 'http://data.example/region' AS g, count(*)::BIGINT * 3 AS n FROM region UNION ALL SELECT 'http://data.example/nation', count(*)::BIGINT * 5 FROM nation
 UNION ALL SELECT 'http://data.example/supplier', count(*)::BIGINT * 6 FROM supplier UNION ALL SELECT 'http://data.example/events', count(*)::BIGINT * 7 FROM events""")
 def graph_var_counts(t):
-    found = quads.match(_some(t, "region", "nation", "supplier", "events"), "?s", "?p", "?o", "?g")
+    found = quads.match(_some(t, "region", "nation", "supplier", "events"), "?s", "?p", "?o", "?g", once=True)
     return found.group(["g"], n=agg.count()).df.select(F.col("g.lex").alias("g"), "n")
 
 
@@ -253,7 +305,7 @@ def union_default_count(t):
 
 @query("SELECT c_name AS n FROM customer")
 def from_named_nation(t):
-    return quads.match(quads.from_graphs(_some(t, "customer", "supplier"), named=[BASE + "customer"]), "?x", BASE + "customer#c_name", "?n", "?g").df.select(F.col("n.lex").alias("n"))
+    return quads.match(quads.from_graphs(_some(t, "customer", "supplier"), named=[BASE + "customer"]), "?x", BASE + "customer#c_name", "?n", "?g", once=True).df.select(F.col("n.lex").alias("n"))
 
 
 @query("SELECT count(*) > 0 AS answer FROM events WHERE event_type = 'error'")
@@ -281,7 +333,7 @@ UNION ALL SELECT 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'http://data
 def describe_nations(t):
     """The suppliers of a nation; balances are left out, as their text form is not SQL's."""
     every = t.supplier.quads().where(F.col("p.lex") != BASE + "supplier#s_acctbal")
-    which = quads.match(every, "?s", BASE + "supplier#ref-s_nationkey", BASE + "nation/2").df
+    which = quads.match(every, "?s", BASE + "supplier#ref-s_nationkey", BASE + "nation/2", once=True).df
     return quads.describe(every, which).select(F.col("p.lex").alias("p"), F.col("o.lex").alias("o"))
 
 
