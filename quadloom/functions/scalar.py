@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.functions import iris
@@ -49,8 +51,9 @@ def datatype(a: Column) -> Column:
 
 
 def iri(a: Column, base: str = "") -> Column:
-    """IRI of a string or IRI, resolved against base."""
-    return t.iri(F.when((a.kind == t.IRI) | (a.dt == t.STRING), iris.resolved(a.lex, base)))
+    """IRI of a string or IRI, resolved against base; an error if it has a character that no IRI has."""
+    made = iris.resolved(a.lex, base)
+    return t.iri(F.when(((a.kind == t.IRI) | (a.dt == t.STRING)) & ~made.rlike(t.NO_IRI), made))
 
 
 def bnode(row: Column, a: Column | None = None) -> Column:
@@ -102,11 +105,16 @@ def strlen(a: Column) -> Column:
 
 
 def substr(a: Column, start: Column, length: Column | None = None) -> Column:
-    """Characters whose place p has start <= p < start + length; places begin at 1."""
+    """Characters whose place p has round(start) <= p < round(start) + round(length), as XPath has it; places begin at 1, and no place compares with NaN."""
     text = t.string_of(a)
-    first = F.greatest(start, F.lit(1))
-    size = F.char_length(text) if length is None else F.greatest(F.lit(0), start + length - first)
-    return _of(a, F.substring(text, first.cast("int"), size.cast("int")))
+    rounded = lambda x: F.when(F.abs(x) < float(1 << 52), F.floor(x + 0.5).cast("double")).otherwise(x)
+    begin = rounded(start.cast("double"))
+    behind = F.char_length(text) + F.lit(1.0) if length is None else F.least(begin + rounded(length.cast("double")), F.char_length(text) + F.lit(1.0))
+    first = F.greatest(begin, F.lit(1.0))
+    some = ~F.isnan(begin) & ~F.isnan(behind) & (behind > first)
+    if length is not None:
+        some = some & ~F.isnan(begin + rounded(length.cast("double")))
+    return _of(a, F.when(text.isNotNull() & begin.isNotNull() & behind.isNotNull(), F.when(some, F.substring(text, first.try_cast("int"), (behind - first).try_cast("int"))).otherwise("")))
 
 
 def ucase(a: Column) -> Column:
@@ -161,23 +169,79 @@ def lang_matches(tag: Column, wanted: Column) -> Column:
     return _bool(F.when(b == "*", a != "").otherwise((a == b) | F.startswith(a, F.concat(b, F.lit("-")))))
 
 
+#: XPath's \\i and \\c, the characters that XML names begin with and go on with.
+NAME_START = ":A-Z_a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02ff\u0370-\u037d\u037f-\u1fff\u200c-\u200d\u2070-\u218f\u2c00-\u2fef\u3001-\ud7ff\uf900-\ufdcf\ufdf0-\ufffd\U00010000-\U000effff"
+NAME = NAME_START + "\\-.0-9\u00b7\u0300-\u036f\u203f-\u2040"
+MEMBERS = r"(?:\\.|[^\[\]\\])*?"
+#: What XPath's patterns write otherwise than Java's: blocks of characters, and classes less other classes.
+TRANSLATED = [
+    (r"\\([pP])\{Is", r"\\$1{In"),
+    (rf"\[\^({MEMBERS})-\[\^({MEMBERS})\]\]", "[[^$1]&&[$2]]"),
+    (rf"\[\^({MEMBERS})-\[({MEMBERS})\]\]", "[[^$1]&&[^$2]]"),
+    (rf"\[({MEMBERS})-\[\^({MEMBERS})\]\]", "[[$1]&&[$2]]"),
+    (rf"\[({MEMBERS})-\[({MEMBERS})\]\]", "[[$1]&&[^$2]]"),
+]
+
+
+def _translated(text: Column) -> Column:
+    """An XPath pattern in Java's syntax: subtraction of classes, blocks, and the characters of names."""
+    text = F.replace(text, F.lit("&&"), F.lit("&\\&"))
+    for at, by in TRANSLATED:
+        text = F.regexp_replace(text, at, by)
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)\\.|[^\\]+|\\"), F.lit(0))
+    inside = lambda x: F.when(x == "\\i", f"[{NAME_START}]").when(x == "\\I", f"[^{NAME_START}]").when(x == "\\c", f"[{NAME}]").when(x == "\\C", f"[^{NAME}]").otherwise(x)
+    return F.when(text.rlike(r"\\[iIcC]"), F.array_join(F.transform(parts, inside), "")).otherwise(text)
+
+
 def _pattern(pattern: str | Column, flags: str) -> Column:
-    """A pattern (text, or a column of string terms) with SPARQL's flags put into it."""
+    """A pattern (text, or a column of string terms) in Java's syntax, with SPARQL's flags put into it; null for a malformed one or an unknown flag."""
+    if set(flags) - set("smixq"):
+        return F.lit(None).cast("string")
     text = F.lit(pattern) if isinstance(pattern, str) else t.string_of(pattern)
-    inline = "".join(f for f in flags if f in "smix")
     if "q" in flags:
-        text = F.concat(F.lit("\\Q"), text, F.lit("\\E"))
-    return F.concat(F.lit(f"(?{inline})"), text) if inline else text
+        text, flags = F.regexp_replace(text, r"([\\^$.|?*+()\[\]{}\-&#\s])", "\\\\$1"), "i" * ("i" in flags)
+    else:
+        text = _translated(text)
+    inline = "".join(sorted(set(flags) & set("smix")))
+    if inline:
+        text = F.concat(F.lit(f"(?{inline}{'u' if 'i' in inline else ''})"), text)
+    if isinstance(pattern, str):
+        return F.lit(_compiled(text))
+    # the compiled pattern's text is the pattern; what cannot be compiled is null
+    return F.call_function("try_reflect", F.lit("java.util.regex.Pattern"), F.lit("compile"), text)
+
+
+def _compiled(text: Column) -> str | None:
+    """A constant pattern's text, None if it is malformed; looked at once, while the query is put together."""
+    spark = SparkSession.active()
+    made = spark.sql("SELECT 1").select(text.alias("text")).first()[0]
+    try:
+        return spark._jvm.java.util.regex.Pattern.compile(made).pattern()
+    except (Py4JJavaError, IllegalArgumentException):
+        return None
 
 
 def regex(a: Column, pattern: str | Column, flags: str = "") -> Column:
+    """An error for a malformed pattern."""
     return _bool(F.regexp_like(t.string_of(a), _pattern(pattern, flags)))
 
 
+def _replacement(by: str | Column, pattern: Column, flags: str) -> Column:
+    """A replacement in which every group exists: one beyond the pattern's is empty. Null if a backslash or dollar sign stands alone; with flag q all of it is text."""
+    text = F.lit(by) if isinstance(by, str) else t.string_of(by)
+    if "q" in flags:
+        return F.regexp_replace(text, r"([\\$])", "\\\\$1")
+    bare = F.regexp_replace(F.regexp_replace(pattern, r"(?s)\\.", ""), r"\[[^\]]*\]", "")
+    groups = F.regexp_count(bare, F.lit(r"\((?!\?)"))
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)\\.|\$[0-9]+|[^\\$]+"), F.lit(0))
+    known = lambda x: F.when(x.rlike(r"^\$") & (F.substring(x, 2, 1).try_cast("int") > groups), F.substring(x, 3, 1 << 20)).otherwise(x)
+    return F.when(text.rlike(r"^(?:[^\\$]|\\[\\$]|\$[0-9])*+$"), F.array_join(F.transform(parts, known), ""))
+
+
 def replace(a: Column, pattern: str | Column, by: str | Column, flags: str = "") -> Column:
-    """An error if the pattern matches the empty string."""
-    found = _pattern(pattern, flags)
-    text = F.regexp_replace(t.string_of(a), found, F.lit(by) if isinstance(by, str) else t.string_of(by))
+    """An error if the pattern is malformed or matches the empty string, or if the replacement is malformed."""
+    found = _pattern(pattern, flags).cast("string")
+    text = F.regexp_replace(t.string_of(a), found, _replacement(by, found, flags))
     return _of(a, F.when(~F.regexp_like(F.lit(""), found), text))
 
 
@@ -242,8 +306,10 @@ def _arithmetic(a: Column, b: Column, whole, exact, approximate) -> Column:
     some = _plain(exact(t.decimal_of(a), t.decimal_of(b)))
     all_ = some if whole is None else whole(a.lex.try_cast("decimal(38,0)"), b.lex.try_cast("decimal(38,0)")).cast("string")
     both = a.dt.isin(*t.INTEGERS, t.DECIMAL) & b.dt.isin(*t.INTEGERS, t.DECIMAL)
-    value = F.when(valid, F.when(integers, all_).when(both, some).otherwise(_double_text(approximate(t.parsed(a.lex), t.parsed(b.lex)))))
-    floats = F.when((a.dt == t.DOUBLE) | (b.dt == t.DOUBLE), t.DOUBLE).otherwise(t.FLOAT)
+    double = (a.dt == t.DOUBLE) | (b.dt == t.DOUBLE)
+    rough = lambda kind: _double_text(approximate(t.parsed(a.lex, kind), t.parsed(b.lex, kind)).cast(kind))
+    value = F.when(valid, F.when(integers, all_).when(both, some).when(double, rough("double")).otherwise(rough("float")))
+    floats = F.when(double, t.DOUBLE).otherwise(t.FLOAT)
     dt = F.when(integers, F.lit(t.DECIMAL if whole is None else t.INTEGER)).when(both, t.DECIMAL).otherwise(floats)
     return t.once(F.struct(value.alias("lex"), dt.alias("dt")), lambda x: t.typed(x.lex, x.dt))
 
@@ -285,7 +351,11 @@ def now() -> Column:
 
 
 def _part(a: Column, group: int) -> Column:
-    return F.when((a.dt == t.DATETIME) & a.lex.rlike(t.DATETIME_FORM), F.regexp_extract(a.lex, t.DATETIME_FORM, group))
+    """A part of a dateTime; null for days that their month does not have."""
+    year = F.regexp_extract(a.lex, t.DATETIME_FORM, 1).try_cast("bigint")
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    none = a.lex.rlike(r"^-?[0-9]+-(?:(?:0[469]|11)-31|02-3[01])T|T24:(?!00:00(?:\.0+)?(?:Z|[+-]|$))") | (a.lex.rlike(r"^-?[0-9]+-02-29T") & ~leap)
+    return F.when((a.dt == t.DATETIME) & a.lex.rlike(t.DATETIME_FORM) & ~none, F.regexp_extract(a.lex, t.DATETIME_FORM, group))
 
 
 def year(a: Column) -> Column:

@@ -25,7 +25,9 @@ INTEGERS = [XSD + n for n in ("integer", "int", "long", "short", "byte", "nonNeg
 #: Lexical forms of numbers and times.
 INTEGER_FORM, DECIMAL_FORM = r"^[+-]?[0-9]+$", r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$"
 DOUBLE_FORM = r"^(?:[+-]?(?:[0-9]++(?:\.[0-9]*+)?|\.[0-9]++)(?:[eE][+-]?[0-9]++)?|[+-]?INF|NaN)$"
-DATETIME_FORM = r"^(-?[0-9]{4,})-([0-9]{2})-([0-9]{2})T([0-9]{2}):([0-9]{2}):([0-9]{2}(?:\.[0-9]+)?)(Z|[+-][0-9]{2}:[0-9]{2})?$"
+DATETIME_FORM = r"^(-?[0-9]{4,})-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])T([01][0-9]|2[0-4]):([0-5][0-9]):([0-5][0-9](?:\.[0-9]+)?)(Z|[+-](?:0[0-9]|1[0-4]):[0-5][0-9])?$"
+#: Characters that an IRI has only as escapes.
+NO_IRI = r"[\x00-\x20<>\"{}|^`\\]"
 
 
 def _term(kind: int, lex: Column, dt: Column | None = None, lang: Column | None = None) -> Column:
@@ -120,12 +122,20 @@ def decimal_of(t: Column) -> Column:
     return F.when(is_exact(t), t.lex.try_cast("decimal(28,8)"))
 
 
+def exact_of(t: Column) -> Column:
+    """Value of an integer or decimal as its whole and fractional parts, which compare in that order; null beyond 38 digits on either side."""
+    whole = F.regexp_extract(t.lex, r"^([+-]?[0-9]*)", 1)
+    fraction = F.concat(F.when(F.startswith(t.lex, F.lit("-")), "-").otherwise(""), F.lit("0."), F.regexp_extract(t.lex, r"\.([0-9]*)", 1))
+    part = F.when(whole.rlike("[0-9]"), whole.try_cast("decimal(38,0)")).otherwise(F.lit(0).cast("decimal(38,0)"))
+    return F.when(is_exact(t) & part.isNotNull() & (F.length(fraction) <= 40), F.struct(part.alias("whole"), fraction.try_cast("decimal(38,37)").alias("fraction")))
+
+
 def boolean_of(t: Column) -> Column:
     return F.when((t.kind == LITERAL) & (t.dt == BOOLEAN), F.when(t.lex.isin("true", "1"), True).when(t.lex.isin("false", "0"), False))
 
 
 def time_of(t: Column) -> Column:
-    """Instant of a dateTime; without an offset it is taken as UTC."""
+    """Instant of a dateTime; without an offset it is taken as UTC. Null for dates that don't exist."""
     return F.when((t.kind == LITERAL) & (t.dt == DATETIME) & t.lex.rlike(DATETIME_FORM), t.lex.try_cast("timestamp"))
 
 
@@ -147,7 +157,7 @@ def effective(t: Column) -> Column:
 def _compared(a: Column, b: Column, op) -> Column:
     """op over the pair's common value space, null where there is none."""
     return F.coalesce(
-        F.when(is_exact(a) & is_exact(b), op(decimal_of(a), decimal_of(b))),
+        F.when(is_exact(a) & is_exact(b), op(exact_of(a), exact_of(b))),
         F.when(is_numeric(a) & is_numeric(b), op(double_of(a), double_of(b))),
         F.when(is_string(a) & is_string(b) & a.dt.eqNullSafe(b.dt) & a.lang.eqNullSafe(b.lang), op(a.lex, b.lex)),
         op(boolean_of(a), boolean_of(b)),
@@ -190,8 +200,8 @@ def same_term(a: Column, b: Column) -> Column:
 
 
 def sort_key(t: Column) -> Column:
-    """Order of terms: unbound, blank nodes, IRIs, literals; literals by value, then by text."""
-    return F.struct(F.coalesce(t.kind, F.lit(0).cast("tinyint")).alias("kind"), double_of(t).alias("number"), time_of(t).alias("time"), t.lex.alias("lex"), t.dt.alias("dt"), t.lang.alias("lang"))
+    """Order of terms: unbound, blank nodes, IRIs, literals; literals by value (numbers that round to one double by all their digits), then by text."""
+    return F.struct(F.coalesce(t.kind, F.lit(0).cast("tinyint")).alias("kind"), double_of(t).alias("number"), exact_of(t).alias("exact"), time_of(t).alias("time"), t.lex.alias("lex"), t.dt.alias("dt"), t.lang.alias("lang"))
 
 
 # text forms
@@ -204,7 +214,13 @@ def escaped(text: Column) -> Column:
     return text
 
 
+def escaped_iri(lex: Column) -> Column:
+    """An IRI's text with the characters that it may not have as numbered escapes."""
+    sign = lambda c: F.when(c.rlike(NO_IRI), F.concat(F.lit("\\u"), F.lpad(F.hex(F.ascii(c)), 4, "0"))).otherwise(c)
+    return F.when(lex.rlike(NO_IRI), F.array_join(F.transform(F.regexp_extract_all(lex, F.lit("(?s)."), F.lit(0)), sign), "")).otherwise(lex)
+
+
 def n_triples(t: Column) -> Column:
     """The term in N-Triples."""
-    tail = F.when(t.lang.isNotNull(), F.concat(F.lit("@"), t.lang)).when(t.dt == STRING, "").otherwise(F.concat(F.lit("^^<"), t.dt, F.lit(">")))
-    return F.when(t.kind == IRI, F.concat(F.lit("<"), t.lex, F.lit(">"))).when(t.kind == BLANK, F.concat(F.lit("_:"), t.lex)).otherwise(F.concat(F.lit('"'), escaped(t.lex), F.lit('"'), tail))
+    tail = F.when(t.lang.isNotNull(), F.concat(F.lit("@"), t.lang)).when(t.dt == STRING, "").otherwise(F.concat(F.lit("^^<"), escaped_iri(t.dt), F.lit(">")))
+    return F.when(t.kind == IRI, F.concat(F.lit("<"), escaped_iri(t.lex), F.lit(">"))).when(t.kind == BLANK, F.concat(F.lit("_:"), t.lex)).otherwise(F.concat(F.lit('"'), escaped(t.lex), F.lit('"'), tail))

@@ -24,8 +24,14 @@ def html_escaped(text: Column) -> Column:
     return _escaped(text, (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")))
 
 
+#: Characters that no XML document can have, escaped or not.
+NO_XML = "[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]"
+
+
 def xml_escaped(text: Column) -> Column:
-    return _escaped(text, (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")))
+    """A carriage return as a reference, since readers turn a bare one into a line feed; a character that XML cannot have is an error."""
+    plain = _escaped(text, (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\r", "&#13;")))
+    return F.when(text.rlike(NO_XML), F.raise_error(F.concat(F.lit("no XML for a control character in "), F.substring(text, 1, 80))).cast("string")).otherwise(plain)
 
 
 # solutions

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quadloom.functions import media
 from quadloom.functions.sniff import JSON_LD, OCTETS, RDF_XML, TURTLE, rdf_syntax, sniff
 from quadloom.operators import serialize
+from quadloom.operators.paths import ensure_checkpoints
 from quadloom.sources import rdf_text
 
 Converter = Callable[[DataFrame, str], DataFrame]
@@ -88,13 +89,16 @@ def default_registry() -> Registry:
 def auto(documents: DataFrame, to: str = TURTLE, registry: Registry | None = None) -> DataFrame:
     """Sniffs documents (uri, content) and sends each type down its chain; those of the target type pass unchanged.
 
-    Types without a chain are an error that names both ends. Types compare as exact text.
+    Types without a chain, and null contents, are an error that names both ends. Types compare
+    as exact text. Content is sniffed once: the typed documents go to the checkpoint folder, where the
+    list of types and every branch read them.
     """
     registry = registry or default_registry()
-    typed = documents.select("uri", "content", sniff(F.col("content")).alias("media_type"))
+    ensure_checkpoints(documents)
+    typed = documents.select("uri", "content", sniff(F.col("content")).alias("media_type")).checkpoint()
     branches = []
-    for source in sorted(r[0] for r in typed.select("media_type").distinct().collect()):
-        steps = registry.chain(source, to)
+    for source in sorted((r[0] for r in typed.select("media_type").distinct().collect()), key=str):
+        steps = None if source is None else registry.chain(source, to)
         if steps is None:
             raise ValueError(f"no conversion from sniffed `{source}` to `{to}`")
         branch = typed.where(F.col("media_type") == source)

@@ -28,8 +28,12 @@ from quadloom.functions.terms import RDF, XSD
 
 QUAD = "g struct<kind:tinyint,lex:string,dt:string,lang:string>, s struct<kind:tinyint,lex:string,dt:string,lang:string>, p struct<kind:tinyint,lex:string,dt:string,lang:string>, o struct<kind:tinyint,lex:string,dt:string,lang:string>"
 
-_POINT = r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}"
-_IRI, _BLANK = rf"<((?:[^<>\"{{}}|^`\\\x00-\x20]++|{_POINT})*+)>", r"_:([A-Za-z0-9_](?:[A-Za-z0-9_.·-]*[A-Za-z0-9_·-])?)"
+#: Escapes of characters, which surrogates are not.
+_POINT = r"\\u(?:[0-9A-CEFa-cef][0-9A-Fa-f]{3}|[Dd][0-7][0-9A-Fa-f]{2})|\\U00(?:0[0-9A-Fa-f]|10)[0-9A-Fa-f]{4}"
+#: Characters that a blank node's label begins with and goes on with (N-Triples; the colon is one of them).
+_START = "A-Za-z0-9_:\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02ff\u0370-\u037d\u037f-\u1fff\u200c-\u200d\u2070-\u218f\u2c00-\u2fef\u3001-\ud7ff\uf900-\ufdcf\ufdf0-\ufffd\U00010000-\U000effff"
+_ON = _START + "\u00b7\u0300-\u036f\u203f-\u2040-"
+_IRI, _BLANK = rf"<((?:[^<>\"{{}}|^`\\\x00-\x20]++|{_POINT})*+)>", rf"_:([{_START}](?:[.{_ON}]*[{_ON}])?)"
 _LITERAL = rf'"((?:[^"\\\r\n]++|\\[tbnrf"\'\\]|{_POINT})*+)"(?:\^\^{_IRI}|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?'
 LINE = rf"^[ \t]*(?:{_IRI}|{_BLANK})[ \t]*{_IRI}[ \t]*(?:{_IRI}|{_BLANK}|{_LITERAL})[ \t]*(?:(?:{_IRI}|{_BLANK})[ \t]*)?\.[ \t]*(?:#.*)?$"
 
@@ -48,8 +52,8 @@ def scope_of(uri):
     return F.concat(F.lit("d"), F.substring(F.md5(F.coalesce(uri, F.lit(""))), 1, 16), F.lit("-"))
 
 
-def lines(text: DataFrame, scope: str | Column = "", strict: bool = True) -> DataFrame:
-    """Quads of N-Triples or N-Quads lines in column value; scope is put in front of blank nodes' names.
+def lines(text: DataFrame, scope: str | Column = "", strict: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Quads of N-Triples or N-Quads lines in column value, and the columns keep; scope is put in front of blank nodes' names.
 
     Empty and comment lines give nothing. Another line that is no statement is an
     error when it is read or, if not strict, is passed over.
@@ -65,10 +69,10 @@ def lines(text: DataFrame, scope: str | Column = "", strict: bool = True) -> Dat
     kept = F.transform(parts, lambda part: F.when(fits(part), part).otherwise(said)) if strict else F.filter(parts, fits)
     # a generator, since filters would be pushed below the match and repeat it
     each = F.explode(F.when(line.rlike(r"^[ \t\r]*(#.*)?$"), F.array().cast("array<array<string>>")).otherwise(kept)).alias("__part")
-    parted = text.select("value", (F.lit(scope) if isinstance(scope, str) else scope).alias("__scope")).select("__scope", each)
-    named = parted.select("__part", "__scope", F.when(x(4).isNull() & x(5).isNull(), _unescaped(F.col("__part")[5])).alias("__raw"))
+    parted = text.select("value", (F.lit(scope) if isinstance(scope, str) else scope).alias("__scope"), *keep).select("__scope", *keep, each)
+    named = parted.select("__part", "__scope", *keep, F.when(x(4).isNull() & x(5).isNull(), _unescaped(F.col("__part")[5])).alias("__raw"))
     value = F.when(x(8).isNotNull(), terms.tagged(F.col("__raw"), x(8))).otherwise(terms.typed(F.col("__raw"), F.coalesce(_unescaped(x(7)), F.lit(terms.STRING))))
-    return named.select(F.coalesce(node(9, 10), none).alias("g"), node(1, 2).alias("s"), terms.iri(_unescaped(x(3))).alias("p"), F.coalesce(node(4, 5), value).alias("o"))
+    return named.select(F.coalesce(node(9, 10), none).alias("g"), node(1, 2).alias("s"), terms.iri(_unescaped(x(3))).alias("p"), F.coalesce(node(4, 5), value).alias("o"), *keep)
 
 
 # one document at a time. A term here is a tuple (kind, lex, dt, lang).
@@ -76,15 +80,27 @@ def lines(text: DataFrame, scope: str | Column = "", strict: bool = True) -> Dat
 Term = tuple
 _TOKEN = re.compile(
     r'(?P<skip>\s+|#[^\n]*)|(?P<iri><[^<>"{}|^`\x00-\x20]*>)|(?P<text>"""(?:[^"\\]|\\.|"(?!""))*"""|\'\'\'(?:[^\'\\]|\\.|\'(?!\'\'))*\'\'\'|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\')'
-    r"|(?P<lang>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)|(?P<mark>\^\^|[.;,\[\](){}])|(?P<blank>_:[\w·](?:[\w.·-]*[\w·-])?)"
-    r"|(?P<number>[+-]?(?:\d+\.\d*[eE][+-]?\d+|\.?\d+[eE][+-]?\d+|\d*\.\d+|\d+))|(?P<name>(?:[^\W\d_][\w.·-]*)?:(?:(?:[\w:·-]|%[0-9A-Fa-f]{2}|\\.|\.(?=[\w:·%-]))*)|[A-Za-z]+)"
+    rf"|(?P<lang>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)|(?P<blank>_:[{_START}](?:[.{_ON}]*[{_ON}])?)"
+    r"|(?P<number>[+-]?(?:\d+\.\d*[eE][+-]?\d+|\.?\d+[eE][+-]?\d+|\d*\.\d+|\d+))|(?P<mark>\^\^|[.;,\[\](){}])|(?P<name>(?:[^\W\d_][\w.·-]*)?:(?:(?:[\w:·-]|%[0-9A-Fa-f]{2}|\\.|\.(?=[\w:·%-]))*)|[A-Za-z]+)"
 )
 _ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|(.))", re.S)
-_SIMPLE = {"t": "\t", "n": "\n", "r": "\r", "b": "\b", "f": "\f"}
+_SIMPLE = {"t": "\t", "n": "\n", "r": "\r", "b": "\b", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
 
 
 def _plain(text: str) -> str:
-    return _ESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else _SIMPLE.get(m[3], m[3]), text)
+    """Escapes resolved; what is no escape, and numbers of no character, are errors."""
+
+    def sign(m: re.Match) -> str:
+        if not (m[1] or m[2]):
+            return _SIMPLE[m[3]] if m[3] in _SIMPLE else _fail(f"no escape: {m[0]!r}")
+        code = int(m[1] or m[2], 16)
+        return _fail(f"no character: {m[0]!r}") if 0xD800 <= code < 0xE000 or code > 0x10FFFF else chr(code)
+
+    return _ESCAPE.sub(sign, text)
+
+
+def _fail(said: str):
+    raise ValueError(said)
 
 
 class _Turtle:
@@ -164,6 +180,8 @@ class _Turtle:
         out: list[tuple] = []
         alone = self.peek()[1] == "["
         subject = self.object(out)
+        if subject[0] == 3:
+            raise ValueError(f"a literal is no subject: {subject[1]!r}")
         if not (alone and self.peek()[1] in (".", "}")):
             self.pairs(subject, out)
         yield from out
@@ -382,6 +400,8 @@ class _JsonLd:
         if name[:1] == "@":
             return name
         found = self.entry(name, context) if vocab and name in context else {}
+        if vocab and name in context and (context[name] is None or "@id" in found and found["@id"] is None):
+            return ""  # a term that means nothing
         if to := found.get("@id") or found.get("@reverse"):
             return self.expand(to, {k: v for k, v in context.items() if k != name}, True)
         prefix, colon, local = name.partition(":")
@@ -413,9 +433,13 @@ class _JsonLd:
         if isinstance(value, dict):
             names = {self.expand(k, context, True): v for k, v in value.items()}
             if "@value" in names:
+                if wrong := [k for k in names if k not in ("@value", "@type", "@language", "@index", "@context")]:
+                    raise ValueError(f"{wrong[0]} beside @value")
                 if names["@value"] is None:
                     return None
                 own = names.get("@type")
+                if isinstance(names["@value"], (list, dict)) and own != "@json":
+                    raise ValueError("@value is no scalar")
                 if own == "@json":
                     return 3, json.dumps(names["@value"], sort_keys=True, separators=(",", ":"), ensure_ascii=False), RDF + "JSON", None
                 return self.scalar(names["@value"], self.expand(own, context, True) if own else None, names.get("@language"))
@@ -468,7 +492,7 @@ class _JsonLd:
         for name, key, value in named:
             found = self.entry(key, context)
             if name == "@type":
-                self.out += [(graph, subject, _iri(RDF + "type"), self.ref(v, context, True)) for v in (value if isinstance(value, list) else [value])]
+                self.out += [(graph, subject, _iri(RDF + "type"), self.ref(v, context, True)) for v in (value if isinstance(value, list) else [value]) if self.expand(v, context, True)]
             elif name in ("@graph", "@included"):
                 # a graph without a name and without properties of its own is the graph around it
                 alone = name == "@included" or (not ids and all(n in plain for n, _, _ in named))
@@ -513,6 +537,8 @@ def documents(df: DataFrame, strict: bool = True, keep: bool = False, base: bool
         for frame in frames:
             rows = []
             for uri, content, media in zip(frame["uri"], frame["content"], frame["media_type"], strict=True):
+                if media not in READERS:
+                    raise ValueError(f"{uri} cannot be read: nothing reads {media!r}")
                 doc, number = f"{part}-{number}", number + 1
                 scope = f"d{hashlib.md5((uri or '').encode()).hexdigest()[:16]}-"
                 if keep:

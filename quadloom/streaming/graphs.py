@@ -19,8 +19,5 @@ def triples(stream: DataFrame, time: str, late: str = "10 minutes") -> DataFrame
     parsed = rdf_text.lines(stream.select("value"), strict=False)
     if not stream.isStreaming:
         return parsed.distinct()
-    stamped = stream.withWatermark(time, late)
-    quads = stamped.select(F.col(time), F.col("value"))
-    line = F.regexp_replace(F.trim("value"), r"[ \t]+", " ")
-    kept = quads.withColumn("__line", line).dropDuplicatesWithinWatermark(["__line"])
-    return rdf_text.lines(kept.select("value"), strict=False)
+    quads = rdf_text.lines(stream.select(time, "value"), strict=False, keep=(time,))
+    return quads.withWatermark(time, late).dropDuplicatesWithinWatermark(["g", "s", "p", "o"]).select("g", "s", "p", "o")

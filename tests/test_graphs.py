@@ -9,7 +9,13 @@ from quadloom.plans import cache, catalog, convert, dataset
 from quadloom.sources import rdf_text
 from quadloom.streaming import graphs
 
-PERSON = '@prefix ex: <http://ex/> . ex:mill ex:name "Ada" ; ex:beside ex:ford .'
+#: Sea marks: 13 triples with numbers, two languages, a blank node, a datatype of its own and a list.
+SEA = "http://sea.example/terms/"
+MARKS = f'''@prefix m: <{SEA}> .
+@base <http://sea.example/mark/> .
+<skerry> m:depth 12.5 , 7 ; m:called "Skerry"@en , "Schäre"@de ; m:neighbour [ m:called "Holm"@en ; m:since "1904"^^m:year ] ; m:tides ( "low" "high" ) .
+<holm> m:fedBy <skerry> .
+'''
 
 
 def docs(spark, *texts):
@@ -21,12 +27,13 @@ def text(df):
 
 
 def test_turtle_to_lines_and_html(spark):
-    lines = text(convert.convert_graphs(docs(spark, PERSON), "nt")).split("\n")
-    assert sorted(x for x in lines if x) == ['<http://ex/mill> <http://ex/beside> <http://ex/ford> .', '<http://ex/mill> <http://ex/name> "Ada" .']
-    html = text(convert.convert_graphs(docs(spark, PERSON), media.HTML))
-    assert "<caption>2 triples</caption>" in html and "&lt;http://ex/mill&gt;" in html
+    lines = [x for x in text(convert.convert_graphs(docs(spark, MARKS), "nt")).split("\n") if x]
+    assert len(lines) == 13 and f'<http://sea.example/mark/skerry> <{SEA}depth> "12.5"^^<{terms.DECIMAL}> .' in lines
+    assert f"<http://sea.example/mark/holm> <{SEA}fedBy> <http://sea.example/mark/skerry> ." in lines and sum(x.startswith("_:") for x in lines) == 6
+    html = text(convert.convert_graphs(docs(spark, MARKS), media.HTML))
+    assert "<caption>13 triples</caption>" in html and html.count("<tr>") == 14 and f"<td>&lt;{SEA}fedBy&gt;</td>" in html and '<td>"Schäre"@de</td>' in html
     with pytest.raises(ValueError, match="unknown target"):
-        convert.convert_graphs(docs(spark, PERSON), "application/pdf")
+        convert.convert_graphs(docs(spark, MARKS), "application/msword")
 
 
 RICH = '''PREFIX ex: <http://ex/>
@@ -183,6 +190,70 @@ def test_strict_documents_fail_and_lenient_ones_keep_what_was_read(spark):
         rdf_text.documents(remote).collect()
 
 
+ODD = ["a\r\nb\rc\n", "tab\tand \"quotes\" \\ back", "<&>' ünï 𝄞", " lead and trail ", ""]
+
+
+@pytest.mark.parametrize("to", ["text/turtle", "application/trig", "application/rdf+xml", "application/ld+json", "application/n-triples", "application/n-quads"])
+def test_no_character_is_lost(spark, to):
+    """Carriage returns, escapes, labels beyond ASCII and IRIs with characters that need escapes."""
+    term = lambda k, x, dt=None: (k, x, dt, None)
+    rows = [(term(1, "é·1:x.y"), term(2, f"http://e/p{n}"), term(3, x, terms.STRING)) for n, x in enumerate(ODD)] + [(term(2, "http://e/s"), term(2, "http://e/q"), term(2, "http://e/a b>c" if "xml" not in to and "json" not in to else "http://e/é"))]
+    df = spark.createDataFrame(rows, "s struct<kind:tinyint,lex:string,dt:string,lang:string>, p struct<kind:tinyint,lex:string,dt:string,lang:string>, o struct<kind:tinyint,lex:string,dt:string,lang:string>")
+    if to == "application/rdf+xml":
+        df = df.withColumn("s", F.when(F.col("s.kind") == 1, terms.blank(F.lit("é1"))).otherwise(F.col("s")))
+    one = dataset.answer(df.select("s", "p", "o"), to)[1].first().value
+    back = rdf_text.documents(spark.createDataFrame([("u", one, to)], "uri string, content string, media_type string")) if to in rdf_text.READERS else rdf_text.lines(spark.createDataFrame([(x,) for x in one.split("\n")], "value string"))
+    got = back.select("s", "p", "o").collect()
+    assert sorted((r.p.lex, r.o.lex) for r in got) == sorted((p[1], o[1]) for _, p, o in rows)
+    assert len({r.s.lex for r in got if r.s.kind == 1}) == 1
+
+
+def test_xml_refuses_what_it_cannot_write(spark):
+    df = spark.range(1).select(terms.iri("urn:s").alias("s"), terms.iri("http://e/p").alias("p"), terms.literal(F.lit("a\x01b")).alias("o"))
+    with pytest.raises(Exception, match="no XML"):
+        dataset.answer(df, "application/rdf+xml")[1].collect()
+
+
+def test_labels_of_lines(spark):
+    good = ["_:a:b", "_:é", "_:0", "_:a.b", "_:a-b·", "_:𝄞"]
+    rows = [(f"{x} <urn:p> {x} .",) for x in good]
+    assert sorted(r.s.lex for r in rdf_text.lines(spark.createDataFrame(rows, "value string")).collect()) == sorted(x[2:] for x in good[:-1] + ["_:𝄞"])
+    assert rdf_text.lines(spark.createDataFrame([(f"{x} <urn:p> <urn:o> .",) for x in ("_:-a", "_:·a", "_:", "_:a.", "<urn:\\uD800>")], "value string"), strict=False).count() == 0
+    assert [s for s, _, _ in read(spark, "_:é <urn:p> _:a:b . _:a.b <urn:p> 1 .", "text/turtle")] == ["_", "_"]
+
+
+@pytest.mark.parametrize("bad", ['"lit" <urn:p> <urn:o> .', "42 <urn:p> 1 .", "<urn:g> { true <urn:p> 1 }", '<urn:s> <urn:p> "\\q" .', '<urn:s> <urn:p> "\\uD800" .', '<urn:s> <urn:p> "\\U00110000" .', "<urn:\\q> <urn:p> 1 ."])
+def test_turtle_refuses(spark, bad):
+    with pytest.raises(ValueError, match="."):
+        read(spark, bad, "text/turtle")
+
+
+def test_turtle_numbers(spark):
+    found = read(spark, "<urn:s> <urn:p> .5e3 , 1.5E-2, -.5, +7, 1.e1, 3. <urn:s> <urn:q> 2.", "text/turtle")
+    assert [o for _, _, o in found] == sorted(["+7^integer", "-.5^decimal", ".5e3^double", "1.5E-2^double", "1.e1^double", "3^integer"]) + ["2^integer"]
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ('{"@context": {"@vocab": "http://v/", "p": null, "q": {"@id": null}, "T": null}, "@id": "urn:s", "@type": ["T", "U"], "p": 1, "q": 2, "r": 3}', [("urn:s", "r", "3^integer"), ("urn:s", "type", "http://v/U")]),
+        ('{"@id": "urn:s", "urn:p": {"@value": [1]}}', None), ('{"@id": "urn:s", "urn:p": {"@value": "x", "@id": "urn:o"}}', None), ('{"@id": "urn:s", "urn:p": {"@value": "x", "@direction": "rtl"}}', None), ('{"@id": "urn:s", "urn:p": {"@value": "x", "@nonsense": 1}}', None),
+    ],
+)
+def test_json_ld_values(spark, body, want):
+    if want is None:
+        with pytest.raises(ValueError, match="@value"):
+            read(spark, body, "application/ld+json")
+    else:
+        assert read(spark, body, "application/ld+json") == want
+
+
+def test_unknown_media_types_are_errors(spark):
+    df = spark.createDataFrame([("u", "x", "application/zip")], "uri string, content string, media_type string")
+    with pytest.raises(Exception, match="nothing reads"):
+        rdf_text.documents(df, strict=False).collect()
+
+
 def test_subclass_pairs(spark):
     ttl = "@prefix r: <http://www.w3.org/2000/01/rdf-schema#> . <http://a> r:subClassOf <http://b>, <http://c> ; r:label 'x' . _:n r:subClassOf <http://a> ."
     df = spark.createDataFrame([("u", ttl, "text/turtle")], "uri string, content string, media_type string")
@@ -190,12 +261,12 @@ def test_subclass_pairs(spark):
 
 
 def test_federation_and_vocabulary(spark, tmp_path):
-    a = rdf_text.documents(spark.createDataFrame([("a", PERSON, "text/turtle")], "uri string, content string, media_type string"))
-    (tmp_path / "b.nt").write_text('<http://ex/b> <http://ex/name> "Bob" .\n')
-    data = dataset.Dataset(spark).register("http://g/a", a).resolver("http", lambda s, u: docs(s, '<http://ex/c> <http://ex/name> "Cy" .').withColumn("media_type", F.lit("nt")))
+    a = rdf_text.documents(spark.createDataFrame([("a", MARKS, "text/turtle")], "uri string, content string, media_type string"))
+    (tmp_path / "b.nt").write_text(f'<http://sea.example/mark/nore> <{SEA}called> "Nore" .\n')
+    data = dataset.Dataset(spark).register("http://g/a", a).resolver("http", lambda s, u: docs(s, f'<urn:lune> <{SEA}called> "Lune" .').withColumn("media_type", F.lit("nt")))
     every = data.quads(f"http://g/a, file://{tmp_path}/b.nt\nhttp://g/c http://g/a")
-    assert sorted(r.n.lex for r in quads.match(every, "?s", "http://ex/name", "?n").df.collect()) == ["Ada", "Bob", "Cy"]
-    assert [r.n.lex for r in quads.match(every, "?s", "http://ex/name", "?n", "http://g/a").df.collect()] == ["Ada"]
+    assert sorted(r.n.lex for r in quads.match(every, "?s", SEA + "called", "?n").df.collect()) == ["Holm", "Lune", "Nore", "Schäre", "Skerry"]
+    assert sorted(r.n.lex for r in quads.match(every, "?s", SEA + "called", "?n", "http://g/a").df.collect()) == ["Holm", "Schäre", "Skerry"]
     q = dataset.NS
     assert quads.match(data.quads(), q + "Converter", terms.SUBCLASS, q + "Endpoint").ask().first().answer
     with pytest.raises(ValueError, match="nothing resolves"):
@@ -213,25 +284,33 @@ def test_catalog_joins_the_vocabulary(spark):
     assert "text/html" in row.to and "text/html" not in row["from"] and "application/octet-stream" in row["from"]
 
 
-@pytest.mark.parametrize(("as_", "kind", "inside"), [(None, "application/sparql-results+json", '"value":"Ada"'), ("text/csv", "text/csv", "n\r\nAda\r\n"), ("xml", "application/sparql-results+xml", "<literal>Ada</literal>"), ("tsv", "text/tab-separated-values", '?n\n"Ada"\n'), ("nonsense", "application/sparql-results+json", "bindings")])
+@pytest.mark.parametrize(
+    ("as_", "kind", "inside"),
+    [
+        (None, "application/sparql-results+json", f'"value":"1904","datatype":"{SEA}year"'), ("text/csv", "text/csv", "n\r\n1904\r\n"), ("xml", "application/sparql-results+xml", f'<literal datatype="{SEA}year">1904</literal>'),
+        ("tsv", "text/tab-separated-values", f'?n\n"1904"^^<{SEA}year>\n'), ("nonsense", "application/sparql-results+json", "bindings"),
+    ],
+)
 def test_answers(spark, as_, kind, inside):
-    a = rdf_text.documents(spark.createDataFrame([("a", PERSON, "text/turtle")], "uri string, content string, media_type string"))
-    found = quads.match(a, "?s", "http://ex/name", "?n").project("n")
+    a = rdf_text.documents(spark.createDataFrame([("a", MARKS, "text/turtle")], "uri string, content string, media_type string"))
+    found = quads.match(a, "?s", SEA + "since", "?n").project("n")
     media_type, body = dataset.answer(found, as_)
     assert media_type == kind and inside in body.first().value
     assert "true" in dataset.answer(found.ask(), as_)[1].first().value
-    made = quads.construct(quads.match(a, "?s", "http://ex/name", "?n"), ("?s", "http://ex/label", "?n"))
-    assert dataset.answer(made)[0] == "text/turtle" and "http://ex/label" in dataset.answer(made)[1].first().value
+    made = quads.construct(quads.match(a, "?s", SEA + "since", "?n"), ("?s", "urn:founded", "?n"))
+    assert dataset.answer(made)[0] == "text/turtle" and "urn:founded" in dataset.answer(made)[1].first().value
 
 
 def test_auto_dispatch(spark):
-    made = convert.auto(docs(spark, PERSON, '{"@id": "http://a", "http://b": "c"}'), media.HTML)
-    assert made.count() == 2 and {r.media_type for r in made.collect()} == {"text/html"}
-    assert text(convert.auto(docs(spark, PERSON), "text/turtle")) == PERSON
-    with pytest.raises(ValueError, match="text/turtle.*application/pdf"):
-        convert.auto(docs(spark, PERSON), "application/pdf")
-    with pytest.raises(ValueError, match="image/png"):
-        convert.auto(spark.createDataFrame([("u", bytearray(b"\x89PNG\r\n\x1a\n"))], "uri string, content binary"))
+    made = convert.auto(docs(spark, MARKS, '[{"@id": "urn:q", "urn:r": [4, {"@id": "urn:s"}]}]'), media.HTML)
+    assert sorted(bytes(r.content).decode().split(" triples")[0][-2:] for r in made.collect()) == ["13", ">2"] and {r.media_type for r in made.collect()} == {"text/html"}
+    assert text(convert.auto(docs(spark, MARKS), "text/turtle")) == MARKS
+    with pytest.raises(ValueError, match="text/turtle.*application/zip"):
+        convert.auto(docs(spark, MARKS), "application/zip")
+    with pytest.raises(ValueError, match="application/gzip"):
+        convert.auto(spark.createDataFrame([("u", bytearray(b"\x1f\x8b\x08\x00"))], "uri string, content binary"))
+    with pytest.raises(ValueError, match="None"):
+        convert.auto(docs(spark, MARKS).union(spark.createDataFrame([("u", None)], "uri string, content binary")))
     chain = convert.Registry().register(["a"], ["b"], None).register(["b"], ["c"], None).chain("a", "c")
     assert [t for t, _ in chain] == ["b", "c"]
 
@@ -253,11 +332,11 @@ def test_cache_follows_its_sources(spark, tmp_path):
 
 def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.nt").write_text("<http://a> <http://b> <http://c> .\n<http://a>  <http://b> <http://c> .\nbroken\n")
+    (tmp_path / "in" / "a.nt").write_text('<http://a> <http://b> <http://c> .\n<http://a>  <http://b> <http://c> .\nbroken\n<http://a> <http://b> "a  b" .\n<http://a> <http://b> "a b" .\n<http://a> <http://b> "a\\u0020b".\n')
     stream = spark.readStream.text(str(tmp_path / "in")).withColumn("at", F.current_timestamp())
     for df, name in ((graphs.triples(stream, "at"), "t1"), (graphs.sniffed(stream, "value"), "t2")):
         q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).start()
         q.processAllAvailable()
         q.stop()
-    assert spark.table("t1").count() == 1
-    assert sorted(r.media_type for r in spark.table("t2").collect()) == ["text/plain", "text/turtle", "text/turtle"]
+    assert sorted(r.o.lex for r in spark.table("t1").collect()) == ["a  b", "a b", "http://c"]
+    assert sorted(r.media_type for r in spark.table("t2").collect()) == ["text/plain"] + ["text/turtle"] * 5

@@ -3,14 +3,32 @@ from pyspark.sql import functions as F
 
 from quadloom.functions import media, sniff
 
+NS = b"http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+
+
+def at(place, mark, head=b"{"):
+    """A mark whose first byte is at a place behind the leading white space."""
+    return b" \t" + head + b" " * (place - len(head)) + mark
+
+
+# Rule by rule, in the order in which the detectors go; each with the nearest inputs on either side of it.
 CASES = [
-    (b"@prefix ex: <http://ex/> .", "text/turtle"), (b"PREFIX ex: <http://ex/>", "text/turtle"), (b"# note\n@prefix ex: <http://ex/> .", "text/turtle"), (b"<http://a> <http://b> <http://c> .", "text/turtle"), (b"<http://a> <http://b> 5 .", "text/turtle"),
-    (b"<Foo><bar/></Foo>", "application/xml"), (b"<note>hi</note>", "application/xml"), (b'<?xml version="1.0"?><rdf:RDF/>', "application/rdf+xml"), (b'<RDF xmlns="http://www.w3.org/1999/02/22-rdf-syntax-ns#"/>', "application/rdf+xml"),
-    (b"<!DOCTYPE html><p>", "text/html"), (b'<html lang="en">', "text/html"), (b'{"@context": {}, "@id": "x"}', "application/ld+json"), (b'[{"@id": "x"}]', "application/ld+json"), (b'{"a": 1}', "application/json"),
-    (b"just prose", "text/plain"), (b"", "text/plain"), (b"\x00\x01\x02", "application/octet-stream"), (b"%PDF-1.7", "application/pdf"), (b"\x89PNG\r\n\x1a\n", "image/png"), (b"\xff\xd8\xff\xe0", "image/jpeg"), (b"GIF89a", "image/gif"), (b"\x1f\x8b\x08", "application/gzip"),
-    (b"\xef\xbb\xbf   @prefix a: <b> .", "text/turtle"), (b'\n\n  {"@id": "x"}', "application/ld+json"), (b"<urn:x:y> <http://p> <http://o> .", "application/xml"), (b"<urn:x:y> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://o> .", "application/rdf+xml"),
-    (b"ex:a ex:b ex:c .", "text/plain"), (b"Base camp", "text/turtle"), (b"prefix\tx", "text/plain"), (b"\x0b{}", "text/plain"), (b" \xef\xbb\xbf{}", "text/plain"), (b"[] a <http://c> .", "application/json"), (b"\xff\xfeA\x00", "application/octet-stream"), (b"\xc3\x28", "application/octet-stream"),
-    (b"{" + b" " * 2050 + b'"@id"', "application/json"),
+    # signatures count at the very first byte, whole
+    (b"%PDF-", "application/pdf"), (b"%PDF", "text/plain"), (b" %PDF-1.4", "text/plain"), (b"GIF87a\x00", "image/gif"), (b"GIF88a", "text/plain"), (b"\x1f\x8b", "application/gzip"), (b"\x1f", "text/plain"),
+    (bytes.fromhex("FFD8FF"), "image/jpeg"), (bytes.fromhex("FFD8FE"), "application/octet-stream"), (bytes.fromhex("89504E470D0A1A0A00"), "image/png"), (bytes.fromhex("89504E470D0A1A"), "application/octet-stream"), (b"GIF89a{}", "image/gif"),
+    # brackets are JSON, linked if a quoted keyword begins inside the window and ends there
+    (b"[", "application/json"), (b'{"graph": "@graph"}', "application/ld+json"), (b"{'@id': 1}", "application/json"), (b'{"@ID": 1}', "application/json"), (b'[[{"@type": []}]]', "application/ld+json"), (b"{ not json @context", "application/json"),
+    (at(2043, b'"@id"'), "application/ld+json"), (at(2044, b'"@id"'), "application/json"), (at(2041, b'"@graph"', b"["), "application/json"), (b"{ <html", "application/json"),
+    # Turtle by its first byte, by a keyword and one space, or by an IRI with an authority in angle brackets
+    (b"@", "text/turtle"), (b"#!/bin/sh", "text/turtle"), (b"pReFiX :", "text/turtle"), (b"prefixes", "text/plain"), (b"BASE <x>", "text/turtle"), (b"base\n<x>", "text/plain"), (b"Based on", "text/plain"), (b"prefix", "text/plain"),
+    (b"<a://", "text/turtle"), (b"<a:/ /b>", "application/xml"), (b"<" + b"x" * 5000 + b"://y", "text/turtle"), (b"<x\x0c://", "application/xml"), (b"<x\x0b://", "text/turtle"), (b"<!--x://-->", "text/turtle"), (b"<tag y='z://'>", "application/xml"),
+    # markup: HTML before RDF before XML, without regard to case, inside the window
+    (b"<!DocType HTML SYSTEM 'x'>", "text/html"), (b"<x><HTML>" + NS, "text/html"), (b"<x>" + NS, "application/rdf+xml"), (b"<r xmlns='" + NS.upper() + b"'/>", "application/rdf+xml"), (b"<a><RDF:RDF", "application/rdf+xml"), (b"<RDF>", "application/xml"),
+    (at(2043, b"<html", b"<x>"), "text/html"), (at(2044, b"<html", b"<x>"), "application/xml"), (b"<", "application/xml"), (b"<urn:isbn:1> <is> <mailto:a@b> .", "application/xml"), (b"<doctype html>", "application/xml"),
+    # one byte order mark, then white space; vertical tabs are none
+    (b"\xef\xbb\xbf\r\n\x0c\t [", "application/json"), (b"\xef\xbb\xbf\xef\xbb\xbf[", "text/plain"), (b"\r\xef\xbb\xbf[", "text/plain"), (b"\x0b@", "text/plain"), (b"\n\n<b>", "application/xml"),
+    # what is left is text if it is UTF-8 throughout and has no NUL
+    (b"", "text/plain"), (b" \n", "text/plain"), ("Ünïcode".encode(), "text/plain"), ("Ünïcode".encode("utf-16"), "application/octet-stream"), (b"x" * 9000 + b"\x00", "application/octet-stream"), (b"x" * 9000 + b"\xc3", "application/octet-stream"), (b"\xed\xa0\x80", "application/octet-stream"), (b"a:b c:d e:f .", "text/plain"), (b"_:x <p> 1 .", "text/plain"),
 ]
 
 
