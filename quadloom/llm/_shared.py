@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections import OrderedDict
+from collections.abc import Callable, Hashable
+from typing import Any
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -70,6 +73,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def text_bytes(texts: DataFrame, text: str) -> int:
+    """Bytes of all texts."""
+    return texts.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder, its lineage cut."""
     checkpoint_dir(df.sparkSession)
@@ -93,6 +101,22 @@ def join_hot(rows: DataFrame, by: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(by.join(few, key, "left_semi")), key).unionByName(rows.join(few, key, "left_anti").join(by, key))
 
 
+class Held:
+    """What the last `most` keys asked for have made: a process may map only so many files at a time."""
+
+    def __init__(self, most: int):
+        self.most, self.held = most, OrderedDict()
+
+    def get(self, key: Hashable, make: Callable[[], Any]) -> Any:
+        if key in self.held:
+            self.held.move_to_end(key)
+        else:
+            self.held[key] = make()
+            if len(self.held) > self.most:
+                self.held.popitem(last=False)
+        return self.held[key]
+
+
 def map_array(uri: str, dtype: type):
     """The file as a read-only memory-mapped array.
 

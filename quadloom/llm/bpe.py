@@ -27,13 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.llm._arrow import bytes_of, offsets_of, slices, texts_of
-from quadloom.llm._shared import map_array, work_dir, write_file
+from quadloom.llm._shared import Held, map_array, text_bytes, work_dir, write_file
 from quadloom.llm.tokens import Ids, lay_out, pieces
 
 #: In front of and behind every piece.
 EDGE = -1
 #: Bytes of pieces that are replayed together, above which a piece is replayed by itself, and that a task holds.
 BLOCK, LONG, HELD = 8 << 20, 512, 32 << 20
+#: Bytes of text for which there is a shard of pieces: what a shard gets is less, even if no piece repeats.
+SHARD = 256 << 20
+#: Shards whose files a worker has mapped at a time.
+MAPPED = 4096
 
 
 class Ranks:
@@ -190,9 +194,9 @@ def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
 
 
 def learn(texts: DataFrame, path: str) -> tuple[str, int]:
-    """Replays the merges over every distinct piece of texts (one column). Folder of the shards' arrays, and their number."""
+    """Replays the merges over every distinct piece of texts (one column). Folder of the shards' arrays, and their number, which grows with the texts' bytes."""
     spark = texts.sparkSession
-    uri, shards = work_dir(spark, "pieces"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    uri, shards = work_dir(spark, "pieces"), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(texts, texts.columns[0]) // SHARD))
 
     def deal(held: list[pa.Array]) -> pa.RecordBatch:
         vocab = pc.unique(pa.chunked_array(held))
@@ -242,11 +246,13 @@ class Known:
     """The corpus's pieces and their ids, mapped."""
 
     def __init__(self, uri: str, shards: int, path: str):
-        self.ranks, self.shards = load(path), shards
-        self.hashes = [map_array(f"{uri}/hash-{s}", np.uint64) for s in range(shards)]
-        self.ends = [map_array(f"{uri}/ends-{s}", np.int64).reshape(2, -1) for s in range(shards)]
-        self.bytes = [map_array(f"{uri}/bytes-{s}", np.uint8) for s in range(shards)]
-        self.ids = [map_array(f"{uri}/ids-{s}", np.int32) for s in range(shards)]
+        self.ranks, self.uri, self.shards, self.open = load(path), uri, shards, Held(MAPPED)
+
+    def shard(self, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, ends of bytes and of ids, bytes, and ids of a shard's pieces."""
+        kinds = {"hash": np.uint64, "ends": np.int64, "bytes": np.uint8, "ids": np.int32}
+        hashes, ends, letters, ids = self.open.get(s, lambda: [map_array(f"{self.uri}/{name}-{s}", kind) for name, kind in kinds.items()])
+        return hashes, ends.reshape(2, -1), letters, ids
 
     def kinds(self, vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Sizes and ids of distinct pieces. One that is not found is replayed here."""
@@ -256,23 +262,23 @@ class Known:
         order = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
         for s in np.flatnonzero(np.diff(cuts)).tolist():
-            rows, known = order[cuts[s] : cuts[s + 1]], self.hashes[s]
+            rows, (known, ends, letters, _) = order[cuts[s] : cuts[s + 1]], self.shard(s)
             if not len(known):
                 continue
             place = np.minimum(np.searchsorted(known, hashes[rows]), len(known) - 1)
             rows, place = rows[known[place] == hashes[rows]], place[known[place] == hashes[rows]]
-            length, start = at[rows + 1] - at[rows], self.ends[s][0][place]
-            same = self.ends[s][0][place + 1] - start == length
+            length, start = at[rows + 1] - at[rows], ends[0][place]
+            same = ends[0][place + 1] - start == length
             rows, place, length, start = rows[same], place[same], length[same], start[same]
             if not len(rows):
                 continue
             firsts = np.cumsum(length) - length
             byte = np.arange(length.sum()) - np.repeat(firsts, length)
-            equal = self.bytes[s][byte + np.repeat(start, length)] == data[byte + np.repeat(at[rows], length)]
+            equal = letters[byte + np.repeat(start, length)] == data[byte + np.repeat(at[rows], length)]
             same = np.logical_and.reduceat(equal, firsts)
             rows, place = rows[same], place[same]
-            begin[rows] = self.ends[s][1][place]
-            sizes[rows] = self.ends[s][1][place + 1] - begin[rows]
+            begin[rows] = ends[1][place]
+            sizes[rows] = ends[1][place + 1] - begin[rows]
         lost = np.flatnonzero(sizes < 0)
         more = np.zeros(0, np.int64)
         if len(lost):
@@ -284,7 +290,7 @@ class Known:
             rows = rows[~np.isin(rows, lost)] if len(lost) else rows
             n = sizes[rows]
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            flat[step + np.repeat(to[rows], n)] = self.ids[s][step + np.repeat(begin[rows], n)]
+            flat[step + np.repeat(to[rows], n)] = self.shard(s)[3][step + np.repeat(begin[rows], n)]
         n = sizes[lost]
         flat[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(to[lost], n)] = more
         return sizes, flat

@@ -7,15 +7,17 @@ the number of distinct words in front. Workers map the arrays and look n-grams u
 binary search, hence hold none of the model in memory.
 
 Words are numbered by falling count (whole powers of two apart), so n-grams are short
-rows of mostly small numbers and never collide while they are counted. In the arrays an
+rows of mostly small numbers, and are told apart by these numbers while they are counted. (A word is
+its 64-bit hash.) In the arrays an
 n-gram is a bucket of its shard and 32 bits of its 64-bit hash: some five bytes, and a
 chance of one in 500 million that an unseen n-gram is taken for a seen one.
 
-No group is unbounded: there is a shard for every SHARE training tokens, and an n-gram
+No group is unbounded: words have a shard for every WORDS bytes of text, n-grams one for every SHARE training tokens, and an n-gram
 goes to a shard by its context, so that a context's statistics come from one place. A
 context that could exceed a shard's share has only frequent words in it; such contexts
 are dealt over all shards n-gram by n-gram and their partial statistics are added up one
-step later. The driver sees rows of statistics for each shard.
+step later. The driver sees rows of statistics for each shard. Workers keep the files of the MAPPED
+shards used last mapped.
 
 Null texts are empty and consist of the end token only. Repeated rows count as
 often as they come; a null id is in no held-out bucket and so is learnt from. With
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.llm._arrow import LOWER, bucket_crc, per_text, slices, texts_of, word_hashes, words
-from quadloom.llm._shared import map_array, work_dir, write_file
+from quadloom.llm._shared import Held, map_array, text_bytes, work_dir, write_file
 
 #: The end token's hash; its text is no word's.
 END = xxhash.xxh64_intdigest(b"")
@@ -43,6 +45,10 @@ END = xxhash.xxh64_intdigest(b"")
 HELD = 4_000_000
 #: Training tokens for which there is a shard.
 SHARE = 8_000_000
+#: Bytes of text for which there is a shard of words: what a shard gets is less, even if no word repeats.
+WORDS = 128 << 20
+#: Shards of a kind whose files a worker has mapped at a time.
+MAPPED = 4096
 #: Rows of a step: n-grams, partial statistics of contexts, and statistics for the driver.
 GRAMS, CONTEXTS, STATS = range(3)
 ROWS = "shard int, kind int, block binary, stats array<bigint>"
@@ -87,9 +93,17 @@ def merged(columns: list[np.ndarray], counts: np.ndarray | None = None) -> tuple
     """Distinct rows with their counts added up; a count is 1 if not given."""
     if not len(columns[0]):
         return columns, np.zeros(0, np.int64)
-    order, first = _groups(mixed(columns))
+    keys = mixed(columns)
+    order, first = _groups(keys)
+    held = [c[order] for c in columns]
+    starts = np.zeros(len(order), bool)
+    starts[first] = True
+    if any(((c[1:] != c[:-1]) & ~starts[1:]).any() for c in held):  # rows that share a hash
+        order = np.lexsort(columns)
+        held = [c[order] for c in columns]
+        first = np.flatnonzero(np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in held])))
     counts = np.diff(np.append(first, len(order))) if counts is None else np.add.reduceat(counts[order], first)
-    return [c[order[first]] for c in columns], counts
+    return [c[first] for c in held], counts
 
 
 def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -340,21 +354,23 @@ class Words:
     """The word arrays, mapped."""
 
     def __init__(self, uri: str, shards: int):
-        self.shards = shards
-        self.hashes = [map_array(f"{uri}/word-{s}", U) for s in range(shards)]
-        self.counts, self.ids = ([map_array(f"{uri}/{name}-{s}", np.int64) for s in range(shards)] for name in ("count", "id"))
+        self.uri, self.shards, self.open = uri, shards, Held(MAPPED)
+
+    def shard(self, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, numbers and counts of a shard."""
+        return self.open.get(s, lambda: (map_array(f"{self.uri}/word-{s}", U), *(map_array(f"{self.uri}/{name}-{s}", np.int64) for name in ("id", "count"))))
 
     def find(self, hashes: np.ndarray, unknown: int) -> tuple[np.ndarray, np.ndarray]:
         """Number (unknown if there is none) and count of each word."""
         ids, counts = np.full(len(hashes), unknown, np.int64), np.zeros(len(hashes), np.int64)
         order = np.argsort(hashes)
         ends = np.searchsorted(shard_of(hashes[order], self.shards), np.arange(self.shards + 1))
-        for s in range(self.shards):
-            rows, known = order[ends[s] : ends[s + 1]], self.hashes[s]
-            if len(rows) and len(known):
+        for s in np.flatnonzero(np.diff(ends)).tolist():
+            rows, (known, numbers, times) = order[ends[s] : ends[s + 1]], self.shard(s)
+            if len(known):
                 at = np.minimum(np.searchsorted(known, hashes[rows]), len(known) - 1)
                 hit = known[at] == hashes[rows]
-                ids[rows[hit]], counts[rows[hit]] = self.ids[s][at[hit]], self.counts[s][at[hit]]
+                ids[rows[hit]], counts[rows[hit]] = numbers[at[hit]], times[at[hit]]
         return ids, counts
 
 
@@ -466,12 +482,13 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 def fit(train: DataFrame, text: str = "text", order: int = 3) -> Model:
     """Counts the n-grams of train's texts, up to order words long, into a new folder of the shared one."""
     spark = train.sparkSession
-    uri, word_shards = work_dir(spark, "kneser-ney"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = train.select(F.col(text))
+    uri, tasks = work_dir(spark, "kneser-ney"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    word_shards = max(tasks, -(-text_bytes(texts, text) // WORDS))
     numbers = _count_words(texts, uri, word_shards)
     if not numbers.tokens:
         return Model(uri, order, word_shards, 1, 0, 0, 0, ((0.5,) * 3,) * order, 0, 1.0)
-    shards = max(word_shards, -(-numbers.tokens // SHARE))
+    shards = max(tasks, -(-numbers.tokens // SHARE))
     # words counted 2 ** (b - 1) times or more, that being a shard's share at most
     least = max(1, (numbers.tokens // shards).bit_length())
     frequent = sum(sum(b[least:]) for b in numbers.bits)
@@ -489,7 +506,7 @@ class Scorer:
     """The model's arrays, mapped by a worker as they are needed."""
 
     def __init__(self, model: Model):
-        self.m, self.open = model, {}
+        self.m, self.open = model, Held(MAPPED)
         self.words = open_words(model.uri, model.word_shards)
         self.dealing = Dealing(model.shards, model.frequent, model.V)
 
@@ -499,9 +516,8 @@ class Scorer:
         ends = np.searchsorted(shard[order], np.arange(self.m.shards + 1))
         for s in np.flatnonzero(np.diff(ends)).tolist():
             rows = order[ends[s] : ends[s + 1]]
-            if (name, s) not in self.open:
-                self.open[name, s] = Table(map_array(f"{self.m.uri}/{name}-{s}", np.uint8))
-            out[:, rows] = self.open[name, s].find(hashes[rows], width)
+            table_ = self.open.get((name, s), lambda s=s: Table(map_array(f"{self.m.uri}/{name}-{s}", np.uint8)))
+            out[:, rows] = table_.find(hashes[rows], width)
         return out
 
     def lowest(self, ids: np.ndarray) -> np.ndarray:

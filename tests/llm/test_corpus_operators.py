@@ -202,6 +202,9 @@ def test_kneser_ney_by_brute_force(spark, docs, texts, monkeypatch, order, share
     """Few shards and many; with many, contexts of frequent words are dealt over all of them."""
     monkeypatch.setattr(kneser_ney, "SHARE", share)
     monkeypatch.setattr(kneser_ney, "HELD", 10_000)
+    if share == 500:
+        monkeypatch.setattr(kneser_ney, "WORDS", 20_000)
+        monkeypatch.setattr(kneser_ney, "MAPPED", 3)
     got = {r.doc_id: r for r in kneser_ney.contract(docs, order).collect()}
     held = {d for d in texts if zlib.crc32(str(d).encode()) % 7 == 2}
     tokens = {d: [*words(t), b""] for d, t in texts.items()}
@@ -231,6 +234,20 @@ def test_kneser_ney_on_hard_rows(spark, hard):
     assert kneser_ney.score(hard.limit(0), kneser_ney.fit(hard)).count() == 0
 
 
+def test_ngrams_that_share_a_hash_stay_apart(monkeypatch):
+    rng = np.random.default_rng(3)
+    columns = [rng.integers(0, 6, 2000).astype(np.uint32) for _ in range(3)]
+    counts = rng.integers(1, 9, 2000)
+    want = Counter()
+    for *row, c in zip(*columns, counts.tolist(), strict=True):
+        want[tuple(row)] += c
+    for bits in (64, 5, 0):
+        monkeypatch.setattr(kneser_ney, "mixed", lambda columns, bits=bits, whole=kneser_ney.mixed: whole(columns) >> np.uint64(64 - bits) if bits else np.zeros(len(columns[0]), np.uint64))
+        got, n = kneser_ney.merged(columns, counts)
+        assert dict(zip(zip(*(c.tolist() for c in got), strict=True), n.tolist(), strict=True)) == want and len(n) == len(want)
+        monkeypatch.undo()
+
+
 def test_count_blocks_round_trip():
     rng = np.random.default_rng(1)
     columns = [rng.integers(0, 5, 3000).astype(np.uint64), rng.integers(0, 1 << 40, 3000).astype(np.uint64), rng.integers(0, 9, 3000).astype(np.uint64)]

@@ -234,16 +234,25 @@ def test_long_pieces_and_the_corpus_arrays(spark, monkeypatch):
         monkeypatch.setattr(bpe, "LONG", length)
         got = bpe.encode(pa.array(some), bpe.load(path))
         assert [x.tolist() for x in np.split(got.ids, got.bounds[1:-1])] == [plain.encode_ordinary(t) for t in some]
+    monkeypatch.setattr(bpe, "SHARD", 500)
+    monkeypatch.setattr(bpe, "MAPPED", 2)
     uri, shards = bpe.learn(spark.createDataFrame([(t,) for t in some[2:]], "text string"), path)
+    assert shards > 20
     corpus = bpe.Known(uri, shards, path)
     monkeypatch.setattr(bpe, "replayed", lambda vocab, ranks, whole=bpe.replayed: whole(vocab, ranks) if len(vocab) < 9 else pytest.fail("most pieces are known"))
     for _ in range(2):
         got = corpus.encode(pa.array([*some, "zzqx new"]))
         assert [x.tolist() for x in np.split(got.ids, got.bounds[1:-1])] == [plain.encode_ordinary(t) for t in [*some, "zzqx new"]]
         monkeypatch.undo()
-        corpus.bytes = [np.array(b) for b in corpus.bytes]  # other pieces of the same hash and length
-        for b in corpus.bytes:
-            b[::40] ^= 1
+        assert len(corpus.open.held) == 2
+
+        def other(s, shard=corpus.shard):  # other pieces of the same hash and length
+            hashes, ends, letters, ids = shard(s)
+            letters = np.array(letters)
+            letters[::40] ^= 1
+            return hashes, ends, letters, ids
+
+        corpus.shard = other
 
 
 def test_bpe_query_on_hard_rows(spark, hard):
