@@ -192,6 +192,10 @@ def html_rows(quads: DataFrame) -> DataFrame:
     return quads.select(html_row().alias("value"))
 
 
+#: Around the rows of a table that many tasks write; {count} is their number.
+HTML = ('<table class="rdf"><caption>{count} triples</caption><thead><tr><th>subject</th><th>predicate</th><th>object</th></tr></thead><tbody>\n', "\n", "\n</tbody></table>")
+
+
 def html(quads: DataFrame) -> DataFrame:
     return html_rows(quads).agg(html_table(F.col("value"), F.col("value")).alias("value"))
 

@@ -13,7 +13,7 @@ from quadloom.functions import media, terms
 from quadloom.functions.sniff import rdf_syntax
 from quadloom.operators import serialize
 from quadloom.operators.solutions import Solutions
-from quadloom.sources import rdf_text
+from quadloom.sources import document_files, graph_files, rdf_text
 
 NS = "http://data.example/ns#"
 VOCABULARY_GRAPH = "http://data.example/vocabulary"
@@ -71,15 +71,12 @@ class Dataset:
         return reduce(lambda a, b: a.union(b), parts)
 
 
-#: Endings of files whose every line is a statement.
-LINES = (".nt", ".nq", ".nt.gz", ".nq.gz", ".ntriples", ".nquads")
-
-
 def _file(spark: SparkSession, uri: str) -> DataFrame:
-    """A file or folder: quads if its name tells that lines are statements, so that large files split; else documents."""
-    if uri.endswith(LINES):
-        text = spark.read.text(uri).select("value", F.col("_metadata.file_path").alias("uri"))
-        return rdf_text.lines(text, rdf_text.scope_of(F.col("uri")))
+    """A folder, or a file whose ending names its syntax: quads, large files in ranges. Other files are documents whose syntax is sniffed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    if whole or graph_files.known(uri):
+        return graph_files.load(spark, uri).select("g", "s", "p", "o")
     files = spark.read.format("binaryFile").load(uri)
     return files.select(F.col("path").alias("uri"), "content", F.lit(None).cast("string").alias("media_type"))
 
@@ -97,14 +94,26 @@ def _read(documents: DataFrame) -> DataFrame:
     return rdf_text.lines(each, rdf_text.scope_of(F.col("uri"))).union(quads.select("g", "s", "p", "o"))
 
 
-def answer(result: Solutions | DataFrame, as_: str | None = None) -> tuple[str, DataFrame]:
-    """Media type and one text for solutions, an ASK's row (column answer) or triples; an unknown `as` falls back silently."""
+def _rows(result: Solutions | DataFrame, as_: str | None) -> tuple[str, DataFrame, tuple[str, str, str]]:
+    """Format, rows and what goes around them, of solutions or triples."""
     if isinstance(result, Solutions):
         form = media.result_format(as_)
-        return media.canonical(form), serialize.document(serialize.solution_rows(result, form), serialize.frame(form, result.variables))
-    if result.columns == ["answer"]:
+        return form, serialize.solution_rows(result, form), serialize.frame(form, result.variables)
+    form = media.graph_format(as_) or "turtle"
+    return form, *serialize.graph_rows(result.select(F.lit(None).cast(terms.TERM).alias("g"), "s", "p", "o"), form)
+
+
+def write_answer(result: Solutions | DataFrame, uri: str, as_: str | None = None) -> str:
+    """Writes solutions or triples as one document in a folder, by many tasks; its media type. Solutions are in ascending order of their text."""
+    form, rows, around = _rows(result, as_)
+    document_files.write(rows, around, uri)
+    return media.canonical(form)
+
+
+def answer(result: Solutions | DataFrame, as_: str | None = None) -> tuple[str, DataFrame]:
+    """Media type and one text for solutions, an ASK's row (column answer) or triples; an unknown `as` falls back silently. The text is one task's work; write_answer writes large ones."""
+    if not isinstance(result, Solutions) and result.columns == ["answer"]:
         form = media.result_format(as_)
         return media.canonical(form), result.select(serialize.boolean_document(F.col("answer"), form).alias("value"))
-    form = media.graph_format(as_) or "turtle"
-    rows, around = serialize.graph_rows(result.select(F.lit(None).cast(terms.TERM).alias("g"), "s", "p", "o"), form)
+    form, rows, around = _rows(result, as_)
     return media.canonical(form), serialize.document(rows, around)

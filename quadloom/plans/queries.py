@@ -7,6 +7,7 @@ foreign keys join by value.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -18,7 +19,7 @@ from quadloom.operators import aggregates as agg
 from quadloom.operators import paths, quads, serialize
 from quadloom.operators.solutions import Solutions
 from quadloom.plans import cache, catalog, convert, dataset
-from quadloom.sources import rdf_text
+from quadloom.sources import document_files, graph_files, rdf_text
 from quadloom.sources.tables import BASE, Table, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -812,19 +813,57 @@ def ask_in_every_format(t):
     return reduce(lambda a, b: a.union(b), parts)
 
 
-@query("""SELECT 'n' || chr(13) || chr(10) || string_agg(s_name, chr(13) || chr(10) ORDER BY s_name) || chr(13) || chr(10) AS value, 'text/csv' AS media_type FROM supplier""")
+def _folder(t: Tables, name: str) -> str:
+    """A new folder's URI in the shared checkpoint folder."""
+    paths.ensure_checkpoints(t.customer.df)
+    return f"{t.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+@query("""SELECT 'text/csv' AS media_type, n, value FROM (SELECT 0::BIGINT AS n, 'n' || chr(13) || chr(10) AS value UNION ALL SELECT row_number() OVER (ORDER BY s_name), s_name FROM supplier
+UNION ALL SELECT count(*) + 1, chr(13) || chr(10) FROM supplier)""")
 def answer_as_csv(t):
-    """The format by name, and the whole document."""
-    made, body = dataset.answer(Solutions(t.supplier.df.select(terms.literal(F.col("s_name")).alias("n"))), "csv")
-    return body.select("value", F.lit(made).alias("media_type"))
+    """The format by name; a document that many tasks write, and its rows in order as they are read back."""
+    place = _folder(t, "answer")
+    made = dataset.write_answer(Solutions(t.supplier.df.select(terms.literal(F.col("s_name")).alias("n"))), place, "csv")
+    return document_files.read(t.spark, place).select(F.lit(made).alias("media_type"), "n", "value")
 
 
-@query("""SELECT 'text/turtle' AS media_type, sum(1)::BIGINT AS n FROM (SELECT DISTINCT c_mktsegment, c_custkey FROM customer)""")
+@query("""SELECT DISTINCT 'text/turtle' AS media_type, '<http://data.example/customer/' || c_custkey || '> <http://data.example/label> "' || c_mktsegment || '" .' AS value FROM customer""")
 def answer_graph_falls_back(t):
-    """An unknown format for a graph falls back to Turtle; its statements, counted in the document."""
-    c = t.customer
-    made, body = dataset.answer(quads.construct(Solutions(c.df.select(c.subject().alias("s"), terms.literal(F.col("c_mktsegment")).alias("m"))), ("?s", BASE + "label", "?m")), "nonsense")
-    return body.select(F.lit(made).alias("media_type"), F.regexp_count("value", F.lit("label> ")).cast("bigint").alias("n"))
+    """An unknown format for a graph falls back to Turtle; its statements, written by many tasks."""
+    c, place = t.customer, _folder(t, "answer")
+    made = dataset.write_answer(quads.construct(Solutions(c.df.select(c.subject().alias("s"), terms.literal(F.col("c_mktsegment")).alias("m"))), ("?s", BASE + "label", "?m")), place, "nonsense")
+    return document_files.read(t.spark, place).where("value <> '' and value <> '\n'").select(F.lit(made).alias("media_type"), "value")
+
+
+@query("""WITH r AS (SELECT '<tr><td>&lt;http://data.example/supplier/' || s_suppkey || '&gt;</td><td>&lt;http://data.example/supplier#s_name&gt;</td><td>"' || s_name || '"</td></tr>' AS value FROM supplier)
+SELECT 0::BIGINT AS n, '<table class="rdf"><caption>' || count(*) || ' triples</caption><thead><tr><th>subject</th><th>predicate</th><th>object</th></tr></thead><tbody>' || chr(10) AS value FROM r
+UNION ALL SELECT row_number() OVER (ORDER BY value), value FROM r UNION ALL SELECT count(*) + 1, chr(10) || '</tbody></table>' FROM r""")
+def answer_html_table(t):
+    """A table whose caption has the number of rows that all tasks wrote."""
+    place = _folder(t, "answer")
+    document_files.write(serialize.html_rows(t.supplier.quads().where(F.col("p.lex") == BASE + "supplier#s_name")), serialize.HTML, place)
+    return document_files.read(t.spark, place)
+
+
+@query("SELECT 'http://data.example/orders' AS g, o_orderkey::VARCHAR AS k, o_orderstatus AS v FROM orders")
+def files_nquads(t):
+    """N-Quads written by all tasks, read back as a folder, with one of its predicates asked for."""
+    place, at = _folder(t, "files"), BASE + "orders#"
+    some = t.orders.quads().where(F.col("p.lex").isin(at + "o_orderstatus", at + "o_orderpriority"))
+    serialize.n_quads(some).write.text(place)
+    found = graph_files.load(t.spark, place, predicates=[at + "o_orderstatus"], media_type="application/n-quads")
+    return found.select(F.col("g.lex").alias("g"), F.substring_index("s.lex", "/", -1).alias("k"), F.col("o.lex").alias("v"))
+
+
+@query("SELECT c_custkey::VARCHAR AS k, c_name AS n, c_mktsegment AS m FROM customer")
+def files_turtle(t):
+    """Turtle files read in ranges of 64 KiB that begin between statements; two predicates of each subject as a star."""
+    place, at = _folder(t, "files"), BASE + "customer#"
+    some = t.customer.quads().where(F.col("p.lex").isin(at + "c_name", at + "c_mktsegment", at + "c_custkey"))
+    serialize.turtle(some.select("s", "p", "o")).write.text(place)
+    found = quads.bgp(graph_files.load(t.spark, place, span=1 << 16, media_type="text/turtle"), ("?c", at + "c_custkey", "?k"), ("?c", at + "c_name", "?n"), ("?c", at + "c_mktsegment", "?m"), once=True)
+    return found.df.select(*(F.col(v).lex.alias(v) for v in "knm"))
 
 
 @query("SELECT event_type AS e, count(*)::BIGINT AS n FROM events GROUP BY 1")

@@ -52,6 +52,11 @@ def scope_of(uri):
     return F.concat(F.lit("d"), F.substring(F.md5(F.coalesce(uri, F.lit(""))), 1, 16), F.lit("-"))
 
 
+def scope_name(uri: str | None) -> str:
+    """scope_of on the side of Python."""
+    return f"d{hashlib.md5((uri or '').encode()).hexdigest()[:16]}-"
+
+
 def lines(text: DataFrame, scope: str | Column = "", strict: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Quads of N-Triples or N-Quads lines in column value, and the columns keep; scope is put in front of blank nodes' names.
 
@@ -106,7 +111,8 @@ def _fail(said: str):
 class _Turtle:
     """Turtle and TriG by descent over tokens."""
 
-    def __init__(self, text: str, scope: str, base: str = ""):
+    def __init__(self, text: str, scope: str, base: str = "", prefixes: dict[str, str] | None = None, own: str = ""):
+        """prefixes that hold already; own: what names blank nodes without a label, besides scope."""
         self.tokens, at = [], 0
         while at < len(text):
             m = _TOKEN.match(text, at)
@@ -115,7 +121,7 @@ class _Turtle:
             if m.lastgroup != "skip":
                 self.tokens.append((m.lastgroup, m[0]))
             at = m.end()
-        self.at, self.scope, self.prefixes, self.base, self.graph, self.fresh = 0, scope, {}, base, None, 0
+        self.at, self.scope, self.prefixes, self.base, self.graph, self.fresh, self.own = 0, scope, dict(prefixes or {}), base, None, 0, own
 
     def peek(self) -> tuple[str, str]:
         return self.tokens[self.at] if self.at < len(self.tokens) else ("end", "")
@@ -129,7 +135,7 @@ class _Turtle:
 
     def blank(self) -> Term:
         self.fresh += 1
-        return 1, f"{self.scope}x{self.fresh}", None, None
+        return 1, f"{self.scope}{self.own}x{self.fresh}", None, None
 
     def iri(self, found: tuple[str, str]) -> Term:
         kind, text = found
@@ -160,6 +166,10 @@ class _Turtle:
             if word == "{":
                 yield from self.block(None)
                 continue
+            if [t[1] for t in self.tokens[self.at : self.at + 3] if t[0] == "mark"] == ["[", "]", "{"]:
+                self.at += 2
+                yield from self.block(self.blank())
+                continue
             if self.tokens[self.at + 1 : self.at + 2] == [("mark", "{")]:
                 yield from self.block(self.node(self.take()))
                 continue
@@ -249,21 +259,111 @@ def _iri(lex: str) -> Term:
     return 2, lex, None, None
 
 
+class _Frame:
+    """An open element: a node, whose children are properties, or a property, whose children are nodes."""
+
+    def __init__(self, element: ET.Element, base: str, lang: str | None, subject: Term | None = None):
+        self.element, self.base, self.lang, self.subject = element, base, lang, subject
+        self.number = 0  # of the last rdf:li
+        self.predicate: Term | None = None  # of a property
+        self.about: str | None = None
+        self.kind: str | None = None
+        self.items: list[Term] = []  # the nodes in a property
+
+
 class _RdfXml:
-    """RDF/XML over a parsed tree."""
+    """RDF/XML by events: a stack of open elements with their bases, languages and subjects; an element that has ended is freed.
 
-    def __init__(self, text: str, scope: str, base: str = ""):
-        self.root, self.scope, self.base, self.fresh, self.out = ET.fromstring(text), scope, base, 0, []
+    What is kept besides is the items of a collection and the markup of a literal that are open.
+    """
+
+    def __init__(self, text: str | None, scope: str, base: str = ""):
+        self.text, self.scope, self.base, self.fresh, self.out = text, scope, base, 0, []
+        self.parser, self.frames, self.depth = ET.XMLPullParser(("start", "end")), [], 0  # depth: of elements open in a literal
 
     def run(self) -> Iterator[tuple]:
-        base, lang = self.around(self.root, self.base, None)
-        for element in self.root if self.root.tag == _R + "RDF" else [self.root]:
-            self.node(element, base, lang)
-        yield from self.out
+        yield from self.feed(self.text)
+        yield from self.close()
+
+    def feed(self, data: str | bytes) -> Iterator[tuple]:
+        """The quads that are certain once data has been read."""
+        self.parser.feed(data)
+        for event, element in self.parser.read_events():
+            if event == "start":
+                self.begin(element)
+            else:
+                self.end(element)
+            yield from self.out
+            self.out = []
+
+    def close(self) -> Iterator[tuple]:
+        self.parser.close()
+        return iter(())
+
+    def begin(self, element: ET.Element) -> None:
+        top = self.frames[-1] if self.frames else None
+        if self.depth:
+            self.depth += 1
+            return
+        base, lang = self.around(element, top.base if top else self.base, top.lang if top else None)
+        if top is None and element.tag == _R + "RDF":
+            self.frames.append(_Frame(element, base, lang))
+        elif top is None or (top.predicate is None and top.subject is None) or (top.predicate is not None and top.kind in (None, "Collection")):
+            if top is not None and top.predicate is not None and top.kind is None and (top.items or (top.element.text or "").strip()):
+                raise ValueError(f"{top.element.tag!r} holds more than one node")
+            subject = self.node(element, base, lang)
+            if top is not None and top.predicate is not None:
+                top.items.append(subject)
+            self.frames.append(_Frame(element, base, lang, subject))
+        else:
+            self.property(top, element, base, lang)
+
+    def property(self, top: _Frame, element: ET.Element, base: str, lang: str | None) -> None:
+        if element.tag in _SYNTAX:
+            raise ValueError(f"{element.tag!r} is no property")
+        top.number += element.tag == _R + "li"
+        frame = _Frame(element, base, lang, top.subject)
+        frame.predicate = _iri(f"{RDF}_{top.number}" if element.tag == _R + "li" else self.name(element.tag))
+        frame.about = None if element.get(_R + "ID") is None else resolve(base, "#" + element.get(_R + "ID"))
+        frame.kind = element.get(_R + "parseType")
+        if frame.kind == "Resource":  # its children are properties of a node of its own
+            node = self.blank()
+            self.add(top.subject, frame.predicate, node, frame.about)
+            frame.subject, frame.predicate = node, None
+        elif frame.kind not in (None, "Collection"):
+            self.depth = 1
+        self.frames.append(frame)
+
+    def end(self, element: ET.Element) -> None:
+        if self.depth > 1:
+            self.depth -= 1
+            return
+        self.depth = 0
+        frame = self.frames.pop()
+        if frame.predicate is not None:
+            if frame.kind == "Collection":
+                value = self.list(frame.items)
+            elif frame.items:
+                value = frame.items[0]
+            else:
+                value = self.value(element, frame.base, frame.lang)
+            self.add(frame.subject, frame.predicate, value, frame.about)
+        element.clear()
+        if self.frames:
+            self.frames[-1].element.remove(element)
 
     def around(self, element: ET.Element, base: str, lang: str | None) -> tuple[str, str | None]:
         return resolve(base, element.get(_X + "base", base)), element.get(_X + "lang", lang) or None
 
+    def list(self, items: list[Term]) -> Term:
+        rest = _iri(RDF + "nil")
+        for item in reversed(items):
+            cell = self.blank()
+            self.add(cell, _iri(RDF + "first"), item)
+            self.add(cell, _iri(RDF + "rest"), rest)
+            rest = cell
+        return rest
+
     def add(self, subject: Term, predicate: Term, value: Term, about: str | None = None) -> None:
         self.out.append((None, subject, predicate, value))
         if about is not None:  # a statement with an ID is described as well
@@ -283,7 +383,7 @@ class _RdfXml:
         return 3, text, terms.LANG_STRING if lang else terms.STRING, lang and lang.lower()
 
     def node(self, element: ET.Element, base: str, lang: str | None) -> Term:
-        base, lang = self.around(element, base, lang)
+        """The subject of a node element, with what its name and attributes say of it."""
         if (about := element.get(_R + "about")) is not None:
             subject = _iri(resolve(base, about))
         elif (name := element.get(_R + "ID")) is not None:
@@ -295,7 +395,6 @@ class _RdfXml:
                 raise ValueError(f"{element.tag!r} is no node")
             self.add(subject, _iri(RDF + "type"), _iri(self.name(element.tag)))
         self.attributes(subject, element, base, lang)
-        self.properties(subject, element, base, lang)
         return subject
 
     def attributes(self, subject: Term, element: ET.Element, base: str, lang: str | None) -> None:
@@ -309,39 +408,11 @@ class _RdfXml:
             else:
                 self.add(subject, _iri(self.name(key)), self.literal(value, lang))
 
-    def properties(self, subject: Term, element: ET.Element, base: str, lang: str | None) -> None:
-        number = 0
-        for child in element:
-            if child.tag in _SYNTAX:
-                raise ValueError(f"{child.tag!r} is no property")
-            number += child.tag == _R + "li"
-            predicate = _iri(f"{RDF}_{number}" if child.tag == _R + "li" else self.name(child.tag))
-            own, inner = self.around(child, base, lang)
-            about = None if child.get(_R + "ID") is None else resolve(own, "#" + child.get(_R + "ID"))
-            self.add(subject, predicate, self.value(child, own, inner), about)
-
     def value(self, child: ET.Element, base: str, lang: str | None) -> Term:
-        kind = child.get(_R + "parseType")
-        if kind == "Resource":
-            node = self.blank()
-            self.properties(node, child, base, lang)
-            return node
-        if kind == "Collection":
-            items = [self.node(item, base, lang) for item in child]
-            rest = _iri(RDF + "nil")
-            for item in reversed(items):
-                cell = self.blank()
-                self.add(cell, _iri(RDF + "first"), item)
-                self.add(cell, _iri(RDF + "rest"), rest)
-                rest = cell
-            return rest
-        if kind is not None:  # Literal, and any other kind as well
+        """The object of a property element without nodes in it."""
+        if child.get(_R + "parseType") is not None:  # Literal, and any kind that is not known
             inside = escape(child.text or "") + "".join(ET.tostring(x, encoding="unicode") for x in child)
             return 3, inside, RDF + "XMLLiteral", None
-        if len(child):
-            if len(child) > 1 or (child.text or "").strip():
-                raise ValueError(f"{child.tag!r} holds more than one node")
-            return self.node(child[0], base, lang)
         if (dt := child.get(_R + "datatype")) is not None:
             return 3, child.text or "", resolve(base, dt), None
         more = [k for k in child.attrib if not k.startswith(_X) and k not in (_R + "ID", _R + "resource", _R + "nodeID")]
@@ -355,6 +426,14 @@ class _RdfXml:
         return node
 
 
+def stream_rdf_xml(file, scope: str, base: str = "", piece: int = 1 << 16) -> Iterator[tuple]:
+    """Quads of an open binary file, read piece by piece."""
+    reader = _RdfXml(None, scope, base)
+    while data := file.read(piece):
+        yield from reader.feed(data)
+    yield from reader.close()
+
+
 class _JsonLd:
     """JSON-LD with contexts inside the document: terms, prefixes, aliases of keywords, @vocab, @base, @language, containers of lists, sets, languages and indexes, and reverse properties. Anything else of the syntax is an error."""
 
@@ -519,6 +598,8 @@ class _JsonLd:
             self.out.append((graph, other, _iri(name), subject))
 
 
+#: What readers raise over a document that is wrong.
+FAULTS = (ValueError, KeyError, IndexError, TypeError, AttributeError, ET.ParseError)
 READERS = {TURTLE: _Turtle, "application/trig": _Turtle, RDF_XML: _RdfXml, JSON_LD: _JsonLd}
 _COLUMNS = ["uri", "g", "s", "p", "o"]
 
@@ -540,14 +621,14 @@ def documents(df: DataFrame, strict: bool = True, keep: bool = False, base: bool
                 if media not in READERS:
                     raise ValueError(f"{uri} cannot be read: nothing reads {media!r}")
                 doc, number = f"{part}-{number}", number + 1
-                scope = f"d{hashlib.md5((uri or '').encode()).hexdigest()[:16]}-"
+                scope = scope_name(uri)
                 if keep:
                     scope += f"{doc}-"
                     rows.append((uri, None, None, None, None, doc))
                 try:
                     for g, s, p, o in READERS[media](content, scope, (uri or "") if base else "").run():
                         rows.append((uri, *(None if t is None else dict(zip(("kind", "lex", "dt", "lang"), t, strict=True)) for t in (g, s, p, o)), doc))
-                except (ValueError, KeyError, IndexError, TypeError, AttributeError, ET.ParseError) as e:
+                except FAULTS as e:
                     if strict:
                         raise ValueError(f"{uri} cannot be read: {e}") from e
             made = pd.DataFrame(rows, columns=[*_COLUMNS, "doc"])
