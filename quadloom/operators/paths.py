@@ -60,16 +60,22 @@ def zero_or_one(edges: DataFrame, every: DataFrame | None = None) -> DataFrame:
     return edges.union(own.select("s", F.col("s").alias("o"))).distinct()
 
 
-def one_or_more(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
-    """Pairs that a path of one edge or more connects, from start's nodes (column s) if given.
+def one_or_more(edges: DataFrame, start: DataFrame | None = None, end: DataFrame | None = None) -> DataFrame:
+    """Pairs that a path of one edge or more connects, from start's nodes (column s) to end's (column o), where they are given.
 
-    Semi-naive rounds: only pairs found in the last round grow, those known before go,
-    and each round is cut off by a checkpoint. Cycles end because pairs are a set.
+    Of all pairs: semi-naive rounds. Only pairs found in the last round grow, those known before
+    go, and each round is cut off by a checkpoint. Cycles end because pairs are a set.
+    With one end given only what it reaches is looked at; see _reached.
     """
     ensure_checkpoints(edges)
+    if start is not None:
+        found = _reached(edges, start)
+        return found if end is None else found.join(end.select("o").distinct(), "o", "left_semi").select("s", "o")
+    if end is not None:
+        return inverse(_reached(inverse(edges), end.select(F.col("o").alias("s"))))
     edges = edges.distinct().checkpoint()
     steps = edges.select(F.col("s").alias("__m"), F.col("o").alias("__n"))
-    new = edges if start is None else edges.join(start.select("s").distinct(), "s", "left_semi")
+    new = edges
     found, rounds = new, 0
     while not new.isEmpty():
         grown = new.join(steps, new["o"] == steps["__m"]).select("s", F.col("__n").alias("o")).distinct()
@@ -80,9 +86,50 @@ def one_or_more(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
     return found
 
 
-def zero_or_more(edges: DataFrame, start: DataFrame | None = None, every: DataFrame | None = None) -> DataFrame:
-    own = start if start is not None else nodes(edges) if every is None else every
-    return one_or_more(edges, start).union(own.select("s", F.col("s").alias("o"))).distinct()
+def _then(pairs: DataFrame, steps: DataFrame) -> DataFrame:
+    return pairs.join(steps.select(F.col("s").alias("__m"), F.col("o").alias("__n")), F.col("o") == F.col("__m")).select("s", F.col("__n").alias("o"))
+
+
+def _reached(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """Pairs (s, o) of start's nodes and what they reach.
+
+    Nodes with one edge out make chains, and cycles, that need no search: tables of
+    their steps of 1, 2, 4, ... edges are made once, and a round runs along all chains
+    from where it stands by these, doubling what it has covered with each table. Rounds
+    are therefore as many as the edges of nodes with several that a path takes, and a
+    chain or cycle of n nodes takes log n tables instead of n rounds.
+    """
+    edges = edges.distinct().checkpoint()
+    out = edges.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.first("o").alias("o"))
+    single = out.where("n = 1").select("s", "o").checkpoint()
+    many = edges.join(out.where("n > 1").select("s"), "s", "left_semi").checkpoint()
+    tables, left = [single], single.count()
+    while left > 1 and not tables[-1].isEmpty():
+        tables.append(_then(tables[-1], tables[-1]).checkpoint())
+        left //= 2
+    new = _then(start.select("s", F.col("s").alias("o")).distinct(), edges).distinct().checkpoint()
+    found = None
+    while not new.isEmpty():
+        for k, table in enumerate(tables):
+            new = new.union(_then(new, table)).distinct()
+            if k % 2 or k == len(tables) - 1:
+                new = new.checkpoint()
+        if found is not None:
+            new = new.join(found, ["s", "o"], "left_anti").checkpoint()
+        found = new if found is None else found.union(new).checkpoint()
+        new = _then(new, many).distinct().join(found, ["s", "o"], "left_anti").checkpoint()
+    return edges.limit(0).select("s", "o") if found is None else found
+
+
+def zero_or_more(edges: DataFrame, start: DataFrame | None = None, every: DataFrame | None = None, end: DataFrame | None = None) -> DataFrame:
+    """As one_or_more, and every node with itself: start's or end's where given, else those of every, or the edges' own."""
+    if start is not None and end is not None:
+        own = start.select("s").distinct().join(end.select(F.col("o").alias("s")).distinct(), "s", "left_semi")
+    elif end is not None:
+        own = end.select(F.col("o").alias("s"))
+    else:
+        own = start if start is not None else nodes(edges) if every is None else every
+    return one_or_more(edges, start, end).union(own.select("s", F.col("s").alias("o"))).distinct()
 
 
 def ensure_checkpoints(df: DataFrame) -> None:

@@ -385,12 +385,32 @@ def path_negated(t):
     return paths.negated(t.customer.quads(), forward=without).select(F.col("o.lex").alias("o"))
 
 
+def _turns(t: Tables) -> DataFrame:
+    """From each turn of a conversation to the next."""
+    turns = t.conversations.star(c="conv_id", n="turn").df.select("c", "n")
+    following = turns.select("c", (F.col("n") - 1).alias("n"), F.col("n").alias("m"))
+    return turns.join(following, ["c", "n"]).select((F.col("c") * 1000 + F.col("n")).alias("s"), (F.col("c") * 1000 + F.col("m")).alias("o"))
+
+
 @query("""WITH RECURSIVE e AS (SELECT a.conv_id * 1000 + a.turn AS s, b.conv_id * 1000 + b.turn AS o FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
 r(s, o) AS (SELECT s, o FROM e UNION SELECT r.s, e.o FROM r JOIN e ON r.o = e.s) SELECT s::BIGINT AS s, o::BIGINT AS o FROM r""")
 def path_plus_turns(t):
-    turns = t.conversations.star(c="conv_id", n="turn").df.select("c", "n")
-    following = turns.select("c", (F.col("n") - 1).alias("n"), F.col("n").alias("m"))
-    return paths.one_or_more(turns.join(following, ["c", "n"]).select((F.col("c") * 1000 + F.col("n")).alias("s"), (F.col("c") * 1000 + F.col("m")).alias("o")))
+    return paths.one_or_more(_turns(t))
+
+
+TURNS = "(SELECT a.conv_id * 1000 + a.turn AS s, b.conv_id * 1000 + b.turn AS o FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
+
+
+@query(f"WITH RECURSIVE e AS {TURNS}, r(s, o) AS (SELECT s, o FROM e WHERE s % 1000 = 1 UNION SELECT r.s, e.o FROM r JOIN e ON r.o = e.s) SELECT s, o FROM r")
+def path_from_second_turns(t):
+    """Bound at its start: chains of any length by doubled steps."""
+    return paths.one_or_more(_turns(t), start=t.conversations.df.where("turn = 1").select((F.col("conv_id") * 1000 + 1).alias("s")))
+
+
+@query(f"WITH RECURSIVE e AS {TURNS}, r(s, o) AS (SELECT s, s FROM e WHERE s % 1000 = 2 UNION SELECT conv_id * 1000 + turn, conv_id * 1000 + turn FROM conversations WHERE turn = 2 UNION SELECT e.s, r.o FROM r JOIN e ON e.o = r.s) SELECT s, o FROM r")
+def path_to_third_turns(t):
+    """Bound at its end."""
+    return paths.zero_or_more(_turns(t), end=t.conversations.df.where("turn = 2").select((F.col("conv_id") * 1000 + 2).alias("o")))
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT s_nationkey AS s, (s_nationkey * 3 + s_suppkey % 2) % 25 AS o FROM supplier),
@@ -883,6 +903,24 @@ def cached_counts(t):
     return out
 
 
+@query("SELECT upper(event_type) AS e, count(*)::BIGINT AS n FROM events GROUP BY 1")
+def cached_after_cached(t):
+    """A result that follows another one, which is asked for first and made once."""
+    made = []
+
+    def counts() -> DataFrame:
+        made.append(1)
+        return t.events.star(e="event_type").group(["e"], n=agg.count()).df
+
+    held = cache.Cache()
+    held.get("counts", (), [t.events.df], counts)
+    for _ in range(2):
+        out = held.get("upper", (), [], lambda df: df.select(F.upper("e").alias("e"), "n"), after=[("counts", ())])
+    if len(made) != 1:
+        raise ValueError("the cache does not hold")
+    return out
+
+
 @query("""SELECT k % 7 AS k, CASE k % 7 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/gif' WHEN 3 THEN 'image/gif' WHEN 4 THEN 'application/gzip' WHEN 5 THEN 'application/pdf' ELSE 'text/plain' END AS media, count(*)::BIGINT AS n
 FROM (SELECT o_orderkey AS k FROM orders) GROUP BY 1, 2""")
 def sniff_signatures(t):

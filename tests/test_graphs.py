@@ -330,6 +330,36 @@ def test_cache_follows_its_sources(spark, tmp_path):
     assert len(calls) == 2
 
 
+def test_cached_results_follow_each_other(spark, tmp_path):
+    """Two levels over two sources: a changed file makes again what was made from it, and nothing else."""
+    calls, held = [], cache.Cache()
+    for name in "ab":
+        spark.range(3).write.parquet(f"{tmp_path}/{name}")
+
+    def read(name):
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    def make(name):
+        return lambda *dfs: (calls.append(name), dfs[0].crossJoin(dfs[1]).groupBy().count() if len(dfs) == 2 else (dfs[0] if dfs else read(name)))[1]
+
+    def ask():
+        calls.clear()
+        for name in "ab":
+            held.get(name, (), [read(name)], make(name))
+        held.get("on a", (), [], make("on a"), after=[("a", ())])
+        return held.get("on both", (), [], make("on both"), after=[("on a", ()), ("b", ())]).first()[0]
+
+    assert ask() == 9 and calls == ["a", "b", "on a", "on both"]
+    assert ask() == 9 and calls == []
+    spark.range(5).write.mode("append").parquet(f"{tmp_path}/b")
+    assert ask() == 24 and calls == ["b", "on both"]
+    spark.range(1).write.mode("overwrite").parquet(f"{tmp_path}/a")
+    assert ask() == 8 and calls == ["a", "on a", "on both"]
+    assert held.stale() == []
+    with pytest.raises(KeyError):
+        held.get("x", (), [], make("x"), after=[("never made", ())])
+
+
 def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.nt").write_text('<http://a> <http://b> <http://c> .\n<http://a>  <http://b> <http://c> .\nbroken\n<http://a> <http://b> "a  b" .\n<http://a> <http://b> "a b" .\n<http://a> <http://b> "a\\u0020b".\n')

@@ -291,3 +291,45 @@ def test_relative_iris(spark):
     rows = spark.createDataFrame([(r,) for r in REFERENCES], "r string").select("r", iris.resolved(F.col("r"), base).alias("x")).collect()
     assert {r.r: r.x for r in rows} == REFERENCES
     assert iris.resolve("http://h", "x") == "http://h/x" and iris.resolve("", "x") == "x" and iris.resolve("urn:a:b", "#c") == "urn:a:b#c"
+
+
+def reach(edges, sources):
+    """(s, o) of what each source reaches by one edge or more."""
+    after = {}
+    for s, o in edges:
+        after.setdefault(s, set()).add(o)
+    out = set()
+    for s in sources:
+        waiting, seen = list(after.get(s, ())), set()
+        while waiting:
+            x = waiting.pop()
+            if x not in seen:
+                seen.add(x)
+                waiting += after.get(x, ())
+        out |= {(s, x) for x in seen}
+    return out
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_closures_with_bound_ends_by_brute_force(spark, seed):
+    """Chains, cycles and branching mixed."""
+    rng = random.Random(seed)
+    edges = {(k, k + 1) for k in range(20)} | {(20, 12 + seed)} | {(100 + k, 100 + (k + 1) % 7) for k in range(7)} | {(rng.randrange(40), rng.randrange(120)) for _ in range(25)}
+    df = spark.createDataFrame(sorted(edges), "s int, o int")
+    start, end = [0, 5, 103, 999], [3, 12, 105, 998]
+    starts, ends = spark.createDataFrame([(x,) for x in start], "s int"), spark.createDataFrame([(x,) for x in end], "o int")
+    pairs = lambda out: sorted(map(tuple, out.collect()))
+    every = reach(edges, {s for s, _ in edges})
+    assert pairs(paths.one_or_more(df, start=starts)) == sorted(reach(edges, start))
+    assert pairs(paths.one_or_more(df, end=ends)) == sorted(p for p in every if p[1] in end)
+    assert pairs(paths.one_or_more(df, start=starts, end=ends)) == sorted(p for p in reach(edges, start) if p[1] in end)
+    assert pairs(paths.zero_or_more(df, end=ends)) == sorted({p for p in every if p[1] in end} | {(x, x) for x in end})
+    assert pairs(paths.zero_or_more(df, start=starts, end=spark.createDataFrame([(5,), (6,)], "o int"))) == sorted({p for p in reach(edges, start) if p[1] in (5, 6)} | {(5, 5)})
+
+
+def test_a_long_cycle_ends_in_few_rounds(spark, monkeypatch):
+    n, rounds = 10_000, []
+    edges = spark.range(n).select(F.col("id").alias("s"), ((F.col("id") + 1) % n).alias("o"))
+    monkeypatch.setattr(paths, "_then", lambda *a, f=paths._then: (rounds.append(1), f(*a))[1])
+    found = paths.one_or_more(edges, start=spark.createDataFrame([(17,)], "s long"))
+    assert found.count() == n and len(rounds) < 40
