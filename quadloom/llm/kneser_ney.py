@@ -93,17 +93,20 @@ def merged(columns: list[np.ndarray], counts: np.ndarray | None = None) -> tuple
     """Distinct rows with their counts added up; a count is 1 if not given."""
     if not len(columns[0]):
         return columns, np.zeros(0, np.int64)
-    keys = mixed(columns)
-    order, first = _groups(keys)
-    held = [c[order] for c in columns]
-    starts = np.zeros(len(order), bool)
-    starts[first] = True
-    if any(((c[1:] != c[:-1]) & ~starts[1:]).any() for c in held):  # rows that share a hash
+    order, first = _groups(mixed(columns))
+    inner = np.ones(len(order), bool)
+    inner[first] = False
+    held, clash = [], False
+    for c in columns:
+        c = c[order]
+        clash |= bool((inner[1:] & (c[1:] != c[:-1])).any())
+        held.append(c[first])
+    if clash:  # rows that share a hash
         order = np.lexsort(columns)
-        held = [c[order] for c in columns]
-        first = np.flatnonzero(np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in held])))
+        first = np.flatnonzero(np.append(True, np.logical_or.reduce([c[order[1:]] != c[order[:-1]] for c in columns])))
+        held = [c[order[first]] for c in columns]
     counts = np.diff(np.append(first, len(order))) if counts is None else np.add.reduceat(counts[order], first)
-    return [c[first] for c in held], counts
+    return held, counts
 
 
 def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
