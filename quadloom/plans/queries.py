@@ -513,14 +513,21 @@ def _sniffed(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(sniff.sniff(F.col(column).cast("binary")).alias("media")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT 'text/html' AS media, count(*)::BIGINT AS n FROM pages")
+@query("""WITH c AS (SELECT substr(html, 1 + (page_id % 40)::INT) AS x FROM pages), l AS (SELECT ltrim(x, chr(9) || chr(10) || chr(12) || chr(13) || ' ') AS x FROM c)
+SELECT CASE WHEN left(x, 1) = '<' THEN CASE WHEN starts_with(lower(x), '<!doctype html') OR contains(lower(left(x, 1500)), '<html') THEN 'text/html' ELSE 'application/xml' END
+WHEN left(x, 1) IN ('@', '#') OR starts_with(lower(x), 'prefix ') OR starts_with(lower(x), 'base ') THEN 'text/turtle' WHEN left(x, 1) IN ('{', '[') THEN 'application/json' ELSE 'text/plain' END AS media, count(*)::BIGINT AS n FROM l GROUP BY 1""")
 def sniff_pages(t):
-    return _sniffed(t.pages.df, "html")
+    """Pages that begin a little into their markup: before, in and behind the tags at their head."""
+    return _sniffed(t.pages.df.withColumn("cut", F.substring("html", F.lit(1) + (F.col("page_id") % 40).cast("int"), F.lit(1 << 30))), "cut")
 
 
-@query("SELECT 'application/json' AS media, count(*)::BIGINT AS n FROM events")
+@query("""SELECT CASE event_id % 4 WHEN 0 THEN 'application/json' WHEN 1 THEN 'text/plain' WHEN 2 THEN 'application/ld+json' ELSE 'application/json' END AS media, count(*)::BIGINT AS n
+FROM events WHERE starts_with(props, '{') GROUP BY 1""")
 def sniff_props(t):
-    return _sniffed(t.events.df, "props")
+    """JSON objects as they are, without their bracket, in an array with a keyword, and with a keyword out of quotes."""
+    props = F.col("props")
+    made = F.when(F.col("event_id") % 4 == 0, props).when(F.col("event_id") % 4 == 1, F.substring(props, 2, 1 << 20)).when(F.col("event_id") % 4 == 2, F.concat(F.lit("[ "), props, F.lit(', {"@graph": 1}]'))).otherwise(F.concat(F.lit("[ "), props, F.lit(", @graph]")))
+    return _sniffed(t.events.df.where(F.startswith(props, F.lit("{"))).withColumn("made", made), "made")
 
 
 @query("SELECT CASE WHEN starts_with(text, '#') OR starts_with(text, '@') THEN 'text/turtle' ELSE 'text/plain' END AS media, count(*)::BIGINT AS n FROM documents GROUP BY 1")
@@ -528,9 +535,13 @@ def sniff_documents(t):
     return _sniffed(t.documents.df, "text")
 
 
-@query("SELECT 'text/plain' AS media, count(*)::BIGINT AS n FROM conversations")
+@query("""SELECT CASE turn % 5 WHEN 0 THEN 'text/turtle' WHEN 1 THEN 'application/xml' WHEN 2 THEN 'application/rdf+xml' WHEN 3 THEN 'application/octet-stream' ELSE 'text/plain' END AS media, count(*)::BIGINT AS n FROM conversations WHERE text <> '' GROUP BY 1""")
 def sniff_conversations(t):
-    return _sniffed(t.conversations.df, "text")
+    """Turns behind a comment's sign, in an element, in one that names the namespace, and with a NUL at the end."""
+    at, said = F.col("turn") % 5, F.col("text")
+    made = F.when(at == 0, F.concat(F.lit("# "), said)).when(at == 1, F.concat(F.lit("<turn>"), F.replace(said, F.lit("<"), F.lit("")))).when(at == 2, F.concat(F.lit(f"<turn xmlns='{terms.RDF}'>"), F.replace(said, F.lit("<"), F.lit(""))))
+    made = made.when(at == 3, F.concat(F.lit("x"), said, F.lit("\0"))).otherwise(F.concat(F.lit("x"), said))
+    return _sniffed(t.conversations.df.where("text <> ''").withColumn("made", made), "made")
 
 
 @query("""SELECT n % 8 AS k, CASE n % 8 WHEN 0 THEN 'text/turtle' WHEN 1 THEN 'application/pdf' WHEN 2 THEN 'application/ld+json' WHEN 3 THEN 'application/json' WHEN 4 THEN 'application/rdf+xml' WHEN 5 THEN 'application/octet-stream'
@@ -792,9 +803,20 @@ def fn_regex_of_columns(t):
     return t.part.df.select(F.col("p_partkey").alias("k"), terms.boolean_of(scalar.regex(name, word)).alias("r"), scalar.replace(kind, word, scalar.concat(terms.literal(F.lit("[")), brand, terms.literal(F.lit("]")))).lex.alias("s"))
 
 
+@query("""WITH x AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 4 = 0 END AS e, o_orderkey % 3 = 0 AS c FROM orders)
+SELECT k, CASE WHEN c THEN 'true' WHEN e THEN 'true' WHEN e IS NULL THEN 'error' ELSE 'false' END AS either, CASE WHEN NOT c THEN 'false' WHEN e IS NULL THEN 'error' WHEN e THEN 'true' ELSE 'false' END AS both FROM x""")
+def errors_in_logic(t):
+    """|| and && of a condition and a value without an effective boolean value in half of the rows."""
+    key = F.col("o_orderkey")
+    number = F.when(key % 2 == 0, terms.literal(F.when(key % 4 == 0, "1").otherwise("0"), terms.INTEGER)).otherwise(terms.literal(F.lit("x"), "http://data.example/t"))
+    rows = t.orders.df.select(key.alias("k"), (key % 3 == 0).alias("c"), number.alias("x"))
+    told = lambda c: F.coalesce(c.cast("string"), F.lit("error"))
+    return rows.select("k", told(F.col("c") | terms.effective(F.col("x"))).alias("either"), told(F.col("c") & terms.effective(F.col("x"))).alias("both"))
+
+
 @query("""SELECT o_orderkey AS k, o_orderkey % 3 = 0 OR o_orderkey % 2 = 0 AS kept FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0""")
 def filter_errors(t):
-    """|| and && where one side is an error: true || error is true, and false && error is false."""
+    """|| where one side is an error: true || error is true."""
     number = F.when(F.col("o_orderkey") % 2 == 0, terms.literal(F.lit("1"), terms.INTEGER)).otherwise(terms.literal(F.lit("x"), "http://data.example/t"))
     rows = Solutions(t.orders.df.select(F.col("o_orderkey").alias("k"), number.alias("x")))
     either = (F.col("k") % 3 == 0) | terms.effective(F.col("x"))
@@ -802,6 +824,52 @@ def filter_errors(t):
     return rows.filter(either).bind("kept", F.coalesce(both, either)).project("k", "kept")
 
 
+@query("""SELECT p_partkey AS k, CASE p_size % 3 WHEN 0 THEN NULL ELSE CASE WHEN regexp_matches(p_name, substr(p_name, 1, 2) || '[a-z]') THEN 'true' ELSE 'false' END END AS r,
+CASE p_size % 3 WHEN 0 THEN NULL ELSE regexp_replace(p_type, '([A-Z])([A-Z]+)', '\\2', 'g') END AS s FROM part""")
+def fn_regex_errors(t):
+    """Patterns that cannot be compiled in a third of the rows, which are errors there alone; groups that do not exist are empty."""
+    name, bad = terms.literal(F.col("p_name")), F.col("p_size") % 3 == 0
+    pattern = terms.literal(F.concat(F.substring("p_name", 1, 2), F.when(bad, "[z-a](").otherwise("[a-z]")))
+    other = terms.literal(F.when(bad, "*").otherwise("([A-Z])([A-Z]+)"))
+    return t.part.df.select(F.col("p_partkey").alias("k"), scalar.regex(name, pattern).lex.alias("r"), scalar.replace(terms.literal(F.col("p_type")), other, "$2$7").lex.alias("s"))
+
+
+@query("""WITH v AS (SELECT o_orderkey, o_custkey, '1' || lpad(o_orderkey::VARCHAR, 24, '0') AS x FROM orders)
+SELECT o_custkey AS c, min(x) AS least, max(x) AS most, count(*) FILTER (WHERE x < '1' || lpad((o_custkey * 7)::VARCHAR, 24, '0'))::BIGINT AS below FROM v GROUP BY o_custkey""")
+def numbers_of_25_digits(t):
+    """MIN, MAX and < over integers that differ in digits that no double has."""
+    large = lambda c: terms.literal(F.concat(F.lit("1"), F.lpad(c.cast("string"), 24, "0")), terms.INTEGER)
+    found = Solutions(t.orders.df.select(F.col("o_custkey").alias("c"), large(F.col("o_orderkey")).alias("x"), large(F.col("o_custkey") * 7).alias("y")))
+    below = F.count(F.when(terms.less(F.col("x"), F.col("y")), 1))
+    out = found.group(["c"], least=agg.least_term(F.col("x")), most=agg.greatest_term(F.col("x")), below=below).df
+    return out.select("c", F.col("least.lex").alias("least"), F.col("most.lex").alias("most"), "below")
+
+
+@query("SELECT '<http://data.example/supplier/' || s_suppkey || '>' AS s, s_name AS o FROM supplier")
+def construct_then_convert(t):
+    """A constructed graph as a document for each subject, converted to JSON-LD by what its content looks like, and read back."""
+    c = t.supplier
+    made = quads.construct(Solutions(c.df.select(c.subject().alias("s"), terms.literal(F.col("s_name")).alias("n"))), ("?s", BASE + "label", "?n"))
+    documents = serialize.n_triples(made).select(F.md5("value").alias("uri"), F.col("value").cast("binary").alias("content"))
+    back = convert.auto(documents, convert.JSON_LD).withColumn("content", F.col("content").cast("string"))
+    return rdf_text.documents(back).select(terms.n_triples(F.col("s")).alias("s"), F.col("o.lex").alias("o"))
+
+
+@query("SELECT p_partkey::VARCHAR AS k, upper(p_name) AS o FROM part WHERE NOT regexp_matches(p_name, '(?i)^(prefix |base |[#@<{\\[])')")
+def auto_by_own_edge(t):
+    """A converter of our own from plain text to Turtle, chained with the one from Turtle to RDF/XML."""
+
+    def stated(documents: DataFrame, to: str) -> DataFrame:
+        text = F.concat(F.lit("<"), F.col("uri"), F.lit("> <http://data.example/says> "), terms.n_triples(terms.literal(F.upper(F.col("content").cast("string")))), F.lit(" ."))
+        return documents.select("uri", text.cast("binary").alias("content"), F.lit(to).alias("media_type"))
+
+    registry = convert.default_registry().register(["text/plain"], ["text/turtle"], stated)
+    documents = t.part.df.select(F.concat(F.lit(BASE + "part/"), F.col("p_partkey").cast("string")).alias("uri"), F.col("p_name").cast("binary").alias("content"))
+    plain = documents.where(sniff.sniff(F.col("content")) == "text/plain")
+    back = rdf_text.documents(convert.auto(plain, convert.RDF_XML, registry).withColumn("content", F.col("content").cast("string")))
+    return back.select(F.substring_index("s.lex", "/", -1).alias("k"), F.col("o.lex").alias("o"))
+
+
 @query("""SELECT a.s_suppkey AS s, n.n_nationkey AS n FROM (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) a, nation n""")
 def product_suppliers_nations(t):
     found = t.supplier.star(s="s_suppkey", b="s_acctbal")
