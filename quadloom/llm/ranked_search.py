@@ -33,7 +33,7 @@ from quadloom.llm._arrow import ALNUM, slices, texts_of, words
 from quadloom.llm._shared import cut, work_dir
 
 #: Terms with repeats in a block at most, but for equal chance in dealing a stratum's documents.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Pairs of item and term whose weights the tasks of a search hold.
 PAIRS = 1 << 20
 #: Blocks that an item visits before it has a threshold.
