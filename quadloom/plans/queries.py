@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quadloom.functions import media, scalar, sniff, terms
 from quadloom.operators import aggregates as agg
-from quadloom.operators import paths, quads, serialize
+from quadloom.operators import hierarchy, paths, quads, serialize
 from quadloom.operators.solutions import Solutions
 from quadloom.plans import cache, catalog, convert, dataset
 from quadloom.sources import document_files, graph_files, rdf_text
@@ -431,6 +431,18 @@ def schema_join(t):
     return paths.sequence(types, paths.zero_or_more(above)).select(F.col("s").alias("p"), F.substring("o", 1, 1).cast("int").alias("depth"))
 
 
+@query("""SELECT p_partkey AS p, c FROM (SELECT p_partkey, split_part(p_type, ' ', 1) AS a, split_part(p_type, ' ', 3) AS m FROM part), (SELECT unnest(['STEEL', 'ECONOMY', 'thing', 'made', 'metal']) AS c)
+WHERE c = a OR c = m OR c IN ('thing', 'made', 'metal')""")
+def schema_instances_by_ranges(t):
+    """Types below their metal and their grade, which meet again above: instances of five classes by ranges of numbers."""
+    kinds = t.part.df.select("p_type").distinct()
+    metal, grade = F.split_part("p_type", F.lit(" "), F.lit(3)), F.split_part("p_type", F.lit(" "), F.lit(1))
+    pairs = kinds.select(F.col("p_type").alias("sub"), metal.alias("sup")).union(kinds.select("p_type", grade)).union(kinds.select(metal, F.lit("metal"))).union(kinds.select(grade, F.lit("made")))
+    top = t.spark.createDataFrame([("metal", "thing"), ("made", "thing")], "sub string, sup string")
+    types = t.part.df.select(F.col("p_partkey").alias("s"), F.col("p_type").alias("o"))
+    return hierarchy.instances(types, hierarchy.labels(pairs.union(top)), ["STEEL", "ECONOMY", "thing", "made", "metal"]).select(F.col("s").alias("p"), F.col("o").alias("c"))
+
+
 # functions
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quadloom.functions import iris, scalar, terms
 from quadloom.operators import aggregates as agg
-from quadloom.operators import paths, quads
+from quadloom.operators import hierarchy, paths, quads
 from quadloom.operators.solutions import Solutions
 
 
@@ -333,3 +333,18 @@ def test_a_long_cycle_ends_in_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(paths, "_then", lambda *a, f=paths._then: (rounds.append(1), f(*a))[1])
     found = paths.one_or_more(edges, start=spark.createDataFrame([(17,)], "s long"))
     assert found.count() == n and len(rounds) < 40
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_class_numbers_by_brute_force(seed):
+    """Trees, diamonds, cycles and a long chain."""
+    rng = random.Random(seed)
+    n = rng.choice([3, 12, 40])
+    pairs = {(f"c{rng.randrange(n)}", f"c{rng.randrange(n)}") for _ in range(rng.randrange(1, 2 * n))} | ({(f"l{k}", f"l{k + 1}") for k in range(3000)} if seed == 0 else set())
+    found = {c: (number, cover) for c, number, cover in hierarchy.numbered(sorted(pairs))}
+    above = reach(pairs if seed else [p for p in pairs if p[0][0] == "c"], {s for s, _ in pairs if s[0] == "c"})
+    for a in [c for c in found if c[0] == "c"]:
+        for b in [c for c in found if c[0] == "c"]:
+            assert any(low <= found[a][0] <= high for low, high in found[b][1]) == (a == b or (a, b) in above), (a, b)
+    if seed == 0:
+        assert all(len(found[f"l{k}"][1]) == 1 for k in range(3001)) and found["l3000"][1][0][1] - found["l3000"][1][0][0] == 3000
