@@ -335,6 +335,20 @@ def test_a_long_cycle_ends_in_few_rounds(spark, monkeypatch):
     assert found.count() == n and len(rounds) < 40
 
 
+def test_all_pairs_by_components_and_brute_force(spark, monkeypatch):
+    """Cycles that touch, hang on chains and branch; self loops, repeated edges, and ends that are null or on no cycle."""
+    edges = {(k, k + 1) for k in range(12)} | {(12, 4), (3, 3), (6, 5), (20, 21), (21, 20), (2, 20), (21, 30), (30, 31), (40, 40)}
+    df = spark.createDataFrame([*sorted(edges), (1, 2), (None, 3), (4, None)], "s int, o int")
+    every, made = reach(edges, {s for s, _ in edges}), []
+    monkeypatch.setattr(paths, "DEEP", 1)
+    monkeypatch.setattr(paths, "components", lambda e, f=paths.components: (made.append(f(e)), made[-1])[1])
+    assert sorted(map(tuple, paths.one_or_more(df).collect())) == sorted(every)
+    named = {r.s: r.c for r in made[0].collect()}
+    points = {x for e in edges for x in e}
+    assert set(named) == points and all(named[c] == c for c in named.values())
+    assert all((named[a] == named[b]) == (a == b or {(a, b), (b, a)} <= every) for a in points for b in points)
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_class_numbers_by_brute_force(seed):
     """Trees, diamonds, cycles and a long chain."""
