@@ -132,7 +132,8 @@ def _reached(edges: DataFrame, start: DataFrame) -> DataFrame:
 def _shortcuts(edges: DataFrame) -> DataFrame:
     """Edges, and the steps of 2, 4, 8, ... edges along chains: a chain of n nodes takes log n rounds by them."""
     tables, many = _doubled(edges)
-    return reduce(DataFrame.union, tables, many).checkpoint()
+    # distinct, since a checkpoint keeps constraints on columns that it has not, which a bare union trips over
+    return reduce(DataFrame.union, (table.distinct() for table in tables), many.distinct()).checkpoint()
 
 
 def _within(edges: DataFrame, part: DataFrame) -> DataFrame:
