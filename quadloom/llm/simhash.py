@@ -259,48 +259,51 @@ def _piece(uri: str, tile: int, piece: int, fields: int) -> np.ndarray:
 
 # pairs beyond the radius, by shingles that both sets must share
 
-#: Hash bits of the table of shingle counts, and the most files of sets that are counted for it.
-COUNT_BITS, COUNTED = 18, 256
+#: Hash bits of the table of shingle counts, and the files that hold it.
+COUNT_BITS, COUNT_FILES = 18, 256
 #: Roots and dissimilar pairs that a task remembers before it starts afresh.
 REMEMBERED = 100_000
 _PLACE = "part long, at long, n long"
 
 
 def _count_shingles(members: DataFrame, sets: str) -> str:
-    """File of how often shingles of each hash range occur in (a sample of) the sets."""
-    spark, bits = members.sparkSession, COUNT_BITS
-    uri = work_dir(spark, "shingle-counts")
-    parts = sorted(r["part"] for r in members.select("part").distinct().collect())
-    parts = parts[:: -(-len(parts) // COUNTED) or 1]
+    """Folder of how many shingles of each hash range all members' sets hold."""
+    uri, width = work_dir(members.sparkSession, "shingle-counts"), (1 << COUNT_BITS) // COUNT_FILES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, step = np.zeros(1 << COUNT_BITS, np.int64), 1 << 20
         for batch in batches:
-            for k in batch.column(0).to_pylist():
-                held, counts = map_array(f"{sets}/{parts[k]}", np.uint32), np.zeros(1 << bits, np.int64)
-                for at in range(0, len(held), 1 << 20):
-                    counts += np.bincount(held[at : at + (1 << 20)] >> (32 - bits), minlength=1 << bits)
-                pieces = np.minimum(counts, 0xFFFFFFFF).astype("<u4").reshape(16, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([x.tobytes() for x in pieces], pa.binary())], ["piece", "counts"])
+            places = np.stack([batch.column(c).to_numpy() for c in ("part", "at", "n")])
+            for part, at, n in places[:, np.lexsort(places[1::-1])].T.tolist():  # file by file
+                for k in range(0, n, step):
+                    np.add.at(counts, _set(sets, part, at + k, min(step, n - k)) >> (32 - COUNT_BITS), 1)
+        if counts.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(COUNT_FILES), pa.int32()), pa.array([x.tobytes() for x in counts.reshape(COUNT_FILES, width)], pa.binary())], ["piece", "counts"])
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
-        total = np.zeros((1 << bits) // 16, np.int64)
+        total = np.zeros(width, np.int64)
         for x in table["counts"]:
-            total += np.frombuffer(x.as_buffer(), "<u4")
-        write_file(f"{uri}/{key[0].as_py()}", [np.minimum(total, 0xFFFFFFFF).astype("<u4")])
+            total += np.frombuffer(x.as_buffer(), np.int64)
+        write_file(f"{uri}/{key[0].as_py()}", [total])
         return pa.table({"piece": pa.array([key[0].as_py()], pa.int32())})
 
-    spark.range(0, len(parts), 1, max(1, len(parts))).mapInArrow(count, "piece int, counts binary").groupBy("piece").applyInArrow(add, "piece int").collect()
+    members.select("part", "at", "n").mapInArrow(count, "piece int, counts binary").groupBy("piece").applyInArrow(add, "piece int").collect()
     return uri
 
 
-@functools.lru_cache(2)
 def _counts(uri: str) -> np.ndarray:
-    return np.concatenate([map_array(f"{uri}/{k}", np.uint32) for k in range(16)]).astype(np.uint64)
+    return np.concatenate([map_array(f"{uri}/{k}", np.int64) for k in range(COUNT_FILES)])
+
+
+@functools.lru_cache(2)
+def _ranks(uri: str) -> np.ndarray:
+    """Place of each hash range in the ascending order of counts; few bits, however large these are."""
+    return np.unique(_counts(uri), return_inverse=True)[1].astype(np.uint64)
 
 
-def prefix(held: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+def prefix(held: np.ndarray, ranks: np.ndarray, least: float) -> np.ndarray:
     """The rarest shingles of a set, rarest first: as many as leave fewer than least of the set, so two sets of that similarity share one."""
-    key = np.sort(counts[held >> np.uint32(32 - COUNT_BITS)] << np.uint64(32) | held)
+    key = np.sort(ranks[held >> np.uint32(32 - COUNT_BITS)] << np.uint64(32) | held)
     return (key[: len(held) - math.ceil(least * len(held) - 1e-9) + 1] & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
@@ -308,7 +311,7 @@ def rare_links(members: DataFrame, sets: str, least: float = 0.8) -> DataFrame:
     """Links (a, b) of roots that connect whatever sets have a similarity of least or more and lie apart as yet.
 
     members: node, root, part, at, n of each distinct set. All sets' shingles are put in
-    one order, rare ones (by a table of hash ranges) first. Two similar sets share a
+    one order, rare ones (by counts of hash ranges over all sets) first. Two similar sets share a
     shingle of their prefixes, so comparing the sets that meet at each prefix shingle
     finds every such pair; no fingerprint takes part. Shingles that only sets of one
     root share are left out before places are shuffled. A shingle of more than TILE
@@ -321,7 +324,7 @@ def rare_links(members: DataFrame, sets: str, least: float = 0.8) -> DataFrame:
 
     def prefixes(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
         places = np.stack([batch.column(k).to_numpy() for k in range(5)])
-        return places, [prefix(_set(sets, *p), _counts(table), least) for p in places[2:].T.tolist()]
+        return places, [prefix(_set(sets, *p), _ranks(table), least) for p in places[2:].T.tolist()]
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):

@@ -161,6 +161,22 @@ def test_similar_texts_beyond_the_radius(spark, monkeypatch):
     assert {r.doc_id for r in simhash.keep_one(df, radius=0, least=0.8, rest=True).collect()} == want
 
 
+def test_shingles_of_all_sets_are_counted(spark):
+    """Sets in 300 of 350 files, of which every second was left out; a set that is there twice counts once, and large counts keep their order."""
+    df = spark.range(0, 700, 1, 350).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(0, 9), k -> concat('w', id % 600, '.', k))) as text")
+    folder = _shared.work_dir(spark, "sets")
+    rows = _shared.cut(simhash.with_sets(df, folder))
+    members = _shared.cut(rows.groupBy("node").agg(F.min(F.struct("part", "at", "n")).alias("x")).select("node", F.col("node").alias("root"), "x.*"))
+    assert members.select("part").distinct().count() == 300
+    made = np.concatenate([simhash.shingle_sets(pa.array([" ".join(f"w{d}.{k}" for k in range(10))]))[1] for d in range(600)])
+    want = np.bincount(made >> np.uint32(32 - simhash.COUNT_BITS), minlength=1 << simhash.COUNT_BITS)
+    uri = simhash._count_shingles(members, folder)
+    assert simhash._counts(uri).tolist() == want.tolist() and want.sum() == 3600
+    width = len(want) // simhash.COUNT_FILES
+    _shared.write_file(f"{uri}/0", [np.where(np.arange(width) < 2, [(6 << 32) - k for k in range(width)], want[:width]).astype(np.int64)])
+    assert simhash._ranks(uri)[1] + 1 == simhash._ranks(uri)[0] == simhash._ranks(uri).max()
+
+
 def test_keep_one_by_unique_ids(spark, docs):
     kept = {r.doc_id for r in simhash.keep_one(docs).select("doc_id").collect()}
     assert kept == {r.component_id for r in simhash.contract(docs).collect()}
