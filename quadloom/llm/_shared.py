@@ -9,8 +9,9 @@ from collections import OrderedDict
 from collections.abc import Callable, Hashable
 from typing import Any
 
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -129,3 +130,31 @@ def map_array(uri: str, dtype: type):
     if not isinstance(store, fs.LocalFileSystem):
         raise ValueError(f"{uri} cannot be mapped: spark.checkpoint.dir must be a mounted file system")
     return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
+
+
+def among(ids: DataFrame) -> Callable[[Column], Column]:
+    """Whether a long that is not null is one of ids (column id), which go as sorted arrays to the shared folder, where workers map them."""
+    import numpy as np
+
+    spark = ids.sparkSession
+    uri, shards = work_dir(spark, "ids"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def write(key: tuple, table: pa.Table) -> pa.Table:
+        shard = key[0].as_py()
+        write_file(f"{uri}/{shard}", [np.sort(table["id"].to_numpy())])
+        return pa.table({"shard": pa.array([shard], pa.int64())})
+
+    dealt = ids.withColumn("shard", F.pmod("id", F.lit(shards)))
+    written = {r["shard"] for r in dealt.groupBy("shard").applyInArrow(write, "shard long").collect()}
+
+    @F.arrow_udf("boolean")
+    def has(longs: pa.Array) -> pa.Array:
+        values = longs.to_numpy(zero_copy_only=False)
+        out, shard = np.zeros(len(values), bool), np.mod(values, shards)
+        for s in np.intersect1d(shard, list(written)).tolist():
+            at, held = np.flatnonzero(shard == s), map_array(f"{uri}/{s}", np.int64)
+            place = np.minimum(np.searchsorted(held, values[at]), len(held) - 1)
+            out[at] = held[place] == values[at]
+        return pa.array(out)
+
+    return has

@@ -7,8 +7,7 @@ solves one system of WIDTH + 1 unknowns. Isotonic regression on labelled rows th
 the fit has not seen turns scores into probabilities.
 
 Labels are learnt from bucket 0, 1 (fit) and 3 (calibration) of crc32(id) mod 4;
-bucket 2 is held out. Of the labelled rows SAMPLE at most are used, chosen by a
-hash of the id; every other count covers all data. Labels that are null or whose id
+bucket 2 is held out. All of them are used. Labels that are null or whose id
 is null or has no document teach nothing; an id labelled twice counts twice. Null
 and empty texts are scored like any other, by their statistics, which are zeros.
 Without labels every score is 0.5. Repeated rows keep their places and an empty
@@ -27,13 +26,11 @@ from pyspark.sql import types as T
 
 from quadloom.llm import text_stats
 from quadloom.llm._arrow import bucket_crc, with_struct
-from quadloom.llm._shared import cut, fresh
+from quadloom.llm._shared import among, cut, fresh
 
 #: Random features, their seed and the kernel's width in standard deviations.
 WIDTH, SEED, SIGMA = 256, 11, 3.0
 RIDGE = 1.0
-#: Most labelled rows that are used; of more, a sample by hash of the id.
-SAMPLE = 400_000
 #: Steps between raw scores that calibration tells apart.
 STEP = 0.002
 CUTOFF = 0.7
@@ -93,10 +90,8 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def taught(labels: DataFrame, id_col: str = "doc_id", label: str = "quality") -> DataFrame:
-    """(__id, y, bucket) of the labels that may be learnt from, some SAMPLE rows at most."""
-    known = labels.select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("y")).where("__id is not null and y is not null").withColumn("bucket", bucket_crc("__id", 4)).where("bucket <> 2")
-    total = known.count()
-    return known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < int((1 << 20) * SAMPLE / total)) if total > SAMPLE else known
+    """(__id, y, bucket) of the labels that may be learnt from."""
+    return labels.select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("y")).where("__id is not null and y is not null").withColumn("bucket", bucket_crc("__id", 4)).where("bucket <> 2")
 
 
 def fit(featured: DataFrame, known: DataFrame, id_col: str = "doc_id") -> Model:
@@ -125,7 +120,7 @@ def fit(featured: DataFrame, known: DataFrame, id_col: str = "doc_id") -> Model:
                 total += np.frombuffer(raw).reshape(total.shape)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
-    # SAMPLE bounds the rows and hence the partial sums: 64 at most, added in 8 tasks
+    # however many the rows, partial sums are 64 at most, added in 8 tasks
     partial = train.coalesce(64).mapInArrow(equations, "sums binary").repartition(8).mapInArrow(add, "sums binary").collect()
     sums = np.sum([np.frombuffer(r["sums"]).reshape(WIDTH + 2, WIDTH + 1) for r in partial], axis=0)
     weights = np.linalg.solve(sums[:-1] + RIDGE * np.eye(WIDTH + 1), sums[-1])
@@ -172,12 +167,15 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", cutoff: float = CUTOFF) -> DataFrame:
     """The documents that classify accepts, with all their columns and no join on ids.
 
-    Only labelled documents' features are made for the fit (their ids, of which SAMPLE
-    bounds the number, are broadcast); the filter makes all anew, so that whole texts
-    never pass through a shuffle or the checkpoint folder.
+    Only labelled documents' features are made for the fit: their ids' hashes are looked
+    up in mapped files (of ids of another type than the labels', all documents' features
+    are made). The filter makes all anew, so that whole texts never pass through a
+    shuffle or the checkpoint folder.
     """
-    known = cut(taught(labels, id_col))
-    labelled = docs.select(F.col(id_col), F.col(text)).join(F.broadcast(known.select(F.col("__id").alias(id_col)).distinct()), id_col, "left_semi")
+    known, kind = cut(taught(labels, id_col)), docs.schema[id_col].dataType
+    labelled = docs.select(F.col(id_col), F.col(text))
+    if kind == known.schema["__id"].dataType and isinstance(kind, (T.IntegralType, T.StringType)):
+        labelled = labelled.where(among(known.select(F.xxhash64("__id").alias("id")).distinct())(F.xxhash64(id_col)))
     model = fit(with_features(labelled, text).drop(text), known, id_col)
     score = fresh(docs, "__score")
     return with_score(docs, model, score, text).where(F.col(score) >= cutoff).drop(score)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadloom.llm._arrow import LOWER, bytes_of, offsets_of, slices, texts_of, word_hashes, words
-from quadloom.llm._shared import cut, fresh, join_hot, map_array, open_fs, put, work_dir, write_file
+from quadloom.llm._shared import among, cut, fresh, join_hot, map_array, open_fs, put, work_dir, write_file
 from quadloom.llm.components import components
 
 SEED = 42
@@ -175,7 +175,7 @@ def with_sets(docs: DataFrame, uri: str, text: str = "text", size: int = 3, by:
         part, place = TaskContext.get().partitionId(), 0
         draft = f"{folder}/{part}.{uuid.uuid4().hex}.tmp"
         with store.open_output_stream(draft) as out:
-            for batch in slices(batches, at_text, 2 << 20):
+            for batch in slices(batches, at_text, 1 << 19):
                 texts = texts_of(batch.column(at_text))
                 n, sets = shingle_sets(texts, by)
                 out.write(sets.tobytes())
@@ -477,7 +477,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size:
     verdicts = cut(join_hot(keys, first, "root").select("__id", F.col(key).alias("__key"), "n", (order != F.col("first")).alias("__gone")))
     ids = verdicts.groupBy("__id").agg(F.sum("n").alias("n"))
     if isinstance(docs.schema[id_col].dataType, T.IntegralType) and ids.where("n > 1 or __id is null").isEmpty():
-        return _without(docs, id_col, verdicts.where("__gone").select(F.col("__id").cast("long").alias("id")))
+        return docs.where(~among(verdicts.where("__gone").select(F.col("__id").cast("long").alias("id")))(F.col(id_col).cast("long")))
     own, its_id, its_key, gone = (fresh(docs, name) for name in ("__key", "__other_id", "__other_key", "__gone"))
     notable = cut(verdicts.where("__gone or n > 1").select(F.col("__id").alias(its_id), F.col("__key").alias(its_key), F.col("__gone").alias(gone)))
     marked = with_fingerprint(docs, own, text, size) if sets is None else _with_longs(docs, own, text, lambda texts: digests(*shingle_sets(texts, by)))
@@ -489,32 +489,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size:
     return kept.union(joined.where(~F.col(gone)).dropDuplicates([id_col, own]).select(columns))
 
 
-def _without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
-    """docs without the ids in gone, which go as sorted arrays to the shared folder, where workers map them."""
-    spark = docs.sparkSession
-    uri, shards = work_dir(spark, "gone"), int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def write(key: tuple, table: pa.Table) -> pa.Table:
-        shard = key[0].as_py()
-        write_file(f"{uri}/{shard}", [np.sort(table["id"].to_numpy())])
-        return pa.table({"shard": pa.array([shard], pa.int64())})
-
-    dealt = gone.withColumn("shard", F.pmod("id", F.lit(shards)))
-    written = {r["shard"] for r in dealt.groupBy("shard").applyInArrow(write, "shard long").collect()}
-
-    @F.arrow_udf("boolean")
-    def stays(ids: pa.Array) -> pa.Array:
-        values = ids.to_numpy(zero_copy_only=False)
-        out, shard = np.ones(len(values), bool), np.mod(values, shards)
-        for s in np.intersect1d(shard, list(written)).tolist():
-            at, held = np.flatnonzero(shard == s), map_array(f"{uri}/{s}", np.int64)
-            place = np.minimum(np.searchsorted(held, values[at]), len(held) - 1)
-            out[at] = held[place] != values[at]
-        return pa.array(out)
-
-    return docs.where(stays(F.col(id_col).cast("long")))
-
-
 def contract(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")

@@ -629,6 +629,22 @@ def test_pipeline(spark, docs):
     assert {r.doc_id for r in rows} == set(ids)
 
 
+def test_all_labels_are_learnt_from(spark, docs, monkeypatch):
+    """450,000 labels, of which some 400,000 were used; and the fit gets each labelled document, whatever the type of ids."""
+    many = spark.range(600_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    assert quality_classifier.taught(many).count() == sum(zlib.crc32(b"%d" % k) % 4 != 2 for k in range(600_000)) > 400_000
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    want, fit, kept = sorted(r.doc_id for r in labels.collect() if zlib.crc32(b"%d" % r.doc_id) % 4 != 2), quality_classifier.fit, []
+    fitted = []
+    monkeypatch.setattr(quality_classifier, "SAMPLE", 40, raising=False)
+    monkeypatch.setattr(quality_classifier, "fit", lambda rows, known, id_col: fitted.append(known.join(rows, known["__id"] == rows[id_col]).select(F.col(id_col).cast("long")).collect()) or fit(rows, known, id_col))
+    for of_docs, of_labels in (("long", "long"), ("string", "string"), ("long", "int")):
+        got = quality_classifier.keep_good(docs.withColumn("doc_id", F.col("doc_id").cast(of_docs)), labels.withColumn("doc_id", F.col("doc_id").cast(of_labels)))
+        kept.append(sorted(int(r.doc_id) for r in got.collect()))
+    assert all(sorted(r[0] for r in rows) == want for rows in fitted) and len(fitted) == 3
+    assert kept[0] == kept[1] == kept[2]
+
+
 def check_pieces(rows, whole):
     """Every id of every document (id, ids) lies in exactly one piece, with its checksum; documents that repeat an id are told apart by their lengths."""
     left = Counter({(d, len(i), zlib.crc32(i.tobytes())): 0 for d, i in whole})
