@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadloom.llm import tokens
-from quadloom.llm._arrow import slices, texts_of
+from quadloom.llm._arrow import SLICE, slices, texts_of
 from quadloom.llm._shared import cut
 
 WINDOW = 1024
@@ -122,14 +122,14 @@ def _rows(part: int, windows: list[tuple[int, list[Piece]]]) -> pa.RecordBatch:
 def _first_level(path: str, window: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, part, emitted = Packer(window, most), TaskContext.get().partitionId(), 0
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, SLICE):
             got = tokens.with_end(tokens.encode(texts_of(batch.column(1)), path))
             stream, bounds, out = got.ids.astype("<u4"), got.bounds.tolist(), []
             for doc_id, a, b in zip(batch.column(0).to_pylist(), bounds[:-1], bounds[1:], strict=True):
                 out += packer.place(Piece(doc_id, 0, b - a, stream[a:b]))
             yield _rows(part, list(enumerate(out, emitted)))
             emitted += len(out)
-            for fill in packer.content.values():  # else open pieces would hold the whole batch
+            for fill in packer.content.values():  # else open pieces would hold the whole slice
                 fill[:] = [p._replace(ids=p.ids.copy()) for p in fill]
         out = list(packer.settle())
         yield _rows(part, [*enumerate(out, emitted), *((-1, c) for c in packer.content.values())])

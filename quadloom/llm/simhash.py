@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadloom.llm._arrow import LOWER, bytes_of, offsets_of, slices, texts_of, word_hashes, words
+from quadloom.llm._arrow import LOWER, SLICE, bytes_of, offsets_of, slices, texts_of, word_hashes, words
 from quadloom.llm._shared import among, cut, fresh, join_hot, map_array, open_fs, put, work_dir, write_file
 from quadloom.llm.components import components
 
@@ -175,7 +175,7 @@ def with_sets(docs: DataFrame, uri: str, text: str = "text", size: int = 3, by:
         part, place = TaskContext.get().partitionId(), 0
         draft = f"{folder}/{part}.{uuid.uuid4().hex}.tmp"
         with store.open_output_stream(draft) as out:
-            for batch in slices(batches, at_text, 1 << 19):
+            for batch in slices(batches, at_text, SLICE):
                 texts = texts_of(batch.column(at_text))
                 n, sets = shingle_sets(texts, by)
                 out.write(sets.tobytes())
@@ -321,6 +321,8 @@ def rare_links(members: DataFrame, sets: str, least: float = 0.8) -> DataFrame:
     slots, cap = int(spark.conf.get("spark.sql.shuffle.partitions")), TILE
     members = members.where("n > 0").select("node", "root", "part", "at", "n")
     table, uri = _count_shingles(members, sets), work_dir(spark, "shared-shingles")
+    # rows are few and small, so few tasks hold them; each has hundreds of shingles, which a task aggregates in memory
+    members = cut(members.repartition(slots, F.xxhash64("node")))
 
     def prefixes(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
         places = np.stack([batch.column(k).to_numpy() for k in range(5)])

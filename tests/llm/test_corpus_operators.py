@@ -9,16 +9,21 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import corpus_pipeline
-from quadloom.llm import _shared, components, kneser_ney, media, packing, quality_classifier, quality_rules, simhash, token_store, warc
+from quadloom.llm import _shared, components, kneser_ney, media, packing, quality_classifier, quality_rules, simhash, token_store, tokens, warc
+from quadloom.llm._arrow import with_struct
 from quadloom.llm.queries import oracle_sql, queries, vocabulary
 
 SMALL = "/root/testdata/sf0.001"
@@ -177,6 +182,40 @@ def test_shingles_of_all_sets_are_counted(spark):
     assert simhash._ranks(uri)[1] + 1 == simhash._ranks(uri)[0] == simhash._ranks(uri).max()
 
 
+def test_prefixes_are_made_by_all_tasks(spark, tmp_path, monkeypatch):
+    """Members lie in one partition, as small tables do; a task that took them all aggregated the shingles of all."""
+    df = spark.range(0, 400, 1, 2).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(0, 9), k -> concat('w', id, '.', k))) as text")
+    folder, log, real = _shared.work_dir(spark, "sets"), str(tmp_path), simhash.prefix
+    rows = _shared.cut(simhash.with_sets(df, folder))
+    members = _shared.cut(rows.select("node", F.col("node").alias("root"), "part", "at", "n").coalesce(1))
+
+    def logged(*args):
+        with open(f"{log}/{TaskContext.get().partitionId()}", "a") as file:
+            file.write("x")
+        return real(*args)
+
+    monkeypatch.setattr(simhash, "prefix", logged)
+    assert simhash.rare_links(members, folder).count() == 0
+    took = [f.stat().st_size for f in tmp_path.iterdir()]
+    assert len(took) == 4 and sum(took) == 800 and max(took) < 300
+
+
+def test_kernels_see_small_slices(spark, monkeypatch):
+    """Statistics, features and ids are made of half a MB of text at a time, as workers keep most of what they once took."""
+    text, kind = "some words " * 1000, T.StructType([T.StructField("n", T.LongType())])
+    df = spark.range(0, 200, 1, 1).select("id", F.lit(text).alias("text"))
+    made = with_struct(df, "__s", kind, lambda t: {"n": np.full(len(t), pc.sum(pc.binary_length(t)).as_py())})
+    got = [r.n for r in made.select("id", "__s.n").orderBy("id").collect()]
+    assert len(got) == 200 and max(got) < (1 << 19) + len(text)
+    seen, real = [], tokens.encode
+    monkeypatch.setattr(packing.tokens, "encode", lambda t, path: seen.append(pc.sum(pc.binary_length(t)).as_py()) or real(t, path))
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array([text] * 200)], ["doc_id", "text"])
+    rows = pa.Table.from_batches(list(packing._first_level(PATH, packing.WINDOW, packing.OPEN)(iter([batch]))))
+    assert sum(seen) == 200 * len(text) and max(seen) < (1 << 19) + len(text)
+    assert pc.sum(rows["length"]).as_py() == 200 * len(ids_of([text])[0])
+
+
 def test_keep_one_by_unique_ids(spark, docs):
     kept = {r.doc_id for r in simhash.keep_one(docs).select("doc_id").collect()}
     assert kept == {r.component_id for r in simhash.contract(docs).collect()}
