@@ -133,7 +133,18 @@ def map_array(uri: str, dtype: type):
 
 
 def among(ids: DataFrame) -> Callable[[Column], Column]:
-    """Whether a long that is not null is one of ids (column id), which go as sorted arrays to the shared folder, where workers map them."""
+    """Whether a long that is not null is one of ids, as lookup has them."""
+    has = lookup(ids)
+
+    @F.arrow_udf("boolean")
+    def apply(longs: pa.Array) -> pa.Array:
+        return pa.array(has(longs.to_numpy(zero_copy_only=False)))
+
+    return apply
+
+
+def lookup(ids: DataFrame) -> Callable:
+    """Function for tasks: which of an array of longs are ids (column id). These go as sorted arrays to the shared folder, where workers map them."""
     import numpy as np
 
     spark = ids.sparkSession
@@ -147,14 +158,12 @@ def among(ids: DataFrame) -> Callable[[Column], Column]:
     dealt = ids.withColumn("shard", F.pmod("id", F.lit(shards)))
     written = {r["shard"] for r in dealt.groupBy("shard").applyInArrow(write, "shard long").collect()}
 
-    @F.arrow_udf("boolean")
-    def has(longs: pa.Array) -> pa.Array:
-        values = longs.to_numpy(zero_copy_only=False)
+    def has(values: np.ndarray) -> np.ndarray:
         out, shard = np.zeros(len(values), bool), np.mod(values, shards)
         for s in np.intersect1d(shard, list(written)).tolist():
             at, held = np.flatnonzero(shard == s), map_array(f"{uri}/{s}", np.int64)
             place = np.minimum(np.searchsorted(held, values[at]), len(held) - 1)
             out[at] = held[place] == values[at]
-        return pa.array(out)
+        return out
 
     return has

@@ -16,6 +16,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 
 from quadloom.llm import text_stats
 from quadloom.llm._arrow import bucket_crc, with_struct
-from quadloom.llm._shared import among, cut, fresh
+from quadloom.llm._shared import cut, fresh, lookup
 
 #: Random features, their seed and the kernel's width in standard deviations.
 WIDTH, SEED, SIGMA = 256, 11, 3.0
@@ -79,10 +80,10 @@ def isotonic(x: np.ndarray, positive: np.ndarray, n: np.ndarray) -> tuple[np.nda
     return np.array([b[0] / b[2] for b in blocks]), np.array([b[1] / b[2] for b in blocks])
 
 
-def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs and a struct column __x of NAMES."""
+def with_features(docs: DataFrame, text: str = "text", only: tuple[str, Callable[[np.ndarray], np.ndarray]] | None = None) -> DataFrame:
+    """docs (those that only leaves) and a struct column __x of NAMES."""
     kind = T.StructType([T.StructField(n, T.DoubleType()) for n in NAMES])
-    return with_struct(docs, "__x", kind, lambda t: dict(zip(NAMES, features(t).T, strict=True)), text)
+    return with_struct(docs, "__x", kind, lambda t: dict(zip(NAMES, features(t).T, strict=True)), text, only)
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -173,9 +174,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text:
     shuffle or the checkpoint folder.
     """
     known, kind = cut(taught(labels, id_col)), docs.schema[id_col].dataType
-    labelled = docs.select(F.col(id_col), F.col(text))
+    labelled, only = docs.select(F.col(id_col), F.col(text)), None
     if kind == known.schema["__id"].dataType and isinstance(kind, (T.IntegralType, T.StringType)):
-        labelled = labelled.where(among(known.select(F.xxhash64("__id").alias("id")).distinct())(F.xxhash64(id_col)))
-    model = fit(with_features(labelled, text).drop(text), known, id_col)
+        only = fresh(labelled, "__hash"), lookup(known.select(F.xxhash64("__id").alias("id")).distinct())
+        labelled = labelled.withColumn(only[0], F.xxhash64(id_col))
+    model = fit(with_features(labelled, text, only).drop(text), known, id_col)
     score = fresh(docs, "__score")
     return with_score(docs, model, score, text).where(F.col(score) >= cutoff).drop(score)

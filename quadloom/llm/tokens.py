@@ -33,12 +33,12 @@ class Ids(NamedTuple):
 @functools.cache
 def classes() -> np.ndarray:
     """Class of every code point, by the Unicode tables of the regex library."""
-    out = np.full(0x110000, OTHER, np.uint8)
-    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
-    for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\p{White_Space}+", SPACE)):
-        for m in regex.finditer(pattern, every):
-            a, b = ord(every[m.start()]), ord(every[m.end() - 1]) + 1
-            out[a:b] = kind
+    out, step = np.full(0x110000, OTHER, np.uint8), 0x1000  # a list of all characters would take some 80 MB
+    for at in range(0, len(out), step):
+        some = np.arange(at, at + step, dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\p{White_Space}+", SPACE)):
+            for m in regex.finditer(pattern, some):
+                out[at + m.start() : at + m.end()] = kind
     return out
 
 
@@ -137,13 +137,10 @@ def byte_letters() -> np.ndarray:
 
 @functools.cache
 def _model(path: str):
-    """The file's BPE model alone, over pieces that a zero byte parts."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
+    """The file's BPE model alone, over pieces that a zero byte parts; the same object as in _whole."""
+    whole, _ = _whole(path)
     from tokenizers import Tokenizer, pre_tokenizers
 
-    whole = Tokenizer.from_file(path)
     out = Tokenizer(whole.model)
     out.pre_tokenizer = pre_tokenizers.Split(chr(byte_letters()[0]), "isolated")
     return out, whole.token_to_id(chr(byte_letters()[0]))
@@ -195,7 +192,7 @@ def _whole(path: str):
     """The file's tokenizer, and the texts that it looks for before it splits anything."""
     import os
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
     from tokenizers import Tokenizer
 
     out = Tokenizer.from_file(path)

@@ -7,6 +7,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from types import SimpleNamespace
@@ -16,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
+import regex
+import tokenizers
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import functions as F
@@ -216,6 +219,43 @@ def test_kernels_see_small_slices(spark, monkeypatch):
     assert pc.sum(rows["length"]).as_py() == 200 * len(ids_of([text])[0])
 
 
+def test_fit_runs_in_one_worker_a_task(spark, docs, monkeypatch):
+    """Labelled ids are looked up where features are made; a filter by a function of its own would be a second Python process for each task."""
+    plans, fit = [], quality_classifier.fit
+    monkeypatch.setattr(quality_classifier, "fit", lambda rows, *rest: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or fit(rows, *rest))
+    assert quality_classifier.keep_good(docs, spark.read.parquet(f"{SMALL}/labels.parquet")).count()
+    assert len(plans) == 1 and len(re.findall(r"MapInArrow|EvalPython", plans[0])) == 1
+
+
+def test_vocabulary_is_loaded_once(monkeypatch):
+    """Packing encodes pieces by the model of the tokenizer that it keeps for special tokens, not by a second copy."""
+    real, loaded = tokenizers.Tokenizer, []
+
+    class Counted:
+        from_file = staticmethod(lambda path: loaded.append(path) or real.from_file(path))
+
+        def __new__(cls, model):
+            return real(model)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    for kept in (tokens._model, tokens._whole):
+        kept.cache_clear()
+    texts = ["some  words, it's 12", "<|endoftext|> and \0 more", ""]
+    got = tokens.encode(pa.array(texts), PATH)
+    assert loaded == [PATH] and [x.tolist() for x in np.split(got.ids, got.bounds[1:-1])] == [real.from_file(PATH).encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_class_table_is_made_in_parts():
+    tracemalloc.start()
+    got = tokens.classes.__wrapped__()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16e6
+    for code in [*range(0x3000), *range(0xD7F0, 0xE010), *range(0x10FFF0, 0x110000), *range(0x1000, 0x110000, 997)]:
+        kinds = [k for k, p in ((tokens.LETTER, r"\p{L}"), (tokens.NUMBER, r"\p{N}"), (tokens.SPACE, r"\p{White_Space}")) if regex.match(p, chr(code))]
+        assert [got[code]] == (kinds or [tokens.OTHER])
+
+
 def test_keep_one_by_unique_ids(spark, docs):
     kept = {r.doc_id for r in simhash.keep_one(docs).select("doc_id").collect()}
     assert kept == {r.component_id for r in simhash.contract(docs).collect()}
