@@ -109,6 +109,20 @@ class Solutions:
             out = out.union(left.product(Solutions(other.df.where(none).drop(*names), other.maybe)))
         return Solutions(out.df, {v for v in out.variables if v in out.maybe and not (v in unsure and (v not in self.maybe or v not in other.maybe))})
 
+    def count_pairs(self, other: Solutions, keys: list[str], variable: str) -> Solutions:
+        """Number of compatible pairs for each group of keys: join, then group with a count, without making the pairs.
+
+        Each side is counted by its shared variables and keys first, and the counts of what
+        is compatible are multiplied, so that work grows with the sides and not with the pairs.
+        """
+
+        def counted(x: Solutions, across: Solutions, name: str) -> Solutions:
+            held = [v for v in x.variables if v in across.variables or v in keys]
+            return Solutions(x.df.groupBy(*held).agg(F.count(F.lit(1)).alias(name)).where(F.col(name) > 0), x.maybe)
+
+        met = counted(self, other, "left count").join(counted(other, self, "right count"))
+        return met.group(keys, **{variable: F.coalesce(F.sum(F.col("left count") * F.col("right count")), F.lit(0))})
+
     def product(self, other: Solutions) -> Solutions:
         """All pairs, which is what patterns without a shared variable mean. Spark broadcasts a side that it knows to be small."""
         return Solutions(self.df.join(other.df, F.lit(True)), self.maybe | other.maybe)

@@ -107,6 +107,24 @@ def test_partial_bindings_join_by_key(spark):
     assert sum(plan(left.join(right)).count(f"{kind} [left mask") for kind in ("SortMergeJoin", "ShuffledHashJoin", "BroadcastHashJoin")) == 1
 
 
+@pytest.mark.parametrize("maybe", [(), ("a",), ("a", "b")])
+def test_pairs_are_counted_as_a_join_makes_them(make, maybe):
+    """Shared keys, keys of one side, no keys; repeated solutions; sides that share nothing or have none."""
+    rng = random.Random(len(maybe))
+    value = lambda v: None if v in maybe and rng.random() < 0.4 else rng.randrange(3)
+    left, right = (make(f"a int, b int, {x} int", [(value("a"), value("b"), rng.randrange(2)) for _ in range(20)] * 2, maybe) for x in "xy")
+    for one, two in ((left, right), (left.project("a", "x"), right.project("b", "y")), (left, right.filter(F.lit(False))), (left.project("x"), right.filter(F.lit(False)).project("y"))):
+        for keys in ([], ["a"], ["y", "a", "x"], ["x"]):
+            if set(keys) <= {*one.variables, *two.variables}:
+                counted, want = one.count_pairs(two, keys, "n"), one.join(two).group(keys, n=agg.count())
+                assert got(counted) == got(want) and counted.variables == want.variables and counted.maybe == want.maybe, keys
+
+
+def test_counting_pairs_grows_with_the_sides(spark):
+    side = lambda x: Solutions(spark.range(200_000).selectExpr("1 k", f"id {x}"))
+    assert got(side("x").count_pairs(side("y"), ["k"], "n")) == [(1, 40_000_000_000)]
+
+
 def test_mark_stands_inside_an_expression(make):
     people = make("p int, age int", [(1, 10), (1, 10), (2, 20), (3, 30)])
     pets = make("p int, pet string", [(1, "cat"), (1, "dog"), (3, "cat")])
